@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, packing, quality, secrets, simhash
+from . import bpe, chat, langid, packing, pii, quality, secrets, simhash
 from .common import table
 
 
@@ -43,6 +43,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -56,7 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_chat": op3_chat, "op4_quality": op4_quality, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_packing": op10_packing}
+    return {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_chat": op3_chat, "op4_quality": op4_quality, "op5_pii": op5_pii, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
