@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,3 +68,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("connected components did not converge")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def annotate(docs: DataFrame, columns: tuple[str, ...], added: str, work: Callable[[], Callable[[list[str]], list[pa.Array]]]) -> DataFrame:
+    """The given columns of docs and those of the DDL string added, worked out from the column text in one pass.
+
+    work() runs once a task and returns what turns a batch of texts (null: empty) into arrays. text travels once.
+    """
+    has = "text" in columns
+    at = columns.index("text") if has else len(columns)
+    rows = docs.select(*columns) if has else docs.select(*columns, docs["text"].cast("string").alias("_text"))
+    more = T.StructType.fromDDL(added)
+    kept = [*columns]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = work()
+        for batch in batches:
+            arrays = of([t or "" for t in batch.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *arrays], names=[*kept, *more.names])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[: len(kept)], *more.fields]))

@@ -16,7 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .common import annotate
 
 #: Scripts by ranges of code points: first, last, name. Other letters are of script "other".
 SCRIPTS = [
@@ -176,21 +177,21 @@ def label(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",))
     lang_pred is the language of most letters, score its share of them; spans are (start, end, lang) by code points.
     A null text or one without letters is und with score 0 and no span. One row for each input row.
     """
-    kept = docs.select(*columns).schema
     parts = (model.languages, model.table, model.candidates, model.penalty)
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work():
         import regex
 
         find, own = regex.compile(WORD).findall, Model(*parts)
-        for batch in batches:
-            got = [own.identify(t.as_py() or "", find) for t in batch.column(batch.num_columns - 1)]
-            langs, shares, parts_of = list(zip(*got)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(shares, pa.float64()), pa.array([[{"start": a, "end": b, "lang": x} for a, b, x in s] for s in parts_of], spans)], names=[*columns, "lang_pred", "score", "spans"])
 
-    text = docs["text"].cast("string").alias("_text")
-    return docs.select(*columns, text).mapInArrow(run, T.StructType([*kept.fields, *T.StructType.fromDDL("lang_pred string, score double, spans array<struct<start: bigint, end: bigint, lang: string>>").fields]))
+        def of(texts: list[str]) -> list[pa.Array]:
+            langs, shares, parts_of = list(zip(*(own.identify(t, find) for t in texts))) or [()] * 3
+            return [pa.array(langs, pa.string()), pa.array(shares, pa.float64()), pa.array([[{"start": a, "end": b, "lang": x} for a, b, x in s] for s in parts_of], spans)]
+
+        return of
+
+    return annotate(docs, columns, "lang_pred string, score double, spans array<struct<start: bigint, end: bigint, lang: string>>", work)
 
 
 def identify(docs: DataFrame, max_docs: int = 6000) -> DataFrame:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import annotate
+
 CLASSES = 7  # other, lower case, upper case, digit, white space, line end, marks that decorate
 N_OWN = 14
 N_FEATURES = 3 * N_OWN + 3
@@ -231,17 +233,16 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], columns: tuple[str, ...
 
     Null texts count as empty; both have one empty line and a score. One row for each input row.
     """
-    kept = docs.select(*columns).schema
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [line_features(t.as_py() or "") for t in batch.column(batch.num_columns - 1)]
-            share = shares(model, [x for x, _ in got], [n for _, n in got]) if got else np.zeros(0)
-            p = _logistic(model["curve"][0] + model["curve"][1] * (share * 8 - 4))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], names=[*columns, "score"])
+    def work():
+        def of(texts: list[str]) -> list[pa.Array]:
+            got = [line_features(t) for t in texts]
+            share = shares(model, [x for x, _ in got], [n for _, n in got])
+            return [pa.array(_logistic(model["curve"][0] + model["curve"][1] * (share * 8 - 4)))]
+
+        return of
 
-    text = docs["text"].cast("string").alias("_text")
-    return docs.select(*columns, text).mapInArrow(run, type(kept)([*kept.fields]).add("score", "double"))
+    return annotate(docs, columns, "score double", work)
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_docs: int = 3000) -> DataFrame:

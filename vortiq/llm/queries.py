@@ -59,8 +59,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _pattern())
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_chat": op3_chat, "op4_quality": op4_quality, "op5_pii": op5_pii, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_packing": op10_packing}
+    return {"pipeline": pipeline, "op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_chat": op3_chat, "op4_quality": op4_quality, "op5_pii": op5_pii, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
