@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, packing, pii, quality, secrets, simhash
+from . import ann, bpe, chat, embed_dedup, langid, packing, pii, quality, secrets, simhash
 from .common import table
 
 
@@ -47,6 +47,14 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -66,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": pipeline, "op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_chat": op3_chat, "op4_quality": op4_quality, "op5_pii": op5_pii, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_packing": op10_packing}
+    return {"pipeline": pipeline, "op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_chat": op3_chat, "op4_quality": op4_quality, "op5_pii": op5_pii, "op6_embeddings": op6_embeddings, "op7_neighbours": op7_neighbours, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
