@@ -7,7 +7,6 @@ penalty at every change of language, labels spans; the language of most letters
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import groupby
@@ -31,15 +30,36 @@ WORD = r"[^\W\d_]+"
 FAR = -60.0
 
 
-def script(word: str) -> str:
-    c = ord(word[0])
-    return next((name for a, b, name in SCRIPTS if a <= c <= b), "other")
+_STARTS = np.array([a for a, _, _ in sorted(SCRIPTS)])
+_ENDS = np.array([b for _, b, _ in sorted(SCRIPTS)])
+_NAMES = [*dict.fromkeys(name for _, _, name in sorted(SCRIPTS)), "other"]
+_WHICH = np.array([_NAMES.index(name) for _, _, name in sorted(SCRIPTS)] + [len(_NAMES) - 1])
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of a word's sequences of 1 to 3 letters; its ends count as letters."""
-    w = f"<{word.lower()}>"
-    return [zlib.crc32(w[i : i + n].encode()) % BUCKETS for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+def scripts(letters: np.ndarray) -> np.ndarray:
+    """Number of the script (in _NAMES) of each code point."""
+    at = np.searchsorted(_STARTS, letters, "right") - 1
+    return _WHICH[np.where((at >= 0) & (letters <= _ENDS[at]), at, len(_STARTS))]
+
+
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of many words at once: buckets of the sequences of 1 to 3 letters that begin at each letter (3 x letters; the
+    ends of a word count as letters), where each word begins, its number of sequences, and its script.
+
+    A bucket is BUCKETS where a sequence would reach beyond its word.
+    """
+    lower = [f"<{w}>" for w in map(str.lower, words)]
+    size = np.fromiter(map(len, lower), dtype=np.int64, count=len(lower))
+    first = np.cumsum(size) - size
+    c = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    left = np.repeat(first + size, size) - np.arange(len(c))
+    following = np.r_[c[1:], np.zeros(1, np.uint64)]
+    third = np.r_[c[2:], np.zeros(min(2, len(c)), np.uint64)]
+    mixed = np.stack([c, c * np.uint64(0x10001) + following + np.uint64(1 << 40), (c * np.uint64(0x10001) + following) * np.uint64(0x100000B3) + third + np.uint64(1 << 50)])
+    out = ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % BUCKETS
+    out[1, left < 2] = BUCKETS
+    out[2, left < 3] = BUCKETS
+    return out, first, 3 * size - 3, scripts(c[first + 1])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -52,55 +72,72 @@ class Model:
 
     def __init__(self, languages: list[str], table: np.ndarray, candidates: dict[str, np.ndarray], penalty: float, max_words: int = 400_000):
         self.languages, self.table, self.candidates, self.penalty, self.max_words = languages, table, candidates, penalty, max_words
+        self._rows = np.concatenate([table, np.zeros((1, len(languages)), np.float32)]).astype(np.float32)
+        self._barred = np.stack([~candidates[n] if n in candidates else np.zeros(len(languages), bool) for n in _NAMES])
         self._known: dict[str, int] = {}
         self._scores = np.zeros((1024, len(languages)), dtype=np.float32)
 
-    def word(self, word: str) -> np.ndarray:
-        """Scores by language, 0 at best: mean over the letters' sequences, times the root of their number."""
-        at = grams(word)
-        got = self.table[at].sum(0) / len(at) ** 0.5
-        allowed = self.candidates.get(script(word))
-        if allowed is not None:
-            got = np.where(allowed, got, FAR)
-        return np.maximum(got - got.max(), FAR)
+    def words(self, words: list[str]) -> np.ndarray:
+        """Scores (words x languages), 0 at best: the sum over a word's sequences over the root of their number."""
+        buckets, first, n, of = grams(words)
+        got = self._rows[buckets[0]]
+        got += self._rows[buckets[1]]
+        got += self._rows[buckets[2]]
+        total = np.add.reduceat(got, first, axis=0) / np.sqrt(n, dtype=np.float32)[:, None]
+        total[self._barred[of]] = FAR
+        return np.maximum(total - total.max(1, keepdims=True), FAR)
 
     def scores(self, words: list[str]) -> np.ndarray:
+        """Scores of the words of a text (languages x words); those of at most max_words words are remembered."""
         known = self._known
-        new = [w for w in words if w not in known]
-        if new:
+        at = list(map(known.get, words))
+        if None in at:
+            new = list(dict.fromkeys(w for w, k in zip(words, at) if k is None))
             if len(known) + len(new) > self.max_words and known:
                 known.clear()
-                new = words
-            for w in dict.fromkeys(new):
-                k = known[w] = len(known)
-                if k >= len(self._scores):
-                    self._scores = np.concatenate([self._scores, np.zeros_like(self._scores)])
-                self._scores[k] = self.word(w)
-        return self._scores[np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))]
-
-    def path(self, scores: np.ndarray) -> np.ndarray:
-        """The best path's language of every word.
+                new = list(dict.fromkeys(words))
+            begin, end = len(known), len(known) + len(new)
+            if end > len(self._scores):
+                self._scores = np.concatenate([self._scores, np.zeros((max(end - len(self._scores), len(self._scores)), len(self.languages)), np.float32)])
+            for k in range(0, len(new), 1 << 16):
+                self._scores[begin + k : begin + min(k + (1 << 16), len(new))] = self.words(new[k : k + (1 << 16)])
+            known.update(zip(new, range(begin, end)))
+            at = list(map(known.__getitem__, words))
+        return np.ascontiguousarray(self._scores[at].T)
+
+    def path(self, scores: np.ndarray) -> np.ndarray | int:
+        """The best path's language of every word, or a number if it is one throughout.
 
         Any other path pays the penalty at least once for each of its spans; where no span of another language gains
         more than that over the language of the highest sum, that language alone is best. Else Viterbi runs.
         """
-        n, k = scores.shape
-        top = int(scores.sum(0, dtype=np.float64).argmax())
-        gain = np.zeros((n + 1, k))
-        np.cumsum(scores.astype(np.float64) - scores[:, top : top + 1], axis=0, out=gain[1:])
-        if (gain - np.minimum.accumulate(gain, axis=0)).max() <= self.penalty:
-            return np.full(n, top)
-        best, came = scores[0].astype(np.float64), np.empty((n, k), dtype=np.int16)
-        stay = np.arange(k)
-        for t in range(1, n):
-            lead = int(best.argmax())
-            moved = best[lead] - self.penalty > best
-            came[t] = np.where(moved, lead, stay)
-            best = np.where(moved, best[lead] - self.penalty, best) + scores[t]
+        k, n = scores.shape
+        top = int(scores.sum(1, dtype=np.float64).argmax())
+        for other in range(k):
+            if other != top:
+                gain = scores[other] - scores[top]
+                if gain.max() > 0:
+                    gain = np.cumsum(gain, dtype=np.float64)
+                    if (gain - np.minimum(np.minimum.accumulate(np.r_[0.0, gain[:-1]]), 0)).max() > self.penalty:
+                        break
+        else:
+            return top
+        # a few languages a step: lists are quicker than arrays here
+        steps = iter(scores.T.tolist())
+        best, came = next(steps), []
+        for step in steps:
+            most = max(best)
+            base = most - self.penalty
+            came.append((best.index(most), [b < base for b in best]))
+            best = [(b if b >= base else base) + x for b, x in zip(best, step)]
+        now = best.index(max(best))
         out = np.empty(n, dtype=np.int64)
-        out[-1] = best.argmax()
-        for t in range(n - 1, 0, -1):
-            out[t - 1] = came[t, out[t]]
+        out[-1] = now
+        for t in range(n - 2, -1, -1):
+            lead, moved = came[t]
+            if moved[now]:
+                now = lead
+            out[t] = now
         return out
 
     def identify(self, text: str, find) -> tuple[str, float, list[tuple[int, int, str]]]:
@@ -109,6 +146,8 @@ class Model:
         if not words or not self.languages:
             return "und", 0.0, []
         path = self.path(self.scores(words))
+        if isinstance(path, int):
+            return self.languages[path], 1.0, [(0, len(text), self.languages[path])]
         letters = np.bincount(path, weights=np.fromiter(map(len, words), dtype=np.float64, count=len(words)), minlength=len(self.languages))
         top = int(letters.argmax())
         if (path == path[0]).all():
@@ -148,27 +187,33 @@ def train(docs: DataFrame, max_docs: int = 6000, penalty: float = 8.0) -> Model:
                 words.setdefault(lang, Counter()).update(find(text))
             out: list[tuple] = []
             for lang, counts in words.items():
-                sums, scripts = np.zeros(BUCKETS, dtype=np.int64), Counter()
-                for w, n in counts.items():
-                    np.add.at(sums, grams(w), n)
-                    scripts[script(w)] += n * len(w)
-                out += [(lang, str(int(i)), int(sums[i])) for i in np.flatnonzero(sums)] + [(lang, s, n) for s, n in scripts.items()]
+                sums, letters = np.zeros(BUCKETS + 1, dtype=np.int64), Counter()
+                own, times = list(counts), np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
+                for k in range(0, len(own), 1 << 16):
+                    part, n = own[k : k + (1 << 16)], times[k : k + (1 << 16)]
+                    buckets, _, _, of = grams(part)
+                    each = np.repeat(n, [len(w.lower()) + 2 for w in part])
+                    for row in buckets:
+                        sums += np.bincount(row, each, BUCKETS + 1).astype(np.int64)
+                    for w, m, x in zip(part, n, of):
+                        letters[_NAMES[x]] += int(m) * len(w)
+                out += [(lang, str(int(i)), int(sums[i])) for i in np.flatnonzero(sums[:BUCKETS])] + [(lang, s, n) for s, n in letters.items()]
             cols = list(zip(*out)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["lang", "key", "n"])
 
     counts = rows.select("lang", "text").mapInArrow(run, "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(counts.column("lang").to_pylist()))
     table = np.full((BUCKETS, len(languages)), 0.5)
-    scripts: dict[str, np.ndarray] = {}
+    shares: dict[str, np.ndarray] = {}
     for lang, key, n in zip(*(counts.column(c).to_pylist() for c in ("lang", "key", "n"))):
         k = languages.index(lang)
         if key.isdigit():
             table[int(key), k] += n
         else:
-            scripts.setdefault(key, np.zeros(len(languages)))[k] += n
+            shares.setdefault(key, np.zeros(len(languages)))[k] += n
     table = np.log(table / table.sum(0)) if languages else table
-    letters = sum(scripts.values()) if scripts else np.zeros(0)
-    return Model(languages, table.astype(np.float32), {s: n >= 0.01 * letters for s, n in scripts.items() if (n >= 0.01 * letters).any()}, penalty)
+    letters = sum(shares.values()) if shares else np.zeros(0)
+    return Model(languages, table.astype(np.float32), {s: n >= 0.01 * letters for s, n in shares.items() if (n >= 0.01 * letters).any()}, penalty)
 
 
 def label(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
