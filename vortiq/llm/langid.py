@@ -108,8 +108,8 @@ class Model:
     def path(self, scores: np.ndarray) -> np.ndarray | int:
         """The best path's language of every word, or a number if it is one throughout.
 
-        Any other path pays the penalty at least once for each of its spans; where no span of another language gains
-        more than that over the language of the highest sum, that language alone is best. Else Viterbi runs.
+        A path of s spans pays s - 1 penalties. Where no span of another language gains more than half a penalty over
+        the language of the highest sum, no path of two spans or more can beat that language alone. Else Viterbi runs.
         """
         k, n = scores.shape
         top = int(scores.sum(1, dtype=np.float64).argmax())
@@ -118,7 +118,7 @@ class Model:
                 gain = scores[other] - scores[top]
                 if gain.max() > 0:
                     gain = np.cumsum(gain, dtype=np.float64)
-                    if (gain - np.minimum(np.minimum.accumulate(np.r_[0.0, gain[:-1]]), 0)).max() > self.penalty:
+                    if (gain - np.minimum(np.minimum.accumulate(np.r_[0.0, gain[:-1]]), 0)).max() > self.penalty / 2:
                         break
         else:
             return top
