@@ -25,6 +25,18 @@ def strict_mean(c: Column | str) -> Column:
     return F.when(F.count(c) == F.count(F.lit(1)), F.avg(c))
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Aggregate: correlation over rows with both values, within [-1, 1]; NULL for fewer than two or without variance."""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    r = F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+    return F.when((F.count(x) >= 2) & r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+
+
+def slope(y: Column, x: Column) -> Column:
+    """Aggregate: slope of the line through (x, y); NULL without variance of x."""
+    return F.try_divide(F.covar_pop(y, x), F.var_pop(F.when(y.isNotNull(), x)))
+
+
 def hazen(df: DataFrame, keys: list[str], value: str, levels: dict[str, float]) -> DataFrame:
     """Midpoint percentiles (order p n + 1/2, clamped) of each group, exactly; one row a group, one column a level.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import hazen, ratio
+from ..functions.columns import hazen, pearson, ratio
 
 
 def representative(catalog: DataFrame, keys: list[str]) -> DataFrame:
@@ -167,7 +167,7 @@ def superstructure_stats(catalog: DataFrame) -> DataFrame:
     whole and part length (from three on)."""
     own = catalog.where("is_vlsm and n_sub is not null")
     both = F.col("lx_over_delta").isNotNull() & F.col("sub_length").isNotNull()
-    return own.agg(F.count(F.lit(1)).alias("n"), F.avg("n_sub").alias("mean_sub"), F.median("n_sub").alias("median_sub"), F.median("sub_length").alias("median_length"), F.when(F.count(F.when(both, 1)) >= 3, F.corr(F.when(both, F.col("lx_over_delta")), F.when(both, F.col("sub_length")))).alias("correlation"))
+    return own.agg(F.count(F.lit(1)).alias("n"), F.avg("n_sub").alias("mean_sub"), F.median("n_sub").alias("median_sub"), F.median("sub_length").alias("median_length"), F.when(F.count(F.when(both, 1)) >= 3, pearson(F.col("lx_over_delta"), F.col("sub_length"))).alias("correlation"))
 
 
 def sub_histogram(catalog: DataFrame) -> DataFrame:

@@ -9,16 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import pearson, slope
 from .statistics import POINT, paired
 
 
-def bounded_corr(a: Column, b: Column) -> Column:
-    """Aggregate: Pearson coefficient over rows with both values, NULL for fewer than two or without variance."""
-    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    enough = (F.count(x) >= 2) & (F.var_pop(x) > 0) & (F.var_pop(y) > 0)
-    return F.when(enough, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.corr(x, y))))
-
-
 def reference(samples: DataFrame, j: int, i: int) -> DataFrame:
     return paired(samples).where((F.col("j") == j) & (F.col("i") == i)).select("repeat_id", "frame_id", F.col("u").alias("ur"), F.col("v").alias("vr"))
 
@@ -30,7 +24,7 @@ def two_point(samples: DataFrame, j: int, i: int) -> DataFrame:
     q2, q4 = (F.col("ur") < 0) & (F.col("vr") > 0), (F.col("ur") > 0) & (F.col("vr") < 0)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return own.groupBy(*POINT).agg(
-        bounded_corr(F.col("u"), F.col("ur")).alias("ruu"), bounded_corr(F.col("v"), F.col("vr")).alias("rvv"), bounded_corr(F.col("v"), F.col("ur")).alias("ruv"), F.count(F.when(F.col("u").isNotNull() & F.col("ur").isNotNull(), 1)).alias("n"),
+        pearson(F.col("u"), F.col("ur")).alias("ruu"), pearson(F.col("v"), F.col("vr")).alias("rvv"), pearson(F.col("v"), F.col("ur")).alias("ruv"), F.count(F.when(F.col("u").isNotNull() & F.col("ur").isNotNull(), 1)).alias("n"),
         zero(F.avg(F.when(q2, F.col("u")))).alias("q2_u"), zero(F.avg(F.when(q2, F.col("v")))).alias("q2_v"), F.count(F.when(q2, F.col("u"))).alias("q2_n"),
         zero(F.avg(F.when(q4, F.col("u")))).alias("q4_u"), zero(F.avg(F.when(q4, F.col("v")))).alias("q4_v"), F.count(F.when(q4, F.col("u"))).alias("q4_n"),
     )
@@ -39,7 +33,7 @@ def two_point(samples: DataFrame, j: int, i: int) -> DataFrame:
 def streamwise(samples: DataFrame, j: int, i: int, x_mm: Column, max_lag_mm: float) -> DataFrame:
     """Ruu along the row of the reference, NULL beyond the lag. x_mm: place of column i."""
     own = paired(samples).where(F.col("j") == j).join(reference(samples, j, i), ["repeat_id", "frame_id"])
-    got = own.groupBy("i").agg(bounded_corr(F.col("u"), F.col("ur")).alias("ruu"), F.count(F.when(F.col("u").isNotNull() & F.col("ur").isNotNull(), 1)).alias("n"))
+    got = own.groupBy("i").agg(pearson(F.col("u"), F.col("ur")).alias("ruu"), F.count(F.when(F.col("u").isNotNull() & F.col("ur").isNotNull(), 1)).alias("n"))
     here = F.max(F.when(F.col("i") == i, x_mm)).over(Window.partitionBy())
     return got.withColumn("delta_x", x_mm - here).withColumn("ruu", F.when(F.abs("delta_x") <= max_lag_mm, F.col("ruu")))
 
@@ -69,7 +63,7 @@ def space_time(samples: DataFrame, j: int, i: int, max_lag: int) -> DataFrame:
     lags = F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag")
     early = reference(samples, j, i).select("frame_id", "ur", lags).withColumn("frame_id", F.col("frame_id") + F.col("lag"))
     own = paired(samples).where(F.col("j") == j).select("frame_id", "i", "u").join(early, "frame_id")
-    return own.groupBy("lag", "i").agg(bounded_corr(F.col("u"), F.col("ur")).alias("r"), F.count(F.when(F.col("u").isNotNull() & F.col("ur").isNotNull(), 1)).alias("n"))
+    return own.groupBy("lag", "i").agg(pearson(F.col("u"), F.col("ur")).alias("r"), F.count(F.when(F.col("u").isNotNull() & F.col("ur").isNotNull(), 1)).alias("n"))
 
 
 def convection(lagged: DataFrame, i: int, dx_mm: float, fs: float, least: float = 0.3) -> DataFrame:
@@ -77,5 +71,5 @@ def convection(lagged: DataFrame, i: int, dx_mm: float, fs: float, least: float
     move downstream or fewer than two lags reach the least correlation."""
     best = lagged.where((F.col("i") > i) & (F.col("lag") > 0) & F.col("r").isNotNull()).groupBy("lag").agg(F.max_by("i", F.struct("r", -F.col("i"))).alias("i"), F.max("r").alias("r"))
     strong = best.where(F.col("r") >= least).select((F.col("lag") / fs).alias("t"), ((F.col("i") - i) * (dx_mm * 1e-3)).alias("x"))
-    slope = F.regr_slope("x", "t")
-    return strong.agg(F.count(F.lit(1)).alias("points"), F.when((F.count(F.lit(1)) >= 2) & (slope > 0), slope).alias("velocity"))
+    line = slope(F.col("x"), F.col("t"))
+    return strong.agg(F.count(F.lit(1)).alias("points"), F.when((F.count(F.lit(1)) >= 2) & (line > 0), line).alias("velocity"))

@@ -10,7 +10,7 @@ HEADER = 4
 
 def read_frames(spark: SparkSession, path: str, pattern: str = "*.dat") -> DataFrame:
     """(path, text) of every file below path, whole: a file is a frame, some megabytes at most."""
-    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def frame_number(path: Column) -> Column:
