@@ -22,6 +22,8 @@ from .common import connected_components, materialize
 from .vectors import listed, matrix, usable
 
 SLACK = 1e-6
+#: What single precision may be off by in a squared distance of unit vectors, with room to spare.
+ROUGH = 1e-5
 
 
 class Subspaces:
@@ -57,35 +59,42 @@ def unit(x: np.ndarray) -> np.ndarray:
     return y / np.sqrt((y * y).sum(1, keepdims=True))
 
 
-def compare(x: np.ndarray, ids: np.ndarray, counts: np.ndarray, home: np.ndarray, side: np.ndarray, spaces: Subspaces, block: int, cell: int, tile: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows that meet in one cell: links to others (weighted by counts) and the root, an index, of each row."""
+def compare(x: np.ndarray, counts: np.ndarray, home: np.ndarray, side: np.ndarray, spaces: Subspaces, block: int, cell: int, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows that meet in one cell: links to others (weighted by counts) and the root, an index, of each row.
+
+    One matrix product a tile gives the squared distances within the block, in single precision with slack; what
+    passes is settled in double precision, and its block by the same rotation of single rows everywhere.
+    """
     y, raw = unit(x), x.astype(np.float64)
-    z = spaces.rotate(y)
     norms = np.sqrt((raw * raw).sum(1))
     a, b = spaces.blocks[block]
-    own = z[:, a:b]
-    square = (own * own).sum(1)
+    own = y @ spaces.rotation[:, a:b]
+    square, one = (own * own).sum(1, keepdims=True), np.ones((len(x), 1))
+    first_half = np.hstack([own, square, one]).astype(np.float32)
+    second_half = np.hstack([-2 * own, one, square]).astype(np.float32)
+    limit = np.float32(spaces.budgets[block] + ROUGH)
     links, label = np.zeros(len(x), np.int64), np.arange(len(x))
-    left = np.flatnonzero(side == side.min())
-    right = np.flatnonzero(side == side.max())
+    left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
     same = side.min() == side.max()
     for i0, j0 in product(range(0, len(left), tile), range(0, len(right), tile)):
         if same and j0 < i0:
             continue
         rows, cols = left[i0 : i0 + tile], right[j0 : j0 + tile]
-        close = square[rows, None] + square[None, cols] - 2 * (own[rows] @ own[cols].T) <= spaces.budgets[block] + SLACK
+        close = first_half[rows] @ second_half[cols].T <= limit
         if same and i0 == j0:
             close = np.triu(close, 1)
         flat = np.flatnonzero(close)
         for at in range(0, len(flat), 1 << 15):
             i, j = rows[flat[at : at + (1 << 15)] // len(cols)], cols[flat[at : at + (1 << 15)] % len(cols)]
-            right_cell = np.minimum(home[i], home[j]) == cell
-            i, j = i[right_cell], j[right_cell]
+            met = np.minimum(home[i], home[j]) == cell
+            i, j = i[met], j[met]
             cosine = np.einsum("ij,ij->i", raw[i], raw[j]) / (norms[i] * norms[j])
             i, j = i[cosine >= spaces.threshold], j[cosine >= spaces.threshold]
             if not len(i):
                 continue
-            apart = (z[i] - z[j]) ** 2
+            who, where = np.unique(np.concatenate([i, j]), return_inverse=True)
+            z = spaces.rotate(y[who])
+            apart = (z[where[: len(i)]] - z[where[len(i) :]]) ** 2
             first = np.full(len(i), len(spaces.blocks))
             for k in range(block, -1, -1):
                 lo, hi = spaces.blocks[k]
@@ -103,7 +112,7 @@ def compare(x: np.ndarray, ids: np.ndarray, counts: np.ndarray, home: np.ndarray
     return links, label
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, block_dims: int = 16, chunk: int = 4096) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, block_dims: int = 16, chunk: int = 16384) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row.
 
     Equal vectors are one class: they link with each other and share the links of their class. Vectors that are null,
@@ -153,7 +162,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, block_dims: i
         if group.column("low")[0] != group.column("high")[0] and side.min() == side.max():
             links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
         else:
-            links, label = compare(matrix(group.column("embedding"), dim), ids, n, home, side, spaces, group.column("block")[0].as_py(), group.column("cell")[0].as_py())
+            links, label = compare(matrix(group.column("embedding"), dim), n, home, side, spaces, group.column("block")[0].as_py(), group.column("cell")[0].as_py())
         some = links > 0
         return pa.table({"rep": ids[some], "links": links[some], "root": ids[label[some]]})
 
