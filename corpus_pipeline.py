@@ -7,34 +7,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vortiq.llm import langid, packing, pii, quality, simhash
-from vortiq.llm.common import materialize, table
+from vortiq.llm.common import fresh, materialize, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in some language stay; those without a letter go. The columns of documents stay as they are."""
-    columns = tuple(docs.columns)
-    return langid.label(docs, langid.train(docs), columns).where("lang_pred <> 'und'").select(*columns)
+    columns, own = tuple(docs.columns), fresh(docs.columns)
+    return langid.label(docs, langid.train(docs), columns, own).where(F.col(f"{own}lang_pred") != "und").select(*columns)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more stay; the field is fitted to the labels of documents that came this far."""
-    columns = tuple(docs.columns)
+    columns, own = tuple(docs.columns), fresh(docs.columns)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, columns).where("score >= 0.5").select(*columns)
+    return quality.score(docs, model, columns, own).where(F.col(f"{own}score") >= 0.5).select(*columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document of smallest doc_id stays, once; rows without an id go."""
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    found = docs.join(kept, "doc_id")
-    once = found.where("_rows = 1").select(*docs.columns)
-    return once.union(found.where("_rows > 1").dropDuplicates(["doc_id"]).select(*docs.columns))
+    kept = simhash.near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("repeated"))
+    once = docs.join(kept.where("not repeated"), "doc_id", "left_semi")
+    return once.union(docs.join(kept.where("repeated"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced; n_chars follows the text."""
-    done = pii.replace(docs)
-    return done.select(*[F.when(F.col("n_pii") > 0, F.char_length("text")).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    own = fresh(docs.columns)
+    done = pii.replace(docs, found=f"{own}n_pii")
+    return done.select(*[F.when(F.col(f"{own}n_pii") > 0, F.char_length("text")).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,15 +70,25 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def annotate(docs: DataFrame, columns: tuple[str, ...], added: str, work: Callable[[], Callable[[list[str]], list[pa.Array]]]) -> DataFrame:
+def fresh(columns: Iterable[str], stem: str = "own") -> str:
+    """A prefix that none of the columns begins with, whatever the case."""
+    taken = [c.lower() for c in columns]
+    prefix = f"_{stem}_"
+    while any(c.startswith(prefix) for c in taken):
+        prefix += "_"
+    return prefix
+
+
+def annotate(docs: DataFrame, columns: tuple[str, ...], added: str, work: Callable[[], Callable[[list[str]], list[pa.Array]]], prefix: str = "") -> DataFrame:
     """The given columns of docs and those of the DDL string added, worked out from the column text in one pass.
 
-    work() runs once a task and returns what turns a batch of texts (null: empty) into arrays. text travels once.
+    work() runs once a task and returns what turns a batch of texts (null: empty) into arrays. text travels once. The
+    names of the added columns begin with prefix, by which a caller keeps them apart from columns of docs.
     """
     has = "text" in columns
     at = columns.index("text") if has else len(columns)
-    rows = docs.select(*columns) if has else docs.select(*columns, docs["text"].cast("string").alias("_text"))
-    more = T.StructType.fromDDL(added)
+    rows = docs.select(*columns) if has else docs.select(*columns, docs["text"].cast("string").alias(f"{fresh(columns)}text"))
+    more = T.StructType([T.StructField(prefix + f.name, f.dataType) for f in T.StructType.fromDDL(added).fields])
     kept = [*columns]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

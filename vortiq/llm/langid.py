@@ -216,11 +216,12 @@ def train(docs: DataFrame, max_docs: int = 6000, penalty: float = 8.0) -> Model:
     return Model(languages, table.astype(np.float32), {s: n >= 0.01 * letters for s, n in shares.items() if (n >= 0.01 * letters).any()}, penalty)
 
 
-def label(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def label(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
     """The given columns of docs, with lang_pred, score and spans of every whole text.
 
     lang_pred is the language of most letters, score its share of them; spans are (start, end, lang) by code points.
-    A null text or one without letters is und with score 0 and no span. One row for each input row.
+    A null text or one without letters is und with score 0 and no span. One row for each input row. A prefix keeps the
+    new names apart from those of docs.
     """
     parts = (model.languages, model.table, model.candidates, model.penalty)
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
@@ -236,7 +237,7 @@ def label(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",))
 
         return of
 
-    return annotate(docs, columns, "lang_pred string, score double, spans array<struct<start: bigint, end: bigint, lang: string>>", work)
+    return annotate(docs, columns, "lang_pred string, score double, spans array<struct<start: bigint, end: bigint, lang: string>>", work, prefix)
 
 
 def identify(docs: DataFrame, max_docs: int = 6000) -> DataFrame:

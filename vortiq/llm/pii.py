@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 # Forms of the entities, in order of precedence.
 FORMS = [
@@ -132,28 +132,29 @@ def surrogates(found: DataFrame, secret: str, rounds: int = 50) -> DataFrame:
     raise RuntimeError("surrogates still collide")
 
 
-def replace(docs: DataFrame, secret: str = "vortiq") -> DataFrame:
-    """docs with the entities of text replaced; n_pii, their number in each text, is added. All else stays as it is.
+def replace(docs: DataFrame, secret: str = "vortiq", found: str = "n_pii") -> DataFrame:
+    """docs with the entities of text replaced; their number in each text is added as the column `found`. All else stays
+    as it is.
 
-    A null text stays null and an empty one empty, with n_pii 0; a text without entities is unchanged. Repeated rows
-    stay, each replaced alike. A column n_pii of docs is overwritten. Texts without entities aren't shuffled.
+    A null text stays null and an empty one empty, with 0 found; a text without entities is unchanged. Repeated rows
+    stay, each replaced alike. A column of docs of that name is overwritten. Texts without entities aren't shuffled.
     """
-    columns = [c for c in docs.columns if c != "n_pii"]
+    columns = [c for c in docs.columns if c.lower() != found.lower()]
+    key, new, gap, hit = (fresh(columns, "pii") + c for c in ("key", "new", "gaps", "hits"))
     rows = docs.select(*columns)
     has = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
-    texts = rows.where(has).withColumn("_key", F.xxhash64("text"))
+    texts = rows.where(has).withColumn(key, F.xxhash64("text"))
     value = F.col("value")
     title = F.regexp_extract(value, TITLE, 0)
     canon = F.when(F.col("kind") == "person", F.concat(F.when(title.rlike(FEMALE), "f:").otherwise("m:"), F.substr(value, F.char_length(title) + 1))).otherwise(value)
-    listed = entities(texts.select(F.col("_key").alias("key"), "text")).distinct().withColumn("kind", kind_of(value)).where("kind is not null").withColumn("canon", canon)
+    listed = entities(texts.select(F.col(key).alias("key"), "text")).distinct().withColumn("kind", kind_of(value)).where("kind is not null").withColumn("canon", canon)
     listed = materialize(listed, "listed")
-    new = surrogates(listed.select("kind", "canon"), secret)
+    made = surrogates(listed.select("kind", "canon"), secret)
     shown = F.when(F.col("kind") == "person", F.concat(title, F.substr("surrogate", F.lit(3)))).otherwise(F.col("surrogate"))
-    maps = listed.join(new, ["kind", "canon"]).groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("value", shown.alias("shown")))).alias("_new"))
-    joined = texts.join(maps.withColumnRenamed("key", "_key"), "_key", "left")
+    maps = listed.join(made, ["kind", "canon"]).groupBy(F.col("key").alias(key)).agg(F.map_from_entries(F.collect_set(F.struct("value", shown.alias("shown")))).alias(new))
+    joined = texts.join(maps, key, "left")
     walk = F.lit(rf"(?s)(.*?)(?:({ANY})|\z)")
-    gaps, hits = F.regexp_extract_all("text", walk, F.lit(1)), F.regexp_extract_all("text", walk, F.lit(2))
-    joined = joined.withColumn("_gaps", gaps).withColumn("_hits", hits)
-    text = F.array_join(F.zip_with("_gaps", "_hits", lambda g, h: F.concat(g, F.coalesce(F.try_element_at("_new", h), h))), "")
-    done = joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in columns], F.size(F.filter("_hits", lambda h: h != "")).cast("long").alias("n_pii"))
-    return done.union(rows.where(~has).withColumn("n_pii", F.lit(0).cast("long")))
+    joined = joined.withColumn(gap, F.regexp_extract_all("text", walk, F.lit(1))).withColumn(hit, F.regexp_extract_all("text", walk, F.lit(2)))
+    text = F.array_join(F.zip_with(gap, hit, lambda g, h: F.concat(g, F.coalesce(F.try_element_at(new, h), h))), "")
+    done = joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in columns], F.size(F.filter(hit, lambda h: h != "")).cast("long").alias(found))
+    return done.union(rows.where(~has).withColumn(found, F.lit(0).cast("long")))

@@ -228,10 +228,10 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_lines: i
     return fit(x, length, (rows.column("quality").to_numpy() >= 1).astype(float))
 
 
-def score(docs: DataFrame, model: dict[str, np.ndarray], columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score(docs: DataFrame, model: dict[str, np.ndarray], columns: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
     """The given columns of docs, and score: the probability of quality 1 of every whole text, from its text alone.
 
-    Null texts count as empty; both have one empty line and a score. One row for each input row.
+    Null texts count as empty; both have one empty line and a score. One row for each input row. A prefix keeps the new name apart from those of docs.
     """
 
     def work():
@@ -242,7 +242,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], columns: tuple[str, ...
 
         return of
 
-    return annotate(docs, columns, "score double", work)
+    return annotate(docs, columns, "score double", work, prefix)
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_docs: int = 3000) -> DataFrame:
