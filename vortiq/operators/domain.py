@@ -26,6 +26,13 @@ def spread_frames(first: int, last: int, n: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.floor(F.lit(float(first)) + k * F.lit(step)).cast("long")))
 
 
+def strided(samples: DataFrame, first: int = 1, stride: int = 1, most: int | None = None, space: int = 1) -> DataFrame:
+    """Every stride-th frame from the first, at most so many, and every space-th row and column."""
+    at = F.col("frame_id") - first
+    own = samples.where((at >= 0) & (at % stride == 0) & ((F.col("j") - 1) % space == 0) & ((F.col("i") - 1) % space == 0))
+    return own if most is None else own.where(at < stride * most)
+
+
 def eroded(mask: DataFrame, rows: int, cols: int) -> DataFrame:
     """(j, i, kept): whether the whole window of rows and cols around a point of mask (j, i, ok) is there and ok.
 

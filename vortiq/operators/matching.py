@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,27 +38,32 @@ def retain_nonoverlapping(catalog: DataFrame, limit: int | None = None) -> DataF
     """Complete structures of each frame, connectivity and sign, longest first (then most pixels, smallest id), kept
     unless they share a pixel box with one kept before; adds kept and suppressed. A limit ends the keeping.
 
-    The choice is sequential within a group, and a group holds the structures of one frame.
+    The choice is sequential within a group; a task's unit is one frame with its structures.
     """
     columns = catalog.columns
     fields = catalog.schema
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", kept boolean, suppressed boolean"
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        order = group[group.is_ss & ~group.is_censored].sort_values(["lx_over_delta", "pixel_count", "component_id"], ascending=[False, False, True])
-        boxes: list[tuple] = []
-        kept, suppressed = set(), set()
-        for r in order.itertuples():
-            if limit is not None and len(boxes) >= limit:
-                break
-            if any(r.col_min <= b and r.col_max >= a and r.row_min <= d and r.row_max >= c for a, b, c, d in boxes):
-                suppressed.add(r.Index)
-            else:
-                boxes.append((r.col_min, r.col_max, r.row_min, r.row_max))
-                kept.add(r.Index)
-        return group[columns].assign(kept=group.index.isin(kept), suppressed=group.index.isin(suppressed))
-
-    return catalog.groupBy("frame_id", "connectivity", "sign").applyInPandas(run, out)
+        kept, suppressed = np.zeros(len(group), bool), np.zeros(len(group), bool)
+        key = [group[c].to_numpy() for c in ("connectivity", "sign", "component_id", "pixel_count", "lx_over_delta", "col_min", "col_max", "row_min", "row_max")]
+        boxes: dict[tuple, list[tuple]] = {}
+        for k in np.lexsort((key[2], -key[3].astype(float), -key[4].astype(float))):
+            if complete(group.is_ss.iat[k], group.is_censored.iat[k]):
+                own = boxes.setdefault((key[0][k], key[1][k]), [])
+                if limit is None or len(own) < limit:
+                    a, b, c, d = (key[n][k] for n in (5, 6, 7, 8))
+                    if any(a <= f and b >= e and c <= h and d >= g for e, f, g, h in own):
+                        suppressed[k] = True
+                    else:
+                        own.append((a, b, c, d))
+                        kept[k] = True
+        return group[columns].assign(kept=kept, suppressed=suppressed)
+
+    def complete(is_ss, is_censored) -> bool:
+        return bool(is_ss) and not bool(is_censored)
+
+    return catalog.groupBy("frame_id").applyInPandas(run, out)
 
 
 def nearest_rows(rows: DataFrame, targets: DataFrame, place: str, row: str) -> DataFrame:

@@ -68,6 +68,15 @@ def pooled_rms(samples: DataFrame) -> DataFrame:
     return own.join(mean, POINT).groupBy("j").agg(F.count("u").alias("count"), F.sqrt(F.avg(F.pow(F.col("u") - F.col("mean_u"), 2))).alias("u_rms"))
 
 
+def retained_energy(whole: DataFrame, active: DataFrame) -> DataFrame:
+    """Of each row j: root mean square of du in both branches (repeat_id, frame_id, j, i, du) where both have a value,
+    their ratio, and the share of the energy that the active one keeps."""
+    key = ["repeat_id", "frame_id", *POINT]
+    both = whole.select(*key, F.col("du").alias("a")).join(active.select(*key, F.col("du").alias("b")), key).where("a is not null and b is not null")
+    rms = lambda c: F.sqrt(F.avg(F.col(c) * F.col(c)))
+    return both.groupBy("j").agg(F.count(F.lit(1)).alias("count"), rms("a").alias("rms_whole"), rms("b").alias("rms_active"), ratio(rms("b"), rms("a")).alias("rms_ratio"), ratio(F.sum(F.col("b") * F.col("b")), F.sum(F.col("a") * F.col("a"))).alias("energy_share"))
+
+
 def closure(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
     """How far two tables agree: points with both values, the largest difference, and the relative root mean square."""
     both = left.select(*keys, finite(value).alias("a")).join(right.select(*keys, finite(value).alias("b")), keys).where("a is not null and b is not null")

@@ -222,35 +222,61 @@ def geometry(u: np.ndarray, sign: int, j: np.ndarray, i: np.ndarray, x_mm: np.nd
     return (n, area, float(x.mean()), float(y.mean()), wx, wy, total, mean, float(x.min()), float(x.max()), float(y.min()), float(y.max()), length, height, max(length, height) / min(length, height), length / d, height / d, area / d**2, float(v.mean()), float(np.abs(v).max()))
 
 
-def hysteresis_structures(frames: DataFrame, shape: tuple[int, int], scale: np.ndarray, domain: np.ndarray, x_mm: np.ndarray, y_mm: np.ndarray, delta: np.ndarray, how: Hysteresis) -> DataFrame:
-    """Catalog of hysteresis structures of every frame, with their pixels; structure_id counts positive ones first."""
+def hysteresis_sweep(frames: DataFrame, shape: tuple[int, int], scale: np.ndarray, domain: np.ndarray, x_mm: np.ndarray, y_mm: np.ndarray, delta: np.ndarray, sets: list[Hysteresis]) -> DataFrame:
+    """Catalogs of hysteresis structures for several sets of parameters (set: place in the list), frames read once."""
     dx, dy = float(np.median(np.abs(np.diff(x_mm)))), float(np.median(np.abs(np.diff(y_mm))))
-    names = [c.strip().split(" ")[0] for c in STRUCTURES.replace(", i: int", "").split(", ")]
+    names = ["set", *[c.strip().split(" ")[0] for c in STRUCTURES.replace(", i: int", "").split(", ")]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list[tuple] = []
             for r in batch.itertuples():
                 u = field(r.u, shape)
-                masks = hysteresis_masks(u, scale, domain, how)
                 rim = outer_boundary(domain & np.isfinite(u))
-                serial = 0
-                for sign in (1, -1):
-                    marks = label(masks[sign], how.connectivity)
-                    kept = 0
-                    for k in range(1, marks.max() + 1):
-                        j, i = np.nonzero(marks == k)
-                        if len(j) < how.min_pixels:
-                            continue
-                        made = geometry(u, sign, j, i, x_mm, y_mm, dx, dy, delta)
-                        if made[14] > how.max_aspect or (how.reject_boundary and rim[j, i].any()):
-                            continue
-                        serial, kept = serial + 1, kept + 1
-                        pixels = [{"j": int(a) + 1, "i": int(b) + 1} for a, b in zip(j, i)]
-                        out.append((r.repeat_id, r.frame_id, serial, sign, kept, *made, made[15] >= how.min_lsm, made[15] >= how.min_vlsm, pixels))
+                for number, how in enumerate(sets):
+                    masks = hysteresis_masks(u, scale, domain, how)
+                    serial = 0
+                    for sign in (1, -1):
+                        marks = label(masks[sign], how.connectivity)
+                        kept = 0
+                        for k in range(1, marks.max() + 1):
+                            j, i = np.nonzero(marks == k)
+                            if len(j) < how.min_pixels:
+                                continue
+                            made = geometry(u, sign, j, i, x_mm, y_mm, dx, dy, delta)
+                            if made[14] > how.max_aspect or (how.reject_boundary and rim[j, i].any()):
+                                continue
+                            serial, kept = serial + 1, kept + 1
+                            pixels = [{"j": int(a) + 1, "i": int(b) + 1} for a, b in zip(j, i)]
+                            out.append((number, r.repeat_id, r.frame_id, serial, sign, kept, *made, made[15] >= how.min_lsm, made[15] >= how.min_vlsm, pixels))
+            yield pd.DataFrame(out, columns=names)
+
+    return frames.select("repeat_id", "frame_id", "u").mapInPandas(run, f"set int, {STRUCTURES}")
+
+
+def hysteresis_structures(frames: DataFrame, shape: tuple[int, int], scale: np.ndarray, domain: np.ndarray, x_mm: np.ndarray, y_mm: np.ndarray, delta: np.ndarray, how: Hysteresis) -> DataFrame:
+    """Catalog of hysteresis structures of every frame, with their pixels; structure_id counts positive ones first."""
+    return hysteresis_sweep(frames, shape, scale, domain, x_mm, y_mm, delta, [how]).drop("set")
+
+
+def threshold_sweep(frames: DataFrame, shape: tuple[int, int], scale: np.ndarray, alphas: list[float], connectivities: tuple[int, ...] = (8, 4)) -> DataFrame:
+    """Components of both signs of every frame for each threshold and connectivity (|u| at least alpha times scale)."""
+    names = ["frame_id", "alpha", "connectivity", "sign", "component_id", "pixel_count"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    u = np.nan_to_num(field(r.u, shape) / scale)
+                for alpha in alphas:
+                    for connectivity in connectivities:
+                        for sign in (1, -1):
+                            sizes = np.bincount(label(sign * u >= alpha, connectivity).ravel())[1:]
+                            out += [(r.frame_id, alpha, connectivity, sign, k + 1, int(n)) for k, n in enumerate(sizes)]
             yield pd.DataFrame(out, columns=names)
 
-    return frames.select("repeat_id", "frame_id", "u").mapInPandas(run, STRUCTURES)
+    return frames.select("frame_id", "u").mapInPandas(run, "frame_id long, alpha double, connectivity int, sign int, component_id long, pixel_count long")
 
 
 def structure_geometry(pixels: DataFrame, keys: list[str], dx: float, dy: float) -> DataFrame:

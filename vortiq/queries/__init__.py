@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boundary, dynamics, fields, flow, relational
+from . import boundary, dynamics, fields, flow, relational, sections
 
-PARTS = (flow, relational, boundary, fields, dynamics)
+PARTS = (flow, relational, boundary, fields, dynamics, sections)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
