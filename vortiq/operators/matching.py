@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,32 +37,28 @@ def retain_nonoverlapping(catalog: DataFrame, limit: int | None = None) -> DataF
     """Complete structures of each frame, connectivity and sign, longest first (then most pixels, smallest id), kept
     unless they share a pixel box with one kept before; adds kept and suppressed. A limit ends the keeping.
 
-    The choice is sequential within a group; a task's unit is one frame with its structures.
+    The choice is sequential: a fold over the sorted structures of one frame, which are few, inside the JVM. What it
+    decides joins the catalog on the same keys. component_id must be unique within a group.
     """
-    columns = catalog.columns
-    fields = catalog.schema
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", kept boolean, suppressed boolean"
+    key = ["frame_id", "connectivity", "sign"]
+    longest = F.struct((-F.col("lx_over_delta")).alias("a"), (-F.col("pixel_count")).alias("b"), "component_id", "col_min", "col_max", "row_min", "row_max")
+    own = catalog.where(F.col("is_ss") & ~F.col("is_censored")).groupBy(*key).agg(F.array_sort(F.collect_list(longest)).alias("_c"))
+    none = F.slice("_c", 1, 0)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        kept, suppressed = np.zeros(len(group), bool), np.zeros(len(group), bool)
-        key = [group[c].to_numpy() for c in ("connectivity", "sign", "component_id", "pixel_count", "lx_over_delta", "col_min", "col_max", "row_min", "row_max")]
-        boxes: dict[tuple, list[tuple]] = {}
-        for k in np.lexsort((key[2], -key[3].astype(float), -key[4].astype(float))):
-            if complete(group.is_ss.iat[k], group.is_censored.iat[k]):
-                own = boxes.setdefault((key[0][k], key[1][k]), [])
-                if limit is None or len(own) < limit:
-                    a, b, c, d = (key[n][k] for n in (5, 6, 7, 8))
-                    if any(a <= f and b >= e and c <= h and d >= g for e, f, g, h in own):
-                        suppressed[k] = True
-                    else:
-                        own.append((a, b, c, d))
-                        kept[k] = True
-        return group[columns].assign(kept=kept, suppressed=suppressed)
-
-    def complete(is_ss, is_censored) -> bool:
-        return bool(is_ss) and not bool(is_censored)
-
-    return catalog.groupBy("frame_id").applyInPandas(run, out)
+    def step(state: Column, x: Column) -> Column:
+        met = F.exists(state["kept"], lambda o: (x["col_min"] <= o["col_max"]) & (x["col_max"] >= o["col_min"]) & (x["row_min"] <= o["row_max"]) & (x["row_max"] >= o["row_min"]))
+        full = F.lit(False) if limit is None else F.size(state["kept"]) >= limit
+        kept = F.when(full | met, state["kept"]).otherwise(F.concat(state["kept"], F.array(x)))
+        return F.struct(kept.alias("kept"), F.when(~full & met, F.concat(state["out"], F.array(x))).otherwise(state["out"]).alias("out"))
+
+    chosen = own.select(*key, F.aggregate("_c", F.struct(none.alias("kept"), none.alias("out")), step).alias("_r"))
+    marks = chosen.select(*key, F.inline(F.concat(_flag("kept", True), _flag("out", False))))
+    got = catalog.join(marks.withColumnRenamed("kept", "_kept"), [*key, "component_id"], "left")
+    return got.select(*catalog.columns, F.coalesce("_kept", F.lit(False)).alias("kept"), F.coalesce(~F.col("_kept"), F.lit(False)).alias("suppressed"))
+
+
+def _flag(name: str, kept: bool) -> Column:
+    return F.transform(F.col(f"_r.{name}"), lambda x: F.struct(x["component_id"].alias("component_id"), F.lit(kept).alias("kept")))
 
 
 def nearest_rows(rows: DataFrame, targets: DataFrame, place: str, row: str) -> DataFrame:

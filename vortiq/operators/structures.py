@@ -331,27 +331,23 @@ def merge_streamwise(catalog: DataFrame, gap_mm: float, need_y_overlap: bool = T
     """catalog (repeat_id, frame_id, sign, structure_id, x_min_mm, ..) with group: structures of one sign along x that
     follow within the gap and overlap in y with the group so far; others in between are passed over.
 
-    Sequential within a frame and sign, which hold one frame's structures.
+    A fold along x over the structures of one frame and sign, inside the JVM; group is the first structure's id.
     """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in catalog.schema)
-    columns = catalog.columns
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["x_min_mm", "structure_id"], kind="stable")
-        group, end = {}, None
-        for r in rows.itertuples():
-            if end is not None and r.x_min_mm - end <= gap_mm:
-                if not need_y_overlap or max(low, r.y_min_mm) <= min(high, r.y_max_mm):
-                    group[r.Index] = head
-                    end, low, high = max(end, r.x_max_mm), min(low, r.y_min_mm), max(high, r.y_max_mm)
-                else:
-                    group[r.Index] = r.structure_id
-            else:
-                head, end, low, high = r.structure_id, r.x_max_mm, r.y_min_mm, r.y_max_mm
-                group[r.Index] = head
-        return rows[columns].assign(group=[group[k] for k in rows.index])
-
-    return catalog.groupBy("repeat_id", "frame_id", "sign").applyInPandas(run, fields + ", `group` long")
+    key = ["repeat_id", "frame_id", "sign"]
+    box = F.struct(*[F.col(c).cast("double").alias(c) for c in ("x_min_mm",)], F.col("structure_id").cast("long").alias("structure_id"), *[F.col(c).cast("double").alias(c) for c in ("x_max_mm", "y_min_mm", "y_max_mm")])
+    rows = catalog.groupBy(*key).agg(F.array_sort(F.collect_list(box)).alias("_c"))
+    start = F.expr("named_struct('head', cast(null as bigint), 'stop', cast(null as double), 'low', cast(null as double), 'high', cast(null as double), 'out', cast(array() as array<struct<structure_id: bigint, `group`: bigint>>))")
+
+    def step(s, x):
+        near = s["head"].isNotNull() & (x["x_min_mm"] - s["stop"] <= gap_mm)
+        met = F.greatest(s["low"], x["y_min_mm"]) <= F.least(s["high"], x["y_max_mm"]) if need_y_overlap else F.lit(True)
+        joins, passes = near & met, near & ~met
+        pick = lambda joined, name, fresh: F.when(joins, joined).when(passes, s[name]).otherwise(fresh).alias(name)
+        group = F.when(joins, s["head"]).otherwise(x["structure_id"])
+        return F.struct(pick(s["head"], "head", x["structure_id"]), pick(F.greatest(s["stop"], x["x_max_mm"]), "stop", x["x_max_mm"]), pick(F.least(s["low"], x["y_min_mm"]), "low", x["y_min_mm"]), pick(F.greatest(s["high"], x["y_max_mm"]), "high", x["y_max_mm"]), F.concat(s["out"], F.array(F.struct(x["structure_id"].alias("structure_id"), group.alias("group")))).alias("out"))
+
+    groups = rows.select(*key, F.inline(F.aggregate("_c", start, step, lambda s: s["out"])))
+    return catalog.join(groups, [*key, "structure_id"])
 
 
 def merge_islands(catalog: DataFrame, gap_mm: float) -> DataFrame:
