@@ -66,9 +66,11 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def variants(distinct: DataFrame, buckets: int, batch: int = 2048) -> DataFrame:
-    """Rows (bucket, variants, flips): the variants of many fingerprints, dealt by a hash of the variant.
+    """Rows (bucket, fps, at, flips): the variants of many fingerprints, dealt by a hash of the variant.
 
-    Both columns are packed arrays (uint64 and uint16 of equal length), so that a shuffle moves 10 bytes a variant.
+    A variant is fps[at] ^ flips(); packed as uint64, uint16 and uint16. Many variants of a bucket name the batch's
+    fingerprints by place, in order of flips, which a shuffle compresses to little over 2 bytes each; few of them carry
+    their own fingerprints (at is empty), 10 bytes each.
     """
     masks = flips()
     number = np.arange(len(masks), dtype=np.uint16)
@@ -76,22 +78,39 @@ def variants(distinct: DataFrame, buckets: int, batch: int = 2048) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             fps = rows.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(fps), batch):
-                own = fps[at : at + batch]
-                odd = (np.bitwise_count(own) & 1).astype(bool)
-                made = np.concatenate([(own[:, None] ^ masks[None, :NEAR]).ravel(), (own[odd][:, None] ^ masks[None, NEAR:]).ravel()])
-                which = np.concatenate([np.tile(number[:NEAR], len(own)), np.tile(number[NEAR:], int(odd.sum()))])
-                to = ((made * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
-                order = np.argsort(to.astype(np.int32), kind="stable")
-                to, made, which = to[order], made[order], which[order]
+            for start in range(0, len(fps), batch):
+                own = fps[start : start + batch]
+                place = np.arange(len(own), dtype=np.uint16)
+                odd = place[(np.bitwise_count(own) & 1).astype(bool)]
+                at = np.concatenate([np.tile(place, NEAR), np.tile(odd, len(masks) - NEAR)])
+                which = np.concatenate([np.repeat(number[:NEAR], len(own)), np.repeat(number[NEAR:], len(odd))])
+                to = (((own[at] ^ masks[which]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
+                order = np.argsort(to.astype(np.uint16 if buckets <= 1 << 16 else np.int32), kind="stable")
+                to, at, which = to[order], at[order], which[order]
                 first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-                ends = [*first[1:], len(to)]
+                whole = own.tobytes()
+                cut = [(a, b, b - a > len(own)) for a, b in zip(first, [*first[1:], len(to)])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(to[first].astype(np.int64)), pa.array([made[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()), pa.array([which[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())],
-                    names=["bucket", "variants", "flips"],
+                    [
+                        pa.array(to[first].astype(np.int64)),
+                        pa.array([whole if many else own[at[a:b]].tobytes() for a, b, many in cut], pa.binary()),
+                        pa.array([at[a:b].tobytes() if many else b"" for a, b, many in cut], pa.binary()),
+                        pa.array([which[a:b].tobytes() for a, b, _ in cut], pa.binary()),
+                    ],
+                    names=["bucket", "fps", "at", "flips"],
                 )
 
-    return distinct.select("fp").mapInArrow(run, "bucket long, variants binary, flips binary")
+    return distinct.select("fp").mapInArrow(run, "bucket long, fps binary, at binary, flips binary")
+
+
+def unpacked(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Variants and flips of rows of variants()."""
+    masks, made, which = flips(), [], []
+    for fps, at, flip in zip(*(group.column(c) for c in ("fps", "at", "flips"))):
+        own, at, flip = np.frombuffer(fps.as_py(), np.uint64), np.frombuffer(at.as_py(), np.uint16), np.frombuffer(flip.as_py(), np.uint16)
+        made.append((own[at] if len(at) else own) ^ masks[flip])
+        which.append(flip)
+    return np.concatenate(made), np.concatenate(which)
 
 
 def meet(made: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,9 +140,7 @@ def links(distinct: DataFrame) -> DataFrame:
     buckets = max(64, total * 561 // BUCKET)
 
     def run(group: pa.Table) -> pa.Table:
-        made = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint64) for x in group.column("variants")])
-        which = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint16) for x in group.column("flips")])
-        u, v = meet(made, which)
+        u, v = meet(*unpacked(group))
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
     return variants(distinct, buckets).groupBy("bucket").applyInArrow(run, "u long, v long").distinct()
