@@ -139,6 +139,12 @@ def reconstruct(rows: DataFrame, model: Pod, rank: int, chosen: list[int] | None
     return rows.mapInPandas(run, "frame_id long, x array<double>")
 
 
+def as_frames(snapshots: DataFrame, repeat_id: int = 1) -> DataFrame:
+    """Snapshots of whole grids as packed frames (repeat_id, frame_id, u, v), for work on fields."""
+    half = F.size("x") / 2
+    return snapshots.select(F.lit(repeat_id).alias("repeat_id"), "frame_id", F.slice("x", F.lit(1), half.cast("int")).alias("u"), F.slice("x", (half + 1).cast("int"), half.cast("int")).alias("v"))
+
+
 def energy_table(model: Pod, spark, targets: list[float]) -> DataFrame:
     """Modes with their share and cumulative share of the energy, and how many each target takes."""
     share = np.maximum(model.eigenvalues, 0) / max(np.maximum(model.eigenvalues, 0).sum(), 1e-300)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import catalog as C
-from ..operators import domain, phase, spectra, statistics, structures
+from ..operators import domain, modal, phase, spectra, statistics, structures
 from ..plans import sections
 from ..plans.views import BOXES, GRID, PIV, SMP, boxes, final, grid, piv, rounded
 from .fields import DELTA, DOMAIN, HOW, SHAPE, WEAK, X, Y, packed
@@ -78,6 +78,16 @@ def attempts(s, d):
     return got.join(every, F.lit(True)).select("attempt", "vlsm", "frames", (F.col("frames") / F.col("all_frames")).alias("rate"), F.when(F.col("frames") == F.col("all_frames"), "OK").otherwise("FAIL").alias("status"))
 
 
+def pod_branch(s, d):
+    """Metrics by frame of structures in fields rebuilt from the modes that hold half of the energy, less the mean."""
+    snaps = modal.snapshots(piv(s, d))
+    model = modal.pod(snaps)
+    rank = model.energy_rank(0.5)
+    rebuilt = modal.as_frames(modal.reconstruct(snaps, model, rank))
+    found = structures.hysteresis_structures(rebuilt, SHAPE, np.full(SHAPE, 0.08), DOMAIN, X, Y, DELTA, WEAK)
+    return C.branch_metrics(found, snaps.select("frame_id"), 32)
+
+
 def peaks(s, d):
     return spectra.spectral_peak(spectra.spatial_spectra(statistics.paired(piv(s, d)), "u", 2e-3, 0.5, 6).withColumnRenamed("wavenumber", "frequency"), ["j"])
 
@@ -97,5 +107,6 @@ QUERIES = {
     "sensitivity_sweep": (lambda s, d: rounded(sensitivity(s, d)), None),
     "merge_gap_scan": (gap_scan, final(f"{BOXES}, r AS (SELECT *, max(x_max_mm) OVER (PARTITION BY frame_id, sign ORDER BY x_min_mm, component_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM boxes)", "SELECT CAST(g AS DOUBLE) AS gap, count(*) FILTER (reach IS NULL OR x_min_mm-reach > g) AS groups FROM r, (VALUES (0.0),(4.0),(16.0)) v(g) GROUP BY g", "gap~ groups")),
     "attempt_summary": (lambda s, d: rounded(attempts(s, d)), final(f"{BOXES}, n AS (SELECT count(DISTINCT frame_id) AS n FROM boxes)", "SELECT component_id % 3 AS attempt, count(*) AS vlsm, count(DISTINCT frame_id) AS frames, count(DISTINCT frame_id)/CAST(max(n) AS DOUBLE) AS rate, CASE WHEN count(DISTINCT frame_id) = max(n) THEN 'OK' ELSE 'FAIL' END AS status FROM boxes, n WHERE is_vlsm GROUP BY component_id % 3", "attempt vlsm frames rate~ status")),
+    "pod_branch_metrics": (lambda s, d: rounded(pod_branch(s, d)), None),
     "spatial_peak": (lambda s, d: rounded(peaks(s, d)), None),
 }
