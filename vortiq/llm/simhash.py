@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize
 
 RADIUS, SEED = 3, 42
-#: Variants that one bucket holds on average.
+#: Variants that one bucket holds on average, at most.
 BUCKET = 1 << 20
 
 
@@ -65,52 +65,50 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def variants(distinct: DataFrame, buckets: int, batch: int = 2048) -> DataFrame:
-    """Rows (bucket, fps, at, flips): the variants of many fingerprints, dealt by a hash of the variant.
+#: Mixing of variants before they are dealt: multiplication by an odd number can be undone.
+MIX = 0x9E3779B97F4A7C15
+UNMIX = pow(MIX, -1, 1 << 64)
+#: Bits that number flips(), and so the least that a variant's place among the parts must take off its other bits.
+FLIP_BITS = 11
 
-    A variant is fps[at] ^ flips(); packed as uint64, uint16 and uint16. Many variants of a bucket name the batch's
-    fingerprints by place, in order of flips, which a shuffle compresses to little over 2 bytes each; few of them carry
-    their own fingerprints (at is empty), 10 bytes each.
+
+def variants(distinct: DataFrame, group_bits: int, batch: int = 2048) -> DataFrame:
+    """Rows (bucket, part, packed): the variants of many fingerprints, dealt by a hash of the variant.
+
+    The hash can be undone; its first bits are the part, of which the first group_bits are the bucket, and the rest
+    share 64 bits with the number of the flips. So a shuffle moves 8 bytes a variant.
     """
     masks = flips()
-    number = np.arange(len(masks), dtype=np.uint16)
+    number = np.arange(len(masks), dtype=np.uint64)
+    bits = max(group_bits, FLIP_BITS)
+    rest, down = np.uint64((1 << (64 - bits)) - 1), np.uint64(FLIP_BITS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             fps = rows.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for start in range(0, len(fps), batch):
                 own = fps[start : start + batch]
-                place = np.arange(len(own), dtype=np.uint16)
-                odd = place[(np.bitwise_count(own) & 1).astype(bool)]
-                at = np.concatenate([np.tile(place, NEAR), np.tile(odd, len(masks) - NEAR)])
-                which = np.concatenate([np.repeat(number[:NEAR], len(own)), np.repeat(number[NEAR:], len(odd))])
-                to = (((own[at] ^ masks[which]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
-                order = np.argsort(to.astype(np.uint16 if buckets <= 1 << 16 else np.int32), kind="stable")
-                to, at, which = to[order], at[order], which[order]
-                first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-                whole = own.tobytes()
-                cut = [(a, b, b - a > len(own)) for a, b in zip(first, [*first[1:], len(to)])]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(to[first].astype(np.int64)),
-                        pa.array([whole if many else own[at[a:b]].tobytes() for a, b, many in cut], pa.binary()),
-                        pa.array([at[a:b].tobytes() if many else b"" for a, b, many in cut], pa.binary()),
-                        pa.array([which[a:b].tobytes() for a, b, _ in cut], pa.binary()),
-                    ],
-                    names=["bucket", "fps", "at", "flips"],
-                )
-
-    return distinct.select("fp").mapInArrow(run, "bucket long, fps binary, at binary, flips binary")
-
-
-def unpacked(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+                odd = own[(np.bitwise_count(own) & 1).astype(bool)]
+                made = np.concatenate([(own[:, None] ^ masks[None, :NEAR]).ravel(), (odd[:, None] ^ masks[None, NEAR:]).ravel()]) * np.uint64(MIX)
+                which = np.concatenate([np.tile(number[:NEAR], len(own)), np.tile(number[NEAR:], len(odd))])
+                part = (made >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64)
+                order = np.argsort(part, kind="stable")
+                part, packed = part[order], (((made & rest) << down) | which)[order]
+                first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                ids = part[first].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids >> (bits - group_bits)), pa.array(ids), pa.array([packed[a:b].tobytes() for a, b in zip(first, [*first[1:], len(part)])], pa.binary())], names=["bucket", "part", "packed"])
+
+    return distinct.select("fp").mapInArrow(run, "bucket long, part long, packed binary")
+
+
+def unpacked(group: pa.Table, group_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Variants and flips of rows of variants()."""
-    masks, made, which = flips(), [], []
-    for fps, at, flip in zip(*(group.column(c) for c in ("fps", "at", "flips"))):
-        own, at, flip = np.frombuffer(fps.as_py(), np.uint64), np.frombuffer(at.as_py(), np.uint16), np.frombuffer(flip.as_py(), np.uint16)
-        made.append((own[at] if len(at) else own) ^ masks[flip])
-        which.append(flip)
-    return np.concatenate(made), np.concatenate(which)
+    bits = max(group_bits, FLIP_BITS)
+    lists = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("packed")]
+    packed = np.concatenate(lists)
+    part = np.repeat(group.column("part").to_numpy().astype(np.uint64), [len(x) for x in lists])
+    mixed = (part << np.uint64(64 - bits)) | (packed >> np.uint64(FLIP_BITS))
+    return mixed * np.uint64(UNMIX), (packed & np.uint64((1 << FLIP_BITS) - 1)).astype(np.uint16)
 
 
 def meet(made: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,13 +135,13 @@ def meet(made: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def links(distinct: DataFrame) -> DataFrame:
     """Edges (u, v) between distinct fingerprints (column fp) that keep all those within the radius connected."""
     total = distinct.count()
-    buckets = max(64, total * 561 // BUCKET)
+    bits = max(6, (total * 561 // BUCKET).bit_length())
 
     def run(group: pa.Table) -> pa.Table:
-        u, v = meet(*unpacked(group))
+        u, v = meet(*unpacked(group, bits))
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    return variants(distinct, buckets).groupBy("bucket").applyInArrow(run, "u long, v long").distinct()
+    return variants(distinct, bits).groupBy("bucket").applyInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
