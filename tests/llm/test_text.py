@@ -242,6 +242,21 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(got)) == 400 and not set(got) & {f"from 10.1.{k // 200 + 1}.{k % 200 + 1} on" for k in range(400)}
 
 
+def test_surrogates_never_run_out(spark):
+    """More surnames, addresses and short mail names than there are surrogates of the usual size."""
+    import re
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = ["Mr " + "".join(letters[k // 26**p % 26] for p in range(4)).capitalize() for k in range(5_000)]
+    hosts = [f"192.168.{k // 250 + 1}.{k % 250 + 1}" for k in range(40_000)]
+    mails = [f"{a}@example.com" for a in letters] + [f"{a}{b}@example.com" for a in letters for b in letters] + [f"{a}@example.com" for a in "0123456789"]
+    for values, form in ((names, r"Mr [A-Z][a-z]+"), (hosts, r"(192\.168|10\.\d+)\.\d+\.\d+"), (mails, r"[a-z0-9]+@[a-z]{7}\.com")):
+        rows = pii.replace(spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")).collect()
+        got = {r.text for r in rows}
+        assert len(rows) == len(got) == len(values) and all(r.n_pii == 1 for r in rows)
+        assert not got & set(values) and all(re.fullmatch(form, x) for x in got)
+
+
 def unpacked(df, rows):
     from tokenizers import Tokenizer
 

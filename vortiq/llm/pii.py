@@ -3,7 +3,8 @@
 Entities are found by their form. A surrogate is drawn from a keyed hash of the entity, so the same entity gets the
 same one in every document; it keeps the type, the lengths and marks of the format, the script and, for a person named
 with a title, the gender. Two entities that draw the same surrogate, or one that draws a value present in the corpus,
-are told apart by an attempt number that is raised until no collision is left.
+are told apart by an attempt number that is raised until no collision is left. After a few attempts a surrogate grows
+with each one, by a letter, digit or syllable or into a wider range of addresses, so a free value always exists.
 """
 
 from __future__ import annotations
@@ -48,6 +49,17 @@ def _drawn(seed: Column, i: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(seed, i), F.lit(n))
 
 
+def _extra(attempt: Column, after: int) -> Column:
+    """By how much a surrogate has grown: 0 up to that attempt, then one more with each."""
+    return F.greatest(attempt - after, F.lit(0))
+
+
+def _grown(value: Column, extra: Column) -> Column:
+    """value with its last letter or digit, of whatever case and script, repeated at the end."""
+    last = F.regexp_extract(value, r"([0-9\p{L}])[^0-9\p{L}]*$", 1)
+    return F.concat(value, F.repeat(F.when(last == "", "a").otherwise(last), extra))
+
+
 def _redrawn(value: Column, seed: Column, keep: Column | None = None) -> Column:
     """Every letter and digit drawn anew within its case and script; characters before position keep stay."""
 
@@ -75,22 +87,32 @@ def _card(value: Column, seed: Column) -> Column:
     return F.when(_luhn(F.regexp_replace(value, "[^0-9]", "")) % 10 == 0, F.concat(body, check)).otherwise(drawn)
 
 
-def _ip(value: Column, seed: Column) -> Column:
-    """Private and loopback addresses keep their first two numbers; others stay outside the reserved ranges."""
+def _ip(value: Column, seed: Column, attempt: Column) -> Column:
+    """Private and loopback addresses keep their first two numbers; others stay outside the reserved ranges.
+
+    Where that is too narrow, private ones are drawn from all of 10.* and loopback ones from all of 127.*, then both from
+    the ranges of others; numbers are added at the end where even these are full.
+    """
     part = lambda i: (_drawn(seed, F.lit(i), 254) + 1).cast("string")
     private = value.rlike(r"^(10|127|192\.168|172\.(1[6-9]|2\d|3[01]))\.")
-    return F.concat_ws(".", F.when(private, F.substring_index(value, ".", 2)).otherwise(F.concat_ws(".", (_drawn(seed, F.lit(0), 100) + 11).cast("string"), part(1))), part(2), part(3))
+    other = F.concat_ws(".", (_drawn(seed, F.lit(0), 100) + 11).cast("string"), part(1))
+    wide = F.concat_ws(".", F.when(value.startswith("127."), "127").otherwise("10"), part(1))
+    more = F.transform(F.array_repeat(F.lit(""), _extra(attempt, 24)), lambda c, k: (_drawn(seed, k + 4, 254) + 1).cast("string"))
+    return F.concat_ws(".", F.when(private & (attempt < 3), F.substring_index(value, ".", 2)).when(private & (attempt < 12), wide).otherwise(other), part(2), part(3), more)
 
 
-def _email(value: Column, seed: Column, secret: str) -> Column:
+def _email(value: Column, seed: Column, secret: str, extra: Column) -> Column:
     """The local part is drawn by the entity, the domain by itself; the last label stays."""
     domain = F.substring_index(value, "@", -1)
     last = F.substring_index(domain, ".", -1)
-    return F.concat(_redrawn(F.substring_index(value, "@", 1), seed), F.lit("@"), _redrawn(F.substr(domain, F.lit(1), F.char_length(domain) - F.char_length(last) - 1), F.sha2(F.concat(F.lit(f"{secret}|domain|"), domain), 256)), F.lit("."), last)
+    return F.concat(_redrawn(_grown(F.substring_index(value, "@", 1), extra), seed), F.lit("@"), _redrawn(F.substr(domain, F.lit(1), F.char_length(domain) - F.char_length(last) - 1), F.sha2(F.concat(F.lit(f"{secret}|domain|"), domain), 256)), F.lit("."), last)
 
 
-def _person(value: Column, seed: Column) -> Column:
-    """value is gender:name; as many words and hyphens, of the same script, capital or all in capitals."""
+def _person(value: Column, seed: Column, extra: Column) -> Column:
+    """value is gender:name; as many words and hyphens, of the same script, capital or all in capitals.
+
+    The first word has that many extra syllables.
+    """
     gender, name = F.substr(value, F.lit(1), F.lit(1)), F.substr(value, F.lit(3))
 
     def word(w: Column, i: Column) -> Column:
@@ -98,7 +120,8 @@ def _person(value: Column, seed: Column) -> Column:
             parts = F.array(*map(F.lit, LATIN if script == "latin" else CYRILLIC))
             ends = {g: F.array(*map(F.lit, ENDS[script, g])) for g in "fm"}
             at = lambda k, n: _drawn(seed, i * 8 + k, n).cast("int") + 1
-            return F.initcap(F.concat(F.element_at(parts, at(0, 16)), F.element_at(parts, at(1, 16)), F.when(i > 0, F.element_at(parts, at(2, 16))).when(gender == "f", F.element_at(ends["f"], at(2, 4))).otherwise(F.element_at(ends["m"], at(2, 4)))))
+            more = F.transform(F.array_repeat(F.lit(""), F.when(i == 0, extra).otherwise(0)), lambda c, k: F.element_at(parts, _drawn(F.concat(seed, F.lit("|more")), k, 16).cast("int") + 1))
+            return F.initcap(F.concat(F.array_join(more, ""), F.element_at(parts, at(0, 16)), F.element_at(parts, at(1, 16)), F.when(i > 0, F.element_at(parts, at(2, 16))).when(gender == "f", F.element_at(ends["f"], at(2, 4))).otherwise(F.element_at(ends["m"], at(2, 4)))))
 
         new = F.when(w.rlike(r"\p{IsCyrillic}"), made("cyrillic")).otherwise(made("latin"))
         return F.when(w.rlike(r"^[ -]$"), w).when(F.upper(w) == w, F.upper(new)).otherwise(new)
@@ -109,18 +132,19 @@ def _person(value: Column, seed: Column) -> Column:
 def drawn(kind: Column, value: Column, attempt: Column, secret: str) -> Column:
     seed = F.sha2(F.concat(F.lit(f"{secret}|"), kind, F.lit("|"), attempt.cast("string"), F.lit("|"), value), 256)
     country = F.char_length(F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])|^\+\d", 0))
+    longer = _grown(value, _extra(attempt, 8))
     return (
-        F.when(kind == "email", _email(value, seed, secret)).when(kind == "ip", _ip(value, seed)).when(kind == "card", _card(value, seed))
-        .when(kind == "phone", _redrawn(value, seed, country)).when(kind == "iban", _redrawn(value, seed, F.lit(2))).when(kind == "person", _person(value, seed))
-        .otherwise(_redrawn(value, seed))
+        F.when(kind == "email", _email(value, seed, secret, _extra(attempt, 2))).when(kind == "ip", _ip(value, seed, attempt)).when(kind == "card", _card(longer, seed))
+        .when(kind == "phone", _redrawn(longer, seed, country)).when(kind == "iban", _redrawn(longer, seed, F.lit(2))).when(kind == "person", _person(value, seed, _extra(attempt, 1)))
+        .otherwise(_redrawn(longer, seed))
     )
 
 
-def surrogates(found: DataFrame, secret: str, rounds: int = 50) -> DataFrame:
+def surrogates(found: DataFrame, secret: str) -> DataFrame:
     """(kind, canon, surrogate) of the distinct entities (kind, canon): one to one, and none is a value of the corpus."""
     state = materialize(found.distinct().withColumn("attempt", F.lit(0)), "entities")
     present = state.select("kind", F.col("canon").alias("surrogate"))
-    for _ in range(rounds):
+    while True:
         made = materialize(state.withColumn("surrogate", drawn(F.col("kind"), F.col("canon"), F.col("attempt"), secret)), "drawn")
         first = made.groupBy("kind", "surrogate").agg(F.min("canon").alias("first"), F.count(F.lit(1)).alias("n"))
         taken = first.join(present, ["kind", "surrogate"], "left_semi").select("kind", "surrogate", F.lit(None).cast("string").alias("first"))
@@ -129,7 +153,6 @@ def surrogates(found: DataFrame, secret: str, rounds: int = 50) -> DataFrame:
         if clash.isEmpty():
             return made.select("kind", "canon", "surrogate")
         state = made.join(clash.withColumn("met", F.lit(True)), ["kind", "surrogate"], "left").select("kind", "canon", (F.col("attempt") + F.when(F.col("met") & ~F.col("canon").eqNullSafe(F.col("first")), 1).otherwise(0)).alias("attempt"))
-    raise RuntimeError("surrogates still collide")
 
 
 def replace(docs: DataFrame, secret: str = "vortiq", found: str = "n_pii") -> DataFrame:
