@@ -163,3 +163,30 @@ def test_stream_gives_the_batch_moments(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("phases").count() == 16
+
+
+def test_conditional_pairs_are_those_of_the_catalog(spark, sf):
+    """Structures and free windows of all frames, found again one by one."""
+    from vortiq.queries import dynamics, fields
+
+    every = fields.found(spark, sf).where("connectivity = 8 and is_ss").collect()
+    u = {(r.frame_id, r.j, r.i): r.u for r in dynamics.clean(spark, sf).collect()}
+    by_frame = {}
+    for r in every:
+        by_frame.setdefault(r.frame_id, []).append(r)
+    want, count = set(), {}
+    for r in every:
+        width = r.col_max - r.col_min + 1
+        met = [o for o in by_frame[r.frame_id] if r.row_min <= o.row_max and r.row_max >= o.row_min]
+        free = [a for a in range(1, 8 - width + 2) if not any(a <= o.col_max and a + width - 1 >= o.col_min for o in met)]
+        if r.is_censored or not free:
+            continue
+        start = min(free, key=lambda a: (abs(a - r.col_min), a))
+        want.add((r.frame_id, r.sign, r.component_id, r.col_min, r.col_max, start, start + width - 1, r.lx_over_delta))
+        for j in (2, 3):
+            if all(u[r.frame_id, j, a + k] is not None for a in (r.col_min, start) for k in range(width)):
+                for t in (1.0, 1.4):
+                    count[t, j] = count.get((t, j), 0) + (width >= 2 and r.lx_over_delta > t)
+    got = dynamics.pairs(spark, sf).select("frame_id", "sign", "component_id", "col_min", "col_max", "window_min", "window_max", "lx_over_delta").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want and max(r.frame_id for r in got) > 400
+    assert {(r.threshold, r.j): r.pairs for r in dynamics.windows(spark, sf)[1].collect()} == {k: n for k, n in count.items() if n}

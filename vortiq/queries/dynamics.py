@@ -6,8 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import correlation as R
-from ..operators import modal, spectra, statistics
-from ..plans.views import PIV, SMP, final, piv, rounded
+from ..operators import matching, modal, spectra, statistics
+from ..plans.views import COLUMNS, PIV, SMP, final, piv, rounded
+from ..sources.shared import written
+from .fields import found
 
 FS = 16.0
 
@@ -54,10 +56,16 @@ def entropy(s, d):
     return s.createDataFrame([(got["modes"], float(got["ppr"]), float(got["jaccard"]), got["valid"])], "modes array<int>, ppr double, jaccard double, valid boolean")
 
 
+def pairs(s, d):
+    """Complete structures of all frames and their matched windows."""
+    catalog = written(found(s, d).where("connectivity = 8"), "catalog")
+    key = ["frame_id", "sign", "component_id"]
+    return matching.match_windows(catalog, COLUMNS).where("matched").join(catalog.select(*key, "lx_over_delta"), key)
+
+
 def windows(s, d):
-    pairs = s.createDataFrame([(f, 1, 6, 3, 8, 1.5) for f in range(1, 40, 3)], "frame_id long, col_min int, col_max int, window_min int, window_max int, lx_over_delta double")
     lines = clean(s, d).groupBy("frame_id", "j").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "u"))), lambda p: p["u"]).alias("u"))
-    return spectra.conditional_spectra(pairs, lines, [2, 3], [1.0, 1.4], 2e-3, 4e-3, 12, 8, 1.0)
+    return spectra.conditional_spectra(pairs(s, d), lines, [2, 3], [1.0, 1.4], 2e-3, 4e-3, 12, 8, 1.0)
 
 
 SERIES = f"{SMP}, pb AS (SELECT frame_id, coalesce(u, 0) AS u, coalesce(v, 0) AS v FROM smp WHERE j = 2 AND i = 4)"
