@@ -190,3 +190,14 @@ def test_conditional_pairs_are_those_of_the_catalog(spark, sf):
     got = dynamics.pairs(spark, sf).select("frame_id", "sign", "component_id", "col_min", "col_max", "window_min", "window_max", "lx_over_delta").collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want and max(r.frame_id for r in got) > 400
     assert {(r.threshold, r.j): r.pairs for r in dynamics.windows(spark, sf)[1].collect()} == {k: n for k, n in count.items() if n}
+
+
+def test_files_and_flow_maps_of_all_frames(spark, sf):
+    from vortiq.queries import fields
+
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    got = {r.repeat_id: r for r in fields.sequence(spark, sf).groupBy("repeat_id").agg(F.min("frame_id").alias("first"), F.max("frame_id").alias("last"), F.count(F.lit(1)).alias("n")).collect()}
+    assert (got[1].first, got[1].last, got[2].first, got[2].last) == (1, n // 2, n // 2 + 1, n)
+    assert got[1].n + got[2].n == 32 * n
+    starts = {r.start for r in fields.QUERIES["ftle"][0](spark, sf).select("start").distinct().collect()}
+    assert starts == {*range(1, n // 2 - 3), *range(n // 2 + 1, n - 3)}
