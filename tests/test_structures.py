@@ -180,3 +180,25 @@ def test_pack_order(spark):
     df = spark.createDataFrame([(1, 1, 2, 1, 3.0), (1, 1, 1, 2, 2.0), (1, 1, 1, 1, None)], "repeat_id int, frame_id long, j int, i int, u double")
     assert frames.pack(df, ["u"]).first().u == [None, 2.0, 3.0]
     assert df.select(F.lit(1)).count() == 3
+
+
+def test_bootstrap_median_takes_every_structure(spark, tmp_path):
+    """Short structures in the first sixty frames, long ones in all later ones."""
+    from vortiq.queries import relational
+
+    rows = [(k, 2, 4994.0 if k < 720 else 5015.0) for k in range(3000)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.k: r for r in relational.bootstrap_rows(spark, str(tmp_path)).collect()}
+    long = max(r.lx_over_delta for r in relational.boxes(spark, str(tmp_path)).select("lx_over_delta").distinct().collect())
+    assert {k: (r.median, r.low, r.high) for k, r in got.items()} == {k: (long,) * 3 for k in (4, 8)}
+
+
+def test_bootstrap_median_is_that_of_whole_resamples(spark):
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 61, 400):
+        own = np.round(rng.normal(size=n) * 10)
+        plain = np.median(rng.choice(own, (20_000, n)), axis=1)
+        got = catalog.bootstrap_median(spark.createDataFrame([(1, float(v)) for v in own], "k int, v double"), ["k"], "v", 4000).first()
+        assert got.median == np.median(own)
+        for side, p in ((got.low, 0.025), (got.high, 0.975)):
+            assert np.quantile(plain, p - 0.015 if p > 0.02 else 0) <= side <= np.quantile(plain, min(p + 0.015, 1))

@@ -6,6 +6,10 @@ row_min, row_max, lx_over_delta, height_mm, area_mm2, is_ss (passes the criteria
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -220,14 +224,35 @@ def figure_rows(catalog: DataFrame, limit: int | None = None) -> DataFrame:
 def bootstrap_median(values: DataFrame, keys: list[str], value: str, resamples: int = 500, level: float = 0.95, seed: int = 7) -> DataFrame:
     """Median of each group and a bootstrap interval of it.
 
-    Resampling is by hash: draw k of resample b of a group of n rows takes the row at hash(seed, keys, b, k) mod n.
+    The n draws of a resample are the rows at ceil(n U) of n uniform numbers, so its median needs only the middle order
+    statistics of these: the lower is a beta variate, and the next lies above it by the smallest of the others. Medians so
+    drawn have the distribution of whole resamples of n rows. Rows are counted by value first; the window that finds the
+    values at the drawn ranks holds distinct values and two ranks a resample.
     """
-    order = Window.partitionBy(*keys).orderBy(value)
-    rows = values.where(F.col(value).isNotNull()).withColumn("_at", F.row_number().over(order) - 1)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.median(value).alias("median"))
-    draws = sizes.select(*keys, "_n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("_b")).select(*keys, "_n", "_b", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_k"))
-    draws = draws.select(*keys, "_b", F.pmod(F.xxhash64(F.lit(seed), *keys, "_b", "_k"), F.col("_n")).alias("_at"))
-    medians = draws.join(rows.select(*keys, "_at", value), [*keys, "_at"]).groupBy(*keys, "_b").agg(F.median(value).alias("m"))
+    counts = values.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = counts.select(*keys, F.sum("_n").over(upto).alias("_at"), F.col(value).cast("double").alias("_value"), F.lit(None).cast("int").alias("_b"))
+    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"), F.expr(f"percentile(`{value}`, 0.5, _n)").alias("median"))
+    wanted = sizes.select(*keys, "_size", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("_b"))
+    wanted = wanted.withColumn("_seed", F.xxhash64(F.lit(seed), *keys, "_b"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at = []
+            for n, own in zip(batch["_size"], batch["_seed"]):
+                rng, k = np.random.default_rng(int(own) % 2**64), (n + 1) // 2
+                low = rng.beta(k, n + 1 - k)
+                high = low if n % 2 else 1 - (1 - low) * rng.random() ** (1 / (n - k))
+                at.append([min(max(int(np.ceil(n * x)), 1), int(n)) for x in (low, high)])
+            yield batch.drop(columns=["_size", "_seed"]).assign(_ranks=at)
+
+    types = {f.name: f.dataType.simpleString() for f in sizes.schema}
+    drawn = wanted.mapInPandas(run, ", ".join([f"`{k}` {types[k]}" for k in keys] + ["_b int", "_ranks array<long>"]))
+    ranks = drawn.select(*keys, F.explode("_ranks").alias("_at"), F.lit(None).cast("double").alias("_value"), "_b")
+    # the value at a rank is the first whose rows end there or later: from above, the last one met
+    down = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.col("_b").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = steps.unionByName(ranks).withColumn("m", F.last("_value", ignorenulls=True).over(down)).where("_b is not null")
+    medians = met.groupBy(*keys, "_b").agg(F.avg("m").alias("m"))
     part = (1 - level) / 2
     return sizes.select(*keys, "median").join(hazen(medians, keys, "m", {"low": part, "high": 1 - part}), keys)
 

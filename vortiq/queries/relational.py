@@ -155,7 +155,7 @@ def compare_tables(s, d):
 
 
 def bootstrap_rows(s, d):
-    return C.bootstrap_median(boxes(s, d).where("frame_id <= 60").withColumn("k", F.col("connectivity")), ["k"], "lx_over_delta", 200)
+    return C.bootstrap_median(boxes(s, d).withColumn("k", F.col("connectivity")), ["k"], "lx_over_delta")
 
 
 def summary_stats(s, d):
