@@ -202,3 +202,14 @@ def test_bootstrap_median_is_that_of_whole_resamples(spark):
         assert got.median == np.median(own)
         for side, p in ((got.low, 0.025), (got.high, 0.975)):
             assert np.quantile(plain, p - 0.015 if p > 0.02 else 0) <= side <= np.quantile(plain, min(p + 0.015, 1))
+
+
+def test_gallery_spans_all_frames(spark, tmp_path):
+    """Spans of time are fifths of the catalog's own frames, however many."""
+    from vortiq.queries import relational
+
+    rows = [(k, 2, 5015.0) for k in range(36_000)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = [r for r in relational.gallery_rows(spark, str(tmp_path)).collect() if r.reason == "exact_slot"]
+    assert {r.time_bin for r in got} == {1, 2, 3, 4, 5}
+    assert all((r.time_bin - 1) * 600 < r.frame_id <= r.time_bin * 600 for r in got)

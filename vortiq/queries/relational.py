@@ -154,6 +154,12 @@ def compare_tables(s, d):
     return M.same_rows(a.where("pixel_count > 20"), a.where("pixel_count < 40"))
 
 
+def gallery_rows(s, d):
+    """Slots over all frames of the catalog."""
+    last = boxes(s, d).agg(F.max("frame_id")).first()[0]
+    return M.gallery(boxes(s, d).where("connectivity = 8"), last or 1)
+
+
 def bootstrap_rows(s, d):
     return C.bootstrap_median(boxes(s, d).withColumn("k", F.col("connectivity")), ["k"], "lx_over_delta")
 
@@ -191,7 +197,7 @@ QUERIES = {
     "figure_rows": (lambda s, d: C.figure_rows(boxes(s, d), 100).select("place", "component_id"), final(BOXES, "SELECT CAST(place AS INTEGER) AS place, component_id FROM (SELECT component_id, row_number() OVER (ORDER BY frame_id, sign DESC, lx_over_delta DESC, component_id) AS place FROM boxes WHERE is_vlsm AND NOT is_censored) t WHERE place <= 100", "place component_id")),
     "match_windows": (lambda s, d: M.match_windows(boxes(s, d), BOX_COLUMNS).select("component_id", "window_min", "window_max", "matched", "reason", "candidates"), final(f"{BOXES}, o AS (SELECT * FROM boxes WHERE connectivity = 8 AND is_ss), tg AS (SELECT *, col_max-col_min+1 AS w FROM o WHERE NOT is_censored), cand AS (SELECT t.component_id, t.col_min, w, k AS st FROM tg t, range(1, 65) r(k) WHERE k <= 64-w+1 AND NOT EXISTS (SELECT 1 FROM o WHERE o.frame_id = t.frame_id AND t.row_min <= o.row_max AND t.row_max >= o.row_min AND k <= o.col_max AND k+w-1 >= o.col_min)), rk AS (SELECT *, row_number() OVER (PARTITION BY component_id ORDER BY abs(st-col_min), st) AS p, count(*) OVER (PARTITION BY component_id) AS n FROM cand)", "SELECT tg.component_id, CAST(st AS INTEGER) AS window_min, CAST(st+tg.w-1 AS INTEGER) AS window_max, st IS NOT NULL AS matched, CAST(CASE WHEN st IS NULL THEN 1 ELSE 0 END AS INTEGER) AS reason, CAST(coalesce(n, 0) AS INTEGER) AS candidates FROM tg LEFT JOIN rk ON rk.component_id = tg.component_id AND rk.p = 1", "component_id window_min window_max matched reason candidates")),
     "retain_nonoverlapping": (lambda s, d: M.retain_nonoverlapping(boxes(s, d)).select("component_id", "kept", "suppressed"), None),
-    "gallery": (lambda s, d: M.gallery(boxes(s, d).where("connectivity = 8"), 1250), None),
+    "gallery": (gallery_rows, None),
     "merge_islands": (lambda s, d: structures.merge_islands(boxes(s, d).select(F.lit(1).alias("repeat_id"), "frame_id", "sign", F.col("component_id").alias("structure_id"), "x_min_mm", "x_max_mm"), 4.0).select("structure_id", "group"), final(f"{BOXES}, r AS (SELECT *, max(x_max_mm) OVER (PARTITION BY frame_id, sign ORDER BY x_min_mm, component_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM boxes), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR x_min_mm-reach > 4 THEN 1 ELSE 0 END) OVER (PARTITION BY frame_id, sign ORDER BY x_min_mm, component_id ROWS UNBOUNDED PRECEDING) AS gr FROM r)", 'SELECT component_id AS structure_id, first_value(component_id) OVER (PARTITION BY frame_id, sign, gr ORDER BY x_min_mm, component_id) AS "group" FROM g', 'structure_id "group"')),
     "merge_streamwise": (lambda s, d: structures.merge_streamwise(boxes(s, d).select(F.lit(1).alias("repeat_id"), "frame_id", "sign", F.col("component_id").alias("structure_id"), "x_min_mm", "x_max_mm", "y_min_mm", "y_max_mm"), 4.0).select("structure_id", "group"), None),
     "nearest_rows": (lambda s, d: rounded(rows_at(s, d)), final(f"{FLOW}, pr AS (SELECT j, avg(u_mean) AS y_plus FROM flow GROUP BY j), t AS (SELECT * FROM (VALUES (5.0),(20.0),(23.5),(99.0)) v(target))", "SELECT CAST(target AS DOUBLE) AS target, j, y_plus, target BETWEEN (SELECT min(y_plus) FROM pr) AND (SELECT max(y_plus) FROM pr) AS in_range FROM (SELECT target, j, y_plus, row_number() OVER (PARTITION BY target ORDER BY abs(y_plus-target), j) AS p FROM t, pr) x WHERE p = 1", "target~ j y_plus~ in_range")),
