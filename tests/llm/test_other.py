@@ -123,7 +123,8 @@ def test_neighbours(spark):
     x = vectors(2, 600)
     df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int").withColumn("rank", F.lit(1))
     got = {}
-    for r in ann.search(df, "vec_id % 20 = 0", row_block=200, query_block=8).collect():
+    twice = df.union(df.where("vec_id in (20, 30)"))
+    for r in ann.search(twice, "vec_id % 20 = 0", row_block=200, query_block=8, rerank=150).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     y = x.astype(float)
     hits = total = 0
@@ -137,6 +138,8 @@ def test_neighbours(spark):
         total += 20
     assert hits / total >= 0.9
     few = ann.search(df.where("vec_id < 5").unionByName(spark.createDataFrame([(40, None, 1), (60, [0.0] * 16, 1)], "vec_id long, embedding array<float>, label int").withColumn("rank", F.lit(1))), "vec_id % 20 = 0").collect()
+    both = spark.createDataFrame([(1000, [1.0, 0.1]), (1000, [0.1, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 2.0]), (1000, [1.0, 0.1]), (3, [1e-9 + 1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in ann.search(both, "vec_id = 1000").orderBy("rank").collect()] == [(1, 3.0), (2, 2.0), (3, pytest.approx(1.1 + 1e-9, abs=1e-13))]
     assert len(few) == 4 and ann.search(df.limit(0), "vec_id % 20 = 0").count() == 0
 
 
@@ -164,9 +167,9 @@ def test_components(spark):
 
 def test_pipeline(spark, sf):
     import corpus_pipeline as P
-    from pyspark.sql import Window
+    import regex
 
-    from vortiq.llm import langid, quality, simhash
+    from vortiq.llm import quality, simhash
 
     raw = spark.read.parquet(f"{sf}/documents.parquet")
     assert [n for n, _ in P.STAGES] == ["language", "quality", "near_duplicates", "pii", "packing"] and P.ORACLE_SQL is None
@@ -178,15 +181,23 @@ def test_pipeline(spark, sf):
         before = {r.doc_id: r for r in docs.collect()}
         assert rows.keys() <= before.keys()
         if name == "language":
-            assert rows.keys() == {k for k, r in before.items() if re.search(r"[^\W\d_]", r.text or "")}
+            assert rows.keys() == {k for k, r in before.items() if regex.search(r"\p{L}", r.text or "")}
         if name == "near_duplicates":
-            want = {r.component_id for r in simhash.near_duplicates(docs).collect()}
-            assert rows.keys() == want
+            ids = sorted(before)
+            prints = [simhash.fingerprint(before[k].text) for k in ids]
+            links, label = [[j for j in range(len(ids)) if (prints[i] ^ prints[j]).bit_count() <= 3] for i in range(len(ids))], list(range(len(ids)))
+            for _ in ids:
+                label = [min(label[j] for j in own) for own in links]
+            assert rows.keys() == {ids[k] for k in label}
+        if name == "quality":
+            model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+            found = {k: quality.line_features(r.text or "") for k, r in before.items()}
+            one = {k: quality.shares(model, [x], [n])[0] * 8 - 4 for k, (x, n) in found.items()}
+            assert rows.keys() == {k for k, s in one.items() if model["curve"][0] + model["curve"][1] * s >= 0}
         if name == "pii":
             assert rows.keys() == before.keys() and not any(re.search(r"@\w+\d?\.example\.com|\b\d{16}\b", rows[k].text or "") and rows[k].text == before[k].text for k in rows)
         docs = spark.createDataFrame(list(rows.values()), raw.schema)
     assert {r.doc_id for r in P.run(spark, sf).collect()} == {r.doc_id for r in docs.collect()}
-    del Window, langid, quality
 
 
 def test_stages_take_odd_tables(spark, sf):
@@ -203,5 +214,10 @@ def test_stages_take_odd_tables(spark, sf):
         if name == "language":
             assert sorted(r.doc_id or -1 for r in kept) == [-1, 3, 3, 4]
         if name == "near_duplicates":
-            assert sorted(r.doc_id for r in kept) == [1, 3]
+            assert sorted(r.doc_id or -1 for r in kept) == [-1, 1, 3]
         stage(spark, df.limit(0), sf).collect()
+    # an id whose texts lie in two components, one component without any id, and an id's second text like another's
+    words = ["alpha beta gamma delta " * 9, "one two three four five " * 9, "red green blue white " * 9]
+    odd = [(7, words[0], "a"), (7, words[1], "b"), (8, words[1], "c"), (None, words[2], "d"), (None, words[2], "e"), (None, words[0], "f")]
+    kept = dict(P.STAGES)["near_duplicates"](spark, spark.createDataFrame(odd, "doc_id long, text string, x string"), sf).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in kept) == sorted([(7, words[0]), (7, words[1]), (-1, words[2])])

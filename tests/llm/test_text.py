@@ -16,7 +16,7 @@ from vortiq.llm import bpe, langid, packing, pii, quality, simhash
 from vortiq.llm.common import fresh
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-ODD = [(1, None, "en", None, None), (2, "", None, "s", 0), (3, " \n\t ", "en", "s", 4), (4, "a" * 200_000, "en", "s", 1), (5, "the cat sat " * 20_000, "en", "s", 1), (5, "the cat sat " * 20_000, "en", "s", 1), (None, "no id here", "en", "s", 1), (7, "naïve ☃ 日本語 \U0001f600 \u0000 x", "de", "s", 1), (8, "don't  stop\r\n\r\n  now", "fr", "s", 3), (9, "12 34 !!! ...", None, None, 2)]
+ODD = [(1, None, "en", None, None), (2, "", None, "s", 0), (3, " \n\t ", "en", "s", 4), (4, "a" * 200_000, "en", "s", 1), (5, "the cat sat " * 20_000, "en", "s", 1), (5, "the cat sat " * 20_000, "en", "s", 1), (None, "no id here", "en", "s", 1), (7, "naïve ☃ 日本語 \U0001f600 \u0000 x", "de", "s", 1), (8, "don't  stop\r\n\r\n  now", "fr", "s", 3), (9, "12 34 !!! ...", None, None, 2), (10, "\u0301\u0302 \u2167", "en", "s", 4), (11, "a <|endoftext|> b", "en", "s", 17)]
 
 
 @pytest.fixture(scope="module")
@@ -156,7 +156,7 @@ def test_languages(spark, sf, odd, none):
     assert sum(r.lang_pred == r.lang for r in own) / len(own) > 0.97
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in got)
     some = {r.doc_id: r for r in langid.identify(odd).collect()}
-    assert len(langid.identify(odd).collect()) == len(ODD) and some[1].lang_pred == some[2].lang_pred == some[9].lang_pred == "und" and some[1].spans == []
+    assert len(langid.identify(odd).collect()) == len(ODD) and some[1].lang_pred == some[2].lang_pred == some[9].lang_pred == some[10].lang_pred == "und" and some[11].lang_pred != "und" and some[1].spans == []
     assert langid.identify(none).count() == 0
 
 
@@ -190,6 +190,9 @@ def test_quality(spark, odd, none):
     assert all((r.score >= 0.5) == (r.predicted == 1) for r in got)
     other = quality.classify(odd, labels.withColumn("text", F.lit(1))).collect()
     assert len(other) == len(ODD) and all(0 <= r.score <= 1 for r in other)
+    many = spark.createDataFrame([(1, "some words here.")] * 200, "doc_id long, text string")
+    own = spark.createDataFrame([(1, 1)] * 40, "doc_id long, quality int")
+    assert quality.classify(many, own).count() == 200 and quality.train(many, own)["curve"].shape == (2,)
     nothing = labels.limit(0)
     assert quality.classify(odd, nothing).count() == len(ODD) and quality.classify(none, labels).count() == 0
     assert quality.classify(docs, labels.withColumn("quality", F.lit(None).cast("int"))).where("score between 0 and 1").count() == docs.count()
@@ -208,6 +211,7 @@ def test_chain_marginals_are_exact():
     assert marginal[0] == pytest.approx(good / total) and expected.sum() == pytest.approx(4)
 
 
+KEY = "a key of the tests"
 TEXTS = [
     (1, "Write to ann.lee@mail.example.com or +1 (521) 555-6210, from 188.54.39.104."), (2, "again ann.lee@mail.example.com and 4111 1111 1111 1111; Mrs Ann Lee and Mr. Ann Lee"), (3, None), (4, ""), (5, "nothing here 123"), (6, "г-жа Анна Каренина, DE89 3704 0044 0532 0130 00, 123-45-6789"), (6, "г-жа Анна Каренина, DE89 3704 0044 0532 0130 00, 123-45-6789"), (None, "10.1.2.3 10.1.2.3"),
 ]
@@ -217,7 +221,7 @@ def test_surrogates(spark, none):
     import re
 
     df = spark.createDataFrame(TEXTS, "doc_id long, text string").select("*", F.lit("y").alias("_pii_key"), F.lit("z").alias("n_pii"), F.lit("k").alias("value"))
-    rows = pii.replace(df).orderBy("doc_id").collect()
+    rows = pii.replace(df, KEY).orderBy("doc_id").collect()
     got = {r.doc_id: r.text for r in rows}
     assert len(rows) == len(TEXTS) and all(r._pii_key == "y" and r.value == "k" for r in rows)
     assert got[3] is None and got[4] == "" and got[5] == "nothing here 123"
@@ -232,13 +236,15 @@ def test_surrogates(spark, none):
     assert re.search(r"^г-жа [А-Я][а-я]+ [А-Я][а-я]+, DE\d\d( \d{4}){4} \d\d, \d{3}-\d\d-\d{4}$", got[6])
     a, b = got[None].split()
     assert a == b and a.startswith("10.1.")
-    assert pii.replace(df, "other key").where("doc_id = 1").first().text != got[1] and pii.replace(none).count() == 0
+    assert pii.replace(df, "other key").where("doc_id = 1").first().text != got[1] and pii.replace(none, KEY).count() == 0
+    with pytest.raises(ValueError):
+        pii.replace(df, "")
 
 
 def test_surrogates_stay_distinct(spark):
     """Nearly all addresses of a small network: every draw collides with something."""
     df = spark.createDataFrame([(k, f"from 10.1.{k // 200 + 1}.{k % 200 + 1} on") for k in range(400)], "doc_id long, text string")
-    got = [r.text for r in pii.replace(df).collect()]
+    got = [r.text for r in pii.replace(df, KEY).collect()]
     assert len(set(got)) == 400 and not set(got) & {f"from 10.1.{k // 200 + 1}.{k % 200 + 1} on" for k in range(400)}
 
 
@@ -248,20 +254,67 @@ def test_surrogates_never_run_out(spark):
 
     letters = "abcdefghijklmnopqrstuvwxyz"
     names = ["Mr " + "".join(letters[k // 26**p % 26] for p in range(4)).capitalize() for k in range(5_000)]
-    hosts = [f"192.168.{k // 250 + 1}.{k % 250 + 1}" for k in range(40_000)]
+    hosts = [f"192.168.{k // 255}.{k % 255 + 1}" for k in range(65_000)]
     mails = [f"{a}@example.com" for a in letters] + [f"{a}{b}@example.com" for a in letters for b in letters] + [f"{a}@example.com" for a in "0123456789"]
     for values, form in ((names, r"Mr [A-Z][a-z]+"), (hosts, r"(192\.168|10\.\d+)\.\d+\.\d+"), (mails, r"[a-z0-9]+@[a-z]{7}\.com")):
-        rows = pii.replace(spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")).collect()
+        rows = pii.replace(spark.createDataFrame(list(enumerate(values)), "doc_id long, text string"), KEY).collect()
         got = {r.text for r in rows}
         assert len(rows) == len(got) == len(values) and all(r.n_pii == 1 for r in rows)
         assert not got & set(values) and all(re.fullmatch(form, x) for x in got)
 
 
+def test_surrogates_follow_spellings(spark):
+    import re
+
+    rows = [
+        (1, "Call +1 (521) 555-6210, +15215556210, +1 521 555 6210 or (521) 555-6210. Mail Ann.Lee@x.example.com, ann.lee@x.example.com"),
+        (2, "Mrs Ann Lee came. Ann Lee left with Mr Lee; Dr Ann Lee, Prof. John Smith; passport AB1234567, 4111-1111-1111-1111 4111 1111 1111 1111"),
+        (3, "x\x01y Mr Jones\x01 MR JONES GB82 WEST 1234 5698 7654 32, GB82WEST12345698765432"), (4, "a@" + "b." * 100_000 + "com " + "Mr Ab, " * 3_000 + "1.2." * 50_000),
+    ]
+    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    digits = [re.sub("[^0-9]", "", x)[-10:] for x in re.match(r"Call (.*), (.*), (.*) or (.*)\. Mail", got[1].text).groups()]
+    assert len(set(digits)) == 1 and digits[0] != "5215556210" and got[1].n_pii == 6
+    a, b = re.search(r"Mail (\S+), (\S+)$", got[1].text).groups()
+    assert a.lower() == b and re.fullmatch(r"[A-Z][a-z]{2}\.[A-Z][a-z]{2}@[a-z]\.[a-z]{7}\.com", a)
+    given, family, john, smith, passport, c, d = re.fullmatch(r"Mrs (\w+) (\w+) came\. \1 \2 left with Mr \2; Dr \1 \2, Prof\. (\w+) (\w+); passport ([A-Z]{2}\d{7}), (4[\d-]{18}) (4[\d ]{18})", got[2].text).groups()
+    assert len({given, family, john, smith, "Ann", "Lee", "John", "Smith"}) == 8 and passport != "AB1234567" and c.replace("-", " ") == d
+    assert re.fullmatch("x\x01y Mr [A-Z][a-z]+\x01 MR JONES GB.*", got[3].text)
+    x, y = re.search(r"(GB[A-Z0-9 ]+), (GB\w+)$", got[3].text).groups()
+    assert x.replace(" ", "") == y and int("".join(str(int(k, 36)) for k in y[4:] + y[:4])) % 97 == 1
+    assert got[4].n_pii == 3_001 and "Mr Ab," not in got[4].text and got[4].text.endswith("1.2." * 50_000)
+
+
+def test_surrogates_of_the_table(spark):
+    """Spans, canonical forms and one-to-one replacement by a plain version, over the whole table."""
+    import re
+
+    import regex
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in pii.replace(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"), KEY).collect()}
+    kinds = [(k, regex.compile(p, regex.ASCII)) for k, p in pii.FORMS]
+    anything = regex.compile("|".join(p for _, p in pii.FORMS), regex.ASCII)
+    to: dict = {}
+    for doc, text in rows:
+        hits = list(anything.finditer(text or ""))
+        assert got[doc].n_pii == len(hits)
+        if not hits:
+            assert got[doc].text == text
+            continue
+        gaps = [text[a:b] for a, b in zip([0, *(h.end() for h in hits)], [*(h.start() for h in hits), len(text)])]
+        new = regex.fullmatch("(?s)" + "(.+?)".join(map(regex.escape, gaps)), got[doc].text).groups()
+        for h, n in zip(hits, new):
+            kind = next(k for k, p in kinds if p.fullmatch(h[0]))
+            assert kind == "person" or next(k for k, p in kinds if p.fullmatch(n)) == kind
+            plain = [re.sub("[^0-9+]", "", x) if kind in ("phone", "ssn", "card") else x.replace(" ", "") if kind == "iban" else x.lower() for x in (h[0], n)]
+            assert to.setdefault((kind, plain[0]), plain[1]) == plain[1]
+    assert len(to) > 100 and len(set(to.values())) == len(to) and not set(to.values()) & {v for _, v in to}
+
+
 def unpacked(df, rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want = sorted((d or -1, *t.encode(x or "", add_special_tokens=False).ids, 0) for d, x in rows)
     lengths = {}
     for w in want:

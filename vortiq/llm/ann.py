@@ -3,7 +3,7 @@
 A vector is a sum of one code word from each of several full-dimensional codebooks. The codebooks are trained on the
 residuals of a bounded sample and refitted by least squares; beam search picks the words. A query's inner products
 with all words make a lookup table; a row's score is a sum of looked-up numbers (less half its stored norm where
-nearness is Euclidean). The best of every block of rows are ranked again by the original vectors.
+nearness is Euclidean). The best rows by these scores are ranked again by the original vectors.
 """
 
 from __future__ import annotations
@@ -16,38 +16,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .vectors import listed, matrix, usable
+from .vectors import matrix, parted
 
 
 class Codebooks:
     """words: codebooks x words x dim."""
 
-    def __init__(self, words: np.ndarray, beam: int = 4):
+    def __init__(self, words: np.ndarray, beam: int = 2):
         self.words, self.beam = words.astype(np.float32), beam
-        m, k, dim = words.shape
-        flat = self.words.reshape(m * k, dim)
-        self.gram = flat @ flat.T
-        self.norms = np.diag(self.gram).copy()
+        self.norms = (self.words**2).sum(2)
 
     def encode(self, x: np.ndarray) -> np.ndarray:
-        """Codes (rows x codebooks) by beam search: the best few partial sums survive each codebook."""
+        """Codes (rows x codebooks) by beam search: what the best few partial sums leave is coded by the next codebook."""
         m, k, dim = self.words.shape
-        n = len(x)
-        toward = x.astype(np.float32) @ self.words.reshape(m * k, dim).T
-        codes = np.zeros((n, 1, 0), dtype=np.int64)
-        errors = np.zeros((n, 1), dtype=np.float32)
+        left = x.astype(np.float32)[:, None]
+        codes = np.zeros((len(x), 1, 0), dtype=np.int64)
         for c in range(m):
-            at = slice(c * k, (c + 1) * k)
-            gain = np.broadcast_to((self.norms[at] - 2 * toward[:, at])[:, None], (n, codes.shape[1], k)).copy()
-            for before in range(c):
-                gain += 2 * self.gram[codes[:, :, before] + before * k, at]
-            gain += errors[:, :, None]
-            flat = gain.reshape(n, -1)
+            error = (left**2).sum(2)[:, :, None] - 2 * (left @ self.words[c].T) + self.norms[c]
+            flat = error.reshape(len(x), -1)
             width = min(self.beam if c + 1 < m else 1, flat.shape[1])
             best = np.argpartition(flat, width - 1, axis=1)[:, :width]
-            errors = np.take_along_axis(flat, best, 1)
             parent, word = best // k, best % k
             codes = np.concatenate([np.take_along_axis(codes, parent[:, :, None], 1), word[:, :, None]], axis=2)
+            left = np.take_along_axis(left, parent[:, :, None], 1) - self.words[c][word]
         return codes[:, 0].astype(np.uint8)
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
@@ -58,8 +49,8 @@ class Codebooks:
         return np.einsum("mkd,qd->mkq", self.words, queries.astype(np.float32), optimize=True)
 
 
-def fit(sample: np.ndarray, codebooks: int = 16, words: int = 128, rounds: int = 6, seed: int = 11) -> Codebooks:
-    """Residual k-means for each codebook in turn, then two rounds of beam encoding and least-squares refitting."""
+def fit(sample: np.ndarray, codebooks: int = 24, words: int = 128, rounds: int = 5, refits: int = 1, seed: int = 11) -> Codebooks:
+    """Residual k-means for each codebook in turn, then beam encoding and least-squares refitting."""
     rng = np.random.default_rng(seed)
     x = sample.astype(np.float32)
     dim, left, books = x.shape[1], x.copy(), []
@@ -67,15 +58,14 @@ def fit(sample: np.ndarray, codebooks: int = 16, words: int = 128, rounds: int =
         centres = left[rng.choice(len(left), words, replace=len(left) < words)].copy()
         for _ in range(rounds):
             near = ((centres * centres).sum(1) - 2 * (left @ centres.T)).argmin(1)
-            sums = np.zeros((words, dim), np.float32)
-            np.add.at(sums, near, left)
-            n = np.bincount(near, minlength=words)
-            centres[n > 0] = sums[n > 0] / n[n > 0, None]
+            member = (near == np.arange(words)[:, None]).astype(np.float32)
+            n = member.sum(1)
+            centres[n > 0] = (member @ left)[n > 0] / n[n > 0, None]
         near = ((centres * centres).sum(1) - 2 * (left @ centres.T)).argmin(1)
         left -= centres[near]
         books.append(centres)
     own = Codebooks(np.stack(books))
-    for _ in range(2):
+    for _ in range(refits):
         codes = own.encode(x).astype(np.int64) + np.arange(codebooks) * words
         normal, right = np.zeros((codebooks * words,) * 2), np.zeros((codebooks * words, dim))
         for a in range(codebooks):
@@ -83,70 +73,84 @@ def fit(sample: np.ndarray, codebooks: int = 16, words: int = 128, rounds: int =
             for b in range(codebooks):
                 np.add.at(normal, (codes[:, a], codes[:, b]), 1.0)
         prior = own.words.reshape(-1, dim)
-        own = Codebooks(np.linalg.solve(normal + np.eye(len(normal)), right + prior).reshape(codebooks, words, dim))
+        own = Codebooks(np.linalg.solve((normal + np.eye(len(normal))).astype(np.float32), (right + prior).astype(np.float32)).reshape(codebooks, words, dim))
     return own
 
 
-def search(embeddings: DataFrame, is_query: str, k: int = 20, measure: str = "inner", max_sample: int = 6000, row_block: int = 4096, query_block: int = 512, rerank: float = 0.025, least: int = 100) -> DataFrame:
+def search(embeddings: DataFrame, is_query: str, k: int = 20, measure: str = "inner", max_sample: int = 6000, row_block: int = 32768, query_block: int = 512, rerank: int = 400) -> DataFrame:
     """The k nearest rows of every query row: query_id, rank, vec_id, score.
 
     is_query is a condition on vec_id. Every row is indexed; rows without a usable vector take no part (see
-    vectors.usable). Of every block of rows, the `rerank` part with the best approximate scores (`least` at least) is
-    ranked by the exact measure on the original vectors in double precision: "inner" (largest product) or "l2"
-    (smallest distance, score its negative square). A row isn't its own neighbour; ties go to the smaller vec_id;
-    repeated rows are candidates of their own. Fewer candidates than k give them all. The codebooks are fitted to
-    about max_sample rows, chosen by a hash of vec_id. Rows and queries meet in cells of bounded size (a block of
-    each); no side is broadcast.
+    vectors.parted). Of all rows, the `rerank` ones with a query's best approximate scores are ranked by the exact
+    measure on the original vectors in double precision: "inner" (largest product) or "l2" (smallest distance, score its
+    negative square). A row isn't its own neighbour; ties go to the smaller vec_id. Rows equal in id and vector count
+    once. Unlike vectors under one id are candidates of their own; if that id asks, a candidate's score is the best that
+    any of them gives. Fewer candidates than k give them all. The codebooks are fitted to about max_sample rows, chosen
+    by a hash. Rows (codes alone) and queries meet in cells of bounded size (a block of each); no side is broadcast. A
+    cell passes on what its share of the `rerank` best can be at six deviations; vectors of candidates are joined after.
     """
-    rows = materialize(usable(embeddings), "vectors")
+    rows = parted(embeddings)[0].distinct().select("vec_id", F.xxhash64("embedding").alias("own"), "embedding")
+    rows = materialize(rows, "vectors")
     total, asked = rows.count(), rows.where(is_query).count()
     empty = rows.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     if not total or not asked:
         return empty
     dim = len(rows.first()["embedding"])
     share = min(1 << 20, -(-(max_sample << 20) // total))
-    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share).toArrow().sort_by("vec_id")
+    sample = rows.where(F.pmod(F.xxhash64("vec_id", "own"), F.lit(1 << 20)) < share).select("vec_id", "own", "embedding").toArrow().sort_by([("vec_id", "ascending"), ("own", "ascending")])
     books = fit(matrix(sample.column("embedding"), dim) if sample.num_rows else np.zeros((1, dim)))
     row_blocks, query_blocks = -(-total // row_block), -(-asked // query_block)
+    rerank = max(rerank, k)
+    most = int(rerank / row_blocks + 6 * (rerank / row_blocks) ** 0.5) + 4
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                codes = books.encode(matrix(part.column(1), dim))
+                codes = books.encode(matrix(part.column(2), dim))
                 norms = (books.decode(codes) ** 2).sum(1)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float32))], names=["vec_id", "embedding", "codes", "norm"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float32))], names=["vec_id", "own", "codes", "norm"])
 
-    index = rows.mapInArrow(encode, "vec_id long, embedding array<float>, codes binary, norm float")
+    index = rows.mapInArrow(encode, "vec_id long, own long, codes binary, norm float")
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    mine = index.withColumn("r", F.pmod(F.xxhash64("vec_id"), F.lit(row_blocks)).cast("int")).withColumn("q", numbers(query_blocks))
-    theirs = rows.where(is_query).withColumn("q", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int")).withColumn("r", numbers(row_blocks))
-
-    def meet(own: pa.Table, queries: pa.Table) -> pa.Table:
-        out = {"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)}
-        if own.num_rows and queries.num_rows:
-            ids, asking = own.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
-            x, y = matrix(own.column("embedding"), dim), matrix(queries.column("embedding"), dim)
-            codes = np.frombuffer(b"".join(own.column("codes").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
-            table = books.lookup(y)
-            scores = np.zeros((len(ids), len(asking)), dtype=np.float32)
+    mine = index.withColumn("r", F.pmod(F.xxhash64("vec_id", "own"), F.lit(row_blocks)).cast("int")).withColumn("q", numbers(query_blocks))
+    asking = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("own").alias("asks"), F.col("embedding").alias("query"))
+    theirs = asking.withColumn("q", F.pmod(F.xxhash64("query_id", "asks", F.lit(1)), F.lit(query_blocks)).cast("int")).withColumn("r", numbers(row_blocks))
+
+    def meet(held: pa.Table, queries: pa.Table) -> pa.Table:
+        names = ["query_id", "asks", "vec_id", "own", "rough"]
+        if not held.num_rows or not queries.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 4 + [pa.array([], pa.float32())], names=names)
+        ids, own = held.column("vec_id").to_numpy(), held.column("own").to_numpy()
+        who, asks = queries.column("query_id").to_numpy(), queries.column("asks").to_numpy()
+        codes = np.frombuffer(b"".join(held.column("codes").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+        found: list[tuple[np.ndarray, ...]] = []
+        for at in range(0, len(who), 128):
+            table = books.lookup(matrix(queries.column("query").slice(at, 128), dim))
+            rough = np.zeros((len(ids), table.shape[2]), dtype=np.float32)
             for c in range(codes.shape[1]):
-                scores += table[c][codes[:, c]]
+                rough += table[c][codes[:, c]]
             if measure == "l2":
-                scores -= own.column("norm").to_numpy()[:, None] / 2
-            scores[ids[:, None] == asking[None]] = -np.inf
-            n = min(len(ids), max(least, int(rerank * len(ids))))
-            best = np.argpartition(-scores, n - 1, axis=0)[:n] if n < len(ids) else np.broadcast_to(np.arange(len(ids))[:, None], scores.shape)
-            x, y = x.astype(np.float64), y.astype(np.float64)
-            got = []
-            for j, asks in enumerate(asking):
-                who = best[:, j][ids[best[:, j]] != asks]
-                exact = (x[who] * y[j]).sum(1) if measure == "inner" else -((x[who] - y[j]) ** 2).sum(1)
-                top = np.lexsort((ids[who], -exact))[:k]
-                got.append((np.full(len(top), asks), ids[who[top]], exact[top]))
-            out = {name: np.concatenate(column) for name, column in zip(out, zip(*got))}
-        return pa.table(out)
-
-    found = mine.groupBy("r", "q").cogroup(theirs.groupBy("r", "q")).applyInArrow(meet, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                rough -= held.column("norm").to_numpy()[:, None] / 2
+            rough[ids[:, None] == who[None, at : at + 128]] = -np.inf
+            n = min(len(ids), most)
+            best = np.argpartition(-rough, n - 1, axis=0)[:n] if n < len(ids) else np.broadcast_to(np.arange(len(ids))[:, None], rough.shape)
+            score = np.take_along_axis(rough, best, 0)
+            i, j = np.nonzero(score > -np.inf)
+            found.append((who[at + j], asks[at + j], ids[best[i, j]], own[best[i, j]], score[i, j]))
+        return pa.table([np.concatenate(x) for x in zip(*found)], names=names)
+
+    found = mine.groupBy("r", "q").cogroup(theirs.groupBy("r", "q")).applyInArrow(meet, "query_id long, asks long, vec_id long, own long, rough float")
+    best = Window.partitionBy("query_id", "asks").orderBy(F.desc("rough"), "vec_id", "own")
+    near = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= rerank).select("query_id", "asks", "vec_id", "own")
+    pairs = near.join(rows, ["vec_id", "own"]).join(asking, ["query_id", "asks"]).select("query_id", "vec_id", "own", "embedding", "query")
+
+    def exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (matrix(batch.column(c), dim).astype(np.float64) for c in (3, 4))
+            score = (x * y).sum(1) if measure == "inner" else -((x - y) ** 2).sum(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(score)], names=["query_id", "vec_id", "own", "score"])
+
+    scored = pairs.mapInArrow(exact, "query_id long, vec_id long, own long, score double").groupBy("query_id", "vec_id", "own").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "own")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -18,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a new one if the
+    master is local (tests); a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         if spark.sparkContext.getCheckpointDir() is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -30,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """df, written once as Parquet in the shared folder and read back: cuts the lineage, survives lost executors.
 
-    The files stay until the folder is cleared, as those of a checkpoint do.
+    The files stay until discard() or until the folder is cleared, as those of a checkpoint do.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vortiq-{tag}-{uuid.uuid4().hex}"
@@ -38,6 +41,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that materialize() wrote and nothing reads any more."""
+    spark = df.sparkSession
+    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if "/vortiq-" in path:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def signature(edges: DataFrame) -> tuple:
     """Count and order-free hash of an edge table."""
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -48,7 +60,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Labels (node, root) of every node that an edge (u, v) of longs touches; root is the smallest node of its component.
 
     Alternating large-star and small-star rounds (Kiveris et al., "Connected Components in MapReduce and Beyond"),
-    each written to the shared folder. A hub's neighbours meet only in partial minima and in a plain equi-join,
+    each written to the shared folder, where the table of the round before is then deleted. A hub's neighbours meet only in partial minima and in a plain equi-join,
     which adaptive execution splits. Loops and null ends are ignored; an empty input gives an empty result.
     """
     ends = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -60,7 +72,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        before, now = now, materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        discard(before)
         this = signature(now)
         if this == last:
             break

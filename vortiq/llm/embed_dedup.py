@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize
-from .vectors import listed, matrix, usable
+from .vectors import listed, matrix, parted, precision
 
 SLACK = 1e-6
 #: What single precision may be off by in a squared distance of unit vectors, with room to spare.
@@ -112,7 +112,7 @@ def compare(x: np.ndarray, counts: np.ndarray, home: np.ndarray, side: np.ndarra
     return links, label
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, block_dims: int = 16, chunk: int = 16384) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, block_dims: int = 16, chunk: int = 65536) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row.
 
     Equal vectors are one class: they link with each other and share the links of their class. Vectors that are null,
@@ -121,12 +121,12 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, block_dims: i
     other columns are ignored. Beside spans of cells, only the number of rows of each cell reaches the driver: at most
     (2 / width + 2) cells a block, whatever the corpus.
     """
-    given = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    rows = usable(embeddings)
+    rows, others = parted(embeddings)
+    alone = others.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     classes = materialize(rows.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
     first = classes.first()
     if first is None:
-        return given.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return alone.withColumn("kept", F.lit(True))
     dim = len(first["embedding"])
     spaces = Subspaces(dim, threshold, block_dims)
 
@@ -155,7 +155,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, block_dims: i
                             names=["block", "cell", "low", "high", "side", "home", "rep", "n", "embedding"],
                         )
 
-    dealt = classes.select("embedding", "rep", "n").mapInArrow(deal, "block int, cell long, low int, high int, side int, home long, rep long, n long, embedding array<float>")
+    dealt = classes.select("embedding", "rep", "n").mapInArrow(deal, f"block int, cell long, low int, high int, side int, home long, rep long, n long, embedding array<{precision(embeddings)}>")
 
     def meet(group: pa.Table) -> pa.Table:
         ids, n, home, side = (group.column(c).to_numpy() for c in ("rep", "n", "home", "side"))
@@ -172,5 +172,4 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, block_dims: i
     placed = classes.join(linked, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
     done = rows.join(placed, "embedding").select("vec_id", "n_links", "component_id")
-    alone = given.join(rows.select("vec_id").distinct(), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return done.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

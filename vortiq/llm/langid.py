@@ -26,7 +26,7 @@ SCRIPTS = [
     (0xAC00, 0xD7AF, "hangul"), (0x3040, 0x30FF, "kana"), (0x3400, 0x4DBF, "han"), (0x4E00, 0x9FFF, "han"), (0x20000, 0x2FFFF, "han"),
 ]
 BUCKETS = 1 << 15
-WORD = r"[^\W\d_]+"
+WORD = r"\p{L}[\p{L}\p{M}]*+"
 FAR = -60.0
 
 

@@ -38,7 +38,8 @@ def encoding(path: str, pattern: str):
     """The byte-level BPE of a tokenizers JSON file, run by its ranks; one a worker process.
 
     In such a file the ids of merged tokens follow the order of the merges, so ranks say the same as the merge list.
-    Strings of special tokens are ordinary text.
+    The strings of the file's added tokens stand for their ids wherever a text holds them, as they do in the tokenizers
+    library unless it is told to encode them like other text.
     """
     import tiktoken
 
@@ -46,9 +47,9 @@ def encoding(path: str, pattern: str):
         letters = byte_letters()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        _ENCODINGS[path, pattern] = tiktoken.Encoding("json", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _ENCODINGS[path, pattern] = tiktoken.Encoding("json", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
     return _ENCODINGS[path, pattern]
 
 
@@ -60,7 +61,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, size: int, end_id: int) ->
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(enc.encode_to_numpy(text.as_py() or "", disallowed_special=()), end_id).astype("<u4")
+                ids = np.append(enc.encode_to_numpy(text.as_py() or "", allowed_special="all"), end_id).astype("<u4")
                 for start in range(0, len(ids), size):
                     own = ids[start : start + size]
                     rows.append((doc, start, len(own), zlib.crc32(own.tobytes()), len(ids), part, seen[len(own)]))

@@ -205,8 +205,10 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_lines: int = 300) -> dict[str, np.ndarray]:
     """Fits on labelled rows outside the held-out third: about max_docs of them, chosen by a hash of doc_id, of at most
-    max_lines lines each. Null labels and ids are left out. With one label only, the curve alone tells it."""
-    known = labels.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    max_lines lines each. Null labels and ids are left out. Of labels that share an id the greatest counts, of texts that
+    share one the last in order, so that repeated rows don't widen the sample. With one label only, the curve alone
+    tells it."""
+    known = labels.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
     total = known.count()
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < min(1 << 20, -(-(max_docs << 20) // max(total, 1)))
 
@@ -220,7 +222,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_lines: i
             cols = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["doc_id", "quality", "x", "length"])
 
-    rows = docs.select("doc_id", "text").where(chosen).join(known.where(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, x binary, length binary").toArrow().sort_by("doc_id")
+    texts = docs.select("doc_id", "text").where(chosen).groupBy("doc_id").agg(F.max("text").alias("text"))
+    rows = texts.join(known.where(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, x binary, length binary").toArrow().sort_by("doc_id")
     if not rows.num_rows:
         return {"weights": np.zeros(N_FEATURES), "moves": np.zeros((2, 2)), "curve": np.array([0.0, 1.0])}
     x = [np.frombuffer(v.as_py(), "<f4").reshape(-1, N_FEATURES).astype(float) for v in rows.column("x")]

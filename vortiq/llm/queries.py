@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets as secrets_of_python
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,14 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """spark.vortiq.surrogate.key; where it is unset, one drawn at random that lasts as long as the session."""
+    name = "spark.vortiq.surrogate.key"
+    if not spark.conf.get(name, None):
+        spark.conf.set(name, secrets_of_python.token_hex(32))
+    return spark.conf.get(name)
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"), _pattern())
 
@@ -44,7 +53,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), surrogate_key(spark))
 
 
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

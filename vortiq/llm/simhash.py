@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import annotate, connected_components, discard, fresh, materialize
 
 RADIUS, SEED = 3, 42
 #: Variants that one bucket holds on average, at most.
@@ -144,6 +144,38 @@ def links(distinct: DataFrame) -> DataFrame:
     return variants(distinct, bits).groupBy("bucket").applyInArrow(run, "u long, v long").distinct()
 
 
+def components(prints: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of the distinct fingerprints of prints (doc_id, fp); root is a fingerprint."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    labels = connected_components(links(distinct)).select(F.col("node").alias("fp"), "root")
+    placed = materialize(distinct.join(labels, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed")
+    discard(distinct)
+    return placed.select("fp", "root").join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+
+
+def one_each(docs: DataFrame, width: int = 3) -> DataFrame:
+    """One row of each component: that of smallest doc_id, with all its columns; see near_duplicates().
+
+    Where rows share that id within a component, any one of them stays, and so it is where a component has no id.
+    Only rows whose id is null or repeated need their fingerprint again, to tell their component from their id's.
+    """
+    prints = materialize(fingerprints(docs, width), "fingerprints")
+    named = materialize(components(prints), "named")
+    least = prints.join(named, "fp").where("doc_id = component_id").groupBy("doc_id").agg(F.lit(True).alias("least"))
+    ids = materialize(prints.where("doc_id is not null").groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("repeated")).join(least, "doc_id", "left").where("least or repeated"), "ids")
+    alone = docs.join(ids.where("least and not repeated").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    unsure = docs.join(ids.where("repeated").select("doc_id"), "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
+    own = fresh(docs.columns, "dup")
+    fp, root, first = own + "fp", own + "root", own + "first"
+
+    def work():
+        return lambda texts: [pa.array(np.fromiter((fingerprint(t, width) for t in texts), dtype=np.uint64, count=len(texts)).view(np.int64))]
+
+    printed = annotate(unsure, tuple(docs.columns), "fp long", work, own)
+    placed = printed.join(named.select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(first)), fp)
+    return alone.union(placed.where(F.col("doc_id").eqNullSafe(F.col(first))).dropDuplicates([root]).select(*docs.columns))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """Fingerprint and component of every document.
 
@@ -153,10 +185,5 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     no other id. An empty table gives an empty result; other columns are ignored.
     """
     prints = materialize(fingerprints(docs, width), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    labels = connected_components(links(distinct)).select(F.col("node").alias("fp"), "root")
-    placed = distinct.join(labels, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = materialize(placed, "placed")
-    components = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(components, "root").select("fp", "component_id")
+    named = components(prints).select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
