@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vortiq.llm import langid, packing, pii, quality, simhash
 from vortiq.llm.common import fresh, materialize, table
+from vortiq.llm.queries import surrogate_key
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,16 +25,14 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document of smallest doc_id stays, once; rows without an id go."""
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("repeated"))
-    once = docs.join(kept.where("not repeated"), "doc_id", "left_semi")
-    return once.union(docs.join(kept.where("repeated"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    """Of each component of near copies one document stays, that of smallest doc_id; null ids come last."""
+    return simhash.one_each(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced; n_chars follows the text."""
     own = fresh(docs.columns)
-    done = pii.replace(docs, found=f"{own}n_pii")
+    done = pii.replace(docs, surrogate_key(spark), f"{own}n_pii")
     return done.select(*[F.when(F.col(f"{own}n_pii") > 0, F.char_length("text")).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
