@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boundary, dynamics, fields, flow, relational, sections
+from . import boundary, dynamics, fields, flow, oracles, relational, sections
 
 PARTS = (flow, relational, boundary, fields, dynamics, sections)
 
@@ -16,4 +16,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for part in PARTS for name, (_, sql) in part.QUERIES.items() if sql}
+    return {name: sql for part in PARTS for name, (_, sql) in part.QUERIES.items() if sql} | oracles.SQL

@@ -34,6 +34,12 @@ def energies(s, d):
     return modal.energy_table(modal.pod(snaps(s, d)), s, [0.5, 0.8, 0.95])
 
 
+def traces(s, d):
+    """Sums of the eigenvalues and of their squares."""
+    values = modal.pod(snaps(s, d)).eigenvalues
+    return s.createDataFrame([(float(values.sum()), float((values**2).sum()))], "total double, squared double")
+
+
 def modes(s, d):
     model = modal.pod(snaps(s, d))
     return modal.coefficients(snaps(s, d), model, 5).groupBy("mode").agg(F.avg(F.col("a") * F.col("a")).alias("energy"), F.count(F.lit(1)).alias("n")).withColumn("dof", F.lit(len(model.mean)))
@@ -90,6 +96,7 @@ QUERIES = {
     "pod_total_energy": (lambda s, d: rounded(modal.total_energy(piv(s, d))), final(SMP, "SELECT max(n)*sum(e)/(2*count(*)) AS total_energy FROM (SELECT j, i, count(*) AS n, var_pop(coalesce(u, 0))+var_pop(coalesce(v, 0)) AS e FROM smp GROUP BY j, i) t", "total_energy~")),
     "pod_energy": (lambda s, d: rounded(energies(s, d)), None),
     "pod_eigenvalue_sum": (lambda s, d: rounded(s.createDataFrame([(float(modal.pod(snaps(s, d)).eigenvalues.sum()),)], "total_energy double")), final(SMP, "SELECT max(n)*sum(e)/(2*count(*)) AS total_energy FROM (SELECT j, i, count(*) AS n, var_pop(coalesce(u, 0))+var_pop(coalesce(v, 0)) AS e FROM smp GROUP BY j, i) t", "total_energy~")),
+    "pod_traces": (lambda s, d: rounded(traces(s, d)), None),
     "pod_modes": (lambda s, d: rounded(modes(s, d)), None),
     "pod_reconstruction": (lambda s, d: rounded(rebuilt(s, d)), final(PIV, "SELECT DISTINCT frame_id, 0.0 AS worst FROM piv", "frame_id worst~")),
     "pod_denoise_rank": (lambda s, d: rounded(denoised(s, d)), None),
