@@ -201,3 +201,26 @@ def test_files_and_flow_maps_of_all_frames(spark, sf):
     assert got[1].n + got[2].n == 32 * n
     starts = {r.start for r in fields.QUERIES["ftle"][0](spark, sf).select("start").distinct().collect()}
     assert starts == {*range(1, n // 2 - 3), *range(n // 2 + 1, n - 3)}
+
+
+def test_both_sides_of_the_decomposition_agree(spark):
+    """Fewer frames than degrees of freedom, spatial blocks of a few columns, gaps between frame numbers."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((5, 40))
+    x = 3 + rng.standard_normal((18, 5)) @ base * [[1.0]] + 0.01 * rng.standard_normal((18, 40))
+    rows = spark.createDataFrame([(int(k), [float(v) for v in r]) for k, r in zip(range(1, 19), x)], "frame_id long, x array<double>")
+    dof, frames = modal.pod(rows, "dof"), modal.pod(rows, task_bytes=4 * 8 * 18 * 7)
+    assert isinstance(frames, modal.FramePod) and np.allclose(dof.eigenvalues[:17], frames.eigenvalues[:17], atol=1e-9)
+    a, b = ({r.frame_id: np.array(r.x) for r in modal.reconstruct(rows, m, 4).collect()} for m in (dof, frames))
+    assert all(np.allclose(a[k], b[k], atol=1e-9) for k in a) and len(a) == len(b) == 18
+    only = {r.frame_id: np.array(r.x) for r in modal.reconstruct(rows, frames, 4, fluctuations=True).collect()}
+    assert all(np.allclose(only[k] + x.mean(0), b[k], atol=1e-9) for k in b)
+    made = {}
+    for r in modal.mode_blocks(rows, frames, 4).orderBy("mode", "first").collect():
+        made.setdefault(r.mode, []).extend(r["values"])
+    modes = np.array([made[k] for k in (1, 2, 3, 4)])
+    assert np.allclose(np.abs((modes * dof.modes[:, :4].T).sum(1)), 1, atol=1e-9)
+    c, d = ({(r.frame_id, r.mode): abs(r.a) for r in modal.coefficients(rows, m, 4).collect()} for m in (dof, frames))
+    assert all(abs(c[k] - d[k]) < 1e-9 for k in c)
+    p, q = modal.dmd(rows, 5, 0.1, "dof"), modal.dmd(rows, 5, 0.1, "frames", 4 * 8 * 18 * 7)
+    assert np.allclose(p.sort_values(["re", "im"]).to_numpy(), q.sort_values(["re", "im"]).to_numpy(), atol=1e-6)

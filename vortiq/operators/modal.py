@@ -1,8 +1,10 @@
 """Modal decompositions of sequences of fields.
 
-A snapshot is a frame's vector of degrees of freedom (u at all kept points, then v). Gram matrices are sums over frames
-of outer products, added up per partition with NumPy and merged by Spark; the smaller side is chosen, so what reaches
-the driver is dof x dof (a grid's size squared) or frames x frames of a bounded number of frames, never the snapshots.
+A snapshot is a frame's vector of degrees of freedom (u at all kept points, then v). The smaller side is decomposed.
+With fewer degrees of freedom than frames, outer products are added up per partition (dof x dof). With fewer frames,
+snapshots are cut into spatial blocks: a task holds all frames of one block, emits its products as tiles, and Spark adds
+the tiles up; so no task holds more than frames x width numbers and only frames x frames reach the driver. Modes of that
+side are a table of blocks, never an array on the driver.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,7 +91,7 @@ class Pod:
     def __init__(self, n: int, mean: np.ndarray, square: np.ndarray):
         values, vectors = np.linalg.eigh((square + square.T) / 2)
         order = np.argsort(-values, kind="stable")[: min(len(values), n)]
-        self.n, self.mean = n, mean
+        self.n, self.mean, self.dof = n, mean, len(mean)
         self.eigenvalues = values[order] / len(mean)
         self.modes = vectors[:, order]
 
@@ -99,7 +102,7 @@ class Pod:
 
     def threshold_rank(self) -> dict[str, float]:
         """Rank by the optimal hard threshold for singular values of unknown noise."""
-        dof = len(self.mean)
+        dof = self.dof
         s = np.sqrt(np.maximum(self.eigenvalues, 0) * dof)
         beta = min(dof, self.n) / max(dof, self.n)
         omega = 0.56 * beta**3 - 0.95 * beta**2 + 1.82 * beta + 1.43
@@ -107,14 +110,98 @@ class Pod:
         return {"beta": beta, "omega": omega, "threshold": limit, "rank": max(1, int((s > limit).sum()))}
 
 
-def pod(rows: DataFrame) -> Pod:
-    """Proper orthogonal decomposition of snapshots (frame_id, x); dof must be a size whose square fits the driver."""
-    first = rows.first()
-    return Pod(*moments(rows, len(first["x"])))
+def cut(rows: DataFrame, dof: int, width: int) -> DataFrame:
+    """Snapshots (frame_id, x) as (block, frame_id, x): runs of at most width degrees of freedom."""
+    parts = F.transform(F.sequence(F.lit(0), F.lit((dof - 1) // width)), lambda k: F.slice("x", k * width + 1, F.lit(width)))
+    return rows.select("frame_id", F.posexplode(parts).alias("block", "x"))
+
+
+def _block(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Frame ids in order and their values (frames x width) of one block."""
+    order = np.argsort(group.column("frame_id").to_numpy(), kind="stable")
+    lists = group.column("x").combine_chunks()
+    values = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(order), -1).astype(float, copy=False)
+    return group.column("frame_id").to_numpy()[order], values[order]
+
+
+def block_width(n: int, task_bytes: int) -> int:
+    """Degrees of freedom of a block, so that all its frames take about a quarter of what a task may hold."""
+    return max(1, task_bytes // (4 * 8 * max(n, 1)))
+
+
+def gramian(rows: DataFrame, n: int, dof: int, centred: bool = True, task_bytes: int = 1 << 30, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Frame ids and the frames x frames products of snapshots, centred about their mean or as they are."""
+
+    def products(group: pa.Table) -> pa.Table:
+        _, x = _block(group)
+        if centred:
+            x = x - x.mean(0)
+        out = [(a, b, (x[a : a + tile] @ x[b : b + tile].T).tobytes()) for a in range(0, len(x), tile) for b in range(a, len(x), tile)]
+        return pa.table({"a": [r[0] for r in out], "b": [r[1] for r in out], "m": pa.array([r[2] for r in out], pa.binary())})
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(m.as_py(), float) for m in group.column("m"))
+        return pa.table({"a": group.column("a")[:1], "b": group.column("b")[:1], "m": pa.array([total.tobytes()], pa.binary())})
+
+    kind = "a long, b long, m binary"
+    tiles = cut(rows, dof, block_width(n, task_bytes)).groupBy("block").applyInArrow(products, kind).groupBy("a", "b").applyInArrow(add, kind)
+    out = np.zeros((n, n))
+    for r in tiles.toLocalIterator():
+        a, b = r["a"], r["b"]
+        part = np.frombuffer(r["m"], float).reshape(min(tile, n - a), min(tile, n - b))
+        out[a : a + tile, b : b + tile] = part
+        out[b : b + tile, a : a + tile] = part.T
+    ids = np.array([r["frame_id"] for r in rows.select("frame_id").orderBy("frame_id").collect()])
+    return ids, out
+
+
+class FramePod(Pod):
+    """The same from the frames' side: `vectors` (frames x modes) are the modes' courses in time, to unit length."""
+
+    def __init__(self, ids: np.ndarray, products: np.ndarray, dof: int, task_bytes: int = 1 << 30):
+        values, vectors = np.linalg.eigh((products + products.T) / 2)
+        order = np.argsort(-values, kind="stable")[: min(len(values), dof)]
+        self.n, self.dof, self.ids, self.task_bytes = len(ids), dof, ids, task_bytes
+        self.eigenvalues, self.vectors = values[order] / dof, vectors[:, order]
+
+
+def pod(rows: DataFrame, side: str | None = None, task_bytes: int = 1 << 30) -> Pod:
+    """Proper orthogonal decomposition of snapshots (frame_id unique, x of one length), from the smaller side, or from
+    that named: "dof" or "frames". Its square must fit the driver."""
+    first, n = rows.first(), rows.count()
+    dof = len(first["x"])
+    if side == "dof" or (side is None and dof <= n):
+        return Pod(*moments(rows, dof))
+    return FramePod(*gramian(rows, n, dof, True, task_bytes), dof, task_bytes)
+
+
+def mode_blocks(rows: DataFrame, model: Pod, rank: int) -> DataFrame:
+    """(block, first, mode, values): the modes as runs of degrees of freedom from `first` (0 for the first of all).
+
+    From the frames' side each run is made where its block of snapshots lies: frames x rank numbers travel to the tasks.
+    """
+    kind = "block int, first long, mode int, values array<double>"
+    if not isinstance(model, FramePod):
+        return rows.sparkSession.createDataFrame([(0, 0, k + 1, [float(v) for v in model.modes[:, k]]) for k in range(rank)], kind)
+    width = block_width(model.n, model.task_bytes)
+    scale = np.sqrt(np.maximum(model.eigenvalues[:rank] * model.dof, 1e-300))
+    vectors = model.vectors[:, :rank] / scale
+
+    def run(group: pa.Table) -> pa.Table:
+        _, x = _block(group)
+        modes = (x - x.mean(0)).T @ vectors
+        block = group.column("block")[0].as_py()
+        return pa.table({"block": pa.array([block] * rank, pa.int32()), "first": pa.array([block * width] * rank, pa.int64()), "mode": pa.array(np.arange(1, rank + 1), pa.int32()), "values": pa.array(list(modes.T), pa.list_(pa.float64()))})
+
+    return cut(rows, model.dof, width).withColumn("block", F.col("block").cast("int")).groupBy("block").applyInArrow(run, kind)
 
 
 def coefficients(rows: DataFrame, model: Pod, rank: int) -> DataFrame:
     """(frame_id, mode, a): projections of the centred snapshots on the first modes."""
+    if isinstance(model, FramePod):
+        a = model.vectors[:, :rank] * np.sqrt(np.maximum(model.eigenvalues[:rank] * model.dof, 0))
+        table = pd.DataFrame({"frame_id": np.repeat(model.ids, rank), "mode": np.tile(np.arange(1, rank + 1), model.n), "a": a.ravel()})
+        return rows.sparkSession.createDataFrame(table, "frame_id long, mode int, a double")
     modes, mean = model.modes[:, :rank], model.mean
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,15 +213,32 @@ def coefficients(rows: DataFrame, model: Pod, rank: int) -> DataFrame:
     return rows.mapInPandas(run, "frame_id long, mode int, a double")
 
 
-def reconstruct(rows: DataFrame, model: Pod, rank: int, chosen: list[int] | None = None) -> DataFrame:
-    """Snapshots rebuilt from the mean and the first (or the chosen, from 1) modes."""
-    modes, mean = (model.modes[:, :rank] if chosen is None else model.modes[:, [k - 1 for k in chosen]]), model.mean
+def reconstruct(rows: DataFrame, model: Pod, rank: int, chosen: list[int] | None = None, fluctuations: bool = False) -> DataFrame:
+    """Snapshots rebuilt from the mean (left out for fluctuations) and the first (or the chosen, from 1) modes.
+
+    From the frames' side every spatial block is projected on the modes' courses in time, and the blocks of a frame are
+    put together again.
+    """
+    pick = list(range(rank)) if chosen is None else [k - 1 for k in chosen]
+    if isinstance(model, FramePod):
+        vectors = model.vectors[:, pick]
+
+        def project(group: pa.Table) -> pa.Table:
+            ids, x = _block(group)
+            mean = x.mean(0)
+            made = vectors @ (vectors.T @ (x - mean)) + (0 if fluctuations else mean)
+            return pa.table({"frame_id": ids, "block": pa.array([group.column("block")[0].as_py()] * len(ids), pa.int32()), "x": pa.array(list(made), pa.list_(pa.float64()))})
+
+        parts = cut(rows, model.dof, block_width(model.n, model.task_bytes)).withColumn("block", F.col("block").cast("int")).groupBy("block").applyInArrow(project, "frame_id long, block int, x array<double>")
+        return parts.groupBy("frame_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "x"))), lambda p: p["x"])).alias("x"))
+    modes, mean = model.modes[:, pick], model.mean
+    base = np.zeros_like(mean) if fluctuations else mean
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 x = np.stack(batch.x.to_numpy()).astype(float) - mean
-                yield pd.DataFrame({"frame_id": batch.frame_id, "x": list(mean + (x @ modes) @ modes.T)})
+                yield pd.DataFrame({"frame_id": batch.frame_id, "x": list(base + (x @ modes) @ modes.T)})
 
     return rows.mapInPandas(run, "frame_id long, x array<double>")
 
@@ -169,14 +273,31 @@ def total_energy(samples: DataFrame) -> DataFrame:
     return own.agg((F.max("n") * F.sum("e") / (2 * F.count(F.lit(1)))).alias("total_energy"))
 
 
-def dmd(rows: DataFrame, rank: int, dt: float) -> pd.DataFrame:
+def dmd(rows: DataFrame, rank: int, dt: float, side: str | None = None, task_bytes: int = 1 << 30) -> pd.DataFrame:
     """Exact dynamic mode decomposition of snapshots of consecutive frames: eigenvalue, growth, frequency, amplitude.
 
-    With X and Y the snapshots and their successors, X X' and Y X' (dof x dof) are all that is needed: the left singular
-    vectors and values of X come from the first. A snapshot meets its successor in an equi-join on the frame.
+    With X and Y the snapshots and their successors, the products of all snapshots with each other are all that is
+    needed from the frames' side; from the other, X X' and Y X' (dof x dof), where a snapshot meets its successor in an
+    equi-join on the frame. The smaller side is taken, or the one named.
     """
     first = rows.orderBy("frame_id").first()
-    dof = len(first["x"])
+    dof, n = len(first["x"]), rows.count()
+    if side == "frames" or (side is None and n < dof):
+        ids, every = gramian(rows, n, dof, False, task_bytes)
+        at = {k: p for p, k in enumerate(ids.tolist())}
+        x = np.array([p for k, p in at.items() if k + 1 in at])
+        y = np.array([at[k + 1] for k in at if k + 1 in at])
+        values, v = np.linalg.eigh(every[np.ix_(x, x)])
+        order = np.argsort(-values, kind="stable")
+        s = np.sqrt(np.maximum(values[order], 0))
+        rank = max(1, min(rank, int((s > max(dof, 2) * np.finfo(float).eps ** 0.5 * s[0]).sum())))
+        v = v[:, order[:rank]] / s[:rank]
+        lam, w = np.linalg.eig(v.T @ every[np.ix_(x, y)] @ v)
+        w = v @ w
+        squares = w.conj().T @ every[np.ix_(y, y)] @ w
+        size = np.maximum(np.sqrt(np.maximum(np.diag(squares).real, 0)), 1e-300)
+        amplitude = np.linalg.pinv(squares / np.outer(size, size), hermitian=True) @ ((w / size).conj().T @ every[y, at[first["frame_id"]]])
+        return _spectrum(lam, amplitude, dt)
     pairs = rows.join(rows.select((F.col("frame_id") - 1).alias("frame_id"), F.col("x").alias("y")), "frame_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,13 +315,15 @@ def dmd(rows: DataFrame, rank: int, dt: float) -> pd.DataFrame:
     rank = max(1, min(rank, int((s > max(dof, 2) * np.finfo(float).eps ** 0.5 * s[0]).sum())))
     u, s = u[:, order[:rank]], s[:rank]
     # A = U' Y V / s with V = X' U / s
-    small = (u.T @ yx @ u) / s**2
-    lam, w = np.linalg.eig(small)
+    lam, w = np.linalg.eig((u.T @ yx @ u) / s**2)
     modes = (yx @ u / s**2) @ w
     modes = modes / np.maximum(np.linalg.norm(modes, axis=0), 1e-300)
+    return _spectrum(lam, np.linalg.pinv(modes) @ np.array(first["x"], float), dt)
+
+
+def _spectrum(lam: np.ndarray, amplitude: np.ndarray, dt: float) -> pd.DataFrame:
     floor = max(1e-12, 100 * np.spacing(max(1.0, np.abs(lam).max())))
     log = np.where(np.abs(lam) < floor, np.log(floor) + 1j * np.angle(lam), np.log(np.where(lam == 0, 1, lam)))
-    amplitude = np.linalg.pinv(modes) @ np.array(first["x"], float)
     out = pd.DataFrame({"re": lam.real, "im": lam.imag, "growth": log.real / dt, "frequency": log.imag / dt / (2 * np.pi), "amplitude": np.abs(amplitude)})
     return out.sort_values(["amplitude", "frequency"], ascending=[False, True], ignore_index=True)
 
