@@ -19,4 +19,4 @@ def pack(samples: DataFrame, values: list[str], keys: tuple[str, ...] = ("repeat
 
 def field(row, shape: tuple[int, int]) -> np.ndarray:
     """A packed array as a field, NaN where missing."""
-    return np.array([np.nan if x is None else x for x in row], dtype=float).reshape(shape)
+    return np.asarray(row, dtype=float).reshape(shape)

@@ -6,11 +6,12 @@ catalog rows. Profiles and grids that every frame needs have a grid's size and t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field as default
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +45,15 @@ def label(mask: np.ndarray, connectivity: int) -> np.ndarray:
     return np.where(mask, np.searchsorted(names, roots) + 1, 0)
 
 
+def by_label(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and columns of all labelled pixels in the order of their labels, where each label begins, and its size."""
+    j, i = np.nonzero(marks)
+    own = marks[j, i]
+    order = np.argsort(own, kind="stable")
+    n = np.bincount(own)[1:] if len(own) else np.zeros(0, int)
+    return j[order], i[order], np.cumsum(n) - n, n
+
+
 def spread(mask: np.ndarray, radius: int = 1) -> np.ndarray:
     """Whether any pixel of the square window is set."""
     padded = np.pad(mask, radius)
@@ -113,21 +123,22 @@ def find_structures(frames: DataFrame, shape: tuple[int, int], u_rms: np.ndarray
                 for sign in (1, -1):
                     mask = valid & (sign * np.nan_to_num(u) > level)
                     for connectivity in how.connectivities:
-                        marks = label(mask, connectivity)
-                        jj, ii = np.nonzero(marks)
-                        of = marks[jj, ii]
-                        for k in range(1, of.max() + 1 if len(of) else 1):
-                            at = of == k
-                            j, i = jj[at], ii[at]
-                            c0, c1, r0, r1 = int(i.min()) + 1, int(i.max()) + 1, int(j.min()) + 1, int(j.max()) + 1
-                            y0, y1 = max(wall_mm[j].min() - how.dy_mm / 2, 0.0), wall_mm[j].max() + how.dy_mm / 2
-                            lx = (c1 - c0 + 1) * how.dx_mm
+                        jj, ii, first, n = by_label(label(mask, connectivity))
+                        if not len(n):
+                            continue
+                        least, most = (lambda x: np.minimum.reduceat(x, first)), (lambda x: np.maximum.reduceat(x, first))
+                        c0, c1, r0, r1 = least(ii) + 1, most(ii) + 1, least(jj) + 1, most(jj) + 1
+                        y0, y1 = np.maximum(least(wall_mm[jj]) - how.dy_mm / 2, 0.0), most(wall_mm[jj]) + how.dy_mm / 2
+                        bad, out_of = (np.maximum.reduceat(near[jj, ii], first) for near in (near_bad, near_out))
+                        for k in range(len(n)):
+                            a, b, c, d, size = int(c0[k]), int(c1[k]), int(r0[k]), int(r1[k]), int(n[k])
+                            lx = (b - a + 1) * how.dx_mm
                             passes = [lx / how.delta99_mm > t for t in how.thresholds]
-                            lower, upper = y0 * how.plus_per_mm <= how.lower_plus, y1 * how.plus_per_mm >= how.upper_plus
-                            code = (c0 == 1) + 2 * (c1 == shape[1]) + 4 * (r1 == shape[0])
-                            edge = how.edge_buffer is not None and (c0 <= 1 + how.edge_buffer or c1 >= shape[1] - how.edge_buffer)
-                            n = int(at.sum())
-                            out.append((r.repeat_id, r.frame_id, sign, connectivity, k, n, c0, c1, r0, r1, x_mm[c0 - 1] - how.dx_mm / 2, x_mm[c1 - 1] + how.dx_mm / 2, y0, y1, n * how.dx_mm * how.dy_mm, n / ((c1 - c0 + 1) * (r1 - r0 + 1)), lx, lx / how.delta99_mm, y0 * how.plus_per_mm, y1 * how.plus_per_mm, passes, lower, upper, c0 == 1, c1 == shape[1], r0 == 1, r1 == shape[0], bool(near_bad[j, i].any()), bool(near_out[j, i].any()), code > 0, code, edge, bool(passes and passes[0] and lower and upper and not edge)))
+                            low, high = y0[k] * how.plus_per_mm, y1[k] * how.plus_per_mm
+                            lower, upper = bool(low <= how.lower_plus), bool(high >= how.upper_plus)
+                            code = (a == 1) + 2 * (b == shape[1]) + 4 * (d == shape[0])
+                            edge = how.edge_buffer is not None and (a <= 1 + how.edge_buffer or b >= shape[1] - how.edge_buffer)
+                            out.append((r.repeat_id, r.frame_id, sign, connectivity, k + 1, size, a, b, c, d, x_mm[a - 1] - how.dx_mm / 2, x_mm[b - 1] + how.dx_mm / 2, y0[k], y1[k], size * how.dx_mm * how.dy_mm, size / ((b - a + 1) * (d - c + 1)), lx, lx / how.delta99_mm, low, high, passes, lower, upper, a == 1, b == shape[1], c == 1, d == shape[0], bool(bad[k]), bool(out_of[k]), code > 0, code, edge, bool(passes and passes[0] and lower and upper and not edge)))
             yield pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in CATALOG.split(", ")])
 
     return frames.select("repeat_id", "frame_id", "u").mapInPandas(run, CATALOG)
@@ -237,17 +248,15 @@ def hysteresis_sweep(frames: DataFrame, shape: tuple[int, int], scale: np.ndarra
                     masks = hysteresis_masks(u, scale, domain, how)
                     serial = 0
                     for sign in (1, -1):
-                        marks = label(masks[sign], how.connectivity)
+                        jj, ii, first, sizes = by_label(label(masks[sign], how.connectivity))
                         kept = 0
-                        for k in range(1, marks.max() + 1):
-                            j, i = np.nonzero(marks == k)
-                            if len(j) < how.min_pixels:
-                                continue
+                        for k in np.flatnonzero(sizes >= how.min_pixels):
+                            j, i = jj[first[k] : first[k] + sizes[k]], ii[first[k] : first[k] + sizes[k]]
                             made = geometry(u, sign, j, i, x_mm, y_mm, dx, dy, delta)
                             if made[14] > how.max_aspect or (how.reject_boundary and rim[j, i].any()):
                                 continue
                             serial, kept = serial + 1, kept + 1
-                            pixels = [{"j": int(a) + 1, "i": int(b) + 1} for a, b in zip(j, i)]
+                            pixels = [{"j": a, "i": b} for a, b in zip((j + 1).tolist(), (i + 1).tolist())]
                             out.append((number, r.repeat_id, r.frame_id, serial, sign, kept, *made, made[15] >= how.min_lsm, made[15] >= how.min_vlsm, pixels))
             yield pd.DataFrame(out, columns=names)
 
@@ -273,8 +282,10 @@ def threshold_sweep(frames: DataFrame, shape: tuple[int, int], scale: np.ndarray
                     for connectivity in connectivities:
                         for sign in (1, -1):
                             sizes = np.bincount(label(sign * u >= alpha, connectivity).ravel())[1:]
-                            out += [(r.frame_id, alpha, connectivity, sign, k + 1, int(n)) for k, n in enumerate(sizes)]
-            yield pd.DataFrame(out, columns=names)
+                            out.append((r.frame_id, alpha, connectivity, sign, sizes))
+            n = [len(o[-1]) for o in out]
+            repeated = {c: np.repeat([o[k] for o in out], n) for k, c in enumerate(names[:4])}
+            yield pd.DataFrame({**repeated, "component_id": np.concatenate([np.arange(1, k + 1) for k in n] or [[]]), "pixel_count": np.concatenate([o[-1] for o in out] or [[]])})
 
     return frames.select("frame_id", "u").mapInPandas(run, "frame_id long, alpha double, connectivity int, sign int, component_id long, pixel_count long")
 
@@ -296,35 +307,46 @@ def quadrant_objects(frames: DataFrame, shape: tuple[int, int], scale: np.ndarra
     """
     level = max(hole, 2.220446049250313e-16)
 
-    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                u, v = field(r.u, shape), field(r.v, shape)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    ok = domain & np.isfinite(u) & np.isfinite(v) & (scale > 0)
-                    c = np.where(ok, np.sign(u) * np.abs(u * v) / np.maximum(scale, 2.220446049250313e-16), np.nan)
-                rows.append((r.repeat_id, r.frame_id, [None if x != x else float(x) for x in c.ravel()]))
-            yield pd.DataFrame(rows, columns=["repeat_id", "frame_id", "u"])
+    def signed(r) -> np.ndarray:
+        u, v = field(r.u, shape), field(r.v, shape)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            ok = domain & np.isfinite(u) & np.isfinite(v) & (scale > 0)
+            return np.where(ok, np.sign(u) * np.abs(u * v) / np.maximum(scale, 2.220446049250313e-16), np.nan)
 
-    fields = frames.select("repeat_id", "frame_id", "u", "v").mapInPandas(signed, "repeat_id int, frame_id long, u array<double>")
+    fields = each_field(frames.select("repeat_id", "frame_id", "u", "v"), signed)
     return hysteresis_structures(fields, shape, np.ones(shape), domain, x_mm, y_mm, delta, Hysteresis(alpha=level, seed_alpha=level, connectivity=connectivity))
 
 
 def blurred(frames: DataFrame, shape: tuple[int, int], sigma: tuple[float, float], size: tuple[int, int], mode: str = "symmetric", by_mask: bool = True) -> DataFrame:
     """frames with u blurred; missing values take no part and stay missing (or count as zero if not by_mask)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blur(r) -> np.ndarray:
+        u = field(r.u, shape)
+        ok = np.isfinite(u)
+        return np.where(ok, gaussian(np.where(ok, u, 0.0), sigma, size, mode, ok if by_mask else None), np.nan)
+
+    return each_field(frames.select("repeat_id", "frame_id", "u"), blur)
+
+
+def preprocessed(frames: DataFrame, shape: tuple[int, int], sigma: tuple[float, float], size: tuple[int, int], mode: str = "symmetric", by_mask: bool = True) -> DataFrame:
+    """Counts of what blurred() does to each frame: valid, missing and changed pixels, and the largest change."""
+    after = blurred(frames, shape, sigma, size, mode, by_mask).withColumnRenamed("u", "_after")
+    gap = F.zip_with("u", "_after", lambda a, b: F.abs(a - b))
+    rows = frames.select("repeat_id", "frame_id", "u").join(after, ["repeat_id", "frame_id"]).withColumn("_gap", F.filter(gap, lambda x: x.isNotNull()))
+    return rows.select("repeat_id", "frame_id", F.size(F.filter("u", lambda x: x.isNotNull())).alias("valid"), F.size(F.filter("u", lambda x: x.isNull())).alias("missing"), F.size(F.filter("_after", lambda x: x.isNotNull())).alias("valid_after"), F.size(F.filter("_gap", lambda x: x > 1e-9)).alias("changed"), F.array_max("_gap").alias("largest_change"))
+
+
+def each_field(frames: DataFrame, work: Callable[..., np.ndarray]) -> DataFrame:
+    """(repeat_id, frame_id, u): the field that work makes of each row of frames; NaN becomes NULL."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                u = field(r.u, shape)
-                ok = np.isfinite(u)
-                got = gaussian(np.where(ok, u, 0.0), sigma, size, mode, ok if by_mask else None)
-                rows.append((r.repeat_id, r.frame_id, [float(x) if good else None for x, good in zip(got.ravel(), ok.ravel())]))
-            yield pd.DataFrame(rows, columns=["repeat_id", "frame_id", "u"])
+            made = [np.asarray(work(r), float).ravel() for r in batch.to_pandas().itertuples()]
+            flat = np.concatenate(made) if made else np.zeros(0)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, made)]), pa.int32()), pa.array(flat, mask=np.isnan(flat)))
+            yield pa.RecordBatch.from_arrays([batch.column("repeat_id"), batch.column("frame_id"), lists], names=["repeat_id", "frame_id", "u"])
 
-    return frames.select("repeat_id", "frame_id", "u").mapInPandas(run, "repeat_id int, frame_id long, u array<double>")
+    return frames.mapInArrow(run, "repeat_id int, frame_id long, u array<double>")
 
 
 def merge_streamwise(catalog: DataFrame, gap_mm: float, need_y_overlap: bool = True) -> DataFrame:
