@@ -13,6 +13,20 @@ def velocity_profile(stats: DataFrame, value: str, first: int, last: int) -> Dat
     return stats.where(F.col("i").between(first, last)).groupBy("j").agg(strict_mean(value).alias("u")).where("u is not null")
 
 
+def nearest_columns(stats: DataFrame, places: list[float]) -> DataFrame:
+    """(place, i): the column nearest in x (the smaller at ties) to each place, of stats with i and x_mm."""
+    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("place"), F.lit(float(x)).alias("at")) for k, x in enumerate(places)])).alias("p")
+    rows = stats.select("i", "x_mm").distinct().select("i", "x_mm", wanted)
+    return rows.groupBy("p.place").agg(F.min_by("i", F.struct(F.abs(F.col("x_mm") - F.col("p.at")), "i")).alias("i"))
+
+
+def profile_at(stats: DataFrame, value: str, places: list[float]) -> DataFrame:
+    """Profile at one place, or the mean of those at several (a column counts once for each place it is nearest to);
+    rows with a missing member left out. stats has j, i, x_mm and the value."""
+    own = stats.join(nearest_columns(stats, places), "i")
+    return own.groupBy("j").agg(strict_mean(value).alias("u")).where("u is not null")
+
+
 def numbered(profiles: DataFrame, keys: list[str]) -> DataFrame:
     """profiles (keys, j, u) without zeros and gaps, numbered n from the wall."""
     return profiles.where("u is not null and u <> 0").withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("j")))
@@ -69,6 +83,55 @@ def clauser_fit(scan: DataFrame, keys: list[str], u_edge: float, digits: int = 9
     return best.select(*keys, "_b.number", "_b.rmse", "_b.u_tau", (2 * F.pow(F.col("_b.u_tau") / u_edge, 2)).alias("cf"))
 
 
+def clauser_at(profiles: DataFrame, keys: list[str], u_edge: float, nu: float, h_mm: float, dy_mm: float, number: float | None = None, u_tau: float | None = None, kappa: float = 0.41, b: float = 5.0, window: tuple[float, float] = (30.0, 300.0), skip: int = 0) -> DataFrame:
+    """The log law at a given chart number, or at a given friction velocity: keys, number, u_tau, cf, rmse, n_points.
+
+    A number beyond those of the chart (0 to 24) is refused; fewer than three points in the window leave rmse NULL.
+    """
+    if (number is None) == (u_tau is None) or (number is not None and not 0 <= number <= 24) or (u_tau is not None and not u_tau > 0):
+        raise ValueError("one of a chart number from 0 to 24 and a positive friction velocity is needed")
+    tau = u_tau if number is None else ((5e-3 - 2e-4 * number) * u_edge**2 / 2) ** 0.5
+    y_plus = ((F.col("n") - 1 + skip) * h_mm + dy_mm) * 1e-3 * tau / nu
+    gap = F.when(y_plus.between(*window), F.col("u") / tau - (F.ln(y_plus) / kappa + b))
+    got = profiles.groupBy(*keys).agg(F.count(gap).alias("n_points"), F.sqrt(F.avg(gap * gap)).alias("_rmse"))
+    return got.select(*keys, F.lit(None if number is None else float(number)).cast("double").alias("number"), F.lit(tau).alias("u_tau"), F.lit(2 * (tau / u_edge) ** 2).alias("cf"), F.when(F.col("n_points") >= 3, F.col("_rmse")).alias("rmse"), "n_points")
+
+
+def chart_params(profiles: DataFrame, keys: list[str], fit: DataFrame, u_edge: float, nu: float, h: float, dy_mm: float, skip: int = 0) -> DataFrame:
+    """Thicknesses, shape and friction Reynolds number of profiles (keys, n, u) with the friction velocity of fit.
+
+    A profile that doesn't reach 0.99 of the edge velocity counts up to its top. The near-wall points on a straight line
+    are summed in closed form, as in integral_params().
+    """
+    r = max(1, int(dy_mm / h + 0.5) + skip)
+    u99 = 0.99 * u_edge
+    whole = Window.partitionBy(*keys)
+    own = profiles.withColumns({"_reach": F.coalesce(F.min(F.when(F.col("u") > u99, F.col("n"))).over(whole), F.max("n").over(whole)), "_u1": F.min(F.when(F.col("n") == 1, F.col("u"))).over(whole)})
+    inner = own.where(F.col("n") <= F.col("_reach")).groupBy(*keys).agg(F.max("_reach").alias("reach"), F.max("_u1").alias("u1"), F.sum(1 - F.col("u") / u99).alias("a"), F.sum(F.col("u") * (u99 - F.col("u"))).alias("b"))
+    star = h * (F.col("a") + r - F.col("u1") * (r + 1) / 2 / u99)
+    theta = h * (F.col("b") + u99 * F.col("u1") * (r + 1) / 2 - F.col("u1") * F.col("u1") * (r + 1) * (2 * r + 1) / (6 * r)) / u99**2
+    got = inner.select(*keys, ((F.col("reach") + r) * h).alias("delta99"), star.alias("delta_star"), theta.alias("theta")).join(fit.select(*keys, "u_tau"), keys)
+    return got.withColumns({"shape": ratio("delta_star", "theta"), "re_tau": F.col("delta99") * 1e-3 * F.col("u_tau") / nu})
+
+
+def pick_u_tau(baseline: float, local: float, source: str) -> dict[str, float]:
+    """The friction velocity to scale by ("baseline" or "local"), and by how many per cent the local one differs."""
+    chosen = {"baseline": baseline, "local": local}[source]
+    if not 0 < chosen < float("inf"):
+        raise ValueError(f"the {source} friction velocity must be finite and positive")
+    return {"u_tau": chosen, "difference_percent": 100 * (local - baseline) / baseline}
+
+
+def pick_theta(state: DataFrame, source: str, smooth: DataFrame | None = None) -> DataFrame:
+    """state (x, theta, ..) with the theta to use: its own ("raw") or that of smooth (x, smooth; "smooth")."""
+    if source == "raw":
+        return state
+    if source != "smooth" or smooth is None:
+        raise ValueError("theta is raw or smooth, and a smooth one must be given")
+    columns = [F.col("_smooth").alias("theta") if c == "theta" else F.col(c) for c in state.columns]
+    return state.join(smooth.select("x", F.col("smooth").alias("_smooth")), "x", "left").select(*columns)
+
+
 def delta99(profile: DataFrame, u_edge: float) -> DataFrame:
     """First upward crossing of 0.99 of the edge velocity of a profile (y_mm, u), linearly interpolated."""
     order = Window.orderBy("y_mm")
@@ -78,22 +141,28 @@ def delta99(profile: DataFrame, u_edge: float) -> DataFrame:
     return up.agg(F.min_by(F.col("y_mm") + (level - F.col("u")) * (F.col("_y") - F.col("y_mm")) / (F.col("_u") - F.col("u")), "y_mm").alias("delta99"))
 
 
-def system_secant(state: DataFrame, ends: DataFrame, start: tuple[float, float], polluted: tuple[float, float], full: bool = False, reduce: str = "mean") -> DataFrame:
+def system_secant(state: DataFrame, ends: DataFrame, start: tuple[float, ...], polluted: tuple[float, float], full: bool = False, reduce: str = "mean") -> DataFrame:
     """Secant friction coefficient from a state upstream to each requested end (x_end).
 
     state: x, theta and, for the full equation, ue and delta_star. The start is the mean or median state over start[0]
-    <= x < start[1]; an end is the column nearest to it (the smaller x at ties). status says why there is no value.
+    <= x < start[1], or, with reduce "places", the mean of the states nearest to the places in start (each column once);
+    an end is the column nearest to it (the smaller x at ties). status says why there is no value.
     """
     full_ok = F.col("ue").isNotNull() & F.col("delta_star").isNotNull() if full else F.lit(True)
     own = state.where(F.col("theta").isNotNull() & full_ok)
-    f = F.avg if reduce == "mean" else F.median
+    f = F.median if reduce == "median" else F.avg
     names = ["x", "theta", *(["ue", "delta_star"] if full else [])]
-    inside = (F.col("x") >= start[0]) & (F.col("x") < start[1])
     bad = lambda c: (F.col(c) >= polluted[0]) & (F.col(c) < polluted[1])
-    first = own.where(inside).agg(*[f(c).alias(f"{c}_s") for c in names], F.max(bad("x")).alias("start_bad"))
+    if reduce == "places":
+        wanted = own.select("*", F.explode(F.array(*[F.lit(float(p)) for p in start])).alias("_p"))
+        near_to = wanted.groupBy("_p").agg(F.min_by(F.struct(*names), F.struct(F.abs(F.col("x") - F.col("_p")), "x")).alias("s")).select("s.*").distinct()
+        inside, source = F.lit(True), near_to
+    else:
+        inside, source = (F.col("x") >= start[0]) & (F.col("x") < start[1]), own
+    first = source.where(inside).agg(*[f(c).alias(f"{c}_s") for c in names], F.max(bad("x")).alias("start_bad"))
     near = ends.join(own, F.lit(True)).groupBy("x_end").agg(F.min_by(F.struct(*names), F.struct(F.abs(F.col("x") - F.col("x_end")), "x")).alias("e"))
     got = near.select("x_end", *[F.col(f"e.{c}").alias(f"{c}_e") for c in names]).join(first, F.lit(True))
-    wrong_start = (start[0] < polluted[1] and start[1] > polluted[0])
+    wrong_start = any(polluted[0] <= p < polluted[1] for p in start) if reduce == "places" else start[0] < polluted[1] and start[1] > polluted[0]
     status = F.when(F.lit(wrong_start) | F.col("start_bad") | bad("x_s"), "contaminated_start").when(bad("x_end") | bad("x_e"), "contaminated_endpoint").when(F.col("x_e") <= F.col("x_s"), "invalid_interval").otherwise("ok")
     if full:
         mean2 = (F.col("ue_s") * F.col("ue_s") + F.col("ue_e") * F.col("ue_e")) / 2

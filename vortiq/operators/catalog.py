@@ -265,3 +265,34 @@ def plateaus(series: DataFrame, max_change: float = 0.15, min_run: int = 3) -> D
     rows = series.withColumn("_next", F.coalesce(linked, F.lit(False)))
     rows = rows.withColumn("_run", F.sum(F.when(F.coalesce(F.lag("_next").over(order), F.lit(False)), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return rows.groupBy("_run").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count(F.lit(1)).alias("length")).where(F.col("length") >= min_run).drop("_run")
+
+
+def performance(frames: DataFrame, planned: int) -> tuple[DataFrame, DataFrame]:
+    """Summary of a run's frames (frame_id, seconds, components), and one of each unbroken run of frame numbers.
+
+    A run begins where the frame before is missing; runs are told by an equi-join on the frame, not by one window over
+    all of them, and only their first frames are put in order.
+    """
+    whole = hazen(frames.withColumn("_k", F.lit(1)), ["_k"], "seconds", {"p95_seconds": 0.95}).select("p95_seconds")
+    own = frames.agg(F.count(F.lit(1)).alias("n_frames"), F.avg("seconds").alias("mean_seconds"), F.median("seconds").alias("median_seconds"), F.sum("seconds").alias("total_seconds"), (F.avg("seconds") * planned).alias("planned_seconds"))
+    firsts = frames.join(frames.select((F.col("frame_id") + 1).alias("frame_id")), "frame_id", "left_anti").select(F.col("frame_id").alias("first_frame"))
+    spans = firsts.withColumn("_next", F.lead("first_frame").over(Window.orderBy("first_frame"))).withColumn("segment", F.row_number().over(Window.orderBy("first_frame")))
+    inside = (F.col("frame_id") >= F.col("first_frame")) & (F.col("_next").isNull() | (F.col("frame_id") < F.col("_next")))
+    runs = frames.join(spans, inside).groupBy("segment", "first_frame").agg(F.max("frame_id").alias("last_frame"), F.count(F.lit(1)).alias("n_frames"), F.avg("seconds").alias("mean_seconds"), F.sum("components").alias("components"))
+    return own.join(whole, F.lit(True)), runs
+
+
+def false_positives(found: DataFrame, frames: DataFrame, seen: DataFrame) -> DataFrame:
+    """Found boxes a frame on the frames without an annotated one."""
+    empty = frames.select("frame_id").join(seen.select("frame_id").distinct(), "frame_id", "left_anti")
+    counts = empty.join(found.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n")), "frame_id", "left")
+    return counts.agg(F.count(F.lit(1)).alias("negative_frames"), F.coalesce(F.sum("n"), F.lit(0)).alias("false_positives"), F.avg(F.coalesce("n", F.lit(0))).alias("per_frame"))
+
+
+def annotation_boxes(windows: DataFrame, samples: DataFrame, scale: DataFrame, floor: float) -> DataFrame:
+    """Annotated windows (frame_id, box_id, sign, i0, i1) with the rows that their field spans: those pixels of the sign
+    beyond floor times the row's u_rms (scale: j, u_rms), and the share of the window's valid pixels that they are."""
+    pixels = samples.where("u is not null").join(scale.select("j", "u_rms"), "j").select("frame_id", "j", "i", "u", "u_rms")
+    met = windows.join(pixels, "frame_id").where(F.col("i").between(F.col("i0"), F.col("i1")))
+    strong = F.col("sign") * F.col("u") > floor * F.col("u_rms")
+    return met.groupBy("frame_id", "box_id", "sign", "i0", "i1").agg(F.min(F.when(strong, F.col("j"))).alias("j0"), F.max(F.when(strong, F.col("j"))).alias("j1"), F.count(F.when(strong, 1)).alias("pixels"), ratio(F.count(F.when(strong, 1)), F.count(F.lit(1))).alias("share"), F.max(F.col("sign") * F.col("u") / F.col("u_rms")).alias("strength"))

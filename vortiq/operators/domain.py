@@ -65,6 +65,20 @@ def contaminated(x: Column, y: Column, box: tuple[float, float, float, float], e
     return inside if every_y else inside & y.between(box[2], box[3])
 
 
+def case_views(stats: DataFrame, values: list[str], x_max: float, region: tuple[float, float, float, float] | None) -> tuple[DataFrame, DataFrame]:
+    """Two views of stats (x_mm, y_mm, values) up to x_max: for showing, with the contaminated cells' values NULL, and for
+    drag, with those of their whole columns NULL. A region of None leaves both as they are."""
+    own = stats.where(F.col("x_mm") <= x_max)
+
+    def view(every_y: bool) -> DataFrame:
+        if region is None:
+            return own
+        bad = contaminated(F.col("x_mm"), F.col("y_mm"), region, every_y)
+        return own.withColumns({v: F.when(~bad, F.col(v)) for v in values})
+
+    return view(False), view(True)
+
+
 def wall_distance(j: Column, h: float, dy_h: float) -> Column:
     """Distance of row j (from 1) from the wall, for spacing h and offset dy_h in spacings."""
     return (j - 1 + dy_h) * h

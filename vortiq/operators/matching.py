@@ -212,6 +212,19 @@ def score_frames(assigned: DataFrame, found: DataFrame, seen: DataFrame, frames:
     return got.withColumns({"f1": F.coalesce(ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(1.0)), "sign_accuracy": F.coalesce(ratio("tp", "pairs"), F.lit(1.0))})
 
 
+def score_round(scores: DataFrame, edges: DataFrame) -> DataFrame:
+    """A round's figures from those of its frames (score_frames) and its boxes at the edge of view (edges: frame_id,
+    found, seen, tp): medians over frames, precision, recall and F1 of the totals, and the F1 of boxes at the edge."""
+    total = scores.agg(F.count(F.lit(1)).alias("frames"), *[F.median(c).alias(f"median_{c}") for c in ("precision", "recall", "f1")], *[F.sum(c).alias(c) for c in ("found", "seen", "tp", "pairs")])
+    rim = edges.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"edge_{c}") for c in ("found", "seen", "tp")])
+    share = lambda a, b, other: F.coalesce(ratio(a, b), F.when(F.col(other) == 0, 1.0).otherwise(0.0))
+    both = lambda p, r: F.coalesce(ratio(2 * p * r, p + r), F.lit(1.0))
+    p, r = share("tp", "found", "seen"), share("tp", "seen", "found")
+    ep, er = share("edge_tp", "edge_found", "edge_seen"), share("edge_tp", "edge_seen", "edge_found")
+    got = total.join(rim, F.lit(True))
+    return got.select("frames", "median_precision", "median_recall", "median_f1", "tp", p.alias("precision"), r.alias("recall"), both(p, r).alias("f1"), F.coalesce(ratio("tp", "pairs"), F.lit(1.0)).alias("sign_accuracy"), ep.alias("edge_precision"), er.alias("edge_recall"), both(ep, er).alias("edge_f1"))
+
+
 def annotation_recall(found: DataFrame, seen: DataFrame, min_overlap: float) -> DataFrame:
     """Each annotated box: the best share of its length that a found box of its frame and sign covers, whether that is a
     hit, and that box's length over its own (NULL unless a hit). Equal shares: the smallest found box_id."""

@@ -175,3 +175,20 @@ def cross_spectra(samples: DataFrame, keys: list[str], a: str, b: str, nfft: int
 def spectral_peak(spectra: DataFrame, keys: list[str]) -> DataFrame:
     """Frequency and value of the largest premultiplied density of each group; the lower frequency at ties."""
     return spectra.where("frequency > 0").groupBy(*keys).agg(F.max_by("frequency", F.struct("premultiplied", -F.col("frequency"))).alias("frequency"), F.max("premultiplied").alias("peak"))
+
+
+def wall_scaled(spectra: DataFrame, profile: DataFrame, u_tau: float, nu: float, band: tuple[float, float], fraction: float = 1.0, near_wall: int = 0, near_wall_plus: float = 10.0) -> DataFrame:
+    """Temporal spectra (j, frequency, psd) within a band, scaled by the friction velocity, with the wavelength by frozen
+    convection: `fraction` of each row's mean velocity (profile: j, u_mean), near_wall_plus times u_tau in the first
+    near_wall rows. A row without a positive convection velocity has no wavelength."""
+    speed = F.when(F.col("j") <= near_wall, F.lit(near_wall_plus * u_tau)).otherwise(fraction * F.col("u_mean"))
+    rows = spectra.where((F.col("frequency") > 0) & F.col("frequency").between(*band)).join(profile.select("j", "u_mean"), "j", "left").withColumn("_c", F.when(speed > 0, speed))
+    length = F.col("_c") / F.col("frequency")
+    scaled = F.col("frequency") * F.col("psd") / u_tau**2
+    return rows.select("j", "frequency", "psd", length.alias("lambda_m"), (length * (u_tau / nu)).alias("lambda_plus"), scaled.alias("premultiplied_f"), F.when(length.isNotNull(), scaled).alias("premultiplied_lambda"))
+
+
+def external_coherence(samples: DataFrame, signal: DataFrame, keys: list[str], value: str, nfft: int, fs: float, overlap: float = 0.5) -> DataFrame:
+    """cross_spectra() of each series with one signal from outside (frame_id, signal), joined on the frame; frames that
+    the signal lacks count as gaps."""
+    return cross_spectra(samples.join(signal.select("frame_id", "signal"), "frame_id", "left"), keys, value, "signal", nfft, fs, overlap)

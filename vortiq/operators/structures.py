@@ -7,7 +7,8 @@ catalog rows. Profiles and grids that every frame needs have a grid's size and t
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field as default
+from dataclasses import dataclass, field as default, replace
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -64,6 +65,20 @@ def spread(mask: np.ndarray, radius: int = 1) -> np.ndarray:
     return out
 
 
+@dataclass(frozen=True)
+class Blur:
+    """Widths of a Gaussian in pixels along rows (y) and columns (x); windows reach so many widths to either side."""
+
+    sigma_y: float
+    sigma_x: float
+    reach: float = 2.0
+    mode: str = "symmetric"
+    by_mask: bool = True
+
+    def size(self) -> tuple[int, int]:
+        return tuple(2 * int(np.ceil(self.reach * s)) + 1 for s in (self.sigma_y, self.sigma_x))
+
+
 def gaussian(values: np.ndarray, sigma: tuple[float, float], size: tuple[int, int], mode: str = "symmetric", mask: np.ndarray | None = None) -> np.ndarray:
     """Separable Gaussian blur with a normalised kernel; mode: zero, symmetric or replicate beyond the border. With a
     mask, values outside it take no part and weights are normalised to what does."""
@@ -263,6 +278,12 @@ def hysteresis_sweep(frames: DataFrame, shape: tuple[int, int], scale: np.ndarra
     return frames.select("repeat_id", "frame_id", "u").mapInPandas(run, f"set int, {STRUCTURES}")
 
 
+def factorial(base: Hysteresis, **levels: list) -> list[Hysteresis]:
+    """All combinations of levels of the parameters named, with the core's threshold at least the growth's."""
+    made = [replace(base, **dict(zip(levels, values))) for values in product(*levels.values())]
+    return [h for h in made if h.seed_alpha >= h.alpha]
+
+
 def hysteresis_structures(frames: DataFrame, shape: tuple[int, int], scale: np.ndarray, domain: np.ndarray, x_mm: np.ndarray, y_mm: np.ndarray, delta: np.ndarray, how: Hysteresis) -> DataFrame:
     """Catalog of hysteresis structures of every frame, with their pixels; structure_id counts positive ones first."""
     return hysteresis_sweep(frames, shape, scale, domain, x_mm, y_mm, delta, [how]).drop("set")

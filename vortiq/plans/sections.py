@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.phase import assign_phase
-from ..operators import boundary, catalog, domain, frames, gradients, matching, phase, quadrants, statistics, structures, transport
+from ..operators import boundary, catalog, domain, frames, gradients, matching, modal, phase, quadrants, statistics, structures, transport
 from ..operators.statistics import POINT
 from ..sources.shared import written
 
@@ -77,20 +77,80 @@ def friction_section(stats: DataFrame, x_mm: DataFrame, h_mm: float, dy_mm: floa
     scan = boundary.clauser_scan(boundary.numbered(prof.withColumn("case", F.lit(1)), ["case"]), ["case"], cfg.u_inf, cfg.nu, h_mm, dy_mm)
     params = boundary.integral_params(stats, h_mm, dy_mm)
     state = params.join(x_mm, "i").select("x", "theta", F.col("u_edge").alias("ue"), "delta_star")
-    return {"profile": prof, "chart": boundary.clauser_fit(scan, ["case"], cfg.u_inf), "integral": params, "secant": boundary.calibration_secant(state, 0.0, 1e9)}
+    fit = boundary.clauser_fit(scan, ["case"], cfg.u_inf)
+    plus = prof.join(fit.select("u_tau"), F.lit(True)).select("j", "u", (domain.wall_distance(F.col("j"), h_mm, dy_mm / h_mm) * 1e-3 * F.col("u_tau") / cfg.nu).alias("y_plus"), (F.col("u") / F.col("u_tau")).alias("u_plus"))
+    pair = {f"secant_{name}": boundary.calibration_secant(state, 0.0, 1e9, full) for name, full in (("full", True), ("zpg", False))}
+    return {"profile": prof, "chart": fit, "integral": params, "plus": plus, "delta": params.agg(F.median("delta99").alias("delta99"), F.count("delta99").alias("columns")), "secant": pair["secant_full"], **pair}
 
 
-def detection_section(samples: DataFrame, shape: tuple[int, int], x_mm: np.ndarray, wall_mm: np.ndarray, how: structures.Detection, limit: int | None = None) -> dict[str, DataFrame]:
+def pod_branches(samples: DataFrame, shape: tuple[int, int], targets: tuple[float, ...], search, valid_pixels: int, entropy_valid: bool, tolerance: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """Structures of fields rebuilt from the modes that hold each target of the energy, and whether they settle.
+
+    search turns packed frames and a scale of the field ("raw": the points' own root mean squares, "own": those of the
+    rebuilt field) into a catalog. The first table has a row a target and scale: rank, energy reached, and frame means of
+    counts, occupied share and lengths. The second compares the first two targets on the raw scale: the largest relative
+    difference, and the rank to recommend where the entropy gives no valid choice and that is within the tolerance.
+    """
+    snaps = modal.snapshots(samples)
+    model = modal.pod(snaps)
+    share = np.cumsum(np.maximum(model.eigenvalues, 0)) / np.maximum(model.eigenvalues, 0).sum()
+    every, out = snaps.select("frame_id"), None
+    names = ["lsm", "vlsm", "occupied_share", "median_length", "p90_length"]
+    for target in targets:
+        rank = model.energy_rank(target)
+        rebuilt = written(modal.as_frames(modal.reconstruct(snaps, model, rank, fluctuations=True)).select("repeat_id", "frame_id", "u"), "branch")
+        for scale in ("raw", "own"):
+            metrics = catalog.branch_metrics(search(rebuilt, scale), every, valid_pixels)
+            one = metrics.agg(*[F.avg(c).alias(c) for c in names]).select(F.lit(target).alias("target"), F.lit(scale).alias("scale"), F.lit(rank).alias("rank"), F.lit(float(share[rank - 1])).alias("energy"), *names)
+            out = one if out is None else out.unionByName(one)
+    table = written(out, "branches")
+    a, b = (table.where((F.col("target") == t) & (F.col("scale") == "raw")) for t in targets[:2])
+    gap = lambda c: F.coalesce(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) / F.greatest(F.abs(F.col(f"a.{c}")), F.abs(F.col(f"b.{c}")), F.lit(2.220446049250313e-16)), F.lit(float("inf")))
+    both = a.alias("a").join(b.alias("b"), F.lit(True)).select(F.greatest(*[gap(c) for c in names]).alias("largest_difference"), F.col("a.rank").alias("_rank"))
+    stable = F.col("largest_difference") <= tolerance
+    return table, both.select("largest_difference", stable.alias("stable"), F.lit(not entropy_valid).alias("triggered"), F.when(stable & F.lit(not entropy_valid), F.col("_rank")).alias("recommended"))
+
+
+def fluctuation_frames(samples: DataFrame, shape: tuple[int, int], energy: float | None = None, blur: structures.Blur | None = None) -> DataFrame:
+    """Packed u fluctuations to search: about the repeats' means, or rebuilt from the modes that hold so much of the
+    energy; missing samples stay missing; blurred last."""
+    if energy is None:
+        own = statistics.total_branch(samples, statistics.repeat_means(samples)).select("repeat_id", "frame_id", *POINT, F.col("du").alias("u"))
+        packed = frames.pack(own, ["u"])
+    else:
+        snaps = modal.snapshots(samples)
+        model = modal.pod(snaps)
+        rebuilt = modal.as_frames(modal.reconstruct(snaps, model, model.energy_rank(energy), fluctuations=True)).select("frame_id", F.col("u").alias("_u"))
+        known = frames.pack(statistics.paired(samples), ["u"])
+        packed = known.join(rebuilt, "frame_id").select("repeat_id", "frame_id", F.zip_with("u", "_u", lambda a, b: F.when(a.isNotNull(), b)).alias("u"))
+    if blur is None:
+        return packed
+    return structures.blurred(packed, shape, (blur.sigma_y, blur.sigma_x), blur.size(), blur.mode, blur.by_mask)
+
+
+def row_rms(packed: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    """Root mean square of packed fluctuations by row about each point's mean: a number a row reaches the driver."""
+    points = packed.select(F.posexplode("u").alias("k", "u")).where("u is not null").withColumn("j", F.floor(F.col("k") / shape[1]))
+    about = points.join(points.groupBy("k").agg(F.avg("u").alias("m")), "k").groupBy("j").agg(F.sqrt(F.avg(F.pow(F.col("u") - F.col("m"), 2))).alias("r"))
+    level = {int(r["j"]): r["r"] for r in about.collect()}
+    return np.array([level.get(j) or np.inf for j in range(shape[0])])
+
+
+def detection_section(samples: DataFrame, shape: tuple[int, int], x_mm: np.ndarray, wall_mm: np.ndarray, how: structures.Detection, limit: int | None = None, energy: float | None = None, blur: structures.Blur | None = None, own_rms: bool = False) -> dict[str, DataFrame]:
     """Structures of fluctuations about the repeats' means: catalog with the kept ones, matched windows and comparisons.
 
     The threshold profile, a number for each row, is read by the driver before frames are searched; the catalog, which
-    all other tables are made from, is written to the shared folder once.
+    all other tables are made from, is written to the shared folder once. energy and blur choose the fluctuations (see
+    fluctuation_frames()); the threshold is that of the raw field, or with own_rms that of what is searched.
     """
-    means = statistics.repeat_means(samples)
-    fluctuations = statistics.total_branch(samples, means).select("repeat_id", "frame_id", *POINT, F.col("du").alias("u"))
-    level = {r["j"]: r["u_rms"] for r in statistics.pooled_rms(samples).collect()}
-    u_rms = np.array([level.get(j + 1) or np.inf for j in range(shape[0])])
-    found = structures.find_structures(frames.pack(fluctuations, ["u"]), shape, u_rms, x_mm, wall_mm, how)
+    packed = fluctuation_frames(samples, shape, energy, blur)
+    if own_rms:
+        packed = written(packed, "fluctuations")
+        u_rms = row_rms(packed, shape)
+    else:
+        level = {r["j"]: r["u_rms"] for r in statistics.pooled_rms(samples).collect()}
+        u_rms = np.array([level.get(j + 1) or np.inf for j in range(shape[0])])
+    found = structures.find_structures(packed, shape, u_rms, x_mm, wall_mm, how)
     kept = matching.retain_nonoverlapping(found.withColumn("is_ss", F.col("is_ss") & ~F.col("edge_rejected")), limit)
     chosen = written(kept.withColumn("is_ss", F.when(F.col("is_censored"), F.col("is_ss")).otherwise(F.col("kept"))), "catalog")
     every = samples.select("frame_id").distinct()

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boundary, dynamics, fields, flow, oracles, relational, sections
+from . import boundary, dynamics, fields, flow, oracles, relational, sections, studies
 
-PARTS = (flow, relational, boundary, fields, dynamics, sections)
+PARTS = (flow, relational, boundary, fields, dynamics, sections, studies)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

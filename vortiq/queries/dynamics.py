@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import correlation as R
 from ..operators import matching, modal, spectra, statistics
-from ..plans.views import COLUMNS, PIV, SMP, final, piv, rounded
+from ..plans.views import COLUMNS, SMP, final, piv, rounded
 from ..sources.shared import written
 from .fields import found
 
@@ -48,7 +48,7 @@ def modes(s, d):
 def rebuilt(s, d):
     model = modal.pod(snaps(s, d))
     both = modal.reconstruct(snaps(s, d), model, len(model.mean)).withColumnRenamed("x", "y").join(snaps(s, d), "frame_id")
-    return both.select("frame_id", F.aggregate(F.zip_with("x", "y", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, b: F.greatest(a, b)).alias("worst"))
+    return both.select("frame_id", F.aggregate(F.zip_with("x", "y", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, b: F.greatest(a, b)).alias("worst"), F.aggregate("y", F.lit(0.0), lambda a, x: a + x * x).alias("energy"), F.get("y", F.lit(40)).alias("at40"))
 
 
 def denoised(s, d):
@@ -98,7 +98,7 @@ QUERIES = {
     "pod_eigenvalue_sum": (lambda s, d: rounded(s.createDataFrame([(float(modal.pod(snaps(s, d)).eigenvalues.sum()),)], "total_energy double")), final(SMP, "SELECT max(n)*sum(e)/(2*count(*)) AS total_energy FROM (SELECT j, i, count(*) AS n, var_pop(coalesce(u, 0))+var_pop(coalesce(v, 0)) AS e FROM smp GROUP BY j, i) t", "total_energy~")),
     "pod_traces": (lambda s, d: rounded(traces(s, d)), None),
     "pod_modes": (lambda s, d: rounded(modes(s, d)), None),
-    "pod_reconstruction": (lambda s, d: rounded(rebuilt(s, d)), final(PIV, "SELECT DISTINCT frame_id, 0.0 AS worst FROM piv", "frame_id worst~")),
+    "pod_reconstruction": (lambda s, d: rounded(rebuilt(s, d)), final(SMP, "SELECT frame_id, 0.0 AS worst, sum(coalesce(u, 0)*coalesce(u, 0)+coalesce(v, 0)*coalesce(v, 0)) AS energy, max(CASE WHEN j = 2 AND i = 1 THEN coalesce(v, 0) END) AS at40 FROM smp GROUP BY frame_id", "frame_id worst~ energy~ at40~")),
     "pod_denoise_rank": (lambda s, d: rounded(denoised(s, d)), None),
     "pod_entropy_selection": (lambda s, d: rounded(entropy(s, d)), None),
     "dmd": (lambda s, d: rounded(s.createDataFrame(modal.dmd(snaps(s, d), 8, 1 / FS)), 4), None),

@@ -69,8 +69,8 @@ QUERIES = {
     "gaussian_blur": (lambda s, d: rounded(structures.blurred(packed(s, d), SHAPE, (1.0, 1.5), (3, 3), "zero").select("repeat_id", "frame_id", F.posexplode("u").alias("k", "u")).select("repeat_id", "frame_id", "k", "u")), final(SMP, "SELECT a.repeat_id, a.frame_id, CAST((a.j-1)*8+a.i-1 AS INTEGER) AS k, CASE WHEN max(CASE WHEN a.j = b.j AND a.i = b.i THEN b.u END) IS NOT NULL THEN sum(b.u*exp(-pow(a.j-b.j, 2)/2)*exp(-pow(a.i-b.i, 2)/4.5))/sum(CASE WHEN b.u IS NOT NULL THEN exp(-pow(a.j-b.j, 2)/2)*exp(-pow(a.i-b.i, 2)/4.5) END) END AS u FROM smp a JOIN smp b ON a.frame_id = b.frame_id AND abs(a.j-b.j) <= 1 AND abs(a.i-b.i) <= 1 GROUP BY a.repeat_id, a.frame_id, a.j, a.i", "repeat_id frame_id k u~")),
     "decompose_structures": (lambda s, d: rounded(parts(s, d).drop("interfaces")), None),
     "ftle": (lambda s, d: rounded(structures.ftle(packed(s, d).select("repeat_id", "frame_id", F.transform("u", lambda x: F.coalesce(x, F.lit(0.0))).alias("u"), F.transform("v", lambda x: F.coalesce(x, F.lit(0.0))).alias("v")), SHAPE, X, Y, 0.2, 5)), None),
-    "tecplot_scan": (lambda s, d: rounded(read_back(s, d, 30).select("frame_no", "j", "i", "x_mm", "y_mm", F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v"), "valid")), final(f"{PIV}, {GRID}", "SELECT frame_id AS frame_no, p.j, p.i, x_mm, y_mm, u, v, valid FROM piv p JOIN grid g ON p.j = g.j AND p.i = g.i WHERE frame_id <= 30", "frame_no j i x_mm~ y_mm~ u~ v~ valid")),
-    "mean_spacing": (lambda s, d: rounded(tecplot.mean_spacing(read_back(s, d))), "SELECT CAST(2.0 AS DOUBLE) AS h_mm"),
-    "sequence_build": (lambda s, d: rounded(sequence(s, d, 30).groupBy("repeat_id").agg(F.min("frame_id").alias("first"), F.max("frame_id").alias("last"), F.count(F.lit(1)).alias("n"), F.sum(F.col("u").cast("double")).alias("u"))), final(PIV, "SELECT CAST(CASE WHEN frame_id <= 15 THEN 1 ELSE 2 END AS INTEGER) AS repeat_id, min(frame_id) AS first, max(frame_id) AS last, count(*) AS n, sum(u) AS u FROM piv WHERE frame_id <= 30 GROUP BY 1", "repeat_id first last n u~")),
-    "sequence_problems": (faulty, "SELECT 'missing_points' AS problem, CAST(16 AS BIGINT) AS n UNION ALL SELECT 'repeated_points', 8"),
+    "tecplot_scan": (lambda s, d: rounded(read_back(s, d).select("frame_no", "j", "i", "x_mm", "y_mm", F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v"), "valid")), final(f"{PIV}, {GRID}", "SELECT frame_id AS frame_no, p.j, p.i, x_mm, y_mm, u, v, valid FROM piv p JOIN grid g ON p.j = g.j AND p.i = g.i", "frame_no j i x_mm~ y_mm~ u~ v~ valid")),
+    "mean_spacing": (lambda s, d: rounded(tecplot.mean_spacing(read_back(s, d))), final(f"{PIV}, {GRID}", "SELECT avg(d) AS h_mm FROM (SELECT x_mm-lag(x_mm) OVER (PARTITION BY frame_id, p.j ORDER BY p.i) AS d FROM piv p JOIN grid g ON p.j = g.j AND p.i = g.i) t WHERE d > 0", "h_mm~")),
+    "sequence_build": (lambda s, d: rounded(sequence(s, d).groupBy("repeat_id").agg(F.min("frame_id").alias("first"), F.max("frame_id").alias("last"), F.count(F.lit(1)).alias("n"), F.sum(F.col("u").cast("double")).alias("u"))), final(PIV, "SELECT CAST(CASE WHEN 2*frame_id <= n THEN 1 ELSE 2 END AS INTEGER) AS repeat_id, min(frame_id) AS first, max(frame_id) AS last, count(*) AS n, sum(u) AS u FROM piv, (SELECT count(DISTINCT frame_id) AS n FROM piv) c GROUP BY 1", "repeat_id first last n u~")),
+    "sequence_problems": (faulty, final(PIV, "SELECT 'missing_points' AS problem, count(*) AS n FROM piv WHERE frame_id = 4 AND j >= 3 UNION ALL SELECT 'repeated_points', count(*) FROM piv WHERE frame_id = 5 AND j = 1", "problem n")),
 }

@@ -121,7 +121,7 @@ GRADIENT = f"{STATS}, {GRID}, gr AS (SELECT s.j, s.i, {CENTRAL} AS gradient FROM
 
 
 def planar(spark, d):
-    own = statistics.paired(piv(spark, d)).where("frame_id <= 40").join(grid(spark), ["j", "i"])
+    own = statistics.paired(piv(spark, d)).join(grid(spark), ["j", "i"])
     return gradients.planar_criteria(own.select("frame_id", "j", "i", "x_mm", "y_mm", "u", "v"))
 
 
@@ -130,7 +130,7 @@ def difference(c, place, part, row):
     return f"(CASE WHEN lead({place}) OVER {w} IS NULL THEN {c} ELSE lead({c}) OVER {w} END - CASE WHEN lag({place}) OVER {w} IS NULL THEN {c} ELSE lag({c}) OVER {w} END)*1000.0/(coalesce(lead({place}) OVER {w}, {place}) - coalesce(lag({place}) OVER {w}, {place}))"
 
 
-PLANAR = f"{SMP}, {GRID}, d1 AS (SELECT frame_id, s.j, s.i, u, v, x_mm, y_mm FROM smp s JOIN grid g ON s.j = g.j AND s.i = g.i WHERE frame_id <= 40), d2 AS (SELECT frame_id, j, i, {difference('u', 'x_mm', 'j', 'i')} AS ux, {difference('u', 'y_mm', 'i', 'j')} AS uy, {difference('v', 'x_mm', 'j', 'i')} AS vx, {difference('v', 'y_mm', 'i', 'j')} AS vy FROM d1)"
+PLANAR = f"{SMP}, {GRID}, d1 AS (SELECT frame_id, s.j, s.i, u, v, x_mm, y_mm FROM smp s JOIN grid g ON s.j = g.j AND s.i = g.i), d2 AS (SELECT frame_id, j, i, {difference('u', 'x_mm', 'j', 'i')} AS ux, {difference('u', 'y_mm', 'i', 'j')} AS uy, {difference('v', 'x_mm', 'j', 'i')} AS vx, {difference('v', 'y_mm', 'i', 'j')} AS vy FROM d1)"
 PLANAR_BODY = "SELECT frame_id, j, i, vx-uy AS vorticity, -0.5*(ux*ux+vy*vy+2*uy*vx) AS q, 0.5*(m1+m2)-sqrt(greatest(0.25*(m1-m2)*(m1-m2)+m3*m3, 0)) AS lambda2, CASE WHEN ux*vy-uy*vx-0.25*(ux+vy)*(ux+vy) > 0 THEN sqrt(ux*vy-uy*vx-0.25*(ux+vy)*(ux+vy)) WHEN ux*vy-uy*vx-0.25*(ux+vy)*(ux+vy) IS NOT NULL THEN 0 END AS lambda_ci FROM (SELECT *, ux*ux+uy*vx AS m1, vy*vy+uy*vx AS m2, 0.5*(uy+vx)*(ux+vy) AS m3 FROM d2) m"
 COH = f"{STATS}, {POOLED}, coh AS (SELECT p.bin, p.j, p.i, u_phase-u_mean AS uc, v_phase-v_mean AS vc FROM pooled p JOIN stats s ON p.j = s.j AND p.i = s.i)"
 
@@ -138,7 +138,7 @@ QUERIES = {
     "mean_stats": (lambda s, d: rounded(stats(s, d)), final(STATS, "SELECT *, sqrt(uu) AS u_rms, sqrt(vv) AS v_rms, (uu+vv)*(0.5/625.0) AS tke FROM stats", "j i valid_count accepted u_mean~ v_mean~ uu~ vv~ uv~ valid_fraction~ u_rms~ v_rms~ tke~")),
     "mean_stats_pooled": (lambda s, d: rounded(statistics.mean_stats(piv(s, d)).select("j", "i", "valid_count", "u_mean", "v_mean", "uu", "vv", "uv")), final(SMP, "SELECT j, i, count(u) AS valid_count, avg(u) AS u_mean, avg(v) AS v_mean, var_pop(u) AS uu, var_pop(v) AS vv, -covar_pop(u, v) AS uv FROM smp GROUP BY j, i", "j i valid_count u_mean~ v_mean~ uu~ vv~ uv~")),
     "repeat_means": (lambda s, d: rounded(statistics.repeat_means(piv(s, d))), final(f"{PIV}, {MEANS}", "SELECT repeat_id, j, i, mu AS mean_u, mv AS mean_v FROM rm", "repeat_id j i mean_u~ mean_v~")),
-    "branch_raw": (lambda s, d: rounded(statistics.paired(piv(s, d)).where("frame_id between 5 and 20").select("repeat_id", "frame_id", "j", "i", "u", "v")), final(SMP, "SELECT * FROM smp WHERE frame_id BETWEEN 5 AND 20", "repeat_id frame_id j i u~ v~")),
+    "branch_raw": (lambda s, d: rounded(statistics.paired(piv(s, d)).select("repeat_id", "frame_id", "j", "i", "u", "v")), final(SMP, "SELECT * FROM smp", "repeat_id frame_id j i u~ v~")),
     "branch_total": (lambda s, d: rounded(statistics.total_branch(piv(s, d), statistics.repeat_means(piv(s, d))).select("frame_id", "j", "i", "du", "dv")), final(f"{SMP}, {MEANS}", "SELECT frame_id, s.j, s.i, u-mu AS du, v-mv AS dv FROM smp s JOIN rm ON s.repeat_id = rm.repeat_id AND s.j = rm.j AND s.i = rm.i", "frame_id j i du~ dv~")),
     "branch_random": (lambda s, d: rounded(phase.random_branch(phased(s, d), phase.phase_means(phased(s, d), ["repeat_id", "bin"], FEW)).select("frame_id", "j", "i", "du", "dv")), final(f"{BINNED}, {RANDOM}", "SELECT frame_id, j, i, du, dv FROM rnd", "frame_id j i du~ dv~")),
     "assign_phase": (lambda s, d: rounded(assign_phase(piv(s, d).select("frame_id").distinct(), FS, F0, BINS).select("frame_id", "phase_deg", "bin", "cycle")), final(BINNED, "SELECT DISTINCT b.frame_id, phi AS phase_deg, bin, cycle FROM binned b JOIN frames f ON b.frame_id = f.frame_id", "frame_id phase_deg~ bin cycle")),
@@ -174,8 +174,8 @@ QUERIES = {
     "wall_distance": (lambda s, d: rounded(grid(s).select("j", domain.wall_distance(F.col("j"), 0.5, 1.3).alias("y")).distinct()), final(GRID, "SELECT DISTINCT j, (j-1+1.3)*0.5 AS y FROM grid", "j y~")),
     "wall_rows": (lambda s, d: domain.wall_rows(zero_rows(s, d)), final(PIV, "SELECT CAST(max(n) AS INTEGER) AS crop FROM (SELECT frame_id, min(j)-1 AS n FROM piv WHERE j > 1 + frame_id % 2 AND (u <> 0 OR v <> 0) GROUP BY frame_id) t", "crop")),
     "oriented": (lambda s, d: rounded(domain.oriented(piv(s, d), 4, "bottom").unionByName(domain.oriented(piv(s, d), 4, "top")).groupBy("j").agg(F.sum("u").alias("u"), F.sum("v").alias("v"))), final(PIV, "SELECT j, sum(u) AS u, sum(v) AS v FROM (SELECT 5-j AS j, u, v FROM piv UNION ALL SELECT j, u, -v FROM piv) t GROUP BY j", "j u~ v~")),
-    "remapped": (lambda s, d: rounded(domain.remapped(piv(s, d).where("frame_id = 1"), grid(s), 1).select("j", "i", "y_mm", "u")), final(f"{PIV}, {GRID}", "SELECT j-1 AS j, i, (j-1)*3.0 AS y_mm, u FROM piv WHERE frame_id = 1 AND j > 1", "j i y_mm~ u~")),
-    "grid_differences": (dual_grid, "SELECT CAST(24 AS BIGINT) AS shared, CAST(8 AS BIGINT) AS lacking, CAST(1 AS BIGINT) AS apart"),
+    "remapped": (lambda s, d: rounded(domain.remapped(piv(s, d), grid(s), 1).select("frame_id", "j", "i", "y_mm", "u")), final(f"{PIV}, {GRID}", "SELECT frame_id, j-1 AS j, i, (j-1)*3.0 AS y_mm, u FROM piv WHERE j > 1", "frame_id j i y_mm~ u~")),
+    "grid_differences": (dual_grid, final(f"{GRID}, other AS (SELECT j, i, x_mm+CASE WHEN i = 2 AND j = 1 THEN 1e-6 ELSE 0 END AS x_mm, y_mm FROM grid WHERE j < 4)", "SELECT count(a.x_mm+b.x_mm) AS shared, count(*)-count(a.x_mm+b.x_mm) AS lacking, count(CASE WHEN greatest(abs(a.x_mm-b.x_mm), abs(a.y_mm-b.y_mm)) > 1e-9 THEN 1 END) AS apart FROM grid a FULL JOIN other b ON a.j = b.j AND a.i = b.i", "shared lacking apart")),
     "drawable_span": (lambda s, d: domain.drawable_span(mask(s, d), ["j"]).select("j", "i", "inside"), final(PIV, "SELECT j, i, i BETWEEN min(CASE WHEN valid THEN i END) OVER (PARTITION BY j) AND max(CASE WHEN valid THEN i END) OVER (PARTITION BY j) AS inside FROM piv WHERE frame_id = 3", "j i inside")),
     "gradient": (lambda s, d: rounded(gradient(s, d).select("j", "i", "gradient")), final(GRADIENT, "SELECT * FROM gr", "j i gradient~")),
     "gradient_rbf": (lambda s, d: rounded(gradients.d_dy_rbf(stats(s, d).join(grid(s), ["j", "i"]), grid(s), "u_mean").select("j", "i", "gradient")), None),

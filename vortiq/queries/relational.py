@@ -62,8 +62,8 @@ def params(s, d):
 
 
 def nodes(s, d):
-    """Structures of connectivity 8 in the first half of the rows as nodes of a repeat of 50 frames each."""
-    own = boxes(s, d).where("connectivity = 8 and row_min <= 8")
+    """Structures of connectivity 8 as nodes of a repeat of 50 frames each."""
+    own = boxes(s, d).where("connectivity = 8")
     return own.select((F.floor((F.col("frame_id") - 1) / 50) + 1).cast("int").alias("repeat_id"), "frame_id", F.col("component_id").alias("node"), "pixel_count", "lx_over_delta", "is_vlsm", "col_min", "col_max", "row_min", "row_max", (F.col("component_id") % 3).cast("int").alias("shift"))
 
 
@@ -72,7 +72,7 @@ def pixels(s, d):
     return own.select("repeat_id", "frame_id", "node", "shift", F.explode(F.sequence("row_min", "row_max")).alias("j"), "col_min", "col_max").select("repeat_id", "frame_id", "node", "shift", "j", F.explode(F.sequence("col_min", "col_max")).alias("i"))
 
 
-NODES = f"""{BOXES}, nodes AS (SELECT CAST((frame_id-1)//50+1 AS INTEGER) AS repeat_id, frame_id, component_id AS node, pixel_count, lx_over_delta, is_vlsm, col_min, col_max, row_min, row_max, component_id % 3 AS shift FROM boxes WHERE connectivity = 8 AND row_min <= 8),
+NODES = f"""{BOXES}, nodes AS (SELECT CAST((frame_id-1)//50+1 AS INTEGER) AS repeat_id, frame_id, component_id AS node, pixel_count, lx_over_delta, is_vlsm, col_min, col_max, row_min, row_max, component_id % 3 AS shift FROM boxes WHERE connectivity = 8),
 lastcol AS (SELECT max(col_max) AS m FROM nodes),
 olap AS (SELECT a.repeat_id, a.frame_id AS frame_from, b.frame_id AS frame_to, a.node AS node_from, b.node AS node_to, greatest(0, least(least(a.col_max+a.shift, m), b.col_max)-greatest(a.col_min+a.shift, b.col_min)+1)*greatest(0, least(a.row_max,b.row_max)-greatest(a.row_min,b.row_min)+1) AS shared, least((least(a.col_max+a.shift, m)-(a.col_min+a.shift)+1)*(a.row_max-a.row_min+1), (b.col_max-b.col_min+1)*(b.row_max-b.row_min+1)) AS smaller FROM nodes a JOIN nodes b ON a.repeat_id = b.repeat_id AND b.frame_id = a.frame_id+1, lastcol),
 links AS (SELECT *, shared/CAST(smaller AS DOUBLE) AS overlap FROM olap WHERE shared > 0 AND shared/CAST(smaller AS DOUBLE) >= 0.2),
@@ -182,7 +182,7 @@ QUERIES = {
     "frame_overlap": (lambda s, d: rounded(C.frame_overlap(boxes(s, d), TIERS)), final(BOXES, f"SELECT CAST(t AS DOUBLE) AS threshold, CAST(sum(a) AS BIGINT) AS frames8, CAST(sum(b) AS BIGINT) AS frames4, CAST(sum(a*b) AS BIGINT) AS in_both, count(*) AS in_any, sum(a*b)/CAST(count(*) AS DOUBLE) AS jaccard, sum(a*b)/CAST(nullif(sum(a), 0) AS DOUBLE) AS share8_also4 FROM (SELECT t, frame_id, max(CASE WHEN connectivity = 8 THEN 1 ELSE 0 END) AS a, max(CASE WHEN connectivity = 4 THEN 1 ELSE 0 END) AS b FROM boxes, (VALUES (3.0),(3.8),(4.5)) v(t) WHERE {COMPLETE} AND lx_over_delta > t GROUP BY t, frame_id) g GROUP BY t", "threshold~ frames8 frames4 in_both in_any jaccard~ share8_also4~")),
     "length_distribution": (lambda s, d: rounded(C.length_distribution(boxes(s, d))), final(BOXES, f"SELECT c AS connectivity, 3+k*0.25 AS bin_left, 3.25+k*0.25 AS bin_right, count(component_id) AS count, count(component_id)/CAST(greatest(max(tot), 1) AS DOUBLE) AS probability FROM (SELECT CAST(round((greatest(3.25, ceil(max(lx_over_delta)*4)/4)+0.25-3)/0.25) AS BIGINT) AS nb FROM boxes WHERE {COMPLETE}) e, (VALUES (8),(4)) cc(c), range(1000) r(k) LEFT JOIN boxes b ON {COMPLETE} AND b.connectivity = c AND b.lx_over_delta >= 3+k*0.25 AND b.lx_over_delta < 3.25+k*0.25 LEFT JOIN (SELECT connectivity AS tc, count(*) AS tot FROM boxes WHERE {COMPLETE} GROUP BY connectivity) t ON tc = c WHERE k < nb GROUP BY c, k", "connectivity bin_left~ bin_right~ count probability~")),
     "length_percentiles": (lambda s, d: rounded(percentile_rows(s, d)), final(BOXES, hazen_sql(f"SELECT * FROM boxes WHERE {COMPLETE}", "connectivity", "lx_over_delta", {"p50": 0.5, "p90": 0.9, "p95": 0.95}), "connectivity p50~ p90~ p95~")),
-    "branch_metrics": (lambda s, d: rounded(C.branch_metrics(boxes(s, d).where("sign = 1 and frame_id % 3 <> 0"), frames(s, d), 1000)), final(f"{BOXES}, {FRAMES}", "SELECT f.frame_id, count(component_id) AS n, count(*) FILTER (is_lsm) AS lsm, count(*) FILTER (is_vlsm) AS vlsm, coalesce(sum(pixel_count), 0)/1000.0 AS occupied_share, quantile_cont(lx_over_delta, 0.5) AS median_length, quantile_cont(lx_over_delta, 0.9) AS p90_length FROM frames f LEFT JOIN boxes b ON b.frame_id = f.frame_id AND sign = 1 AND b.frame_id % 3 <> 0 GROUP BY f.frame_id", "frame_id n lsm vlsm occupied_share~ median_length~ p90_length~")),
+    "branch_metrics": (lambda s, d: rounded(C.branch_metrics(boxes(s, d), frames(s, d), 1000)), final(f"{BOXES}, {FRAMES}", "SELECT f.frame_id, count(component_id) AS n, count(*) FILTER (is_lsm) AS lsm, count(*) FILTER (is_vlsm) AS vlsm, coalesce(sum(pixel_count), 0)/1000.0 AS occupied_share, quantile_cont(lx_over_delta, 0.5) AS median_length, quantile_cont(lx_over_delta, 0.9) AS p90_length FROM frames f LEFT JOIN boxes b ON b.frame_id = f.frame_id GROUP BY f.frame_id", "frame_id n lsm vlsm occupied_share~ median_length~ p90_length~")),
     "length_cdf": (lambda s, d: rounded(C.length_cdf(boxes(s, d))), final(BOXES, CDF, "lx_over_delta~ n cdf~")),
     "frame_summary": (lambda s, d: C.frame_summary(boxes(s, d), frames(s, d), TIERS), final(f"{BOXES}, {FRAMES}", f"SELECT f.frame_id, CAST(sg AS INTEGER) AS sign, CAST(cn AS INTEGER) AS connectivity, count(component_id) AS components, {SUMMARY_COLUMNS} FROM frames f CROSS JOIN (VALUES (1),(-1)) a(sg) CROSS JOIN (VALUES (8),(4)) c(cn) LEFT JOIN boxes b ON b.frame_id = f.frame_id AND b.sign = sg AND b.connectivity = cn GROUP BY f.frame_id, sg, cn", "frame_id sign connectivity components " + " ".join(SUMMARY_NAMES))),
     "structures_by_column": (lambda s, d: rounded(C.by_column(boxes(s, d), s.range(1, 15).select(F.col("id").cast("int").alias("i"), (F.col("id") * 10.0).alias("x_mm")))), final(f"{BOXES}, {COLUMN_X}", "SELECT i, count(component_id) AS n, count(*) FILTER (is_lsm) AS lsm, count(*) FILTER (is_vlsm) AS vlsm, avg(lx_over_delta) AS mean_length, avg(area_mm2) AS mean_area FROM ed LEFT JOIN boxes ON (lo IS NULL OR centroid_x_mm >= lo) AND (hi IS NULL OR centroid_x_mm < hi) GROUP BY i", "i n lsm vlsm mean_length~ mean_area~")),
@@ -193,7 +193,7 @@ QUERIES = {
     "sub_histogram": (lambda s, d: C.sub_histogram(boxes(s, d)), final(BOXES, "SELECT CAST(n_sub AS INTEGER) AS n_sub, count(*) AS count FROM boxes WHERE is_vlsm GROUP BY n_sub", "n_sub count")),
     "percolation": (lambda s, d: rounded(C.percolation(boxes(s, d), ["frame_id", "sign"], 1000)), final(f"{BOXES}, m AS (SELECT *, max(pixel_count) OVER (PARTITION BY frame_id, sign) AS big FROM boxes)", "SELECT frame_id, sign, count(*) AS components, sum(pixel_count)/1000.0 AS occupancy, max(pixel_count) AS largest, max(pixel_count)/CAST(sum(pixel_count) AS DOUBLE) AS largest_share, avg(pixel_count) AS mean_size, median(pixel_count) AS median_size, coalesce(sum(CASE WHEN pixel_count < big THEN pixel_count*pixel_count END)/CAST(sum(CASE WHEN pixel_count < big THEN pixel_count END) AS DOUBLE), 0) AS susceptibility, count(*) FILTER (pixel_count < 3)/CAST(count(*) AS DOUBLE) AS small_share FROM m GROUP BY frame_id, sign", "frame_id sign components occupancy~ largest largest_share~ mean_size~ median_size~ susceptibility~ small_share~")),
     "geometry_metrics": (lambda s, d: rounded(C.geometry_metrics(boxes(s, d), ["connectivity", "sign"], 1000).select("connectivity", "sign", "n", *GEO.split(), "lsm", "vlsm", "median_area", "p90_area", "median_aspect", "p95_aspect")), final(f"{BOXES}, r AS (SELECT *, row_number() OVER (PARTITION BY connectivity, sign ORDER BY area_mm2 DESC, component_id) AS p, count(*) OVER (PARTITION BY connectivity, sign) AS m FROM boxes), ha AS ({hazen_sql('SELECT * FROM boxes', 'connectivity, sign', 'area_mm2', {'median_area': 0.5, 'p90_area': 0.9})}), hb AS ({hazen_sql('SELECT * FROM boxes', 'connectivity, sign', 'aspect', {'median_aspect': 0.5, 'p95_aspect': 0.95})})", "SELECT r.connectivity, r.sign, count(*) AS n, avg(area_mm2) AS mean_area, sum(area_mm2) AS total_area, avg(aspect) AS mean_aspect, count(*) FILTER (pixel_count <= 4)/CAST(count(*) AS DOUBLE) AS small_share, sum(CASE WHEN p <= greatest(1, round(m*CAST(0.1 AS DOUBLE))) THEN area_mm2 ELSE 0 END)/sum(area_mm2) AS tail_share, count(*) FILTER (is_lsm) AS lsm, count(*) FILTER (is_vlsm) AS vlsm, max(median_area) AS median_area, max(p90_area) AS p90_area, max(median_aspect) AS median_aspect, max(p95_aspect) AS p95_aspect FROM r JOIN ha ON ha.connectivity = r.connectivity AND ha.sign = r.sign JOIN hb ON hb.connectivity = r.connectivity AND hb.sign = r.sign GROUP BY r.connectivity, r.sign", "connectivity sign n " + " ".join(c + "~" for c in GEO.split()) + " lsm vlsm median_area~ p90_area~ median_aspect~ p95_aspect~")),
-    "preview_frames": (lambda s, d: rounded(C.preview_frames(boxes(s, d).where("component_id % 12 < 3 or frame_id % 2 = 0").where("frame_id % 5 <> 0 or lx_over_delta < 3"))), final(f"{BOXES}, f AS (SELECT frame_id, count(*) AS n, max(CASE WHEN is_lsm THEN 1 ELSE 0 END) AS l, max(CASE WHEN is_vlsm THEN 1 ELSE 0 END) AS v, max(CASE WHEN is_lsm THEN lx_over_delta END) AS ll, max(CASE WHEN is_vlsm THEN lx_over_delta END) AS vl FROM boxes WHERE (component_id % 12 < 3 OR frame_id % 2 = 0) AND (frame_id % 5 <> 0 OR lx_over_delta < 3) GROUP BY frame_id), k AS (SELECT frame_id, CASE WHEN v = 1 THEN 'vlsm' WHEN l = 1 THEN 'lsm' ELSE 'none' END AS kind, CASE WHEN v = 1 THEN vl WHEN l = 1 THEN ll ELSE -n END AS score FROM f)", "SELECT kind, frame_id, score FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, frame_id) AS p FROM k) t WHERE p = 1", "kind frame_id score~")),
+    "preview_frames": (lambda s, d: rounded(C.preview_frames(boxes(s, d))), final(f"{BOXES}, f AS (SELECT frame_id, count(*) AS n, max(CASE WHEN is_lsm THEN 1 ELSE 0 END) AS l, max(CASE WHEN is_vlsm THEN 1 ELSE 0 END) AS v, max(CASE WHEN is_lsm THEN lx_over_delta END) AS ll, max(CASE WHEN is_vlsm THEN lx_over_delta END) AS vl FROM boxes GROUP BY frame_id), k AS (SELECT frame_id, CASE WHEN v = 1 THEN 'vlsm' WHEN l = 1 THEN 'lsm' ELSE 'none' END AS kind, CASE WHEN v = 1 THEN vl WHEN l = 1 THEN ll ELSE -n END AS score FROM f)", "SELECT kind, frame_id, score FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, frame_id) AS p FROM k) t WHERE p = 1", "kind frame_id score~")),
     "figure_rows": (lambda s, d: C.figure_rows(boxes(s, d), 100).select("place", "component_id"), final(BOXES, "SELECT CAST(place AS INTEGER) AS place, component_id FROM (SELECT component_id, row_number() OVER (ORDER BY frame_id, sign DESC, lx_over_delta DESC, component_id) AS place FROM boxes WHERE is_vlsm AND NOT is_censored) t WHERE place <= 100", "place component_id")),
     "match_windows": (lambda s, d: M.match_windows(boxes(s, d), BOX_COLUMNS).select("component_id", "window_min", "window_max", "matched", "reason", "candidates"), final(f"{BOXES}, o AS (SELECT * FROM boxes WHERE connectivity = 8 AND is_ss), tg AS (SELECT *, col_max-col_min+1 AS w FROM o WHERE NOT is_censored), cand AS (SELECT t.component_id, t.col_min, w, k AS st FROM tg t, range(1, 65) r(k) WHERE k <= 64-w+1 AND NOT EXISTS (SELECT 1 FROM o WHERE o.frame_id = t.frame_id AND t.row_min <= o.row_max AND t.row_max >= o.row_min AND k <= o.col_max AND k+w-1 >= o.col_min)), rk AS (SELECT *, row_number() OVER (PARTITION BY component_id ORDER BY abs(st-col_min), st) AS p, count(*) OVER (PARTITION BY component_id) AS n FROM cand)", "SELECT tg.component_id, CAST(st AS INTEGER) AS window_min, CAST(st+tg.w-1 AS INTEGER) AS window_max, st IS NOT NULL AS matched, CAST(CASE WHEN st IS NULL THEN 1 ELSE 0 END AS INTEGER) AS reason, CAST(coalesce(n, 0) AS INTEGER) AS candidates FROM tg LEFT JOIN rk ON rk.component_id = tg.component_id AND rk.p = 1", "component_id window_min window_max matched reason candidates")),
     "retain_nonoverlapping": (lambda s, d: M.retain_nonoverlapping(boxes(s, d)).select("component_id", "kept", "suppressed"), None),

@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame
 def written(df: DataFrame, tag: str = "step") -> DataFrame:
     """df written as Parquet to spark.checkpoint.dir and read back: cuts the lineage and survives lost executors.
 
-    Where the setting is missing (tests), the context's checkpoint folder or a new temporary one is used.
+    Where the setting is missing, the context's checkpoint folder is used, or on a local master (tests) a new temporary
+    one; a cluster must name one.
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/vortiq-{tag}-{uuid.uuid4().hex}"
