@@ -157,14 +157,15 @@ def one_each(docs: DataFrame, width: int = 3) -> DataFrame:
     """One row of each component: that of smallest doc_id, with all its columns; see near_duplicates().
 
     Where rows share that id within a component, any one of them stays, and so it is where a component has no id.
-    Only rows whose id is null or repeated need their fingerprint again, to tell their component from their id's.
+    Only rows whose id is null or repeated need their fingerprint again, to tell their component from their id's. The ids
+    grow with the corpus, so they are joined by sorting at every size and never broadcast.
     """
     prints = materialize(fingerprints(docs, width), "fingerprints")
     named = materialize(components(prints), "named")
     least = prints.join(named, "fp").where("doc_id = component_id").groupBy("doc_id").agg(F.lit(True).alias("least"))
     ids = materialize(prints.where("doc_id is not null").groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("repeated")).join(least, "doc_id", "left").where("least or repeated"), "ids")
-    alone = docs.join(ids.where("least and not repeated").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    unsure = docs.join(ids.where("repeated").select("doc_id"), "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
+    alone = docs.join(ids.where("least and not repeated").select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    unsure = docs.join(ids.where("repeated").select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
     own = fresh(docs.columns, "dup")
     fp, root, first = own + "fp", own + "root", own + "first"
 
