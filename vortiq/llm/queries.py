@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, embed_dedup, langid, packing, pii, quality, secrets, simhash
+from . import ann, bpe, chat, embed_dedup, langid, oracles, packing, pii, quality, secrets, simhash
 from .common import table
 
 
@@ -87,4 +87,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
