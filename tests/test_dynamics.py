@@ -104,6 +104,18 @@ def test_spod_peaks_where_it_should(spark):
     assert modal.spod(low_rank(spark, 10)[1], 32, 1.0).count() == 0
 
 
+def test_spod_sides_and_pieces_agree(spark):
+    x = np.random.default_rng(11).standard_normal((90, 6))
+    df = spark.createDataFrame([(k + 1, r.tolist()) for k, r in enumerate(x)], "frame_id long, x array<double>")
+    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(16) / 16)
+    q = np.stack([np.fft.rfft(x[8 * b : 8 * b + 16] * w[:, None], axis=0) for b in range(10)]) / np.sqrt(4.0 * (w**2).sum() * 10)
+    q[:, 1:-1] *= np.sqrt(2)
+    want = np.array([np.linalg.eigvalsh(p.conj().T @ p)[::-1] for p in q.transpose(1, 0, 2)])
+    for side, task_bytes in ((None, 1 << 30), ("dof", 64 * 6 * 3), ("blocks", 64 * 16 * 2)):
+        got = modal.spod(df, 16, 4.0, side=side, task_bytes=task_bytes).where("mode <= 6").orderBy("frequency", "mode").toPandas()
+        assert got.eigenvalue.to_numpy().reshape(9, 6) == pytest.approx(want, abs=1e-9)
+
+
 def test_two_lines_break():
     values = np.r_[np.linspace(1, 2, 8), np.linspace(6, 6.5, 12)] + 1e-3 * np.random.default_rng(9).standard_normal(20)
     got = modal.two_lines(values)

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vortiq.operators import catalog, frames, matching, structures, tracking
+from vortiq.operators import catalog, domain, frames, matching, structures, tracking
 
 
 def flood(mask, connectivity):
@@ -213,3 +213,14 @@ def test_gallery_spans_all_frames(spark, tmp_path):
     got = [r for r in relational.gallery_rows(spark, str(tmp_path)).collect() if r.reason == "exact_slot"]
     assert {r.time_bin for r in got} == {1, 2, 3, 4, 5}
     assert all((r.time_bin - 1) * 600 < r.frame_id <= r.time_bin * 600 for r in got)
+
+
+def test_runs_and_places_cross_spans(spark):
+    ids = [1, 2, 3, 4, 5, 9, 10, 16, 17, 18, 19, 20, 21, 22, 40]
+    df = spark.createDataFrame([(k, k % 3) for k in ids + [3]], "frame_id long, a int")
+    for span in (2, 5, 4096):
+        got = {r.frame_id: r.first_frame for r in domain.frame_runs(df, span).collect()}
+        assert got == {k: 1 if k < 9 else 9 if k < 16 else 16 if k < 40 else 40 for k in ids}
+        rows = sorted((r.place, r.frame_id) for r in domain.numbered_by_frame(df, ["a"], "place", span).collect())
+        assert rows == list(enumerate(sorted(ids + [3]), 1))
+    assert domain.frame_runs(df.limit(0)).count() == 0 and domain.numbered_by_frame(df.limit(0), ["a"], "place").count() == 0

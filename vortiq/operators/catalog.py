@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hazen, pearson, ratio
+from .domain import frame_runs, numbered_by_frame
 
 
 def representative(catalog: DataFrame, keys: list[str]) -> DataFrame:
@@ -211,14 +212,9 @@ def preview_frames(catalog: DataFrame) -> DataFrame:
 
 
 def figure_rows(catalog: DataFrame, limit: int | None = None) -> DataFrame:
-    """Complete very large structures in the order of figures: frame up, sign down, length down; place from 1.
-
-    The order is global, so a window sees all rows; catalogs of figures are small.
-    """
-    own = catalog.where(F.col("is_vlsm") & ~F.col("is_censored"))
-    order = Window.orderBy("frame_id", F.desc("sign"), F.desc("lx_over_delta"), "component_id")
-    ranked = own.withColumn("place", F.row_number().over(order))
-    return ranked if limit is None else ranked.where(F.col("place") <= limit)
+    """Complete very large structures in the order of figures: frame up, sign down, length down; place from 1."""
+    own, order = catalog.where(F.col("is_vlsm") & ~F.col("is_censored")), [F.desc("sign"), F.desc("lx_over_delta"), F.col("component_id")]
+    return numbered_by_frame(own if limit is None else own.orderBy("frame_id", *order).limit(limit), order, "place")
 
 
 def bootstrap_median(values: DataFrame, keys: list[str], value: str, resamples: int = 500, level: float = 0.95, seed: int = 7) -> DataFrame:
@@ -270,15 +266,12 @@ def plateaus(series: DataFrame, max_change: float = 0.15, min_run: int = 3) -> D
 def performance(frames: DataFrame, planned: int) -> tuple[DataFrame, DataFrame]:
     """Summary of a run's frames (frame_id, seconds, components), and one of each unbroken run of frame numbers.
 
-    A run begins where the frame before is missing; runs are told by an equi-join on the frame, not by one window over
-    all of them, and only their first frames are put in order.
+    Only the runs themselves are put in order.
     """
     whole = hazen(frames.withColumn("_k", F.lit(1)), ["_k"], "seconds", {"p95_seconds": 0.95}).select("p95_seconds")
     own = frames.agg(F.count(F.lit(1)).alias("n_frames"), F.avg("seconds").alias("mean_seconds"), F.median("seconds").alias("median_seconds"), F.sum("seconds").alias("total_seconds"), (F.avg("seconds") * planned).alias("planned_seconds"))
-    firsts = frames.join(frames.select((F.col("frame_id") + 1).alias("frame_id")), "frame_id", "left_anti").select(F.col("frame_id").alias("first_frame"))
-    spans = firsts.withColumn("_next", F.lead("first_frame").over(Window.orderBy("first_frame"))).withColumn("segment", F.row_number().over(Window.orderBy("first_frame")))
-    inside = (F.col("frame_id") >= F.col("first_frame")) & (F.col("_next").isNull() | (F.col("frame_id") < F.col("_next")))
-    runs = frames.join(spans, inside).groupBy("segment", "first_frame").agg(F.max("frame_id").alias("last_frame"), F.count(F.lit(1)).alias("n_frames"), F.avg("seconds").alias("mean_seconds"), F.sum("components").alias("components"))
+    runs = frames.join(frame_runs(frames), "frame_id").groupBy("first_frame").agg(F.max("frame_id").alias("last_frame"), F.count(F.lit(1)).alias("n_frames"), F.avg("seconds").alias("mean_seconds"), F.sum("components").alias("components"))
+    runs = runs.withColumn("segment", F.row_number().over(Window.orderBy("first_frame")))
     return own.join(whole, F.lit(True)), runs
 
 

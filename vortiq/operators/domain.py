@@ -26,6 +26,32 @@ def spread_frames(first: int, last: int, n: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.floor(F.lit(float(first)) + k * F.lit(step)).cast("long")))
 
 
+def frame_runs(frames: DataFrame, span: int = 4096) -> DataFrame:
+    """frame_id with first_frame, the first of the unbroken run of frame numbers that holds it.
+
+    Starts are told by an equi-join with the frame before and carried on within spans of frame numbers; a run that comes
+    from an earlier span is looked up in one row a span, so no window sees all frames.
+    """
+    own = frames.select(F.col("frame_id").cast("long").alias("frame_id")).distinct()
+    before = own.select((F.col("frame_id") + 1).alias("frame_id"), F.lit(True).alias("_follows"))
+    own = own.join(before, "frame_id", "left").withColumn("_span", F.floor(F.col("frame_id") / span))
+    own = own.withColumn("_start", F.when(F.col("_follows").isNull(), F.col("frame_id")))
+    upto = Window.partitionBy("_span").orderBy("frame_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = own.groupBy("_span").agg(F.max("_start").alias("_last")).select("_span", F.max("_last").over(earlier).alias("_carried"))
+    return own.withColumn("_own", F.max("_start").over(upto)).join(spans, "_span").select("frame_id", F.coalesce("_own", "_carried").alias("first_frame"))
+
+
+def numbered_by_frame(rows: DataFrame, order: list[Column | str], place: str, span: int = 4096) -> DataFrame:
+    """rows with their place from 1 in the order of frame_id, then `order`: places within spans of frames, and one row a
+    span that tells how many come before."""
+    own = rows.withColumn("_span", F.floor(F.col("frame_id") / span))
+    earlier = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = own.groupBy("_span").agg(F.count(F.lit(1)).alias("_n")).select("_span", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_span").orderBy("frame_id", *order))
+    return own.withColumn(place, within).join(spans, "_span").withColumn(place, (F.col(place) + F.col("_before")).cast("int")).drop("_span", "_before")
+
+
 def strided(samples: DataFrame, first: int = 1, stride: int = 1, most: int | None = None, space: int = 1) -> DataFrame:
     """Every stride-th frame from the first, at most so many, and every space-th row and column."""
     at = F.col("frame_id") - first

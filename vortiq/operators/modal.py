@@ -328,37 +328,53 @@ def _spectrum(lam: np.ndarray, amplitude: np.ndarray, dt: float) -> pd.DataFrame
     return out.sort_values(["amplitude", "frequency"], ascending=[False, True], ignore_index=True)
 
 
-def spod(rows: DataFrame, nfft: int, fs: float, overlap: float = 0.5) -> DataFrame:
+def spod(rows: DataFrame, nfft: int, fs: float, overlap: float = 0.5, side: str | None = None, task_bytes: int = 1 << 30) -> DataFrame:
     """Spectral decomposition: eigenvalues of the cross-spectral matrix of each frequency, over Hann blocks of snapshots.
 
-    A frame goes to every block that holds it (two at half overlap); blocks are transformed in tasks of their own, and
-    each frequency's blocks meet in a task that solves for as many eigenvalues as there are blocks. (frequency, mode,
-    eigenvalue.)
+    A frame goes to every block that holds it (two at half overlap). Where there are fewer blocks than degrees of
+    freedom, snapshots are cut into spatial pieces, whose products of all blocks are added up by frequency; otherwise
+    dof x dof products of runs of blocks are. The smaller side is taken, or the one named ("dof" or "blocks"), and its
+    square must fit a task. (frequency, mode, eigenvalue), as many modes as the smaller side has.
     """
     step = nfft - int(overlap * nfft)
-    last = rows.agg(F.max("frame_id")).first()[0] or 0
-    n_blocks = max(0, (last - nfft) // step + 1)
+    kind = "frequency double, mode int, eigenvalue double"
+    shape = rows.agg(F.max("frame_id").alias("last"), F.max(F.size("x")).alias("dof")).first()
+    n_blocks, dof = max(0, ((shape["last"] or 0) - nfft) // step + 1), shape["dof"]
     if not n_blocks:
-        return rows.sparkSession.createDataFrame([], "frequency double, mode int, eigenvalue double")
+        return rows.sparkSession.createDataFrame([], kind)
+    by_dof = side == "dof" or (side is None and dof <= n_blocks)
+    width = dof if by_dof else max(1, task_bytes // (64 * max(nfft, n_blocks)))
+    run = max(1, task_bytes // (64 * dof)) if by_dof else n_blocks
     first = F.greatest(F.lit(0), F.ceil((F.col("frame_id") - nfft) / step)).cast("int")
     final = F.least(F.lit(n_blocks - 1), F.floor((F.col("frame_id") - 1) / step)).cast("int")
-    dealt = rows.where(final >= first).select("frame_id", "x", F.explode(F.sequence(first, final)).alias("block"))
+    pieces = cut(rows.where(final >= first), dof, width).withColumnRenamed("block", "piece")
+    dealt = pieces.select("frame_id", "piece", "x", F.explode(F.sequence(first, final)).alias("block"))
     w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(nfft) / nfft)
 
-    def transform(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(group.sort_values("frame_id").x.to_numpy()).astype(float)
+    def transform(group: pa.Table) -> pa.Table:
+        _, x = _block(group)
         if len(x) < nfft:
-            return pd.DataFrame({"bin": [], "block": [], "q": []})
+            return pa.table({c: pa.array([], t) for c, t in (("bin", pa.int32()), ("piece", pa.int32()), ("block", pa.int32()), ("q", pa.binary()))})
         q = np.fft.rfft(x * w[:, None], axis=0) / np.sqrt(fs * (w**2).sum() * n_blocks)
         q[1 : -1 if nfft % 2 == 0 else None] *= np.sqrt(2)
-        return pd.DataFrame({"bin": np.arange(len(q)), "block": group.block.iloc[0], "q": [r.astype(np.complex128).tobytes() for r in q]})
-
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        q = np.stack([np.frombuffer(v, np.complex128) for v in group.sort_values("block").q])
-        values = np.maximum(np.linalg.eigvalsh(q.conj() @ q.T)[::-1], 0)
-        return pd.DataFrame({"frequency": group.bin.iloc[0] * fs / nfft, "mode": np.arange(1, len(values) + 1), "eigenvalue": values})
+        same = lambda c: pa.array([group.column(c)[0].as_py()] * len(q), pa.int32())
+        return pa.table({"bin": pa.array(np.arange(len(q)), pa.int32()), "piece": same("piece"), "block": same("block"), "q": pa.array([r.tobytes() for r in q], pa.binary())})
 
-    return dealt.groupBy("block").applyInPandas(transform, "bin int, block int, q binary").groupBy("bin").applyInPandas(solve, "frequency double, mode int, eigenvalue double")
+    def products(group: pa.Table) -> pa.Table:
+        order = np.argsort(group.column("block").to_numpy())
+        q = np.stack([np.frombuffer(v.as_py(), np.complex128) for v in group.column("q").take(pa.array(order))])
+        square = q.T @ q.conj() if by_dof else q.conj() @ q.T
+        return pa.table({"bin": group.column("bin")[:1], "m": pa.array([square.tobytes()], pa.binary())})
+
+    def solve(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(m.as_py(), np.complex128) for m in group.column("m"))
+        size = int(round(len(total) ** 0.5))
+        values = np.maximum(np.linalg.eigvalsh(total.reshape(size, size))[::-1], 0)
+        return pa.table({"frequency": [group.column("bin")[0].as_py() * fs / nfft] * size, "mode": pa.array(np.arange(1, size + 1), pa.int32()), "eigenvalue": values})
+
+    made = dealt.groupBy("block", "piece").applyInArrow(transform, "bin int, piece int, block int, q binary")
+    squares = made.groupBy("bin", "piece", F.floor(F.col("block") / run)).applyInArrow(products, "bin int, m binary")
+    return squares.groupBy("bin").applyInArrow(solve, kind)
 
 
 def dct(n: int) -> np.ndarray:

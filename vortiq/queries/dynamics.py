@@ -40,6 +40,11 @@ def traces(s, d):
     return s.createDataFrame([(float(values.sum()), float((values**2).sum()))], "total double, squared double")
 
 
+def spectral_power(s, d):
+    """Sum of the eigenvalues of each frequency."""
+    return modal.spod(snaps(s, d), 64, FS).groupBy("frequency").agg(F.sum("eigenvalue").alias("power"), F.count(F.lit(1)).alias("modes"))
+
+
 def modes(s, d):
     model = modal.pod(snaps(s, d))
     return modal.coefficients(snaps(s, d), model, 5).groupBy("mode").agg(F.avg(F.col("a") * F.col("a")).alias("energy"), F.count(F.lit(1)).alias("n")).withColumn("dof", F.lit(len(model.mean)))
@@ -78,6 +83,11 @@ SERIES = f"{SMP}, pb AS (SELECT frame_id, coalesce(u, 0) AS u, coalesce(v, 0) AS
 AUTO = f"{SERIES}, ac AS (SELECT lag, sum(a.u*b.u)/(SELECT sum(u*u) FROM pb) AS r FROM pb a, range(11) l(lag), pb b WHERE b.frame_id = a.frame_id+lag GROUP BY lag)"
 LAGGED = f"{SMP}, sp AS (SELECT l.lag, b.i, corr(CASE WHEN b.u IS NOT NULL THEN a.u END, CASE WHEN a.u IS NOT NULL THEN b.u END) AS r, count(CASE WHEN a.u IS NOT NULL THEN b.u END) AS n FROM smp a, range(7) l(lag), smp b WHERE a.j = 2 AND a.i = 3 AND b.j = 2 AND b.frame_id = a.frame_id+l.lag GROUP BY l.lag, b.i)"
 
+#: Hann blocks of 64 frames, 32 apart, of all 64 values of a frame, and their transforms.
+POWER = f"""{SMP}, bn AS (SELECT (max(frame_id)-64)//32+1 AS n FROM smp), wn AS (SELECT sum(pow(0.5-0.5*cos(2*pi()*t/64), 2)) AS w2 FROM range(64) r(t)),
+bx AS (SELECT b, j, i, c, frame_id-1-32*b AS t, coalesce(CASE WHEN c = 0 THEN u ELSE v END, 0)*(0.5-0.5*cos(2*pi()*(frame_id-1-32*b)/64)) AS x FROM smp JOIN (SELECT unnest(range(n)) AS b FROM bn) k ON frame_id BETWEEN 32*b+1 AND 32*b+64, (VALUES (0), (1)) d(c)),
+tf AS (SELECT b, j, i, c, f, sum(x*cos(2*pi()*f*t/64)) AS re, sum(x*sin(2*pi()*f*t/64)) AS im FROM bx, range(33) r(f) GROUP BY b, j, i, c, f)"""
+
 QUERIES = {
     "temporal_spectra": (lambda s, d: rounded(spectra.temporal_spectra(piv(s, d).withColumn("u", F.when(F.col("valid"), F.col("u"))), "u", 64, FS)), None),
     "welch_series": (lambda s, d: rounded(spectra.welch(clean(s, d).where("j = 2"), ["j", "i"], "u", 64, FS)), None),
@@ -103,4 +113,5 @@ QUERIES = {
     "pod_entropy_selection": (lambda s, d: rounded(entropy(s, d)), None),
     "dmd": (lambda s, d: rounded(s.createDataFrame(modal.dmd(snaps(s, d), 8, 1 / FS)), 4), None),
     "spod": (lambda s, d: rounded(modal.spod(snaps(s, d), 64, FS)), None),
+    "spod_power": (lambda s, d: rounded(spectral_power(s, d)), final(POWER, f"SELECT f*{FS}/64 AS frequency, CASE WHEN f IN (0, 32) THEN 1 ELSE 2 END*sum(re*re+im*im)/({FS}*max(w2)*max(n)) AS power, min(CAST(least(n, 64) AS BIGINT)) AS modes FROM tf, wn, bn GROUP BY f", "frequency~ power~ modes")),
 }

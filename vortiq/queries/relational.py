@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import catalog as C
 from ..operators import matching as M
-from ..operators import modal, structures, tracking
+from ..operators import domain, modal, structures, tracking
 from ..plans.views import BOX_COLUMNS, BOXES, FLOW, GRID, boxes, final, flow, grid, rounded, table
 from ..sources.shared import written
 
@@ -108,10 +107,9 @@ def interpolated(s, d):
 
 
 def runs(s, d):
-    """Contiguous runs of frames with more complete structures than one, by differences of row numbers."""
+    """Contiguous runs of frames with more than four complete structures."""
     own = boxes(s, d).where("is_ss and not is_censored").groupBy("frame_id").agg(F.count(F.lit(1)).alias("n")).where("n > 4")
-    own = own.withColumn("g", F.col("frame_id") - F.row_number().over(Window.orderBy("frame_id")))
-    return own.groupBy("g").agg(F.min("frame_id").alias("first"), F.max("frame_id").alias("last"), F.count(F.lit(1)).alias("length")).drop("g")
+    return domain.frame_runs(own).groupBy("first_frame").agg(F.max("frame_id").alias("last"), F.count(F.lit(1)).alias("length")).withColumnRenamed("first_frame", "first")
 
 
 def set_operations(s, d):
