@@ -236,3 +236,22 @@ def test_both_sides_of_the_decomposition_agree(spark):
     assert all(abs(c[k] - d[k]) < 1e-9 for k in c)
     p, q = modal.dmd(rows, 5, 0.1, "dof"), modal.dmd(rows, 5, 0.1, "frames", 4 * 8 * 18 * 7)
     assert np.allclose(p.sort_values(["re", "im"]).to_numpy(), q.sort_values(["re", "im"]).to_numpy(), atol=1e-6)
+
+
+def test_envelope_and_ranks(spark, sf):
+    from vortiq.plans.views import grid, piv
+
+    rows = modal.snapshots(piv(spark, sf)).where("frame_id <= 40")
+    small, large = modal.pod(rows, "dof"), modal.pod(rows, "frames", 4 * 8 * 40 * 10)
+    a, b = ({r.i: r.amplitude for r in modal.envelope(rows, m, grid(spark), 2).collect()} for m in (small, large))
+    assert a == pytest.approx(b, abs=1e-9) and 4 * sum(v * v for v in a.values()) == pytest.approx(1)
+    for model in (small, large):
+        got = model.chosen_rank(energy=0.5)
+        assert got["rank"] == model.energy_rank(0.5) and got["positive"] <= 39 and got["share"] >= 0.5
+        assert model.chosen_rank(fixed=2)["rank"] == 2 and model.chosen_rank(energy=1.0)["rank"] == got["positive"]
+        for bad in ({"fixed": 0}, {"fixed": 40}, {"energy": 0.0}, {"energy": 1.1}, {}):
+            with pytest.raises(ValueError):
+                model.chosen_rank(**bad)
+    still = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(5)], "frame_id long, x array<double>")
+    with pytest.raises(ValueError):
+        modal.pod(still).chosen_rank(fixed=1)

@@ -100,6 +100,29 @@ class Pod:
         share = np.cumsum(np.maximum(self.eigenvalues, 0))
         return int(np.searchsorted(share / share[-1], target - 1e-15) + 1)
 
+    def chosen_rank(self, fixed: int | None = None, energy: float | None = None) -> dict[str, float]:
+        """Number of modes asked for, or that hold the energy asked for, among those above the numerical noise.
+
+        A clearly negative eigenvalue, a spectrum without energy, and more modes than there are, are errors.
+        """
+        values = np.asarray(self.eigenvalues, float)
+        noise = max(100 * np.spacing(max(values[0], 1.0)) * max(self.dof, len(values)), np.finfo(float).tiny)
+        if (values < -noise).any():
+            raise ValueError("the spectrum has a negative eigenvalue")
+        positive = values[values > noise]
+        if not len(positive):
+            raise ValueError("the snapshots have no energy")
+        if fixed is not None:
+            if not 1 <= fixed <= len(positive):
+                raise ValueError("there are not so many modes")
+            rank = fixed
+        else:
+            if energy is None or not 0 < energy <= 1:
+                raise ValueError("the share of energy must lie in (0, 1]")
+            held = np.cumsum(positive) / positive.sum()
+            rank = min(int(np.searchsorted(held, energy - 1e-15)) + 1, len(positive))
+        return {"rank": rank, "positive": len(positive), "noise": noise, "share": float(positive[:rank].sum() / positive.sum())}
+
     def threshold_rank(self) -> dict[str, float]:
         """Rank by the optimal hard threshold for singular values of unknown noise."""
         dof = self.dof
@@ -267,6 +290,18 @@ def energy_modes(eigenvalues: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.join(rows, F.col("cumulative") >= F.col("target")).groupBy("target").agg(F.min("mode").alias("modes"), F.min("cumulative").alias("achieved"))
 
 
+def envelope(rows: DataFrame, model: Pod, points: DataFrame, mode: int = 1) -> DataFrame:
+    """Streamwise course of a mode: by column i the root of the wall-normal mean of u^2 + v^2.
+
+    points (j, i): those of the snapshots, which take their places in order of row, then column.
+    """
+    values = mode_blocks(rows, model, mode).where(F.col("mode") == mode).select("first", F.posexplode("values").alias("_k", "a"))
+    half = model.dof // 2
+    at = points.select("j", "i").distinct().agg(F.array_sort(F.collect_list(F.struct("j", "i"))).alias("_p")).select(F.posexplode("_p").alias("place", "_p")).select("place", "_p.i")
+    own = values.select(F.pmod(F.col("first") + F.col("_k"), F.lit(half)).alias("place"), "a").join(at, "place")
+    return own.groupBy("i").agg(F.sqrt(F.sum(F.col("a") * F.col("a")) / (F.count(F.lit(1)) / 2)).alias("amplitude"))
+
+
 def total_energy(samples: DataFrame) -> DataFrame:
     """Sum of all eigenvalues, without a decomposition: n over dof times the variances, missing values as zero."""
     own = paired(samples).groupBy(*POINT).agg(F.count(F.lit(1)).alias("n"), (F.var_pop(F.coalesce("u", F.lit(0.0))) + F.var_pop(F.coalesce("v", F.lit(0.0)))).alias("e"))

@@ -403,6 +403,15 @@ def merge_islands(catalog: DataFrame, gap_mm: float) -> DataFrame:
     return rows.withColumn("group", F.first("structure_id").over(own)).drop("_new", "_g")
 
 
+def merged_geometry(merged: DataFrame, pixels: DataFrame, dx: float, dy: float, min_lsm: float = 1.0, min_vlsm: float = 3.0) -> DataFrame:
+    """Geometry of whole groups from the pixels of their members (keys, structure_id, x_mm, y_mm, delta_mm, u), with the
+    number of members and the classes by length."""
+    key = ["repeat_id", "frame_id", "sign"]
+    members = merged.groupBy(*key, "group").agg(F.count(F.lit(1)).alias("members"))
+    whole = structure_geometry(pixels.join(merged.select(*key, "structure_id", "group"), [*key, "structure_id"]), [*key, "group"], dx, dy)
+    return whole.join(members, [*key, "group"]).withColumns({"is_lsm": F.col("lx_over_delta") >= min_lsm, "is_vlsm": F.col("lx_over_delta") >= min_vlsm})
+
+
 def split_points(x: np.ndarray, v: np.ndarray, threshold: float, min_gap: float) -> list[float]:
     """Places where v changes sign between strong values (beyond the threshold), kept if far enough from the last kept
     one (at first from x[0]) and from x[-1]."""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.phase import assign_phase
-from ..operators import boundary, catalog, domain, frames, gradients, matching, modal, phase, quadrants, statistics, structures, transport
+from ..operators import boundary, catalog, domain, frames, gradients, matching, modal, phase, quadrants, spectra, statistics, structures, transport
 from ..operators.statistics import POINT
 from ..sources.shared import written
 
@@ -71,6 +71,25 @@ def profiles(stats: DataFrame, grid: DataFrame, values: list[str], first: int, l
     return own.groupBy("quantity", "y_mm").agg(F.avg("value").alias("mean_value"), F.count("value").alias("finite_spatial_count"), F.min("x_mm").alias("x_min_mm"), F.max("x_mm").alias("x_max_mm"))
 
 
+def handoff_section(samples: DataFrame, grid: DataFrame, production: DataFrame, quadrant_stats: DataFrame, heights: DataFrame, nfft: int, fs: float) -> dict[str, DataFrame]:
+    """What a streamwise study hands on, by column.
+
+    peaks: for each requested height (target) the row nearest to it and, at every column, the frequency and level of the
+    largest premultiplied density; production: peak and wall-normal mean; quadrants: wall-normal mean probability by hole
+    and quadrant; envelope: course of the leading mode.
+    """
+    rows = matching.nearest_rows(grid.select("j", "y_mm").distinct(), heights, "y_mm", "j").select("target", "j", "y_mm")
+    wanted = statistics.paired(samples).join(rows.select("j").distinct(), "j", "left_semi")
+    density = spectra.welch(wanted, POINT, "u", nfft, fs).withColumn("premultiplied", F.col("frequency") * F.col("psd"))
+    snaps = modal.snapshots(samples)
+    return {
+        "peaks": rows.join(spectra.spectral_peak(density, POINT), "j"),
+        "production": statistics.column_metrics(production, "production"),
+        "quadrants": quadrant_stats.groupBy("i", "hole", "quadrant").agg(F.avg("probability").alias("probability")),
+        "envelope": modal.envelope(snaps, modal.pod(snaps), grid),
+    }
+
+
 def friction_section(stats: DataFrame, x_mm: DataFrame, h_mm: float, dy_mm: float, cfg: Flow, columns: tuple[int, int]) -> dict[str, DataFrame]:
     """Profile, chart fit, integral parameters and the secant friction coefficient along x (x_mm: i, x)."""
     prof = boundary.velocity_profile(stats, "u_mean", *columns)
