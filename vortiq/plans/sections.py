@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -147,6 +147,34 @@ def fluctuation_frames(samples: DataFrame, shape: tuple[int, int], energy: float
     return structures.blurred(packed, shape, (blur.sigma_y, blur.sigma_x), blur.size(), blur.mode, blur.by_mask)
 
 
+def phase_planar(phases: DataFrame, stats: DataFrame, grid: DataFrame) -> DataFrame:
+    """Planar criteria of every phase mean, and its vorticity less that of the mean flow."""
+    places = grid.select(*POINT, "x_mm", "y_mm")
+    own = gradients.planar_criteria(phases.select("bin", *POINT, F.col("u_phase").alias("u"), F.col("v_phase").alias("v")).join(places, POINT))
+    mean = gradients.planar_criteria(stats.select(F.lit(0).alias("bin"), *POINT, F.col("u_mean").alias("u"), F.col("v_mean").alias("v")).join(places, POINT))
+    return own.join(mean.select(*POINT, F.col("vorticity").alias("_mean")), POINT, "left").withColumn("coherent_vorticity", F.col("vorticity") - F.col("_mean")).drop("_mean")
+
+
+def coherent_structures(parts: DataFrame, shape: tuple[int, int], domain: np.ndarray, x_mm: np.ndarray, y_mm: np.ndarray, delta: np.ndarray, how: structures.Hysteresis, energy_alpha: float) -> DataFrame:
+    """Catalog of the coherent part of each bin (bin, j, i, u_coherent, v_coherent) by field: "u" and "v" over their rms of
+    all bins, and "energy" (half the sum of squares), of one sign and with one threshold, over its mean.
+
+    Scales have the grid's size.
+    """
+    rows = parts.withColumn("energy", (F.col("u_coherent") * F.col("u_coherent") + F.col("v_coherent") * F.col("v_coherent")) / 2)
+    scales = rows.groupBy(*POINT).agg(F.sqrt(F.avg(F.col("u_coherent") * F.col("u_coherent"))).alias("u"), F.sqrt(F.avg(F.col("v_coherent") * F.col("v_coherent"))).alias("v"), F.avg("energy").alias("energy"))
+    level = {r["j"] * shape[1] + r["i"] - shape[1] - 1: r for r in scales.collect()}
+    packed = frames.pack(rows.select(F.lit(1).alias("repeat_id"), F.col("bin").cast("long").alias("frame_id"), *POINT, F.col("u_coherent").alias("u"), F.col("v_coherent").alias("v"), "energy"), ["u", "v", "energy"])
+    out = None
+    for name in ("u", "v", "energy"):
+        scale = np.array([level[k][name] if k in level and level[k][name] is not None else np.nan for k in range(shape[0] * shape[1])]).reshape(shape)
+        own = replace(how, alpha=energy_alpha, seed_alpha=energy_alpha, signs=(1,)) if name == "energy" else how
+        got = structures.hysteresis_structures(packed.select("repeat_id", "frame_id", F.col(name).alias("u")), shape, scale, domain, x_mm, y_mm, delta, own)
+        got = got.withColumnRenamed("frame_id", "bin").withColumn("field", F.lit(name)).drop("repeat_id")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def row_rms(packed: DataFrame, shape: tuple[int, int]) -> np.ndarray:
     """Root mean square of packed fluctuations by row about each point's mean: a number a row reaches the driver."""
     points = packed.select(F.posexplode("u").alias("k", "u")).where("u is not null").withColumn("j", F.floor(F.col("k") / shape[1]))
