@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vortiq.llm import chat, embed_dedup, queries, secrets
 
 SQL = queries.oracle_sql()
-TABLE = {"op3_chat": "conversations", "op6_embeddings": "embeddings", "op8_secrets": "documents"}
+TABLE = {"op3_chat": "conversations", "op6_embeddings": "embeddings", "op8_secrets": "documents", "op12_licenses": "documents", "op13_divergence": "documents"}
 
 
 def compared(df, name, path):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from . import secrets
+from . import divergence, licenses, secrets
 
 CHAT = """
 WITH log AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -55,4 +55,58 @@ def secret_spans() -> str:
     )
 
 
-SQL = {"op3_chat": CHAT, "op6_embeddings": EMBEDDINGS, "op8_secrets": secret_spans()}
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def license_labels() -> str:
+    """Every run of words whose length comes near a notice, by edit distance; only texts that hold a piece of it.
+
+    Characters beyond ASCII become '~', which no notice holds, so that distances count characters.
+    """
+    notices = ", ".join(f"({k}, {_quoted(n.label)}, {_quoted(n.text)}, {n.errors}, {len(n.text.split())})" for k, n in enumerate(licenses.NOTICES))
+    pieces = ", ".join(f"({k}, {_quoted(piece)})" for k, n in enumerate(licenses.NOTICES) for _, piece in licenses.cut(n))
+    phrases = ", ".join(f"({_quoted(p)}, {_quoted(label)}, {len(p.split())})" for p, label in licenses.PHRASES)
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{divergence.UPPER}', '{divergence.LOWER}'), '{licenses.WORD}') AS words FROM documents),
+told AS (SELECT r, words, ' ' || regexp_replace(array_to_string(words, ' '), '[^\x00-\x7F]', '~', 'g') || ' ' AS t, list_transform(words, lambda w: regexp_replace(w, '[^\x00-\x7F]', '~', 'g')) AS plain FROM docs),
+phrases(phrase, label, n) AS (VALUES {phrases}),
+notices(k, label, notice, errors, n) AS (VALUES {notices}),
+pieces(k, piece) AS (VALUES {pieces}),
+held AS (SELECT r, words, phrase, label, n FROM told JOIN phrases ON contains(t, ' ' || phrase || ' ')),
+spots AS (SELECT r, phrase, label, n, words, unnest(generate_series(1, len(words))) AS i FROM held),
+places AS (SELECT r, label, i - 1 AS place FROM spots WHERE array_to_string(words[i:i + n - 1], ' ') = phrase),
+base AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY r),
+may AS (SELECT DISTINCT r, k FROM told JOIN pieces ON contains(t, piece)),
+runs AS (SELECT r, k, label, notice, errors, plain, unnest(generate_series(greatest(1, n - errors), n + errors)) AS width FROM may JOIN told USING (r) JOIN notices USING (k)),
+starts AS (SELECT r, k, label, notice, errors, width, plain, unnest(generate_series(1, len(plain) - width + 1)) AS i FROM runs),
+shown AS (SELECT r, k, label, notice, errors, array_to_string(plain[i:i + width - 1], ' ') AS run FROM starts),
+near AS (SELECT r, k, label, min(levenshtein(run, notice)) AS d, any_value(length(notice)) AS size FROM shown WHERE abs(length(run) - length(notice)) <= errors AND levenshtein(run, notice) <= errors GROUP BY ALL),
+all_labels AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM places UNION SELECT r, label FROM near) x GROUP BY r),
+best AS (SELECT r, max(1 - CAST(d AS DOUBLE) / size) AS score FROM near GROUP BY r)
+SELECT doc_id, CAST(len(docs.words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(score, 0) END AS score FROM docs LEFT JOIN base USING (r) LEFT JOIN all_labels USING (r) LEFT JOIN best USING (r)
+"""
+
+
+#: Shares as whole numbers of arbitrary size; every pair of a language's sources, term by term.
+DIVERGENCE = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{divergence.UPPER}', '{divergence.LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+parts AS (SELECT DISTINCT lang, source FROM docs),
+occurrences AS (SELECT r, lang, source, unnest(terms) AS term FROM docs),
+kept AS (SELECT lang, term FROM occurrences GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+counts AS (SELECT lang, source, term, count(*) AS n FROM occurrences GROUP BY ALL),
+grid AS (SELECT lang, source, term, coalesce(n, 0) AS n FROM parts JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+shares AS (SELECT lang, source, term, n, 1 + CAST(1000000000 AS HUGEINT) * CAST(n + 5 AS HUGEINT) // CAST(sum(n) OVER (PARTITION BY lang, source) + 5 * v AS HUGEINT) AS p FROM grid JOIN sizes USING (lang)),
+wholes AS (SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * CAST(sum(n) + 5 AS HUGEINT) // CAST(sum(sum(n)) OVER (PARTITION BY lang) + 5 * any_value(v) AS HUGEINT) AS q FROM grid JOIN sizes USING (lang) GROUP BY lang, term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value FROM parts a JOIN parts b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN shares x ON x.lang = a.lang AND x.source = a.source LEFT JOIN shares y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+terms AS (SELECT lang, source, term AS item, p - q AS value FROM shares JOIN wholes USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+SQL = {"op3_chat": CHAT, "op6_embeddings": EMBEDDINGS, "op8_secrets": secret_spans(), "op12_licenses": license_labels(), "op13_divergence": DIVERGENCE}

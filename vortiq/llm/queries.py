@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, embed_dedup, langid, oracles, packing, pii, quality, secrets, simhash
+from . import align, ann, bpe, chat, divergence, embed_dedup, langid, licenses, oracles, packing, pii, quality, secrets, simhash
 from .common import table
 
 
@@ -76,6 +76,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _pattern())
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.digest(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _pattern(), _tokenizer("piece_bpe_32k.model"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": pipeline, "op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_chat": op3_chat, "op4_quality": op4_quality, "op5_pii": op5_pii, "op6_embeddings": op6_embeddings, "op7_neighbours": op7_neighbours, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_packing": op10_packing}
+    return {"pipeline": pipeline, "op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_chat": op3_chat, "op4_quality": op4_quality, "op5_pii": op5_pii, "op6_embeddings": op6_embeddings, "op7_neighbours": op7_neighbours, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_packing": op10_packing, "op11_align": op11_align, "op12_licenses": op12_licenses, "op13_divergence": op13_divergence}
 
 
 def oracle_sql() -> dict[str, str]:
