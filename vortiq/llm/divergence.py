@@ -1,26 +1,28 @@
 """Audit of how far the sources of a language drift apart in their terms, with wide term vectors.
 
-Occurrences are summed map-side by (lang, source, term). Each kept term then becomes one row with an array indexed by
+Terms are counted in the tasks that read the texts, by (lang, source, term), and summed. Each kept term then becomes one row with an array indexed by
 the language's sources; higher-order functions turn that array into shares and into the contributions of all pairs of
 sources, which are summed map-side again. Nothing is joined source with source.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-# Fixed values of the contract: what stands between terms, the share's unit, the count added to every term.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+# Fixed values of the contract: what a term's bytes are, the share's unit, the count added to every term.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 UNIT, ADDED = 1_000_000_000, 5
-
-
-def terms_of(text: Column) -> Column:
-    """Terms of a text, repeats included."""
-    return F.filter(F.split(F.translate(text, UPPER, LOWER), BETWEEN), lambda t: t != "")
+#: Bytes of UTF-8 to themselves, A-Z to a-z, and those between terms to a space.
+TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Distinct terms that a task counts before it hands them on.
+HELD = 300_000
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -32,17 +34,38 @@ def share(count: Column, total: Column, kept: Column) -> Column:
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences, and rows of docs that hold the term. Nulls count as ''.
 
-    A group without terms has one row whose term is null.
+    A group without terms has one row whose term is null. Tasks count the terms of their rows by group, in tables of at
+    most HELD terms and one text's, before anything is shuffled.
     """
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = docs.select(text("lang").alias("lang"), text("source").alias("source"), terms_of(text("text")).alias("terms"))
-    # every occurrence counts one; the distinct terms follow once more, to count rows
-    marked = F.concat(
-        F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"))),
-        F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"))),
-    )
-    each = rows.select("lang", "source", F.explode_outer(marked).alias("x")).select("lang", "source", "x.term", "x.n")
-    return each.groupBy("lang", "source", "term").agg(F.sum("n").cast("long").alias("n"), F.sum(F.lit(1) - F.col("n")).cast("long").alias("docs"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (times, rows) in found.items():
+                terms = list(rows) or [None]
+                column = lambda v: pa.array([v] * len(terms), pa.string())
+                yield pa.RecordBatch.from_arrays([column(lang), column(source), pa.array(terms, pa.string()), pa.array([times[t] for t in terms], pa.int64()), pa.array([rows[t] for t in terms], pa.int64())], names=["lang", "source", "term", "n", "docs"])
+            found.clear()
+
+        held = 0
+        for batch in batches:
+            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                words = (text.as_py() or "").encode().translate(TERM_BYTES).split(b" ")
+                times, rows = found.setdefault((lang, source), (Counter(), Counter()))
+                held -= len(rows)
+                times.update(words)
+                rows.update(set(words))
+                del times[b""], rows[b""]
+                held += len(rows)
+                if held > HELD:
+                    yield from told()
+                    held = 0
+        yield from told()
+
+    text = lambda c: F.coalesce(docs[c].cast("string"), F.lit("")).alias(c)
+    each = docs.select(text("lang"), text("source"), text("text")).mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def wide_vectors(counts: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
