@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vortiq.operators import correlation, modal, spectra
+from vortiq.operators import correlation, dynamic_modes, modal, spectra, spectral_modes
 from vortiq.sources import cache, tecplot
 from vortiq.streaming import moments as stream
 
@@ -92,16 +92,16 @@ def test_dmd_of_a_rotation(spark):
     t = np.arange(50) * 0.1
     a = np.random.default_rng(7).standard_normal((2, 6))
     x = np.stack([np.exp(-0.1 * t) * np.cos(2 * np.pi * t), np.exp(-0.1 * t) * np.sin(2 * np.pi * t)], axis=1) @ a
-    got = modal.dmd(spark.createDataFrame([(k + 1, r.tolist()) for k, r in enumerate(x)], "frame_id long, x array<double>"), 2, 0.1)
+    got = dynamic_modes.spectrum(spark.createDataFrame([(k + 1, r.tolist()) for k, r in enumerate(x)], "frame_id long, x array<double>"), 2, 0.1)
     assert sorted(got.frequency) == pytest.approx([-1, 1], abs=1e-6) and list(got.growth) == pytest.approx([-0.1, -0.1], abs=1e-6)
 
 
 def test_spod_peaks_where_it_should(spark):
     t = np.arange(256)
     x = np.outer(np.cos(2 * np.pi * t * 4 / 32), np.array([1.0, 2.0, -1.0])) + 0.01 * np.random.default_rng(8).standard_normal((256, 3))
-    got = modal.spod(spark.createDataFrame([(k + 1, r.tolist()) for k, r in enumerate(x)], "frame_id long, x array<double>"), 32, 32.0).where("mode = 1").orderBy(F.desc("eigenvalue")).first()
+    got = spectral_modes.spod(spark.createDataFrame([(k + 1, r.tolist()) for k, r in enumerate(x)], "frame_id long, x array<double>"), 32, 32.0).where("mode = 1").orderBy(F.desc("eigenvalue")).first()
     assert got.frequency == pytest.approx(4)
-    assert modal.spod(low_rank(spark, 10)[1], 32, 1.0).count() == 0
+    assert spectral_modes.spod(low_rank(spark, 10)[1], 32, 1.0).count() == 0
 
 
 def test_spod_sides_and_pieces_agree(spark):
@@ -112,7 +112,7 @@ def test_spod_sides_and_pieces_agree(spark):
     q[:, 1:-1] *= np.sqrt(2)
     want = np.array([np.linalg.eigvalsh(p.conj().T @ p)[::-1] for p in q.transpose(1, 0, 2)])
     for side, task_bytes in ((None, 1 << 30), ("dof", 64 * 6 * 3), ("blocks", 64 * 16 * 2)):
-        got = modal.spod(df, 16, 4.0, side=side, task_bytes=task_bytes).where("mode <= 6").orderBy("frequency", "mode").toPandas()
+        got = spectral_modes.spod(df, 16, 4.0, side=side, task_bytes=task_bytes).where("mode <= 6").orderBy("frequency", "mode").toPandas()
         assert got.eigenvalue.to_numpy().reshape(9, 6) == pytest.approx(want, abs=1e-9)
 
 
@@ -234,7 +234,7 @@ def test_both_sides_of_the_decomposition_agree(spark):
     assert np.allclose(np.abs((modes * dof.modes[:, :4].T).sum(1)), 1, atol=1e-9)
     c, d = ({(r.frame_id, r.mode): abs(r.a) for r in modal.coefficients(rows, m, 4).collect()} for m in (dof, frames))
     assert all(abs(c[k] - d[k]) < 1e-9 for k in c)
-    p, q = modal.dmd(rows, 5, 0.1, "dof"), modal.dmd(rows, 5, 0.1, "frames", 4 * 8 * 18 * 7)
+    p, q = dynamic_modes.spectrum(rows, 5, 0.1, "dof"), dynamic_modes.spectrum(rows, 5, 0.1, "frames", 4 * 8 * 18 * 7)
     assert np.allclose(p.sort_values(["re", "im"]).to_numpy(), q.sort_values(["re", "im"]).to_numpy(), atol=1e-6)
 
 

@@ -100,11 +100,12 @@ def length_percentiles(catalog: DataFrame) -> DataFrame:
     return hazen(catalog.where(F.col("is_ss") & ~F.col("is_censored")), ["connectivity"], "lx_over_delta", {"p50": 0.5, "p90": 0.9, "p95": 0.95})
 
 
-def branch_metrics(catalog: DataFrame, frames: DataFrame, pixels: int) -> DataFrame:
-    """By frame, frames without structures included: counts, occupied share, median and 90th percentile (linear) length."""
-    got = catalog.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_lsm"), 1)).alias("lsm"), F.count(F.when(F.col("is_vlsm"), 1)).alias("vlsm"), F.sum("pixel_count").alias("px"), F.percentile("lx_over_delta", F.lit(0.5)).alias("median_length"), F.percentile("lx_over_delta", F.lit(0.9)).alias("p90_length"))
+def branch_metrics(catalog: DataFrame, frames: DataFrame, pixels: int, keys: tuple[str, ...] = ("frame_id",)) -> DataFrame:
+    """By frame (or other keys), those of frames without structures included: counts, occupied share, median and 90th
+    percentile (linear) length."""
+    got = catalog.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_lsm"), 1)).alias("lsm"), F.count(F.when(F.col("is_vlsm"), 1)).alias("vlsm"), F.sum("pixel_count").alias("px"), F.percentile("lx_over_delta", F.lit(0.5)).alias("median_length"), F.percentile("lx_over_delta", F.lit(0.9)).alias("p90_length"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return frames.select("frame_id").join(got, "frame_id", "left").select("frame_id", zero("n").alias("n"), zero("lsm").alias("lsm"), zero("vlsm").alias("vlsm"), (zero("px") / F.lit(float(pixels))).alias("occupied_share"), "median_length", "p90_length")
+    return frames.select(*keys).join(got, list(keys), "left").select(*keys, zero("n").alias("n"), zero("lsm").alias("lsm"), zero("vlsm").alias("vlsm"), (zero("px") / F.lit(float(pixels))).alias("occupied_share"), "median_length", "p90_length")
 
 
 def length_cdf(catalog: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from .assignment import best_pairs
 
 
 def match_windows(catalog: DataFrame, n_columns: int) -> DataFrame:
@@ -136,36 +137,15 @@ def pair_metrics(found: DataFrame, seen: DataFrame, width_mm: float, height_mm:
     return got.withColumn("score", F.when(c("eligible"), score).otherwise(0.0))
 
 
-def assign_pairs(pairs: DataFrame, exact_up_to: int = 14) -> DataFrame:
-    """One-to-one pairs of each frame with the greatest total score, of eligible pairs only.
+def assign_pairs(pairs: DataFrame) -> DataFrame:
+    """One-to-one pairs of each frame with the greatest total score, of eligible pairs only, for any number of boxes.
 
-    Exact for at most exact_up_to annotated boxes a frame, by dynamic programming over sets of them; greedy beyond.
+    Where totals tie: found boxes in order, a box left free comes before a pair, a smaller annotated box before a larger.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         ok = group[group.eligible]
-        found, seen = sorted(ok.found_id.unique()), sorted(ok.seen_id.unique())
-        score = {(r.found_id, r.seen_id): r.score for r in ok.itertuples()}
-        if len(seen) > exact_up_to:
-            chosen, left, right = [], set(), set()
-            for (a, b), s in sorted(score.items(), key=lambda x: (-x[1], x[0])):
-                if a not in left and b not in right:
-                    chosen.append((a, b))
-                    left.add(a)
-                    right.add(b)
-        else:
-            best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
-            for a in found:
-                step = dict(best)
-                for used, (total, taken) in best.items():
-                    for k, b in enumerate(seen):
-                        if not used >> k & 1 and (a, b) in score:
-                            got = total + score[a, b]
-                            if got > step.get(used | 1 << k, (-1.0,))[0] + 1e-12:
-                                step[used | 1 << k] = (got, (*taken, (a, b)))
-                best = step
-            chosen = max(best.values(), key=lambda x: x[0])[1]
-        keys = set(chosen)
+        keys = best_pairs({(r.found_id, r.seen_id): r.score for r in ok.itertuples()})
         return group[[(a, b) in keys for a, b in zip(group.found_id, group.seen_id)]]
 
     return pairs.groupBy("frame_id").applyInPandas(run, pairs.schema)

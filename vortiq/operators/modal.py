@@ -2,9 +2,10 @@
 
 A snapshot is a frame's vector of degrees of freedom (u at all kept points, then v). The smaller side is decomposed.
 With fewer degrees of freedom than frames, outer products are added up per partition (dof x dof). With fewer frames,
-snapshots are cut into spatial blocks: a task holds all frames of one block, emits its products as tiles, and Spark adds
-the tiles up; so no task holds more than frames x width numbers and only frames x frames reach the driver. Modes of that
-side are a table of blocks, never an array on the driver.
+snapshots are cut into spatial blocks: a task holds all frames of one block and emits its products tile by tile, which
+Spark adds up; so no task holds more than frames x width numbers and a tile, and only frames x frames reach the driver.
+Where even that is too much, leading() finds the first modes alone, with frames x rank numbers on the driver. Modes of
+that side are a table of blocks, never an array on the driver.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .statistics import POINT, paired
 
 
@@ -94,11 +96,18 @@ class Pod:
         self.n, self.mean, self.dof = n, mean, len(mean)
         self.eigenvalues = values[order] / len(mean)
         self.modes = vectors[:, order]
+        self.total = float(np.maximum(self.eigenvalues, 0).sum())
 
     def energy_rank(self, target: float) -> int:
         """The first number of modes whose cumulative energy reaches the target."""
-        share = np.cumsum(np.maximum(self.eigenvalues, 0))
-        return int(np.searchsorted(share / share[-1], target - 1e-15) + 1)
+        share = self.cumulative()
+        if share[-1] < target - 1e-9:
+            raise ValueError("the modes that are known do not hold so much energy")
+        return min(int(np.searchsorted(share, target - 1e-15) + 1), len(share))
+
+    def cumulative(self) -> np.ndarray:
+        """Share of the energy of all modes that the first ones hold together."""
+        return np.cumsum(np.maximum(self.eigenvalues, 0)) / max(self.total, 1e-300)
 
     def chosen_rank(self, fixed: int | None = None, energy: float | None = None) -> dict[str, float]:
         """Number of modes asked for, or that hold the energy asked for, among those above the numerical noise.
@@ -124,8 +133,10 @@ class Pod:
         return {"rank": rank, "positive": len(positive), "noise": noise, "share": float(positive[:rank].sum() / positive.sum())}
 
     def threshold_rank(self) -> dict[str, float]:
-        """Rank by the optimal hard threshold for singular values of unknown noise."""
+        """Rank by the optimal hard threshold for singular values of unknown noise; needs all of them."""
         dof = self.dof
+        if len(self.eigenvalues) < min(dof, self.n):
+            raise ValueError("the threshold rests on the median of all singular values")
         s = np.sqrt(np.maximum(self.eigenvalues, 0) * dof)
         beta = min(dof, self.n) / max(dof, self.n)
         omega = 0.56 * beta**3 - 0.95 * beta**2 + 1.82 * beta + 1.43
@@ -155,16 +166,17 @@ def block_width(n: int, task_bytes: int) -> int:
 def gramian(rows: DataFrame, n: int, dof: int, centred: bool = True, task_bytes: int = 1 << 30, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Frame ids and the frames x frames products of snapshots, centred about their mean or as they are."""
 
-    def products(group: pa.Table) -> pa.Table:
-        _, x = _block(group)
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, x = _block(pa.Table.from_batches(batches))
         if centred:
             x = x - x.mean(0)
-        out = [(a, b, (x[a : a + tile] @ x[b : b + tile].T).tobytes()) for a in range(0, len(x), tile) for b in range(a, len(x), tile)]
-        return pa.table({"a": [r[0] for r in out], "b": [r[1] for r in out], "m": pa.array([r[2] for r in out], pa.binary())})
+        for a in range(0, len(x), tile):
+            for b in range(a, len(x), tile):
+                yield pa.RecordBatch.from_pydict({"a": [a], "b": [b], "m": pa.array([(x[a : a + tile] @ x[b : b + tile].T).tobytes()], pa.binary())})
 
-    def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(m.as_py(), float) for m in group.column("m"))
-        return pa.table({"a": group.column("a")[:1], "b": group.column("b")[:1], "m": pa.array([total.tobytes()], pa.binary())})
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(np.frombuffer(m.as_py(), float) for batch in batches for m in batch.column("m"))
+        yield pa.RecordBatch.from_pydict({"a": [key[0].as_py()], "b": [key[1].as_py()], "m": pa.array([total.tobytes()], pa.binary())})
 
     kind = "a long, b long, m binary"
     tiles = cut(rows, dof, block_width(n, task_bytes)).groupBy("block").applyInArrow(products, kind).groupBy("a", "b").applyInArrow(add, kind)
@@ -186,6 +198,14 @@ class FramePod(Pod):
         order = np.argsort(-values, kind="stable")[: min(len(values), dof)]
         self.n, self.dof, self.ids, self.task_bytes = len(ids), dof, ids, task_bytes
         self.eigenvalues, self.vectors = values[order] / dof, vectors[:, order]
+        self.total = float(np.maximum(self.eigenvalues, 0).sum())
+
+    @classmethod
+    def of(cls, ids: np.ndarray, eigenvalues: np.ndarray, vectors: np.ndarray, total: float, dof: int, task_bytes: int) -> FramePod:
+        """From modes that are known already, and the energy of all."""
+        made = cls.__new__(cls)
+        made.n, made.dof, made.ids, made.task_bytes, made.eigenvalues, made.vectors, made.total = len(ids), dof, ids, task_bytes, eigenvalues, vectors, total
+        return made
 
 
 def pod(rows: DataFrame, side: str | None = None, task_bytes: int = 1 << 30) -> Pod:
@@ -198,6 +218,90 @@ def pod(rows: DataFrame, side: str | None = None, task_bytes: int = 1 << 30) ->
     return FramePod(*gramian(rows, n, dof, True, task_bytes), dof, task_bytes)
 
 
+def _packed(rows: DataFrame, dof: int, width: int) -> DataFrame:
+    """(block, energy, x): one row a spatial block with all its frames in order, centred, as bytes (frames x width), and
+    the sum of their squares."""
+
+    def pack(group: pa.Table) -> pa.Table:
+        x = _block(group)[1]
+        x = x - x.mean(0)
+        return pa.table({"block": pa.array([group.column("block")[0].as_py()], pa.int32()), "energy": pa.array([float((x * x).sum())]), "x": pa.array([x.tobytes()], pa.binary())})
+
+    return cut(rows, dof, width).groupBy("block").applyInArrow(pack, "block int, energy double, x binary")
+
+
+def _times(blocks: DataFrame, q: np.ndarray, tile: int = 2048) -> np.ndarray:
+    """(sum over blocks of X X') q, the products of all snapshots with each other times q; one pass over the blocks."""
+    n, k = q.shape
+    shared = blocks.sparkSession.sparkContext.broadcast(q)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for m in batch.column("x"):
+                x = np.frombuffer(m.as_buffer(), float).reshape(n, -1)
+                own = x @ (x.T @ shared.value)
+                total = own if total is None else total + own
+        for at in range(0, n if total is not None else 0, tile):
+            yield pa.RecordBatch.from_pydict({"at": [at], "m": pa.array([total[at : at + tile].tobytes()], pa.binary())})
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(np.frombuffer(m.as_py(), float) for batch in batches for m in batch.column("m"))
+        yield pa.RecordBatch.from_pydict({"at": [key[0].as_py()], "m": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros((n, k))
+    for r in blocks.select("x").mapInArrow(run, "at long, m binary").groupBy("at").applyInArrow(add, "at long, m binary").toLocalIterator():
+        out[r["at"] : r["at"] + tile] = np.frombuffer(r["m"], float).reshape(-1, k)
+    shared.unpersist()
+    return out
+
+
+def _basis(vectors: np.ndarray, images: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An orthonormal basis of the columns of vectors, and its images; directions that others nearly hold are left out."""
+    size = np.maximum(np.linalg.norm(vectors, axis=0), 1e-300)
+    values, turn = np.linalg.eigh((vectors / size).T @ (vectors / size))
+    keep = values > 1e-10 * values[-1]
+    turn = (turn[:, keep] / np.sqrt(values[keep])) / size[:, None]
+    return vectors @ turn, images @ turn
+
+
+def leading(rows: DataFrame, rank: int, tolerance: float = 1e-9, rounds: int = 200, task_bytes: int = 1 << 30, seed: int = 0) -> FramePod:
+    """The first `rank` modes alone, from the frames' side, without the frames x frames products.
+
+    Blocked iteration on a subspace with its residuals and its last step (locally optimal, as conjugate gradients are):
+    each round is one pass over the spatial blocks, which are cut and written once. Ends when no residual of the first
+    `rank` is above the root of tolerance times the largest eigenvalue, so that eigenvalues agree to about tolerance;
+    raises if that takes more than `rounds` passes. The driver holds some frames x (9 rank) numbers.
+    """
+    first, n = rows.first(), rows.count()
+    dof = len(first["x"])
+    block_bytes = min(task_bytes // 8, 1 << 25)
+    blocks = written(_packed(rows, dof, max(1, block_bytes // (8 * n))), "blocks")
+    ids = np.array([r["frame_id"] for r in rows.select("frame_id").orderBy("frame_id").collect()])
+    k = min(rank + max(4, rank // 4), n)
+    q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, k)))
+    w, step, step_image = _times(blocks, q), np.zeros((n, 0)), np.zeros((n, 0))
+    for _ in range(rounds):
+        values, turn = np.linalg.eigh((q.T @ w + w.T @ q) / 2)
+        order = np.argsort(-values, kind="stable")[:k]
+        values, q, w = values[order], q @ turn[:, order], w @ turn[:, order]
+        residual = w - q * values
+        if np.linalg.norm(residual[:, :rank], axis=0).max() <= np.sqrt(tolerance) * 1e-2 * max(abs(values[0]), 1e-300):
+            total = blocks.agg(F.sum("energy")).first()[0]
+            return FramePod.of(ids, values[:rank] / dof, q[:, :rank], total / dof, dof, task_bytes)
+        # what is new in the residuals, and where the last step led
+        residual -= q @ (q.T @ residual)
+        image = _times(blocks, residual)
+        basis, images = _basis(np.hstack([q, residual, step]), np.hstack([w, image, step_image]))
+        values, turn = np.linalg.eigh((basis.T @ images + images.T @ basis) / 2)
+        turn = turn[:, np.argsort(-values, kind="stable")[:k]]
+        fresh, fresh_image = basis @ turn, images @ turn
+        inside = q.T @ fresh
+        step, step_image = fresh - q @ inside, fresh_image - w @ inside
+        q, w = fresh, fresh_image
+    raise RuntimeError("the leading modes did not settle")
+
+
 def mode_blocks(rows: DataFrame, model: Pod, rank: int) -> DataFrame:
     """(block, first, mode, values): the modes as runs of degrees of freedom from `first` (0 for the first of all).
 
@@ -266,10 +370,46 @@ def reconstruct(rows: DataFrame, model: Pod, rank: int, chosen: list[int] | None
     return rows.mapInPandas(run, "frame_id long, x array<double>")
 
 
-def as_frames(snapshots: DataFrame, repeat_id: int = 1) -> DataFrame:
-    """Snapshots of whole grids as packed frames (repeat_id, frame_id, u, v), for work on fields."""
+def reconstruct_sweep(rows: DataFrame, model: Pod, ranks: list[int]) -> DataFrame:
+    """(frame_id, rank, x): fluctuations rebuilt from each of the rising numbers of modes, in one scan of the snapshots:
+    only the modes between one rank and the next are added to what is there."""
+    if list(ranks) != sorted(set(ranks)) or not ranks or ranks[0] < 1 or ranks[-1] > len(model.eigenvalues):
+        raise ValueError("ranks must rise, from 1 to the number of modes")
+    steps = list(zip([0, *ranks], ranks))
+    if isinstance(model, FramePod):
+        vectors = model.vectors[:, : ranks[-1]]
+
+        def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            group = pa.Table.from_batches(batches)
+            ids, x = _block(group)
+            x = x - x.mean(0)
+            block, made = group.column("block")[0].as_py(), np.zeros_like(x)
+            for a, b in steps:
+                made = made + vectors[:, a:b] @ (vectors[:, a:b].T @ x)
+                yield pa.RecordBatch.from_pydict({"frame_id": ids, "rank": pa.array([b] * len(ids), pa.int32()), "block": pa.array([block] * len(ids), pa.int32()), "x": pa.array(list(made), pa.list_(pa.float64()))})
+
+        parts = cut(rows, model.dof, block_width(model.n, model.task_bytes)).withColumn("block", F.col("block").cast("int")).groupBy("block").applyInArrow(project, "frame_id long, rank int, block int, x array<double>")
+        return parts.groupBy("frame_id", "rank").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "x"))), lambda p: p["x"])).alias("x"))
+    modes, mean = model.modes[:, : ranks[-1]], model.mean
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch.x.to_numpy()).astype(float) - mean
+                made = np.zeros_like(x)
+                for a, b in steps:
+                    made = made + (x @ modes[:, a:b]) @ modes[:, a:b].T
+                    yield pd.DataFrame({"frame_id": batch.frame_id, "rank": b, "x": list(made)})
+
+    return rows.mapInPandas(run, "frame_id long, rank int, x array<double>")
+
+
+def as_frames(snapshots: DataFrame, repeat: int | str = 1, frame: str = "frame_id") -> DataFrame:
+    """Snapshots of whole grids as packed frames (repeat_id, frame_id, u, v), for work on fields; repeat is a number or
+    the column that holds it."""
     half = F.size("x") / 2
-    return snapshots.select(F.lit(repeat_id).alias("repeat_id"), "frame_id", F.slice("x", F.lit(1), half.cast("int")).alias("u"), F.slice("x", (half + 1).cast("int"), half.cast("int")).alias("v"))
+    number = F.col(repeat) if isinstance(repeat, str) else F.lit(repeat)
+    return snapshots.select(number.cast("int").alias("repeat_id"), F.col(frame).alias("frame_id"), F.slice("x", F.lit(1), half.cast("int")).alias("u"), F.slice("x", (half + 1).cast("int"), half.cast("int")).alias("v"))
 
 
 def energy_table(model: Pod, spark, targets: list[float]) -> DataFrame:
@@ -308,110 +448,6 @@ def total_energy(samples: DataFrame) -> DataFrame:
     return own.agg((F.max("n") * F.sum("e") / (2 * F.count(F.lit(1)))).alias("total_energy"))
 
 
-def dmd(rows: DataFrame, rank: int, dt: float, side: str | None = None, task_bytes: int = 1 << 30) -> pd.DataFrame:
-    """Exact dynamic mode decomposition of snapshots of consecutive frames: eigenvalue, growth, frequency, amplitude.
-
-    With X and Y the snapshots and their successors, the products of all snapshots with each other are all that is
-    needed from the frames' side; from the other, X X' and Y X' (dof x dof), where a snapshot meets its successor in an
-    equi-join on the frame. The smaller side is taken, or the one named.
-    """
-    first = rows.orderBy("frame_id").first()
-    dof, n = len(first["x"]), rows.count()
-    if side == "frames" or (side is None and n < dof):
-        ids, every = gramian(rows, n, dof, False, task_bytes)
-        at = {k: p for p, k in enumerate(ids.tolist())}
-        x = np.array([p for k, p in at.items() if k + 1 in at])
-        y = np.array([at[k + 1] for k in at if k + 1 in at])
-        values, v = np.linalg.eigh(every[np.ix_(x, x)])
-        order = np.argsort(-values, kind="stable")
-        s = np.sqrt(np.maximum(values[order], 0))
-        rank = max(1, min(rank, int((s > max(dof, 2) * np.finfo(float).eps ** 0.5 * s[0]).sum())))
-        v = v[:, order[:rank]] / s[:rank]
-        lam, w = np.linalg.eig(v.T @ every[np.ix_(x, y)] @ v)
-        w = v @ w
-        squares = w.conj().T @ every[np.ix_(y, y)] @ w
-        size = np.maximum(np.sqrt(np.maximum(np.diag(squares).real, 0)), 1e-300)
-        amplitude = np.linalg.pinv(squares / np.outer(size, size), hermitian=True) @ ((w / size).conj().T @ every[y, at[first["frame_id"]]])
-        return _spectrum(lam, amplitude, dt)
-    pairs = rows.join(rows.select((F.col("frame_id") - 1).alias("frame_id"), F.col("x").alias("y")), "frame_id")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((2, dof, dof))
-        for batch in batches:
-            if len(batch):
-                x, y = np.stack(batch.x.to_numpy()).astype(float), np.stack(batch.y.to_numpy()).astype(float)
-                total += np.stack([x.T @ x, y.T @ x])
-        yield pd.DataFrame({"m": [total.tobytes()]})
-
-    xx, yx = _tree(pairs.select("x", "y").mapInPandas(run, "m binary"), (2, dof, dof))
-    values, u = np.linalg.eigh((xx + xx.T) / 2)
-    order = np.argsort(-values, kind="stable")
-    s = np.sqrt(np.maximum(values[order], 0))
-    rank = max(1, min(rank, int((s > max(dof, 2) * np.finfo(float).eps ** 0.5 * s[0]).sum())))
-    u, s = u[:, order[:rank]], s[:rank]
-    # A = U' Y V / s with V = X' U / s
-    lam, w = np.linalg.eig((u.T @ yx @ u) / s**2)
-    modes = (yx @ u / s**2) @ w
-    modes = modes / np.maximum(np.linalg.norm(modes, axis=0), 1e-300)
-    return _spectrum(lam, np.linalg.pinv(modes) @ np.array(first["x"], float), dt)
-
-
-def _spectrum(lam: np.ndarray, amplitude: np.ndarray, dt: float) -> pd.DataFrame:
-    floor = max(1e-12, 100 * np.spacing(max(1.0, np.abs(lam).max())))
-    log = np.where(np.abs(lam) < floor, np.log(floor) + 1j * np.angle(lam), np.log(np.where(lam == 0, 1, lam)))
-    out = pd.DataFrame({"re": lam.real, "im": lam.imag, "growth": log.real / dt, "frequency": log.imag / dt / (2 * np.pi), "amplitude": np.abs(amplitude)})
-    return out.sort_values(["amplitude", "frequency"], ascending=[False, True], ignore_index=True)
-
-
-def spod(rows: DataFrame, nfft: int, fs: float, overlap: float = 0.5, side: str | None = None, task_bytes: int = 1 << 30) -> DataFrame:
-    """Spectral decomposition: eigenvalues of the cross-spectral matrix of each frequency, over Hann blocks of snapshots.
-
-    A frame goes to every block that holds it (two at half overlap). Where there are fewer blocks than degrees of
-    freedom, snapshots are cut into spatial pieces, whose products of all blocks are added up by frequency; otherwise
-    dof x dof products of runs of blocks are. The smaller side is taken, or the one named ("dof" or "blocks"), and its
-    square must fit a task. (frequency, mode, eigenvalue), as many modes as the smaller side has.
-    """
-    step = nfft - int(overlap * nfft)
-    kind = "frequency double, mode int, eigenvalue double"
-    shape = rows.agg(F.max("frame_id").alias("last"), F.max(F.size("x")).alias("dof")).first()
-    n_blocks, dof = max(0, ((shape["last"] or 0) - nfft) // step + 1), shape["dof"]
-    if not n_blocks:
-        return rows.sparkSession.createDataFrame([], kind)
-    by_dof = side == "dof" or (side is None and dof <= n_blocks)
-    width = dof if by_dof else max(1, task_bytes // (64 * max(nfft, n_blocks)))
-    run = max(1, task_bytes // (64 * dof)) if by_dof else n_blocks
-    first = F.greatest(F.lit(0), F.ceil((F.col("frame_id") - nfft) / step)).cast("int")
-    final = F.least(F.lit(n_blocks - 1), F.floor((F.col("frame_id") - 1) / step)).cast("int")
-    pieces = cut(rows.where(final >= first), dof, width).withColumnRenamed("block", "piece")
-    dealt = pieces.select("frame_id", "piece", "x", F.explode(F.sequence(first, final)).alias("block"))
-    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(nfft) / nfft)
-
-    def transform(group: pa.Table) -> pa.Table:
-        _, x = _block(group)
-        if len(x) < nfft:
-            return pa.table({c: pa.array([], t) for c, t in (("bin", pa.int32()), ("piece", pa.int32()), ("block", pa.int32()), ("q", pa.binary()))})
-        q = np.fft.rfft(x * w[:, None], axis=0) / np.sqrt(fs * (w**2).sum() * n_blocks)
-        q[1 : -1 if nfft % 2 == 0 else None] *= np.sqrt(2)
-        same = lambda c: pa.array([group.column(c)[0].as_py()] * len(q), pa.int32())
-        return pa.table({"bin": pa.array(np.arange(len(q)), pa.int32()), "piece": same("piece"), "block": same("block"), "q": pa.array([r.tobytes() for r in q], pa.binary())})
-
-    def products(group: pa.Table) -> pa.Table:
-        order = np.argsort(group.column("block").to_numpy())
-        q = np.stack([np.frombuffer(v.as_py(), np.complex128) for v in group.column("q").take(pa.array(order))])
-        square = q.T @ q.conj() if by_dof else q.conj() @ q.T
-        return pa.table({"bin": group.column("bin")[:1], "m": pa.array([square.tobytes()], pa.binary())})
-
-    def solve(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(m.as_py(), np.complex128) for m in group.column("m"))
-        size = int(round(len(total) ** 0.5))
-        values = np.maximum(np.linalg.eigvalsh(total.reshape(size, size))[::-1], 0)
-        return pa.table({"frequency": [group.column("bin")[0].as_py() * fs / nfft] * size, "mode": pa.array(np.arange(1, size + 1), pa.int32()), "eigenvalue": values})
-
-    made = dealt.groupBy("block", "piece").applyInArrow(transform, "bin int, piece int, block int, q binary")
-    squares = made.groupBy("bin", "piece", F.floor(F.col("block") / run)).applyInArrow(products, "bin int, m binary")
-    return squares.groupBy("bin").applyInArrow(solve, kind)
-
-
 def dct(n: int) -> np.ndarray:
     k, j = np.arange(n)[:, None], np.arange(n)[None]
     t = np.sqrt(2 / n) * np.cos(np.pi * k * (2 * j + 1) / (2 * n))
@@ -450,15 +486,23 @@ def two_lines(values: np.ndarray, fewest: int = 3) -> dict[str, object]:
     return {"valid": True, "chosen": order[: fewest + best], "ppr": float(s[best] / max(rest.max(), 2.2e-16)) if len(rest) else float("inf")}
 
 
-def entropy_selection(model: Pod, mask: np.ndarray, min_ppr: float = 1.8, min_jaccard: float = 0.9) -> dict[str, object]:
-    """Modes of low spectral entropy: those below the break of the sorted entropies, if the break is distinct and holes
-    filled with neighbours or with zeros lead to nearly the same modes."""
-    rows, cols = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
-    box = (slice(rows[0], rows[-1] + 1), slice(cols[0], cols[-1] + 1))
+def mode_vectors(rows: DataFrame, model: Pod, rank: int) -> DataFrame:
+    """(mode, values): the first modes whole, each put together from its blocks in one row."""
+    parts = F.array_sort(F.collect_list(F.struct("first", "values")))
+    return mode_blocks(rows, model, rank).groupBy("mode").agg(F.flatten(F.transform(parts, lambda p: p["values"])).alias("values"))
+
+
+def mode_entropies(rows: DataFrame, model: Pod, mask: np.ndarray, rank: int | None = None) -> DataFrame:
+    """(mode, filled, zeros): the smaller spectral entropy of a mode's two components over the box around the mask,
+    holes filled with neighbours or with zeros; worked out mode by mode in tasks."""
+    if not mask.any():
+        raise ValueError("the mask is empty")
+    at_rows, at_cols = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
+    box = (slice(at_rows[0], at_rows[-1] + 1), slice(at_cols[0], at_cols[-1] + 1))
     n = int(mask.sum())
 
     def filled(values: np.ndarray) -> np.ndarray:
-        out, known = np.where(mask, 0.0, 0.0), mask.copy()
+        out, known = np.zeros(mask.shape), mask.copy()
         out[mask] = values
         out, known = out[box], known[box]
         while not known.all():
@@ -466,8 +510,6 @@ def entropy_selection(model: Pod, mask: np.ndarray, min_ppr: float = 1.8, min_ja
             total = wide[:-2, 1:-1] + wide[2:, 1:-1] + wide[1:-1, :-2] + wide[1:-1, 2:]
             count = seen[:-2, 1:-1] + seen[2:, 1:-1] + seen[1:-1, :-2] + seen[1:-1, 2:]
             new = ~known & (count > 0)
-            if not new.any():
-                break
             out = np.where(new, total / np.maximum(count, 1), out)
             known = known | new
         return out
@@ -477,7 +519,19 @@ def entropy_selection(model: Pod, mask: np.ndarray, min_ppr: float = 1.8, min_ja
         out[mask] = values
         return out[box]
 
-    entropy = [np.array([min(spectral_entropy(f(m[:n])), spectral_entropy(f(m[n:]))) for m in model.modes.T]) for f in (filled, zeros)]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            got = [[min(spectral_entropy(f(m[:n])), spectral_entropy(f(m[n:]))) for m in map(np.asarray, batch["values"])] for f in (filled, zeros)]
+            yield pd.DataFrame({"mode": batch["mode"], "filled": got[0], "zeros": got[1]})
+
+    return mode_vectors(rows, model, rank or len(model.eigenvalues)).mapInPandas(run, "mode int, filled double, zeros double")
+
+
+def entropy_selection(rows: DataFrame, model: Pod, mask: np.ndarray, min_ppr: float = 1.8, min_jaccard: float = 0.9, rank: int | None = None) -> dict[str, object]:
+    """Modes of low spectral entropy: those below the break of the sorted entropies, if the break is distinct and holes
+    filled with neighbours or with zeros lead to nearly the same modes. Two numbers a mode reach the driver."""
+    table = sorted(tuple(r) for r in mode_entropies(rows, model, mask, rank).toLocalIterator())
+    entropy = [np.array([r[k] for r in table]) for k in (1, 2)]
     a, b = (two_lines(e) for e in entropy)
     first, second = set(np.asarray(a["chosen"]).tolist()), set(np.asarray(b["chosen"]).tolist())
     jaccard = len(first & second) / len(first | second) if first | second else 0.0

@@ -102,26 +102,46 @@ def friction_section(stats: DataFrame, x_mm: DataFrame, h_mm: float, dy_mm: floa
     return {"profile": prof, "chart": fit, "integral": params, "plus": plus, "delta": params.agg(F.median("delta99").alias("delta99"), F.count("delta99").alias("columns")), "secant": pair["secant_full"], **pair}
 
 
-def pod_branches(samples: DataFrame, shape: tuple[int, int], targets: tuple[float, ...], search, valid_pixels: int, entropy_valid: bool, tolerance: float = 0.1) -> tuple[DataFrame, DataFrame]:
-    """Structures of fields rebuilt from the modes that hold each target of the energy, and whether they settle.
+def pod_sweep(snaps: DataFrame, model: modal.Pod, shape: tuple[int, int], targets: tuple[float, ...], level: np.ndarray, search, valid_pixels: int) -> DataFrame:
+    """Structures of fields rebuilt from the modes that hold each target of the energy: a row a target and scale.
 
-    search turns packed frames and a scale of the field ("raw": the points' own root mean squares, "own": those of the
-    rebuilt field) into a catalog. The first table has a row a target and scale: rank, energy reached, and frame means of
-    counts, occupied share and lengths. The second compares the first two targets on the raw scale: the largest relative
-    difference, and the rank to recommend where the entropy gives no valid choice and that is within the tolerance.
+    One scan of the snapshots rebuilds the fields of all ranks, which are written once; two searches, with the points'
+    own scale ("raw": level) and with that of each rebuilt field ("own"), go over all of them. search turns packed
+    frames and a level into a catalog. Figures are means over frames of counts, occupied share and lengths.
+    """
+    ranks = {t: model.energy_rank(t) for t in targets}
+    every = sorted(set(ranks.values()))
+    # fields of one rank go by its number as those of a repeat
+    fields = written(modal.as_frames(modal.reconstruct_sweep(snaps, model, every), "rank"), "sweep")
+    own = {rank: np.repeat(row_rms(fields.where(F.col("repeat_id") == rank), shape)[:, None], shape[1], 1).ravel() for rank in every}
+
+    def divided(batches):
+        for batch in batches:
+            with np.errstate(invalid="ignore", divide="ignore"):
+                batch["u"] = [(np.asarray(u, float) / own[r]).tolist() for r, u in zip(batch["repeat_id"], batch["u"])]
+            yield batch
+
+    share, out = model.cumulative(), None
+    names = ["lsm", "vlsm", "occupied_share", "median_length", "p90_length"]
+    scaled = fields.select("repeat_id", "frame_id", "u").mapInPandas(divided, "repeat_id int, frame_id long, u array<double>")
+    for scale, found in (("raw", search(fields.select("repeat_id", "frame_id", "u"), level)), ("own", search(scaled, np.ones(shape)))):
+        metrics = catalog.branch_metrics(found, fields, valid_pixels, ("repeat_id", "frame_id"))
+        one = metrics.groupBy("repeat_id").agg(*[F.avg(c).alias(c) for c in names])
+        asked = snaps.sparkSession.createDataFrame([(t, scale, r, float(share[r - 1])) for t, r in ranks.items()], "target double, scale string, rank int, energy double")
+        one = asked.join(one.withColumnRenamed("repeat_id", "rank"), "rank").select("target", "scale", "rank", "energy", *names)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def pod_branches(samples: DataFrame, shape: tuple[int, int], targets: tuple[float, ...], level: np.ndarray, search, valid_pixels: int, entropy_valid: bool, tolerance: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """pod_sweep() of the samples' own modes, and whether its figures settle.
+
+    The second table compares the first two targets on the raw scale: the largest relative difference, and the rank to
+    recommend where the entropy gives no valid choice and that is within the tolerance.
     """
     snaps = modal.snapshots(samples)
-    model = modal.pod(snaps)
-    share = np.cumsum(np.maximum(model.eigenvalues, 0)) / np.maximum(model.eigenvalues, 0).sum()
-    every, out = snaps.select("frame_id"), None
     names = ["lsm", "vlsm", "occupied_share", "median_length", "p90_length"]
-    for target in targets:
-        rank = model.energy_rank(target)
-        rebuilt = written(modal.as_frames(modal.reconstruct(snaps, model, rank, fluctuations=True)).select("repeat_id", "frame_id", "u"), "branch")
-        for scale in ("raw", "own"):
-            metrics = catalog.branch_metrics(search(rebuilt, scale), every, valid_pixels)
-            one = metrics.agg(*[F.avg(c).alias(c) for c in names]).select(F.lit(target).alias("target"), F.lit(scale).alias("scale"), F.lit(rank).alias("rank"), F.lit(float(share[rank - 1])).alias("energy"), *names)
-            out = one if out is None else out.unionByName(one)
+    out = pod_sweep(snaps, modal.pod(snaps), shape, targets, level, search, valid_pixels)
     table = written(out, "branches")
     a, b = (table.where((F.col("target") == t) & (F.col("scale") == "raw")) for t in targets[:2])
     gap = lambda c: F.coalesce(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) / F.greatest(F.abs(F.col(f"a.{c}")), F.abs(F.col(f"b.{c}")), F.lit(2.220446049250313e-16)), F.lit(float("inf")))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import correlation as R
-from ..operators import matching, modal, spectra, statistics
+from ..operators import dynamic_modes, matching, modal, spectra, spectral_modes, statistics
 from ..plans.views import COLUMNS, SMP, final, piv, rounded
 from ..sources.shared import written
 from .fields import found
@@ -42,17 +42,45 @@ def traces(s, d):
 
 def spectral_power(s, d):
     """Sum of the eigenvalues of each frequency."""
-    return modal.spod(snaps(s, d), 64, FS).groupBy("frequency").agg(F.sum("eigenvalue").alias("power"), F.count(F.lit(1)).alias("modes"))
+    return spectral_modes.spod(snaps(s, d), 64, FS).groupBy("frequency").agg(F.sum("eigenvalue").alias("power"), F.count(F.lit(1)).alias("modes"))
+
+
+def rebuilt_spectra(s, d):
+    """Power of every value of a frame, from the eigenvalues and the squares of all modes."""
+    return spectral_modes.rebuilt_power(spectral_modes.decompose(snaps(s, d), 64, FS))
+
+
+def spectral_shapes(s, d):
+    """Modes of the dominant frequency and of the forcing's harmonics: length, and share of the upper half of the rows."""
+    found = spectral_modes.decompose(snaps(s, d), 64, FS, keep=3)
+    values = spectral_modes.eigenvalues(found)
+    square = F.zip_with("re", "im", lambda a, b: a * a + b * b)
+    parts = spectral_modes.modes(found, 3, spectral_modes.selected(values, 2.0)).select("frequency", "mode", F.posexplode(square).alias("k", "e"))
+    got = parts.groupBy("frequency", "mode").agg(F.sum("e").alias("length"), F.sum(F.when(F.col("k") % 32 >= 16, F.col("e"))).alias("upper"))
+    return got.join(values, ["frequency", "mode"])
+
+
+def dynamic_table(s, d):
+    """Spectrum with the nearest harmonic of the forcing (2 Hz), and the length of each mode."""
+    found = dynamic_modes.decompose(snaps(s, d), 8, 1 / FS, 2.0)
+    table = s.createDataFrame(found.spectrum.assign(mode=range(1, len(found.spectrum) + 1))[["mode", "growth", "frequency", "amplitude", "replaced", "harmonic", "mismatch"]])
+    size = dynamic_modes.modes(snaps(s, d), found).groupBy("mode").agg(F.sum(F.aggregate(F.zip_with("re", "im", lambda a, b: a * a + b * b), F.lit(0.0), lambda a, x: a + x)).alias("length"))
+    return table.join(size, "mode")
+
+
+def dynamic_start(s, d):
+    """The first snapshot, put together from all modes and their amplitudes."""
+    return dynamic_modes.at_step(snaps(s, d), dynamic_modes.decompose(snaps(s, d), 64, 1 / FS), 0)
 
 
 def modes(s, d):
     model = modal.pod(snaps(s, d))
-    return modal.coefficients(snaps(s, d), model, 5).groupBy("mode").agg(F.avg(F.col("a") * F.col("a")).alias("energy"), F.count(F.lit(1)).alias("n")).withColumn("dof", F.lit(len(model.mean)))
+    return modal.coefficients(snaps(s, d), model, 5).groupBy("mode").agg(F.avg(F.col("a") * F.col("a")).alias("energy"), F.count(F.lit(1)).alias("n")).withColumn("dof", F.lit(model.dof))
 
 
 def rebuilt(s, d):
     model = modal.pod(snaps(s, d))
-    both = modal.reconstruct(snaps(s, d), model, len(model.mean)).withColumnRenamed("x", "y").join(snaps(s, d), "frame_id")
+    both = modal.reconstruct(snaps(s, d), model, model.dof).withColumnRenamed("x", "y").join(snaps(s, d), "frame_id")
     return both.select("frame_id", F.aggregate(F.zip_with("x", "y", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, b: F.greatest(a, b)).alias("worst"), F.aggregate("y", F.lit(0.0), lambda a, x: a + x * x).alias("energy"), F.get("y", F.lit(40)).alias("at40"))
 
 
@@ -63,7 +91,7 @@ def denoised(s, d):
 
 
 def entropy(s, d):
-    got = modal.entropy_selection(modal.pod(snaps(s, d)), np.ones((4, 8), bool))
+    got = modal.entropy_selection(snaps(s, d), modal.pod(snaps(s, d)), np.ones((4, 8), bool))
     return s.createDataFrame([(got["modes"], float(got["ppr"]), float(got["jaccard"]), got["valid"])], "modes array<int>, ppr double, jaccard double, valid boolean")
 
 
@@ -111,7 +139,11 @@ QUERIES = {
     "pod_reconstruction": (lambda s, d: rounded(rebuilt(s, d)), final(SMP, "SELECT frame_id, 0.0 AS worst, sum(coalesce(u, 0)*coalesce(u, 0)+coalesce(v, 0)*coalesce(v, 0)) AS energy, max(CASE WHEN j = 2 AND i = 1 THEN coalesce(v, 0) END) AS at40 FROM smp GROUP BY frame_id", "frame_id worst~ energy~ at40~")),
     "pod_denoise_rank": (lambda s, d: rounded(denoised(s, d)), None),
     "pod_entropy_selection": (lambda s, d: rounded(entropy(s, d)), None),
-    "dmd": (lambda s, d: rounded(s.createDataFrame(modal.dmd(snaps(s, d), 8, 1 / FS)), 4), None),
-    "spod": (lambda s, d: rounded(modal.spod(snaps(s, d), 64, FS)), None),
+    "dmd": (lambda s, d: rounded(s.createDataFrame(dynamic_modes.spectrum(snaps(s, d), 8, 1 / FS)), 4), None),
+    "spod": (lambda s, d: rounded(spectral_modes.spod(snaps(s, d), 64, FS)), None),
+    "dmd_modes": (lambda s, d: rounded(dynamic_table(s, d), 4), None),
+    "dmd_start": (lambda s, d: rounded(dynamic_start(s, d), 5), final(SMP, "SELECT CAST(o+(j-1)*8+i-1 AS BIGINT) AS k, CASE WHEN o = 0 THEN coalesce(u, 0) ELSE coalesce(v, 0) END AS x FROM smp, (VALUES (0), (32)) t(o) WHERE frame_id = (SELECT min(frame_id) FROM smp)", "k x~", 5)),
+    "spod_modes": (lambda s, d: rounded(spectral_shapes(s, d), 5), None),
+    "spod_rebuilt": (lambda s, d: rounded(rebuilt_spectra(s, d)), final(POWER, f"SELECT f*{FS}/64 AS frequency, CAST(c*32+(j-1)*8+i-1 AS BIGINT) AS k, CASE WHEN f IN (0, 32) THEN 1 ELSE 2 END*sum(re*re+im*im)/({FS}*max(w2)*max(n)) AS power FROM tf, wn, bn GROUP BY f, c, j, i", "frequency~ k power~")),
     "spod_power": (lambda s, d: rounded(spectral_power(s, d)), final(POWER, f"SELECT f*{FS}/64 AS frequency, CASE WHEN f IN (0, 32) THEN 1 ELSE 2 END*sum(re*re+im*im)/({FS}*max(w2)*max(n)) AS power, min(CAST(least(n, 64) AS BIGINT)) AS modes FROM tf, wn, bn GROUP BY f", "frequency~ power~ modes")),
 }

@@ -118,12 +118,16 @@ hits AS (SELECT frame_id, max(len(taken)) AS tp FROM fold GROUP BY frame_id),
 cnt AS (SELECT frame_id, count(*) FILTER (connectivity = 8) AS nf, count(*) FILTER (connectivity = 4) AS ns FROM bx GROUP BY frame_id),
 gi AS (SELECT cnt.frame_id, CAST(tp AS BIGINT) AS tp, CAST(nf-tp AS BIGINT) AS fp, CAST(ns-tp AS BIGINT) AS fn FROM cnt JOIN hits ON hits.frame_id = cnt.frame_id)"""
 
-#: All one-to-one choices of eligible pairs of a frame, found box by found box.
+#: All one-to-one choices of eligible pairs of a frame, found box by found box; key: the annotated box of each, -1 for
+#: none. Of the best ones the smallest key is chosen.
 ASSIGNED = f"""{PAIRS}, {FRAMES}, el AS (SELECT *, {PAIR_SCORE} AS score, dense_rank() OVER (PARTITION BY frame_id ORDER BY found_id) AS p FROM pm WHERE eligible),
-moves AS (SELECT frame_id, p, seen_id, score, sign_match FROM el UNION ALL SELECT DISTINCT frame_id, p, NULL, 0, false FROM el),
-ways AS (SELECT DISTINCT frame_id, CAST(0 AS BIGINT) AS p, CAST([] AS BIGINT[]) AS used, CAST(0 AS DOUBLE) AS score, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS tp FROM el
- UNION ALL SELECT w.frame_id, m.p, CASE WHEN m.seen_id IS NULL THEN used ELSE list_append(used, m.seen_id) END, w.score+m.score, n+CASE WHEN m.seen_id IS NULL THEN 0 ELSE 1 END, w.tp+CAST(m.sign_match AS BIGINT) FROM ways w JOIN moves m ON m.frame_id = w.frame_id AND m.p = w.p+1 AND (m.seen_id IS NULL OR NOT list_contains(used, m.seen_id))),
-won AS (SELECT frame_id, max(score) AS score, arg_max(n, score) AS n, arg_max(tp, score) AS tp FROM ways GROUP BY frame_id HAVING max(score) > 0)"""
+moves AS (SELECT frame_id, p, seen_id, score FROM el UNION ALL SELECT DISTINCT frame_id, p, -1, 0 FROM el),
+ways AS (SELECT DISTINCT frame_id, CAST(0 AS BIGINT) AS p, CAST([] AS BIGINT[]) AS key, CAST(0 AS DOUBLE) AS score FROM el
+ UNION ALL SELECT w.frame_id, m.p, list_append(key, m.seen_id), w.score+m.score FROM ways w JOIN moves m ON m.frame_id = w.frame_id AND m.p = w.p+1 AND (m.seen_id = -1 OR NOT list_contains(key, m.seen_id))),
+tops AS (SELECT frame_id, max(p) AS p, max(score) AS score FROM ways GROUP BY frame_id),
+first AS (SELECT ways.frame_id, min(key) AS key FROM ways JOIN tops ON ways.frame_id = tops.frame_id AND ways.p = tops.p AND ways.score >= tops.score-1e-9 GROUP BY ways.frame_id),
+chosen AS (SELECT el.* FROM (SELECT frame_id, unnest(key) AS seen_id, generate_subscripts(key, 1) AS p FROM first) k JOIN el ON el.frame_id = k.frame_id AND el.p = k.p AND el.seen_id = k.seen_id),
+won AS (SELECT frame_id, sum(score) AS score, count(*) AS n, count(*) FILTER (sign_match) AS tp FROM chosen GROUP BY frame_id)"""
 SCORED = f"""{ASSIGNED}, sf AS (SELECT f.frame_id, count(b.box_id) FILTER (connectivity = 8) AS found, count(b.box_id) FILTER (connectivity = 4) AS seen, coalesce(max(n), 0) AS pairs, coalesce(max(tp), 0) AS tp FROM frames f LEFT JOIN bx b ON b.frame_id = f.frame_id LEFT JOIN won w ON w.frame_id = f.frame_id GROUP BY f.frame_id),
 sp AS (SELECT *, CASE WHEN found > 0 THEN tp/CAST(found AS DOUBLE) WHEN seen = 0 THEN 1.0 ELSE 0.0 END AS precision, CASE WHEN seen > 0 THEN tp/CAST(seen AS DOUBLE) WHEN found = 0 THEN 1.0 ELSE 0.0 END AS recall FROM sf)"""
 
@@ -179,7 +183,7 @@ SQL: dict[str, str] = {
     "merge_streamwise": recursive(MERGED, 'SELECT structure_id, grp AS "group" FROM fold', 'structure_id "group"'),
     "greedy_iou": recursive(GREEDY, "SELECT * FROM gi", "frame_id tp fp fn"),
     "f_scores": recursive(f"{GREEDY}, t AS (SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM gi)", "SELECT *, tp/CAST(tp+fp AS DOUBLE) AS precision, tp/CAST(tp+fn AS DOUBLE) AS recall, 2*tp/CAST(2*tp+fp+fn AS DOUBLE) AS f1 FROM t", "tp fp fn precision~ recall~ f1~"),
-    "assign_pairs": recursive(ASSIGNED, "SELECT frame_id, n, score FROM won", "frame_id n score~"),
+    "assign_pairs": recursive(ASSIGNED, "SELECT frame_id, found_id, seen_id, score FROM chosen", "frame_id found_id seen_id score~"),
     "score_frames": recursive(SCORED, "SELECT *, CASE WHEN precision+recall > 0 THEN 2*precision*recall/(precision+recall) ELSE CASE WHEN precision+recall = 0 THEN 1.0 END END AS f1, CASE WHEN pairs > 0 THEN tp/CAST(pairs AS DOUBLE) ELSE 1.0 END AS sign_accuracy FROM sp", "frame_id found seen pairs tp precision~ recall~ f1~ sign_accuracy~"),
     "welch_series": final(WELCH, "SELECT * FROM ws WHERE j = 2", "j i frequency~ psd~"),
     "temporal_spectra": final(TEMPORAL, "SELECT * FROM ts", "j frequency~ psd~ n premultiplied~"),

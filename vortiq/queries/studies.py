@@ -18,7 +18,7 @@ from .dynamics import FS, clean
 from .fields import DELTA, DOMAIN, HOW, SHAPE, WEAK, X, Y, packed
 from .flow import GRADIENT, MEANS, TRANSPORT
 from .flow import transported as transport_stats
-from .oracles import ASSIGNED, CATALOG, RBF, SCORED, SIDES, WELCH, blocks, catalog, recursive, retained, series
+from .oracles import CATALOG, RBF, SCORED, SIDES, WELCH, blocks, catalog, recursive, retained, series
 from .relational import COMPLETE, found_seen, frames, hazen_sql, pair_table
 
 H = Q.H
@@ -129,15 +129,20 @@ def sweep(s, d):
     return out
 
 
+def weak(fields, level):
+    return structures.hysteresis_structures(fields, SHAPE, level, DOMAIN, X, Y, DELTA, replace(WEAK, alpha=0.5, seed_alpha=1.0))
+
+
 def branches(s, d, which):
     snaps = modal.snapshots(piv(s, d))
-    valid = modal.entropy_selection(modal.pod(snaps), np.ones(SHAPE, bool))["valid"]
+    valid = modal.entropy_selection(snaps, modal.pod(snaps), np.ones(SHAPE, bool))["valid"]
+    return sections.pod_branches(piv(s, d), SHAPE, (0.8, 0.9), np.full(SHAPE, 0.1), weak, 32, valid)[which]
 
-    def search(fields, scale):
-        level = np.full(SHAPE, 0.1) if scale == "raw" else np.repeat(sections.row_rms(fields, SHAPE)[:, None], SHAPE[1], 1)
-        return structures.hysteresis_structures(fields, SHAPE, level, DOMAIN, X, Y, DELTA, replace(WEAK, alpha=0.5, seed_alpha=1.0))
 
-    return sections.pod_branches(piv(s, d), SHAPE, (0.8, 0.9), search, 32, valid)[which]
+def energy_sweep(s, d):
+    """Structures by share of the energy kept, from a fifth to four fifths."""
+    snaps = modal.snapshots(piv(s, d))
+    return sections.pod_sweep(snaps, modal.pod(snaps), SHAPE, tuple(k / 10 for k in range(2, 9)), np.full(SHAPE, 0.1), weak, 32)
 
 
 def shifts(s, d):
@@ -169,7 +174,7 @@ def started(places: str, full: bool) -> str:
     return final(views, f"SELECT x_end, x_e, theta_e, status, CASE WHEN status = 'ok' THEN {'fullcf' if full else 'zpg'} END AS cf FROM sc", "x_end~ x_e~ theta_e~ status cf~")
 
 
-EDGED = f"{ASSIGNED.replace('AS n, CAST(0 AS BIGINT) AS tp FROM el', 'AS n, CAST(0 AS BIGINT) AS tp, CAST(0 AS BIGINT) AS etp FROM el').replace('w.tp+CAST(m.sign_match AS BIGINT) FROM', 'w.tp+CAST(m.sign_match AS BIGINT), w.etp+CAST(m.sign_match AND m.rim AS BIGINT) FROM').replace('SELECT frame_id, p, seen_id, score, sign_match FROM el UNION ALL SELECT DISTINCT frame_id, p, NULL, 0, false FROM el', 'SELECT el.frame_id, p, seen_id, score, sign_match, a.is_censored AND b.is_censored AS rim FROM el JOIN boxes a ON a.component_id = found_id JOIN boxes b ON b.component_id = seen_id UNION ALL SELECT DISTINCT frame_id, p, NULL, 0, false, false FROM el').replace('arg_max(tp, score) AS tp', 'arg_max(tp, score) AS tp, arg_max(etp, score) AS etp')}{SCORED[len(ASSIGNED):]}, sq AS (SELECT *, CASE WHEN precision+recall > 0 THEN 2*precision*recall/(precision+recall) WHEN precision+recall = 0 THEN 1.0 END AS f1 FROM sp), eg AS (SELECT count(*) FILTER (connectivity = 8) AS ef, count(*) FILTER (connectivity = 4) AS es FROM boxes WHERE is_censored), tt AS (SELECT count(*) AS frames, median(precision) AS median_precision, median(recall) AS median_recall, median(f1) AS median_f1, CAST(sum(tp) AS BIGINT) AS tp, sum(tp)/CAST(sum(found) AS DOUBLE) AS precision, sum(tp)/CAST(sum(seen) AS DOUBLE) AS recall, sum(tp)/CAST(sum(pairs) AS DOUBLE) AS sign_accuracy FROM sq), te AS (SELECT (SELECT sum(etp) FROM won)/CAST(ef AS DOUBLE) AS edge_precision, (SELECT sum(etp) FROM won)/CAST(es AS DOUBLE) AS edge_recall FROM eg)"
+EDGED = f"{SCORED}, rims AS (SELECT count(*) AS etp FROM chosen JOIN boxes a ON a.component_id = found_id JOIN boxes b ON b.component_id = seen_id WHERE sign_match AND a.is_censored AND b.is_censored), sq AS (SELECT *, CASE WHEN precision+recall > 0 THEN 2*precision*recall/(precision+recall) WHEN precision+recall = 0 THEN 1.0 END AS f1 FROM sp), eg AS (SELECT count(*) FILTER (connectivity = 8) AS ef, count(*) FILTER (connectivity = 4) AS es FROM boxes WHERE is_censored), tt AS (SELECT count(*) AS frames, median(precision) AS median_precision, median(recall) AS median_recall, median(f1) AS median_f1, CAST(sum(tp) AS BIGINT) AS tp, sum(tp)/CAST(sum(found) AS DOUBLE) AS precision, sum(tp)/CAST(sum(seen) AS DOUBLE) AS recall, sum(tp)/CAST(sum(pairs) AS DOUBLE) AS sign_accuracy FROM sq), te AS (SELECT (SELECT etp FROM rims)/CAST(ef AS DOUBLE) AS edge_precision, (SELECT etp FROM rims)/CAST(es AS DOUBLE) AS edge_recall FROM eg)"
 TEMPORAL = f"{WELCH}, ts AS (SELECT j, frequency, avg(psd) AS psd FROM ws GROUP BY j, frequency), wl AS (SELECT j, frequency, psd, CASE WHEN j = 1 THEN 5.0 ELSE 4.0*j END/frequency AS l FROM ts WHERE frequency BETWEEN 1 AND 6)"
 OUTSIDE = f"{SMP}, three AS (SELECT a.frame_id, a.j, a.i, a.u, b.u AS g FROM smp a JOIN smp b ON a.i = 3 AND b.frame_id = a.frame_id AND b.j = 2 AND b.i = 4), {series('three', 'j, i', 'frame_id', 'u', 'su')}, {series('three', 'j, i', 'frame_id', 'g', 'sv')}, {blocks('su', 'j, i', 'bu')}, {blocks('sv', 'j, i', 'bv')}, xs AS (SELECT bu.j, bu.i, bu.f, avg(bu.c*bv.c+bu.s*bv.s) AS re, avg(bu.s*bv.c-bu.c*bv.s) AS im, avg(bu.c*bu.c+bu.s*bu.s) AS pp, avg(bv.c*bv.c+bv.s*bv.s) AS qq FROM bu JOIN bv ON bu.j = bv.j AND bu.i = bv.i AND bu.b = bv.b AND bu.f = bv.f GROUP BY bu.j, bu.i, bu.f)"
 WEIGHTS = f"{TRANSPORT}, {GRID}, uo AS (SELECT j, i, CASE WHEN ok THEN u_mean END AS u_mean FROM tr){RBF[len(GRADIENT):]}"
@@ -213,6 +218,7 @@ QUERIES = {
     "preprocess_counts": (lambda s, d: rounded(structures.preprocessed(packed(s, d), SHAPE, (1.0, 1.5), BLUR.size(), "zero")), final(f"{SMP}, {blur_sql('smp', 'bl')}", "SELECT repeat_id, frame_id, CAST(count(raw) AS INTEGER) AS valid, CAST(count(*)-count(raw) AS INTEGER) AS missing, CAST(count(u) AS INTEGER) AS valid_after, CAST(count(CASE WHEN abs(u-raw) > 1e-9 THEN 1 END) AS INTEGER) AS changed, max(abs(u-raw)) AS largest_change FROM bl GROUP BY repeat_id, frame_id", "repeat_id frame_id valid missing valid_after changed largest_change~")),
     "factorial_sweep": (lambda s, d: rounded(sweep(s, d)), None),
     "pod_branches": (lambda s, d: rounded(branches(s, d, 0)), None),
+    "pod_energy_sweep": (lambda s, d: rounded(energy_sweep(s, d)), None),
     "pod_recommendation": (lambda s, d: rounded(branches(s, d, 1)), None),
     "convection_shift": (lambda s, d: shifts(s, d), final(f"{BOXES}, {FLOW}, pf AS (SELECT j, avg(u_mean) AS u FROM flow GROUP BY j), nr AS (SELECT component_id, u, row_number() OVER (PARTITION BY component_id ORDER BY abs(j*{H}-(y_min_mm+y_max_mm)/2), j) AS p FROM boxes, pf)", "SELECT component_id, CAST(round(u*1e-3*1e3/2.0) AS INTEGER) AS shift FROM nr WHERE p = 1", "component_id shift")),
 }
