@@ -13,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from .common import materialize
 from .packing import byte_letters, encoding
 
 #: Bytes of text in a block; one text at least.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: What links two tokens: a common end, a common byte, or a common group.
 RELATIONS = ("end", "overlap", "group")
 
@@ -80,68 +79,59 @@ def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
 
 
-@dataclass
+def union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """union1d of two rising arrays, without hashing."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    return both[np.append(both[1:] != both[:-1], True)] if len(both) else both
+
+
 class Block:
-    """Aligned tokens of several texts, end to end. Numbers of tokens are places in ids_a and ids_b."""
-
-    ids_a: np.ndarray
-    ids_b: np.ndarray
-    ends_a: np.ndarray
-    ends_b: np.ndarray
-    of_a: np.ndarray  # number of tokens up to each text's end
-    of_b: np.ndarray
-
-    @staticmethod
-    def of(ids_a: list[list[int]], ids_b: list[list[int]], length_a: np.ndarray, length_b: np.ndarray) -> Block:
-        flat = lambda ids: np.fromiter((i for x in ids for i in x), np.int64)
+    """Aligned tokens of several texts, end to end. Numbers of tokens are places in ids_a and ids_b.
+
+    Every token has a byte at least. ends: of the elementary intervals; owner_a and owner_b: the tokens that own them;
+    shared: intervals at whose end both tokens end; closed: these ends, each of which closes a group; of_a and of_b:
+    number of tokens up to each text's end.
+    """
+
+    def __init__(self, ids_a: list[list[int]], ids_b: list[list[int]], length_a: np.ndarray, length_b: np.ndarray):
+        flat = lambda ids: np.concatenate([np.array(x, np.int32) for x in ids]) if ids else np.zeros(0, np.int32)
         upto = lambda ids: np.cumsum([len(x) for x in ids], dtype=np.int64)
-        a, b = flat(ids_a), flat(ids_b)
-        return Block(a, b, np.cumsum(length_a[a]), np.cumsum(length_b[b]), upto(ids_a), upto(ids_b))
-
-    def intervals(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Elementary intervals: their ends, the tokens of both sides that own them, and whether both end there."""
-        ends = np.union1d(self.ends_a, self.ends_b)
-        owner_a, owner_b = np.searchsorted(self.ends_a, ends), np.searchsorted(self.ends_b, ends)
-        shared = (self.ends_a[owner_a] == ends) & (self.ends_b[owner_b] == ends) if len(ends) else np.zeros(0, bool)
-        return ends, owner_a, owner_b, shared
-
-    def groups(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ends of groups, and the group of every token of both sides."""
-        ends, _, _, shared = self.intervals()
-        closed = ends[shared]
-        return closed, np.searchsorted(closed, self.ends_a), np.searchsorted(closed, self.ends_b)
+        self.ids_a, self.ids_b, self.of_a, self.of_b = flat(ids_a), flat(ids_b), upto(ids_a), upto(ids_b)
+        self.ends_a, self.ends_b = np.cumsum(length_a[self.ids_a], dtype=np.int64), np.cumsum(length_b[self.ids_b], dtype=np.int64)
+        self.ends = union(self.ends_a, self.ends_b)
+        self.owner_a, self.owner_b = np.searchsorted(self.ends_a, self.ends), np.searchsorted(self.ends_b, self.ends)
+        self.shared = (self.ends_a[self.owner_a] == self.ends) & (self.ends_b[self.owner_b] == self.ends)
+        self.closed = self.ends[self.shared]
+
+    def groups(self) -> tuple[np.ndarray, np.ndarray]:
+        """The group of every token of both sides."""
+        return np.searchsorted(self.closed, self.ends_a), np.searchsorted(self.closed, self.ends_b)
 
     def links(self, relation: str) -> tuple[np.ndarray, np.ndarray]:
         """Linked tokens of both sides, by place."""
-        ends, owner_a, owner_b, shared = self.intervals()
         if relation == "overlap":
-            return owner_a, owner_b
-        closed, group_a, group_b = self.groups()
-        if relation == "group":
-            # the product of the group's members of both sides
-            spans = [np.searchsorted(g, np.arange(len(closed) + 1)) for g in (group_a, group_b)]
-        else:
-            # of a group, those that end with it: the product of both sides' tokens of that end
-            return self._product(*[np.searchsorted(e, closed, side) for e in (self.ends_a, self.ends_b) for side in ("left", "right")])
-        return self._product(spans[0][:-1], spans[0][1:], spans[1][:-1], spans[1][1:])
-
-    @staticmethod
-    def _product(from_a: np.ndarray, to_a: np.ndarray, from_b: np.ndarray, to_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return self.owner_a, self.owner_b
+        if relation == "end":
+            return self.owner_a[self.shared], self.owner_b[self.shared]
+        # the product of the group's members of both sides
+        (from_a, to_a), (from_b, to_b) = ((cut[:-1], cut[1:]) for cut in self.cuts())
         n_a, n_b = to_a - from_a, to_b - from_b
-        at_a = ranges(from_a, n_a)
         each = np.repeat(n_b, n_a)
-        return np.repeat(at_a, each), ranges(np.repeat(from_b, n_a), each)
+        return np.repeat(ranges(from_a, n_a), each), ranges(np.repeat(from_b, n_a), each)
+
+    def cuts(self) -> list[np.ndarray]:
+        """First tokens of every group of both sides, and the number of tokens."""
+        return [np.searchsorted(g, np.arange(len(self.closed) + 1)) for g in self.groups()]
 
     def shown(self, most: int) -> tuple[np.ndarray, np.ndarray]:
         """Codes of `a1,a2|b1;a3|b2` in reading order (id, with most added before '|' and twice before ';'), and the
         number of codes up to each text's end."""
-        _, group_a, group_b = self.groups()
+        group_a, group_b = self.groups()
         last = lambda g: np.append(g[1:] != g[:-1], True) if len(g) else np.zeros(0, bool)
-        place_a = np.arange(len(group_a)) + np.searchsorted(group_b, group_a, "left")
-        place_b = np.arange(len(group_b)) + np.searchsorted(group_a, group_b, "right")
-        codes = np.empty(len(group_a) + len(group_b), np.int64)
-        codes[place_a] = self.ids_a + most * last(group_a)
-        codes[place_b] = self.ids_b + 2 * most * last(group_b)
+        codes = np.empty(len(group_a) + len(group_b), np.int32)
+        codes[np.arange(len(group_a)) + np.searchsorted(group_b, group_a, "left")] = self.ids_a + most * last(group_a)
+        codes[np.arange(len(group_b)) + np.searchsorted(group_a, group_b, "right")] = self.ids_b + 2 * most * last(group_b)
         return codes, self.of_a + self.of_b
 
 
@@ -177,18 +167,17 @@ def aligned_blocks(docs: DataFrame, paths: tuple[str, str, str], relation: str,
         both, part = pair(*paths), TaskContext.get().partitionId()
         schema = pa.schema([("block", pa.int64()), *[(c, pa.list_(pa.int64())) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")], ("groups_sha256", pa.list_(pa.string())), ("codes", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())), ("which", pa.list_(pa.int32()))])
         for nth, (ids, texts) in enumerate(blocks_of(batches, bytes_of_block)):
-            block = Block.of(*both.encode(texts), both.length_a, both.length_b)
-            closed, _, _ = block.groups()
+            block = Block(*both.encode(texts), both.length_a, both.length_b)
             # a text's last byte: where its tokens end; texts without tokens end where the one before did
             last = np.append(0, block.ends_a)[block.of_a] if len(texts) else block.of_a
             at_a, at_b = block.links(relation)
-            codes, which, times = np.unique(block.ids_a[at_a] << 32 | block.ids_b[at_b], return_inverse=True, return_counts=True)
+            codes, which, times = np.unique(block.ids_a[at_a].astype(np.int64) << 32 | block.ids_b[at_b], return_inverse=True, return_counts=True)
             shown, upto = block.shown(both.most)
             told, start = [], 0
             for stop in upto.tolist():
                 told.append(hashlib.sha256("".join(map(both.shown.__getitem__, shown[start:stop].tolist()))[:-1].encode()).hexdigest() if stop > start else "")
                 start = stop
-            row = [(part << 33) + nth, ids, np.diff(block.of_a, prepend=0), np.diff(block.of_b, prepend=0), counted(closed, last + 1), counted(at_a, block.of_a), told, codes, times, which.ravel().astype(np.int32)]
+            row = [(part << 33) + nth, ids, np.diff(block.of_a, prepend=0), np.diff(block.of_b, prepend=0), counted(block.closed, last + 1), counted(at_a, block.of_a), told, codes, times, which.ravel().astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, BLOCK)
@@ -255,9 +244,9 @@ def groups(docs: DataFrame, path_a: str, pattern: str, path_b: str) -> DataFrame
         for ids, texts in blocks_of(batches, BLOCK_BYTES):
             out = []
             for a, b in zip(*both.encode(texts)):
-                one = Block.of([a], [b], both.length_a, both.length_b)
-                closed, group_a, group_b = one.groups()
-                cut = [np.searchsorted(g, np.arange(len(closed) + 1)).tolist() for g in (group_a, group_b)]
+                one = Block([a], [b], both.length_a, both.length_b)
+                closed = one.closed
+                cut = [c.tolist() for c in one.cuts()]
                 out.append([{"start": s, "end": e, "a": a[cut[0][k] : cut[0][k + 1]], "b": b[cut[1][k] : cut[1][k + 1]]} for k, (s, e) in enumerate(zip([0, *closed.tolist()], closed.tolist()))])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, kind)], names=["doc_id", "groups"])
 
