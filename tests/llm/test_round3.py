@@ -196,3 +196,36 @@ def test_shares_of_huge_counts(spark):
     n, total, kept = 3_000_000_000_000, 9_000_000_000_001, 70_001
     got = spark.range(1).select(divergence.share(F.lit(n), F.lit(total), F.lit(kept).cast("long")).alias("p")).first().p
     assert got == 1 + 10**9 * (n + 5) // (total + 5 * kept)
+
+
+def test_neighbours_of_many_equal_vectors(spark):
+    """3,000 equal vectors among 4,000: ties go to the smaller ids, whatever a cell passes on."""
+    from vortiq.llm import ann
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4000, 12)).astype(np.float32)
+    alike = np.sort(rng.choice(4000, 3000, replace=False))
+    x[alike] = 3.0
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(7)
+    got: dict = {}
+    for r in ann.search(df, "vec_id % 100 = 0", row_block=300, query_block=8, rerank=100).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    wide, hits = x.astype(float), 0
+    for q in range(0, 4000, 100):
+        scores = wide @ wide[q]
+        want = sorted((-scores[v], v) for v in range(4000) if v != q)[:20]
+        mine = [got[q][k + 1] for k in range(20)]
+        assert all(s == pytest.approx(scores[v], abs=1e-9) for v, s in mine)
+        hits += len({v for v, _ in mine} & {v for _, v in want})
+        if q in alike:
+            assert [v for v, _ in mine] == [int(v) for v in alike if v != q][:20]
+    assert hits >= 0.9 * 20 * 40
+    only = ann.search(df.where(F.col("vec_id").isin(alike.tolist())), "vec_id = " + str(alike[1])).orderBy("rank").collect()
+    assert [r.vec_id for r in only] == [int(alike[0]), *map(int, alike[2:21])]
+
+
+def test_border_of_equal_scores():
+    from vortiq.llm.ann import first_of
+
+    rough = np.array([[1, 0], [1, 5], [1, 5], [2, 5], [1, 7]], np.float32)
+    assert sorted(first_of(rough, 3)[:, 0]) == [0, 1, 3] and sorted(first_of(rough, 3)[:, 1]) == [1, 2, 4]

@@ -77,52 +77,75 @@ def fit(sample: np.ndarray, codebooks: int = 24, words: int = 128, rounds: int =
     return own
 
 
+def first_of(rough: np.ndarray, n: int) -> np.ndarray:
+    """Rows (by column) of the n largest numbers of each column; equal ones at the border go by smaller row."""
+    if n >= len(rough):
+        return np.broadcast_to(np.arange(len(rough))[:, None], rough.shape)
+    best = np.argpartition(-rough, n - 1, axis=0)[:n]
+    least = np.take_along_axis(rough, best, 0).min(0)
+    for q in np.flatnonzero((rough >= least).sum(0) > n):
+        above, level = np.flatnonzero(rough[:, q] > least[q]), np.flatnonzero(rough[:, q] == least[q])
+        best[:, q] = np.concatenate([above, level[: n - len(above)]])
+    return best
+
+
 def search(embeddings: DataFrame, is_query: str, k: int = 20, measure: str = "inner", max_sample: int = 6000, row_block: int = 32768, query_block: int = 512, rerank: int = 400) -> DataFrame:
     """The k nearest rows of every query row: query_id, rank, vec_id, score.
 
-    is_query is a condition on vec_id. Every row is indexed; rows without a usable vector take no part (see
-    vectors.parted). Of all rows, the `rerank` ones with a query's best approximate scores are ranked by the exact
-    measure on the original vectors in double precision: "inner" (largest product) or "l2" (smallest distance, score its
-    negative square). A row isn't its own neighbour; ties go to the smaller vec_id. Rows equal in id and vector count
-    once. Unlike vectors under one id are candidates of their own; if that id asks, a candidate's score is the best that
-    any of them gives. Fewer candidates than k give them all. The codebooks are fitted to about max_sample rows, chosen
-    by a hash. Rows (codes alone) and queries meet in cells of bounded size (a block of each); no side is broadcast. A
-    cell passes on what its share of the `rerank` best can be at six deviations; vectors of candidates are joined after.
+    is_query is a condition on vec_id. Rows without a usable vector take no part (see vectors.parted). Every distinct
+    vector is indexed once, with the k + 1 smallest ids that have it, and asked once, however many rows share it. Of all
+    vectors, the `rerank` ones with the best approximate scores are ranked by the exact measure on the original vectors
+    in double precision: "inner" (largest product) or "l2" (smallest distance, score its negative square). A row isn't
+    its own neighbour; ties go to the smaller vec_id, however many rows tie. Rows equal in id and vector count once.
+    Unlike vectors under one id are candidates of their own; if that id asks, a candidate's score is the best that any
+    of them gives. Fewer candidates than k give them all. The codebooks are fitted to about max_sample vectors, chosen
+    by a hash. Vectors (codes alone) and queries meet in cells of bounded size (a block of each); no side is broadcast.
+    A cell passes on what its share of the `rerank` best can be at six deviations; candidates' vectors are joined after.
     """
-    rows = parted(embeddings)[0].distinct().select("vec_id", F.xxhash64("embedding").alias("own"), "embedding")
-    rows = materialize(rows, "vectors")
-    total, asked = rows.count(), rows.where(is_query).count()
-    empty = rows.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+    rows = materialize(parted(embeddings)[0].distinct().select("vec_id", F.xxhash64("embedding").alias("own"), "embedding"), "rows")
+    # a vector goes by its smallest id and its hash; of its ids no more than k + 1 are kept, before anything is collected
+    nth = F.row_number().over(Window.partitionBy("own", "embedding").orderBy("vec_id"))
+    few = rows.withColumn("nth", nth).where(F.col("nth") <= k + 1)
+    vectors = materialize(few.groupBy("own", "embedding").agg(F.min("vec_id").alias("head"), F.array_sort(F.collect_list("vec_id")).alias("members")), "vectors")
+    asks = materialize(rows.where(is_query).select(F.col("vec_id").alias("query_id"), "own", "embedding").join(vectors, ["own", "embedding"]).select("query_id", F.col("head").alias("q_head"), F.col("own").alias("q_own")), "asks")
+    wanted = asks.select(F.col("q_head").alias("head"), F.col("q_own").alias("own")).distinct()
+    asking = materialize(vectors.join(wanted, ["head", "own"]).select(F.col("head").alias("q_head"), F.col("own").alias("q_own"), F.col("embedding").alias("query")), "asking")
+    total, asked = vectors.count(), asking.count()
     if not total or not asked:
-        return empty
-    dim = len(rows.first()["embedding"])
+        return rows.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+    # an id with several vectors may have to leave out more than one of its own
+    repeats = asks.groupBy("query_id").count().agg(F.max("count")).first()[0]
+    dim = len(vectors.first()["embedding"])
     share = min(1 << 20, -(-(max_sample << 20) // total))
-    sample = rows.where(F.pmod(F.xxhash64("vec_id", "own"), F.lit(1 << 20)) < share).select("vec_id", "own", "embedding").toArrow().sort_by([("vec_id", "ascending"), ("own", "ascending")])
+    sample = vectors.where(F.pmod(F.xxhash64("head", "own"), F.lit(1 << 20)) < share).select("head", "own", "embedding").toArrow().sort_by([("head", "ascending"), ("own", "ascending")])
     books = fit(matrix(sample.column("embedding"), dim) if sample.num_rows else np.zeros((1, dim)))
     row_blocks, query_blocks = -(-total // row_block), -(-asked // query_block)
-    rerank = max(rerank, k)
+    rerank = max(rerank, k + repeats)
     most = int(rerank / row_blocks + 6 * (rerank / row_blocks) ** 0.5) + 4
+    stored = measure == "l2"
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 codes = books.encode(matrix(part.column(2), dim))
-                norms = (books.decode(codes) ** 2).sum(1)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float32))], names=["vec_id", "own", "codes", "norm"])
+                columns = [part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary())]
+                if stored:
+                    columns.append(pa.array((books.decode(codes) ** 2).sum(1).astype(np.float32)))
+                yield pa.RecordBatch.from_arrays(columns, names=["head", "own", "codes", "norm"][: len(columns)])
 
-    index = rows.mapInArrow(encode, "vec_id long, own long, codes binary, norm float")
+    index = vectors.select("head", "own", "embedding").mapInArrow(encode, "head long, own long, codes binary" + (", norm float" if stored else ""))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    mine = index.withColumn("r", F.pmod(F.xxhash64("vec_id", "own"), F.lit(row_blocks)).cast("int")).withColumn("q", numbers(query_blocks))
-    asking = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("own").alias("asks"), F.col("embedding").alias("query"))
-    theirs = asking.withColumn("q", F.pmod(F.xxhash64("query_id", "asks", F.lit(1)), F.lit(query_blocks)).cast("int")).withColumn("r", numbers(row_blocks))
+    mine = index.withColumn("r", F.pmod(F.xxhash64("head", "own"), F.lit(row_blocks)).cast("int")).withColumn("q", numbers(query_blocks))
+    theirs = asking.withColumn("q", F.pmod(F.xxhash64("q_head", "q_own", F.lit(1)), F.lit(query_blocks)).cast("int")).withColumn("r", numbers(row_blocks))
 
     def meet(held: pa.Table, queries: pa.Table) -> pa.Table:
-        names = ["query_id", "asks", "vec_id", "own", "rough"]
+        names = ["q_head", "q_own", "head", "own", "rough"]
         if not held.num_rows or not queries.num_rows:
             return pa.table([pa.array([], pa.int64())] * 4 + [pa.array([], pa.float32())], names=names)
-        ids, own = held.column("vec_id").to_numpy(), held.column("own").to_numpy()
-        who, asks = queries.column("query_id").to_numpy(), queries.column("asks").to_numpy()
+        held = held.sort_by([("head", "ascending"), ("own", "ascending")])
+        ids, own = held.column("head").to_numpy(), held.column("own").to_numpy()
+        who, asks_ = queries.column("q_head").to_numpy(), queries.column("q_own").to_numpy()
         codes = np.frombuffer(b"".join(held.column("codes").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
         found: list[tuple[np.ndarray, ...]] = []
         for at in range(0, len(who), 128):
@@ -130,27 +153,31 @@ def search(embeddings: DataFrame, is_query: str, k: int = 20, measure: str = "in
             rough = np.zeros((len(ids), table.shape[2]), dtype=np.float32)
             for c in range(codes.shape[1]):
                 rough += table[c][codes[:, c]]
-            if measure == "l2":
+            if stored:
                 rough -= held.column("norm").to_numpy()[:, None] / 2
-            rough[ids[:, None] == who[None, at : at + 128]] = -np.inf
-            n = min(len(ids), most)
-            best = np.argpartition(-rough, n - 1, axis=0)[:n] if n < len(ids) else np.broadcast_to(np.arange(len(ids))[:, None], rough.shape)
+            best = first_of(rough, min(len(ids), most))
             score = np.take_along_axis(rough, best, 0)
-            i, j = np.nonzero(score > -np.inf)
-            found.append((who[at + j], asks[at + j], ids[best[i, j]], own[best[i, j]], score[i, j]))
+            j = np.broadcast_to(np.arange(score.shape[1]), score.shape).ravel()
+            found.append((who[at + j], asks_[at + j], ids[best.ravel()], own[best.ravel()], score.ravel()))
         return pa.table([np.concatenate(x) for x in zip(*found)], names=names)
 
-    found = mine.groupBy("r", "q").cogroup(theirs.groupBy("r", "q")).applyInArrow(meet, "query_id long, asks long, vec_id long, own long, rough float")
-    best = Window.partitionBy("query_id", "asks").orderBy(F.desc("rough"), "vec_id", "own")
-    near = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= rerank).select("query_id", "asks", "vec_id", "own")
-    pairs = near.join(rows, ["vec_id", "own"]).join(asking, ["query_id", "asks"]).select("query_id", "vec_id", "own", "embedding", "query")
+    query = ["q_head", "q_own"]
+    found = mine.groupBy("r", "q").cogroup(theirs.groupBy("r", "q")).applyInArrow(meet, "q_head long, q_own long, head long, own long, rough float")
+    best = Window.partitionBy(*query).orderBy(F.desc("rough"), "head", "own")
+    near = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= rerank).select(*query, "head", "own")
+    pairs = near.join(vectors, ["head", "own"]).join(asking, query).select(*query, "own", "members", "embedding", "query")
 
     def exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (matrix(batch.column(c), dim).astype(np.float64) for c in (3, 4))
+            x, y = (matrix(batch.column(c), dim).astype(np.float64) for c in (4, 5))
             score = (x * y).sum(1) if measure == "inner" else -((x - y) ** 2).sum(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(score)], names=["query_id", "vec_id", "own", "score"])
-
-    scored = pairs.mapInArrow(exact, "query_id long, vec_id long, own long, score double").groupBy("query_id", "vec_id", "own").agg(F.max("score").alias("score"))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(score)], names=[*query, "own", "members", "score"])
+
+    scored = pairs.mapInArrow(exact, "q_head long, q_own long, own long, members array<long>, score double")
+    # vectors beyond the first k + repeats, those that tie with the last of them included, can't be among the k of any id
+    kept = scored.withColumn("place", F.rank().over(Window.partitionBy(*query).orderBy(F.desc("score")))).where(F.col("place") <= k + repeats)
+    rows_of = kept.select(*query, "own", "score", F.explode("members").alias("vec_id"))
+    short = rows_of.withColumn("place", F.row_number().over(Window.partitionBy(*query).orderBy(F.desc("score"), "vec_id", "own"))).where(F.col("place") <= k + repeats).drop("place")
+    told = asks.join(short, query).where("vec_id <> query_id").groupBy("query_id", "vec_id", "own").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "own")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return told.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -70,18 +70,18 @@ def license_labels() -> str:
     phrases = ", ".join(f"({_quoted(p)}, {_quoted(label)}, {len(p.split())})" for p, label in licenses.PHRASES)
     return rf"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{divergence.UPPER}', '{divergence.LOWER}'), '{licenses.WORD}') AS words FROM documents),
-told AS (SELECT r, words, ' ' || regexp_replace(array_to_string(words, ' '), '[^\x00-\x7F]', '~', 'g') || ' ' AS t, list_transform(words, lambda w: regexp_replace(w, '[^\x00-\x7F]', '~', 'g')) AS plain FROM docs),
+told AS (SELECT r, ' ' || regexp_replace(array_to_string(words, ' '), '[^\x00-\x7F]', '~', 'g') || ' ' AS t FROM docs),
+each AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM docs),
 phrases(phrase, label, n) AS (VALUES {phrases}),
 notices(k, label, notice, errors, n) AS (VALUES {notices}),
 pieces(k, piece) AS (VALUES {pieces}),
-held AS (SELECT r, words, phrase, label, n FROM told JOIN phrases ON contains(t, ' ' || phrase || ' ')),
-spots AS (SELECT r, phrase, label, n, words, unnest(generate_series(1, len(words))) AS i FROM held),
-places AS (SELECT r, label, i - 1 AS place FROM spots WHERE array_to_string(words[i:i + n - 1], ' ') = phrase),
+held AS (SELECT r, phrase, label, n FROM told JOIN phrases ON contains(t, ' ' || phrase || ' ')),
+places AS (SELECT r, label, i - 1 AS place FROM (SELECT r, label, phrase, i, string_agg(word, ' ') OVER (PARTITION BY r, phrase ORDER BY i ROWS BETWEEN CURRENT ROW AND n - 1 FOLLOWING) AS run FROM held JOIN each USING (r)) x WHERE run = phrase),
 base AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY r),
 may AS (SELECT DISTINCT r, k FROM told JOIN pieces ON contains(t, piece)),
-runs AS (SELECT r, k, label, notice, errors, plain, unnest(generate_series(greatest(1, n - errors), n + errors)) AS width FROM may JOIN told USING (r) JOIN notices USING (k)),
-starts AS (SELECT r, k, label, notice, errors, width, plain, unnest(generate_series(1, len(plain) - width + 1)) AS i FROM runs),
-shown AS (SELECT r, k, label, notice, errors, array_to_string(plain[i:i + width - 1], ' ') AS run FROM starts),
+widths AS (SELECT r, k, label, notice, errors, unnest(generate_series(greatest(1, n - errors), n + errors)) AS width FROM may JOIN notices USING (k)),
+plain AS (SELECT r, i, regexp_replace(word, '[^\x00-\x7F]', '~', 'g') AS word FROM each WHERE r IN (SELECT r FROM may)),
+shown AS (SELECT r, k, label, notice, errors, string_agg(word, ' ') OVER (PARTITION BY r, k, width ORDER BY i ROWS BETWEEN CURRENT ROW AND width - 1 FOLLOWING) AS run FROM widths JOIN plain USING (r)),
 near AS (SELECT r, k, label, min(levenshtein(run, notice)) AS d, any_value(length(notice)) AS size FROM shown WHERE abs(length(run) - length(notice)) <= errors AND levenshtein(run, notice) <= errors GROUP BY ALL),
 all_labels AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM places UNION SELECT r, label FROM near) x GROUP BY r),
 best AS (SELECT r, max(1 - CAST(d AS DOUBLE) / size) AS score FROM near GROUP BY r)
