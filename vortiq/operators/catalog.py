@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hazen, pearson, ratio
+from ..sources.shared import written
+from .asof import numbered, placed
 from .domain import frame_runs, numbered_by_frame
 
 
@@ -129,11 +131,11 @@ def frame_summary(catalog: DataFrame, frames: DataFrame, thresholds: list[float]
 def by_column(catalog: DataFrame, columns: DataFrame) -> DataFrame:
     """Structures by the column of x (i, x_mm) nearest their centroid (edges half-way; the last closed), columns without
     any included: numbers, large ones, mean length and area."""
-    order = Window.orderBy("x_mm")
-    edges = columns.select("i", "x_mm", ((F.col("x_mm") + F.lag("x_mm").over(order)) / 2).alias("low"), ((F.col("x_mm") + F.lead("x_mm").over(order)) / 2).alias("high"))
-    inside = (F.col("low").isNull() | (F.col("centroid_x_mm") >= F.col("low"))) & (F.col("high").isNull() | (F.col("centroid_x_mm") < F.col("high")))
-    got = edges.join(catalog, inside, "left")
-    return got.groupBy("i").agg(F.count("component_id").alias("n"), F.count(F.when(F.col("is_lsm"), 1)).alias("lsm"), F.count(F.when(F.col("is_vlsm"), 1)).alias("vlsm"), F.avg("lx_over_delta").alias("mean_length"), F.avg("area_mm2").alias("mean_area"))
+    order = written(numbered(columns.select("i", "x_mm"), "x_mm", "_k"), "columns")
+    middle = order.join(order.select((F.col("_k") - 1).alias("_k"), F.col("x_mm").alias("_next")), "_k").select(((F.col("x_mm") + F.col("_next")) / 2).alias("edge"))
+    at = placed(catalog, "centroid_x_mm", middle, "edge", "_k").withColumn("_k", F.col("_k") + 1)
+    got = at.where("_k is not null").groupBy("_k").agg(F.count("component_id").alias("n"), F.count(F.when(F.col("is_lsm"), 1)).alias("lsm"), F.count(F.when(F.col("is_vlsm"), 1)).alias("vlsm"), F.avg("lx_over_delta").alias("mean_length"), F.avg("area_mm2").alias("mean_area"))
+    return order.join(got, "_k", "left").select("i", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "lsm", "vlsm")], "mean_length", "mean_area")
 
 
 def spacing(catalog: DataFrame) -> DataFrame:

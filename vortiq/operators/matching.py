@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from ..sources.shared import written
+from .asof import numbered, placed
 from .assignment import best_pairs
 
 
@@ -79,36 +81,52 @@ def nearest_points(grid: DataFrame, probes: DataFrame) -> DataFrame:
 def interpolate(points: DataFrame, knots: DataFrame, x: str, y: str) -> DataFrame:
     """points (with x) with y interpolated linearly between the knots (x, y) around them; NULL outside.
 
-    Knots become intervals; a point joins the one interval that holds it.
+    Knots at one place count by their mean. A point finds the number of knots before it (see asof.placed) and with it,
+    by an equi-join, the interval that holds it.
     """
-    order = Window.orderBy("_x0")
-    spans = knots.where(F.col(y).isNotNull()).select(F.col(x).alias("_x0"), F.col(y).alias("_y0")).withColumns({"_x1": F.lead("_x0").over(order), "_y1": F.lead("_y0").over(order), "_first": F.row_number().over(order) == 1})
-    inside = (F.col(x) <= F.col("_x1")) & ((F.col(x) > F.col("_x0")) | (F.col("_first") & (F.col(x) == F.col("_x0"))))
-    got = points.join(spans.where("_x1 is not null"), inside, "left")
+    one = knots.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("_x0")).agg(F.avg(y).alias("_y0"))
+    order = written(numbered(one, "_x0", "_k"), "knots")
+    spans = order.join(order.select((F.col("_k") - 1).alias("_k"), F.col("_x0").alias("_x1"), F.col("_y0").alias("_y1")), "_k")
+    # the last knot closes the interval before it
+    last = order.agg(F.max("_k").alias("_n"), F.max("_x0").alias("_end"))
+    own = placed(points, x, order, "_x0", "_k").join(last, F.lit(True))
+    got = own.withColumn("_k", F.when(F.col(x) == F.col("_end"), F.col("_n") - 1).otherwise(F.col("_k"))).join(spans, "_k", "left")
     value = F.col("_y0") + (F.col("_y1") - F.col("_y0")) * ratio(F.col(x) - F.col("_x0"), F.col("_x1") - F.col("_x0"))
     return got.select(*points.columns, value.alias(y))
 
 
-def overlap_links(pixels: DataFrame, threshold: float = 0.2) -> DataFrame:
+def runs(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """Pixels (keys, j, i) as runs of neighbouring columns of a row: keys, j, first, last."""
+    row = Window.partitionBy(*keys, "j").orderBy("i")
+    return pixels.select(*keys, "j", "i", (F.col("i") - F.row_number().over(row)).alias("_g")).groupBy(*keys, "j", "_g").agg(F.min("i").alias("first"), F.max("i").alias("last")).drop("_g")
+
+
+def overlap_links(rows: DataFrame, threshold: float = 0.2) -> DataFrame:
     """Links of regions of one frame to regions of the next whose pixels they share.
 
-    pixels: repeat_id, frame_id, node, j, i, shift (whole cells the region moves by until the next frame). The overlap
-    is the number of shared pixels over the smaller region's (of the first, those that stay in view: i from 1 to
-    columns). Frames of different repeats are never linked.
+    rows: repeat_id, frame_id, node, j, first, last (a run of columns of row j; see runs()), shift (whole cells the
+    region moves by until the next frame). Runs of a frame and row meet those of the next, and shared pixels are what
+    two runs have in common; no pixel travels. The overlap is the number of shared pixels over the smaller region's (of
+    the first, those that stay in view: columns from 1 to the last one seen). Frames of different repeats are never
+    linked.
     """
-    span = pixels.agg(F.max("i").alias("_last"))
-    moved = pixels.join(span, F.lit(True)).select("repeat_id", (F.col("frame_id") + 1).alias("frame_id"), F.col("node").alias("node_from"), "j", (F.col("i") + F.col("shift")).alias("i"), "_last").where("i between 1 and _last").drop("_last")
-    here = pixels.select("repeat_id", "frame_id", F.col("node").alias("node_to"), "j", "i")
-    shared = moved.join(here, ["repeat_id", "frame_id", "j", "i"]).groupBy("repeat_id", "frame_id", "node_from", "node_to").agg(F.count(F.lit(1)).alias("shared"))
-    size = lambda df, c: df.groupBy("repeat_id", "frame_id", c).agg(F.count(F.lit(1)).alias(f"_{c}"))
-    got = shared.join(size(moved, "node_from"), ["repeat_id", "frame_id", "node_from"]).join(size(here, "node_to"), ["repeat_id", "frame_id", "node_to"])
-    overlap = F.col("shared") / F.least("_node_from", "_node_to")
-    return got.select("repeat_id", F.col("frame_id").alias("frame_to"), "node_from", "node_to", "shared", overlap.alias("overlap")).where(F.col("overlap") >= threshold)
+    view = rows.agg(F.max("last").alias("_last"))
+    moved = rows.join(view, F.lit(True)).select("repeat_id", (F.col("frame_id") + 1).alias("frame_id"), F.col("node").alias("node_from"), "j", F.greatest(F.col("first") + F.col("shift"), F.lit(1)).alias("f"), F.least(F.col("last") + F.col("shift"), "_last").alias("l")).where("f <= l")
+    here = rows.select("repeat_id", "frame_id", F.col("node").alias("node_to"), "j", "first", "last")
+    key = ["repeat_id", "frame_id"]
+    # regions' sizes ride on their runs, so that what is shared needs no further join
+    size = lambda df, node, n: df.withColumn(f"_{node}", F.sum(n).over(Window.partitionBy(*key, node)))
+    moved, here = size(moved, "node_from", F.col("l") - F.col("f") + 1), size(here, "node_to", F.col("last") - F.col("first") + 1)
+    common = F.least("l", "last") - F.greatest("f", "first") + 1
+    got = moved.join(here, [*key, "j"]).where(common > 0).groupBy(*key, "node_from", "node_to").agg(F.sum(common).alias("shared"), F.min(F.least("_node_from", "_node_to")).alias("_n"))
+    return got.select("repeat_id", F.col("frame_id").alias("frame_to"), "node_from", "node_to", "shared", (F.col("shared") / F.col("_n")).alias("overlap")).where(F.col("overlap") >= threshold)
 
 
 def parents(inner: DataFrame, outer: DataFrame, keys: list[str]) -> DataFrame:
-    """Of each inner region (keys, node) the outer one that shares most of its pixels (the smaller node at ties)."""
-    met = inner.select(*keys, "node", "j", "i").join(outer.select(*keys, F.col("node").alias("parent"), "j", "i"), [*keys, "j", "i"]).groupBy(*keys, "node", "parent").agg(F.count(F.lit(1)).alias("shared"))
+    """Of each inner region (keys, node, j, first, last: its runs) the outer one that shares most of its pixels (the
+    smaller node at ties)."""
+    common = F.least("last", "_l") - F.greatest("first", "_f") + 1
+    met = inner.select(*keys, "node", "j", "first", "last").join(outer.select(*keys, F.col("node").alias("parent"), "j", F.col("first").alias("_f"), F.col("last").alias("_l")), [*keys, "j"]).where(common > 0).groupBy(*keys, "node", "parent").agg(F.sum(common).alias("shared"))
     best = met.groupBy(*keys, "node").agg(F.max_by(F.struct("parent", "shared"), F.struct("shared", -F.col("parent"))).alias("_b"))
     return inner.select(*keys, "node").distinct().join(best, [*keys, "node"], "left").select(*keys, "node", F.col("_b.parent").alias("parent"), F.coalesce("_b.shared", F.lit(0)).alias("shared"), F.when(F.col("_b").isNull(), "unattached").otherwise("attached").alias("status"))
 

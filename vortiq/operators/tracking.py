@@ -67,6 +67,6 @@ def track_summary(got: DataFrame) -> DataFrame:
     return got.agg(F.count(F.lit(1)).alias("tracks"), F.count(F.when(whole, 1)).alias("uncensored"), F.avg("lifetime").alias("mean_lifetime"), F.avg(F.when(whole, F.col("lifetime"))).alias("mean_uncensored"), F.median("lifetime").alias("median_lifetime"), F.max("lifetime").alias("max_lifetime"), F.sum("splits").alias("splits"), F.sum("merges").alias("merges"))
 
 
-def link_frames(pixels: DataFrame, nodes: DataFrame, threshold: float = 0.2) -> DataFrame:
-    """Events of structures from their pixels (see matching.overlap_links)."""
-    return classify(overlap_links(pixels, threshold), nodes)
+def link_frames(rows: DataFrame, nodes: DataFrame, threshold: float = 0.2) -> DataFrame:
+    """Events of structures from the runs of their rows (see matching.overlap_links)."""
+    return classify(overlap_links(rows, threshold), nodes)

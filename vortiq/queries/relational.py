@@ -60,18 +60,28 @@ def params(s, d):
     return rows.groupBy("p_brand", "p_size").agg(F.round(F.avg("p_retailprice"), 2).alias("recall"), F.count(F.lit(1)).cast("double").alias("fp"))
 
 
+#: Height in mm of the flow's rows next to structures.
+CELL = 1.0
+
+
+def moving(s, d):
+    """Structures of connectivity 8 with the cells that the mean flow at their height moves them by in a millisecond."""
+    rows = flow(s, d).groupBy("j").agg(F.avg("u_mean").alias("u_mean")).withColumn("y_mm", F.col("j") * CELL)
+    own = boxes(s, d).where("connectivity = 8").withColumn("y_mm", (F.col("y_min_mm") + F.col("y_max_mm")) / 2)
+    return tracking.convection_shift(own, rows, 1e-3, 10.0)
+
+
 def nodes(s, d):
-    """Structures of connectivity 8 as nodes of a repeat of 50 frames each."""
-    own = boxes(s, d).where("connectivity = 8")
-    return own.select((F.floor((F.col("frame_id") - 1) / 50) + 1).cast("int").alias("repeat_id"), "frame_id", F.col("component_id").alias("node"), "pixel_count", "lx_over_delta", "is_vlsm", "col_min", "col_max", "row_min", "row_max", (F.col("component_id") % 3).cast("int").alias("shift"))
+    """They as nodes of a repeat of 50 frames each."""
+    return moving(s, d).select((F.floor((F.col("frame_id") - 1) / 50) + 1).cast("int").alias("repeat_id"), "frame_id", F.col("component_id").alias("node"), "pixel_count", "lx_over_delta", "is_vlsm", "col_min", "col_max", "row_min", "row_max", "shift")
 
 
-def pixels(s, d):
-    own = nodes(s, d)
-    return own.select("repeat_id", "frame_id", "node", "shift", F.explode(F.sequence("row_min", "row_max")).alias("j"), "col_min", "col_max").select("repeat_id", "frame_id", "node", "shift", "j", F.explode(F.sequence("col_min", "col_max")).alias("i"))
+def row_runs(s, d):
+    return nodes(s, d).select("repeat_id", "frame_id", "node", "shift", F.explode(F.sequence("row_min", "row_max")).alias("j"), F.col("col_min").alias("first"), F.col("col_max").alias("last"))
 
 
-NODES = f"""{BOXES}, nodes AS (SELECT CAST((frame_id-1)//50+1 AS INTEGER) AS repeat_id, frame_id, component_id AS node, pixel_count, lx_over_delta, is_vlsm, col_min, col_max, row_min, row_max, component_id % 3 AS shift FROM boxes WHERE connectivity = 8),
+NODES = f"""{BOXES}, {FLOW}, pf AS (SELECT j, avg(u_mean) AS u FROM flow GROUP BY j), nr AS (SELECT component_id, u, row_number() OVER (PARTITION BY component_id ORDER BY abs(j*{CELL}-(y_min_mm+y_max_mm)/2), j) AS p FROM boxes, pf WHERE connectivity = 8),
+nodes AS (SELECT CAST((frame_id-1)//50+1 AS INTEGER) AS repeat_id, frame_id, component_id AS node, pixel_count, lx_over_delta, is_vlsm, col_min, col_max, row_min, row_max, CAST(round(u*1e-3*1e3/10.0) AS INTEGER) AS shift FROM boxes JOIN nr USING (component_id) WHERE connectivity = 8 AND p = 1),
 lastcol AS (SELECT max(col_max) AS m FROM nodes),
 olap AS (SELECT a.repeat_id, a.frame_id AS frame_from, b.frame_id AS frame_to, a.node AS node_from, b.node AS node_to, greatest(0, least(least(a.col_max+a.shift, m), b.col_max)-greatest(a.col_min+a.shift, b.col_min)+1)*greatest(0, least(a.row_max,b.row_max)-greatest(a.row_min,b.row_min)+1) AS shared, least((least(a.col_max+a.shift, m)-(a.col_min+a.shift)+1)*(a.row_max-a.row_min+1), (b.col_max-b.col_min+1)*(b.row_max-b.row_min+1)) AS smaller FROM nodes a JOIN nodes b ON a.repeat_id = b.repeat_id AND b.frame_id = a.frame_id+1, lastcol),
 links AS (SELECT *, shared/CAST(smaller AS DOUBLE) AS overlap FROM olap WHERE shared > 0 AND shared/CAST(smaller AS DOUBLE) >= 0.2),
@@ -84,7 +94,7 @@ CHAIN = f"{NODES}, chain AS (SELECT node, node AS track FROM nodes WHERE node NO
 
 
 def event_table(s, d):
-    return tracking.link_frames(pixels(s, d), nodes(s, d))
+    return tracking.link_frames(row_runs(s, d), nodes(s, d))
 
 
 def track_table(s, d):
@@ -135,7 +145,7 @@ def percentile_rows(s, d):
 
 
 def parent_table(s, d):
-    px = pixels(s, d)
+    px = row_runs(s, d)
     own = nodes(s, d).select("node", "pixel_count")
     small = px.join(own.where("pixel_count <= 30").select("node"), "node", "left_semi")
     large = px.join(own.where("pixel_count > 30").select("node"), "node", "left_semi")
@@ -143,7 +153,7 @@ def parent_table(s, d):
 
 
 def geometry_table(s, d):
-    px = pixels(s, d).select("node", (F.col("i") * 2.0).alias("x_mm"), (F.col("j") * 1.5).alias("y_mm"), (10.0 + F.col("i")).alias("delta_mm"), (F.col("i") - F.col("j") - 10.0).alias("u"), F.when(F.col("node") % 2 == 0, 1).otherwise(-1).alias("sign"))
+    px = row_runs(s, d).withColumn("i", F.explode(F.sequence("first", "last"))).select("node", (F.col("i") * 2.0).alias("x_mm"), (F.col("j") * 1.5).alias("y_mm"), (10.0 + F.col("i")).alias("delta_mm"), (F.col("i") - F.col("j") - 10.0).alias("u"), F.when(F.col("node") % 2 == 0, 1).otherwise(-1).alias("sign"))
     return structures.structure_geometry(px, ["node"], 2.0, 1.5)
 
 
@@ -201,7 +211,7 @@ QUERIES = {
     "nearest_rows": (lambda s, d: rounded(rows_at(s, d)), final(f"{FLOW}, pr AS (SELECT j, avg(u_mean) AS y_plus FROM flow GROUP BY j), t AS (SELECT * FROM (VALUES (5.0),(20.0),(23.5),(99.0)) v(target))", "SELECT CAST(target AS DOUBLE) AS target, j, y_plus, target BETWEEN (SELECT min(y_plus) FROM pr) AND (SELECT max(y_plus) FROM pr) AS in_range FROM (SELECT target, j, y_plus, row_number() OVER (PARTITION BY target ORDER BY abs(y_plus-target), j) AS p FROM t, pr) x WHERE p = 1", "target~ j y_plus~ in_range")),
     "nearest_points": (lambda s, d: rounded(probes(s, d)), final(f"{GRID}, pb AS (SELECT * FROM (VALUES (1, 3.2, 2.1), (2, 9.0, 0.4), (3, 100.0, 9.0)) v(probe, px, py))", "SELECT CAST(probe AS INTEGER) AS probe, j, i, dist AS distance FROM (SELECT probe, j, i, sqrt(pow(x_mm-px, 2)+pow(y_mm-py, 2)) AS dist, row_number() OVER (PARTITION BY probe ORDER BY sqrt(pow(x_mm-px, 2)+pow(y_mm-py, 2)), i, j) AS p FROM pb, grid) t WHERE p = 1", "probe j i distance~")),
     "interpolate": (lambda s, d: rounded(interpolated(s, d)), final(f"{FLOW}, kn AS (SELECT i*2.0 AS x0, avg(u_mean) AS y0 FROM flow GROUP BY i), sp AS (SELECT x0, y0, lead(x0) OVER (ORDER BY x0) AS x1, lead(y0) OVER (ORDER BY x0) AS y1, row_number() OVER (ORDER BY x0) AS n FROM kn), pt AS (SELECT k*CAST(0.5 AS DOUBLE) AS x FROM range(70) t(k))", "SELECT x, y0+(y1-y0)*(x-x0)/(x1-x0) AS delta FROM pt LEFT JOIN sp ON x1 IS NOT NULL AND x <= x1 AND (x > x0 OR (n = 1 AND x = x0))", "x~ delta~")),
-    "track_links": (lambda s, d: rounded(M.overlap_links(pixels(s, d))), final(NODES, "SELECT repeat_id, frame_to, node_from, node_to, shared, overlap FROM links", "repeat_id frame_to node_from node_to shared overlap~")),
+    "track_links": (lambda s, d: rounded(M.overlap_links(row_runs(s, d))), final(NODES, "SELECT repeat_id, frame_to, node_from, node_to, shared, overlap FROM links", "repeat_id frame_to node_from node_to shared overlap~")),
     "track_events": (lambda s, d: rounded(event_table(s, d)), final(NODES, "SELECT * FROM events_", "repeat_id frame_from frame_to node_from node_to event overlap~")),
     "tracks": (lambda s, d: rounded(track_table(s, d).select("track", "first_frame", "last_frame", "lifetime", "max_pixels", "mean_pixels", "max_length", "splits", "merges", "touches_view", "any_vlsm", "touches_window")), "WITH RECURSIVE " + final(f"{CHAIN}, sp AS (SELECT DISTINCT node_from AS node FROM events_ WHERE event = 'split'), mg AS (SELECT DISTINCT node_to AS node FROM events_ WHERE event = 'merge')", "SELECT track, min(frame_id) AS first_frame, max(frame_id) AS last_frame, count(DISTINCT frame_id) AS lifetime, max(pixel_count) AS max_pixels, avg(pixel_count) AS mean_pixels, max(lx_over_delta) AS max_length, count(sp.node) AS splits, count(mg.node) AS merges, bool_or(col_min <= 1 OR col_max >= 64) AS touches_view, bool_or(is_vlsm) AS any_vlsm, min(frame_id) = max(f0) OR max(frame_id) = max(f1) AS touches_window FROM chain c JOIN nodes n ON n.node = c.node JOIN ends e ON e.repeat_id = n.repeat_id LEFT JOIN sp ON sp.node = n.node LEFT JOIN mg ON mg.node = n.node GROUP BY track", "track first_frame last_frame lifetime max_pixels mean_pixels~ max_length~ splits merges touches_view any_vlsm touches_window")[5:]),
     "track_summary": (lambda s, d: rounded(summary_stats(s, d).select("tracks", "mean_lifetime", "median_lifetime", "max_lifetime")), "WITH RECURSIVE " + final(CHAIN, "SELECT count(*) AS tracks, avg(n) AS mean_lifetime, median(n) AS median_lifetime, max(n) AS max_lifetime FROM (SELECT track, count(*) AS n FROM chain GROUP BY track) t", "tracks mean_lifetime~ median_lifetime~ max_lifetime")[5:]),
