@@ -59,25 +59,38 @@ def strided(samples: DataFrame, first: int = 1, stride: int = 1, most: int | Non
     return own if most is None else own.where(at < stride * most)
 
 
-def eroded(mask: DataFrame, rows: int, cols: int) -> DataFrame:
-    """(j, i, kept): whether the whole window of rows and cols around a point of mask (j, i, ok) is there and ok.
+def eroded(mask: DataFrame, rows: int, cols: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, j, i, kept): whether the whole window of rows and cols around a point of mask (keys, j, i, ok) is there and
+    ok; keys tell masks apart, such as those of frames.
 
     Two passes of sums along one direction each; what lies outside the grid counts as not ok.
     """
     ok = F.col("ok").cast("int")
-    along = Window.partitionBy("j").orderBy("i").rangeBetween(-cols, cols)
-    across = Window.partitionBy("i").orderBy("j").rangeBetween(-rows, rows)
+    along = Window.partitionBy(*keys, "j").orderBy("i").rangeBetween(-cols, cols)
+    across = Window.partitionBy(*keys, "i").orderBy("j").rangeBetween(-rows, rows)
     got = mask.withColumn("_row", F.sum(ok).over(along)).withColumn("_all", F.sum("_row").over(across))
-    return got.select("j", "i", (F.col("_all") == (2 * rows + 1) * (2 * cols + 1)).alias("kept"))
-
-
-def trusted(mask: DataFrame, edge_columns: int, top_rows: int) -> DataFrame:
-    """(j, i, trusted): ok points off the outer columns and off the largest-y rows of their column (mask: j, i, y_mm, ok)."""
-    order = Window.partitionBy("i").orderBy(F.desc("y_mm"), F.desc("j"))
-    span = mask.withColumn("_place", F.row_number().over(order))
-    ends = mask.agg(F.min("i").alias("_first"), F.max("i").alias("_last"))
-    span = span.join(ends, F.col("i").between(F.col("_first") + edge_columns, F.col("_last") - edge_columns), "left")
-    return span.select("j", "i", (F.col("ok") & (F.col("_place") > top_rows) & F.col("_first").isNotNull()).alias("trusted"))
+    return got.select(*keys, "j", "i", (F.col("_all") == (2 * rows + 1) * (2 * cols + 1)).alias("kept"))
+
+
+def trusted(mask: DataFrame, edge_columns: int, top_rows: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, j, i, trusted): ok points off the outer columns and off the largest-y rows of their column (mask: keys, j,
+    i, y_mm, ok)."""
+    order = Window.partitionBy(*keys, "i").orderBy(F.desc("y_mm"), F.desc("j"))
+    ends = mask.groupBy(*keys).agg(F.min("i").alias("_first"), F.max("i").alias("_last"))
+    span = mask.withColumn("_place", F.row_number().over(order)).join(ends, list(keys) or F.lit(True))
+    inside = F.col("i").between(F.col("_first") + edge_columns, F.col("_last") - edge_columns)
+    return span.select(*keys, "j", "i", (F.col("ok") & (F.col("_place") > top_rows) & inside).alias("trusted"))
+
+
+def without(points: DataFrame, box: tuple[float, float, float, float] | None) -> DataFrame:
+    """points (x_mm, y_mm, ..) whose centre lies outside the closed rectangle; None excludes nothing. A rectangle that
+    leaves no point at all is an error."""
+    if box is None:
+        return points
+    left = points.where(~excluded(F.col("x_mm"), F.col("y_mm"), box))
+    if left.isEmpty():
+        raise ValueError("the excluded rectangle leaves no point")
+    return left
 
 
 def excluded(x: Column, y: Column, box: tuple[float, float, float, float]) -> Column:

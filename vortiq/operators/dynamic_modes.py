@@ -103,7 +103,7 @@ def _replaced(own: np.ndarray, size: np.ndarray, other: np.ndarray, other_size:
 
 
 def _sorted(lam: np.ndarray, amplitude: np.ndarray, vectors: np.ndarray, bad: np.ndarray, dt: float, f0: float | None, dof: int, ids: np.ndarray | None, task_bytes: int) -> Dynamics:
-    floor = _floor(lam)
+    floor, lam = _floor(lam), lam.astype(complex)
     log = np.where(np.abs(lam) < floor, np.log(floor) + 1j * np.angle(lam), np.log(np.where(lam == 0, 1, lam)))
     table = pd.DataFrame({"re": lam.real, "im": lam.imag, "growth": log.real / dt, "frequency": log.imag / dt / (2 * np.pi), "amplitude": np.abs(amplitude), "amplitude_re": amplitude.real, "amplitude_im": amplitude.imag, "replaced": bad})
     hertz = table["frequency"].abs()

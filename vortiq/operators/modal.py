@@ -256,22 +256,13 @@ def _times(blocks: DataFrame, q: np.ndarray, tile: int = 2048) -> np.ndarray:
     return out
 
 
-def _basis(vectors: np.ndarray, images: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An orthonormal basis of the columns of vectors, and its images; directions that others nearly hold are left out."""
-    size = np.maximum(np.linalg.norm(vectors, axis=0), 1e-300)
-    values, turn = np.linalg.eigh((vectors / size).T @ (vectors / size))
-    keep = values > 1e-10 * values[-1]
-    turn = (turn[:, keep] / np.sqrt(values[keep])) / size[:, None]
-    return vectors @ turn, images @ turn
-
-
 def leading(rows: DataFrame, rank: int, tolerance: float = 1e-9, rounds: int = 200, task_bytes: int = 1 << 30, seed: int = 0) -> FramePod:
     """The first `rank` modes alone, from the frames' side, without the frames x frames products.
 
     Blocked iteration on a subspace with its residuals and its last step (locally optimal, as conjugate gradients are):
     each round is one pass over the spatial blocks, which are cut and written once. Ends when no residual of the first
-    `rank` is above the root of tolerance times the largest eigenvalue, so that eigenvalues agree to about tolerance;
-    raises if that takes more than `rounds` passes. The driver holds some frames x (9 rank) numbers.
+    `rank` is above a hundredth of the root of tolerance times its eigenvalue, so that these agree to about tolerance;
+    raises if that takes more than `rounds` passes. The driver holds some frames x (12 rank) numbers.
     """
     first, n = rows.first(), rows.count()
     dof = len(first["x"])
@@ -279,26 +270,22 @@ def leading(rows: DataFrame, rank: int, tolerance: float = 1e-9, rounds: int = 2
     blocks = written(_packed(rows, dof, max(1, block_bytes // (8 * n))), "blocks")
     ids = np.array([r["frame_id"] for r in rows.select("frame_id").orderBy("frame_id").collect()])
     k = min(rank + max(4, rank // 4), n)
-    q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, k)))
-    w, step, step_image = _times(blocks, q), np.zeros((n, 0)), np.zeros((n, 0))
+    q, seek = np.zeros((n, 0)), np.random.default_rng(seed).standard_normal((n, k))
     for _ in range(rounds):
-        values, turn = np.linalg.eigh((q.T @ w + w.T @ q) / 2)
+        # an orthonormal basis of the modes so far, what they miss, and where the last step led
+        seek = seek - q @ (q.T @ seek)
+        basis, _ = np.linalg.qr(np.hstack([q, seek / np.maximum(np.linalg.norm(seek, axis=0), 1e-300)]))
+        images = _times(blocks, basis)
+        values, turn = np.linalg.eigh((basis.T @ images + images.T @ basis) / 2)
         order = np.argsort(-values, kind="stable")[:k]
-        values, q, w = values[order], q @ turn[:, order], w @ turn[:, order]
-        residual = w - q * values
-        if np.linalg.norm(residual[:, :rank], axis=0).max() <= np.sqrt(tolerance) * 1e-2 * max(abs(values[0]), 1e-300):
+        values, turn = values[order], turn[:, order]
+        before, q = q, basis @ turn
+        residual = images @ turn - q * values
+        bound = np.sqrt(tolerance) * 1e-2 * np.maximum(values[:rank], 1e-9 * max(abs(values[0]), 1e-300))
+        if (np.linalg.norm(residual[:, :rank], axis=0) <= bound).all():
             total = blocks.agg(F.sum("energy")).first()[0]
             return FramePod.of(ids, values[:rank] / dof, q[:, :rank], total / dof, dof, task_bytes)
-        # what is new in the residuals, and where the last step led
-        residual -= q @ (q.T @ residual)
-        image = _times(blocks, residual)
-        basis, images = _basis(np.hstack([q, residual, step]), np.hstack([w, image, step_image]))
-        values, turn = np.linalg.eigh((basis.T @ images + images.T @ basis) / 2)
-        turn = turn[:, np.argsort(-values, kind="stable")[:k]]
-        fresh, fresh_image = basis @ turn, images @ turn
-        inside = q.T @ fresh
-        step, step_image = fresh - q @ inside, fresh_image - w @ inside
-        q, w = fresh, fresh_image
+        seek = np.hstack([residual, q - before @ (before.T @ q)])[:, : n - k]
     raise RuntimeError("the leading modes did not settle")
 
 

@@ -118,12 +118,12 @@ tf AS (SELECT b, j, i, c, f, sum(x*cos(2*pi()*f*t/64)) AS re, sum(x*sin(2*pi()*f
 
 QUERIES = {
     "temporal_spectra": (lambda s, d: rounded(spectra.temporal_spectra(piv(s, d).withColumn("u", F.when(F.col("valid"), F.col("u"))), "u", 64, FS)), None),
-    "welch_series": (lambda s, d: rounded(spectra.welch(clean(s, d).where("j = 2"), ["j", "i"], "u", 64, FS)), None),
+    "welch_series": (lambda s, d: rounded(spectra.welch(clean(s, d), ["j", "i"], "u", 64, FS)), None),
     "spectral_peak": (lambda s, d: rounded(spectra.spectral_peak(spectra.temporal_spectra(clean(s, d), "u", 64, FS), ["j"])), None),
     "spatial_spectra": (lambda s, d: rounded(spectra.spatial_spectra(clean(s, d), "u", 2e-3, 0.5, 6)), None),
     "conditional_spectra": (lambda s, d: rounded(windows(s, d)[0]), None),
     "conditional_energy": (lambda s, d: rounded(windows(s, d)[1]), None),
-    "cross_spectra": (lambda s, d: rounded(spectra.cross_spectra(clean(s, d).where("i = 3"), ["j", "i"], "u", "v", 64, FS)), None),
+    "cross_spectra": (lambda s, d: rounded(spectra.cross_spectra(clean(s, d), ["j", "i"], "u", "v", 64, FS)), None),
     "autocorrelation": (lambda s, d: rounded(R.autocorrelation(probe(s, d), ["k"], "u", "u", 10).drop("k")), final(AUTO, "SELECT CAST(lag AS INTEGER) AS lag, r FROM ac", "lag r~")),
     "cross_correlation": (lambda s, d: rounded(R.autocorrelation(probe(s, d), ["k"], "u", "v", 10).drop("k")), final(SERIES, "SELECT CAST(lag AS INTEGER) AS lag, sum(a.u*b.v)/sqrt((SELECT sum(u*u) FROM pb)*(SELECT sum(v*v) FROM pb)) AS r FROM pb a, range(11) l(lag), pb b WHERE b.frame_id = a.frame_id+lag GROUP BY lag", "lag r~")),
     "integral_time": (lambda s, d: rounded(R.integral_time(R.autocorrelation(probe(s, d), ["k"], "u", "u", 10), ["k"], FS).drop("k")), final(f"{AUTO}, z AS (SELECT coalesce((SELECT min(lag) FROM ac WHERE r <= 0), (SELECT max(lag) FROM ac)) AS z), p AS (SELECT lag, (r+lag(r) OVER (ORDER BY lag))/2/16.0 AS a FROM ac)", "SELECT coalesce(sum(a), 0) AS time, CAST(max(lag) AS INTEGER) AS last_lag FROM p, z WHERE lag <= z", "time~ last_lag")),

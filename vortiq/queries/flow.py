@@ -84,13 +84,28 @@ def closure_of(spark, d):
 
 
 def dual_grid(spark, d):
-    g = grid(spark)
-    other = g.where("j < 4").withColumn("x_mm", F.col("x_mm") + F.when((F.col("i") == 2) & (F.col("j") == 1), 1e-6).otherwise(0.0))
-    return domain.grid_differences(g, other)
+    """Places that the first repeat saw against those that the second saw often enough, one of which is off."""
+    seen = lambda k, least: piv(spark, d).where(F.col("repeat_id") == k).groupBy("j", "i").agg(F.avg(F.col("valid").cast("int")).alias("f")).where(F.col("f") >= least).select("j", "i")
+    other = grid(spark).join(seen(2, 0.909), ["j", "i"]).withColumn("x_mm", F.col("x_mm") + F.when((F.col("i") == 2) & (F.col("j") == 1), 1e-6).otherwise(0.0))
+    return domain.grid_differences(grid(spark).join(seen(1, 0.0), ["j", "i"]), other)
 
 
 def mask(spark, d):
-    return piv(spark, d).where("frame_id = 3").select("j", "i", F.col("valid").alias("ok"))
+    return piv(spark, d).select("frame_id", "j", "i", F.col("valid").alias("ok"))
+
+
+REGION = (2.0, 6.0, 0.5, 2.0)
+
+
+def outside_region(spark, d):
+    """Samples and means by frame of what lies outside a rectangle, and of the cells that contaminate neither view."""
+    left = domain.without(statistics.paired(piv(spark, d)).join(grid(spark), ["j", "i"]), REGION)
+    bad = lambda every: domain.contaminated(F.col("x_mm"), F.col("y_mm"), (4.0, 10.0, 1.0, 4.5), every)
+    return left.groupBy("frame_id").agg(F.count(F.lit(1)).alias("points"), F.count("u").alias("n"), F.avg("u").alias("u_mean"), F.avg(F.when(~bad(False), F.col("u"))).alias("u_shown"), F.avg(F.when(~bad(True), F.col("u"))).alias("u_drag"))
+
+
+def by_wall_distance(spark, d):
+    return stats(spark, d).groupBy(domain.wall_distance(F.col("j"), 0.5, 1.3).alias("y")).agg(F.avg("u_mean").alias("u_mean"), F.sum("valid_count").alias("n"))
 
 
 def zero_rows(spark, d):
@@ -168,15 +183,15 @@ QUERIES = {
     "frame_window": (lambda s, d: domain.frame_window(piv(s, d), "second_half", frames_of(s, d)).groupBy("repeat_id").agg(F.min("frame_id").alias("first"), F.max("frame_id").alias("last"), F.count(F.lit(1)).alias("n")), final(f"{PIV}, n AS (SELECT count(*) AS n FROM embeddings)", "SELECT repeat_id, min(frame_id) AS first, max(frame_id) AS last, count(*) AS n FROM (SELECT piv.* FROM piv, n WHERE frame_id > n.n//2) f GROUP BY repeat_id", "repeat_id first last n")),
     "frame_to_repeat": (lambda s, d: piv(s, d).select("frame_id").distinct().select("frame_id", domain.frame_to_repeat(F.col("frame_id"), [100, 250]).alias("part")), final(PIV, "SELECT DISTINCT frame_id, CAST(CASE WHEN frame_id > 250 THEN 3 WHEN frame_id > 100 THEN 2 ELSE 1 END AS INTEGER) AS part FROM piv", "frame_id part")),
     "spread_frames": (frame_list, "WITH n AS (SELECT count(*) AS n FROM embeddings WHERE len(embedding) = 64) SELECT DISTINCT CAST(floor(1 + k*((n-1)/6.0)) AS BIGINT) AS frame_id FROM n, range(7) t(k)"),
-    "eroded_domain": (lambda s, d: domain.eroded(mask(s, d), 1, 1), final(PIV, "SELECT a.j, a.i, count(*) = 9 AND bool_and(b.valid) AS kept FROM piv a JOIN piv b ON b.frame_id = 3 AND b.j BETWEEN a.j-1 AND a.j+1 AND b.i BETWEEN a.i-1 AND a.i+1 WHERE a.frame_id = 3 GROUP BY a.j, a.i", "j i kept")),
-    "trusted_domain": (lambda s, d: domain.trusted(mask(s, d).join(grid(s), ["j", "i"]), 2, 1), final(f"{PIV}, {GRID}", "SELECT p.j, p.i, valid AND p.i BETWEEN 3 AND 6 AND p.j < 4 AS trusted FROM piv p WHERE frame_id = 3", "j i trusted")),
-    "spatial_exclusion": (lambda s, d: grid(s).select("j", "i", domain.excluded(F.col("x_mm"), F.col("y_mm"), (2.0, 6.0, 0.5, 2.0)).alias("excluded"), domain.contaminated(F.col("x_mm"), F.col("y_mm"), (2.0, 6.0, 0.5, 2.0)).alias("polluted"), domain.contaminated(F.col("x_mm"), F.col("y_mm"), (2.0, 6.0, 0.5, 2.0), True).alias("polluted_drag")), final(GRID, "SELECT j, i, x_mm >= 2 AND x_mm <= 6 AND y_mm >= 0.5 AND y_mm <= 2 AS excluded, x_mm >= 2 AND x_mm < 6 AND y_mm >= 0.5 AND y_mm <= 2 AS polluted, x_mm >= 2 AND x_mm < 6 AS polluted_drag FROM grid", "j i excluded polluted polluted_drag")),
-    "wall_distance": (lambda s, d: rounded(grid(s).select("j", domain.wall_distance(F.col("j"), 0.5, 1.3).alias("y")).distinct()), final(GRID, "SELECT DISTINCT j, (j-1+1.3)*0.5 AS y FROM grid", "j y~")),
+    "eroded_domain": (lambda s, d: domain.eroded(mask(s, d), 1, 1, ("frame_id",)), final(PIV, "SELECT a.frame_id, a.j, a.i, count(*) = 9 AND bool_and(b.valid) AS kept FROM piv a JOIN piv b ON b.frame_id = a.frame_id AND b.j BETWEEN a.j-1 AND a.j+1 AND b.i BETWEEN a.i-1 AND a.i+1 GROUP BY a.frame_id, a.j, a.i", "frame_id j i kept")),
+    "trusted_domain": (lambda s, d: domain.trusted(mask(s, d).join(grid(s), ["j", "i"]), 2, 1, ("frame_id",)), final(f"{PIV}, {GRID}", "SELECT frame_id, p.j, p.i, valid AND p.i BETWEEN 3 AND 6 AND p.j < 4 AS trusted FROM piv p", "frame_id j i trusted")),
+    "spatial_exclusion": (lambda s, d: rounded(outside_region(s, d)), final(f"{SMP}, {GRID}", "SELECT frame_id, count(*) AS points, count(u) AS n, avg(u) AS u_mean, avg(CASE WHEN NOT (x_mm >= 4 AND x_mm < 10 AND y_mm BETWEEN 1 AND 4.5) THEN u END) AS u_shown, avg(CASE WHEN NOT (x_mm >= 4 AND x_mm < 10) THEN u END) AS u_drag FROM smp s JOIN grid g ON s.j = g.j AND s.i = g.i WHERE NOT (x_mm BETWEEN 2 AND 6 AND y_mm BETWEEN 0.5 AND 2) GROUP BY frame_id", "frame_id points n u_mean~ u_shown~ u_drag~")),
+    "wall_distance": (lambda s, d: rounded(by_wall_distance(s, d)), final(STATS, "SELECT (j-1+1.3)*0.5 AS y, avg(u_mean) AS u_mean, CAST(sum(count) AS BIGINT) AS n FROM (SELECT j, i, u_mean, (SELECT count(u) FROM smp WHERE smp.j = stats.j AND smp.i = stats.i) AS count FROM stats) t GROUP BY j", "y~ u_mean~ n")),
     "wall_rows": (lambda s, d: domain.wall_rows(zero_rows(s, d)), final(PIV, "SELECT CAST(max(n) AS INTEGER) AS crop FROM (SELECT frame_id, min(j)-1 AS n FROM piv WHERE j > 1 + frame_id % 2 AND (u <> 0 OR v <> 0) GROUP BY frame_id) t", "crop")),
     "oriented": (lambda s, d: rounded(domain.oriented(piv(s, d), 4, "bottom").unionByName(domain.oriented(piv(s, d), 4, "top")).groupBy("j").agg(F.sum("u").alias("u"), F.sum("v").alias("v"))), final(PIV, "SELECT j, sum(u) AS u, sum(v) AS v FROM (SELECT 5-j AS j, u, v FROM piv UNION ALL SELECT j, u, -v FROM piv) t GROUP BY j", "j u~ v~")),
     "remapped": (lambda s, d: rounded(domain.remapped(piv(s, d), grid(s), 1).select("frame_id", "j", "i", "y_mm", "u")), final(f"{PIV}, {GRID}", "SELECT frame_id, j-1 AS j, i, (j-1)*3.0 AS y_mm, u FROM piv WHERE j > 1", "frame_id j i y_mm~ u~")),
-    "grid_differences": (dual_grid, final(f"{GRID}, other AS (SELECT j, i, x_mm+CASE WHEN i = 2 AND j = 1 THEN 1e-6 ELSE 0 END AS x_mm, y_mm FROM grid WHERE j < 4)", "SELECT count(a.x_mm+b.x_mm) AS shared, count(*)-count(a.x_mm+b.x_mm) AS lacking, count(CASE WHEN greatest(abs(a.x_mm-b.x_mm), abs(a.y_mm-b.y_mm)) > 1e-9 THEN 1 END) AS apart FROM grid a FULL JOIN other b ON a.j = b.j AND a.i = b.i", "shared lacking apart")),
-    "drawable_span": (lambda s, d: domain.drawable_span(mask(s, d), ["j"]).select("j", "i", "inside"), final(PIV, "SELECT j, i, i BETWEEN min(CASE WHEN valid THEN i END) OVER (PARTITION BY j) AND max(CASE WHEN valid THEN i END) OVER (PARTITION BY j) AS inside FROM piv WHERE frame_id = 3", "j i inside")),
+    "grid_differences": (dual_grid, final(f"{PIV}, {GRID}, sn AS (SELECT repeat_id, j, i, avg(CASE WHEN valid THEN 1.0 ELSE 0 END) AS f FROM piv GROUP BY repeat_id, j, i), one AS (SELECT g.* FROM grid g JOIN sn ON g.j = sn.j AND g.i = sn.i AND repeat_id = 1), other AS (SELECT g.j, g.i, x_mm+CASE WHEN g.i = 2 AND g.j = 1 THEN 1e-6 ELSE 0 END AS x_mm, y_mm FROM grid g JOIN sn ON g.j = sn.j AND g.i = sn.i AND repeat_id = 2 AND f >= 0.909)", "SELECT count(a.x_mm+b.x_mm) AS shared, count(*)-count(a.x_mm+b.x_mm) AS lacking, count(CASE WHEN greatest(abs(a.x_mm-b.x_mm), abs(a.y_mm-b.y_mm)) > 1e-9 THEN 1 END) AS apart FROM one a FULL JOIN other b ON a.j = b.j AND a.i = b.i", "shared lacking apart")),
+    "drawable_span": (lambda s, d: domain.drawable_span(mask(s, d), ["frame_id", "j"]).select("frame_id", "j", "i", "inside"), final(PIV, "SELECT frame_id, j, i, coalesce(i BETWEEN min(CASE WHEN valid THEN i END) OVER (PARTITION BY frame_id, j) AND max(CASE WHEN valid THEN i END) OVER (PARTITION BY frame_id, j), false) AS inside FROM piv", "frame_id j i inside")),
     "gradient": (lambda s, d: rounded(gradient(s, d).select("j", "i", "gradient")), final(GRADIENT, "SELECT * FROM gr", "j i gradient~")),
     "gradient_rbf": (lambda s, d: rounded(gradients.d_dy_rbf(stats(s, d).join(grid(s), ["j", "i"]), grid(s), "u_mean").select("j", "i", "gradient")), None),
     "planar_criteria": (lambda s, d: rounded(planar(s, d), 4), final(PLANAR, PLANAR_BODY, "frame_id j i vorticity~ q~ lambda2~ lambda_ci~", 4)),

@@ -152,7 +152,7 @@ def blocks(rows: str, keys: str, name: str, nfft: int = 64) -> str:
 SIDES = "CASE WHEN f IN (0, 32) THEN 1 ELSE 2 END/(16.0*24)"
 WELCH = f"{SMP}, {series('smp', 'j, i', 'frame_id', 'u', 'sr')}, {detrended('sr', 'j, i', 'dt')}, {blocks('dt', 'j, i', 'bk')}, ws AS (SELECT j, i, f/4.0 AS frequency, avg(c*c+s*s)*max({SIDES}) AS psd FROM bk GROUP BY j, i, f)"
 TEMPORAL = f"{WELCH}, ts AS (SELECT j, frequency, avg(psd) AS psd, count(*) AS n, frequency*avg(psd) AS premultiplied FROM ws GROUP BY j, frequency)"
-CROSS = f"{SMP}, three AS (SELECT * FROM smp WHERE i = 3), {series('three', 'j, i', 'frame_id', 'u', 'su')}, {series('three', 'j, i', 'frame_id', 'v', 'sv')}, {blocks('su', 'j, i', 'bu')}, {blocks('sv', 'j, i', 'bv')}, xs AS (SELECT bu.j, bu.i, bu.f, avg(bu.c*bv.c+bu.s*bv.s) AS re, avg(bu.s*bv.c-bu.c*bv.s) AS im, avg(bu.c*bu.c+bu.s*bu.s) AS pp, avg(bv.c*bv.c+bv.s*bv.s) AS qq FROM bu JOIN bv ON bu.j = bv.j AND bu.i = bv.i AND bu.b = bv.b AND bu.f = bv.f GROUP BY bu.j, bu.i, bu.f)"
+CROSS = f"{SMP}, three AS (SELECT * FROM smp), {series('three', 'j, i', 'frame_id', 'u', 'su')}, {series('three', 'j, i', 'frame_id', 'v', 'sv')}, {blocks('su', 'j, i', 'bu')}, {blocks('sv', 'j, i', 'bv')}, xs AS (SELECT bu.j, bu.i, bu.f, avg(bu.c*bv.c+bu.s*bv.s) AS re, avg(bu.s*bv.c-bu.c*bv.s) AS im, avg(bu.c*bu.c+bu.s*bu.s) AS pp, avg(bv.c*bv.c+bv.s*bv.s) AS qq FROM bu JOIN bv ON bu.j = bv.j AND bu.i = bv.i AND bu.b = bv.b AND bu.f = bv.f GROUP BY bu.j, bu.i, bu.f)"
 SPATIAL = f"{SMP}, {series('smp', 'frame_id, j', 'i', 'u', 'sr')}, {detrended('sr', 'frame_id, j', 'dt')}, fx AS (SELECT frame_id, j, f, sum(y*(0.5-0.5*cos(2*pi()*t/8))*cos(2*pi()*f*t/8)) AS c, sum(y*(0.5-0.5*cos(2*pi()*t/8))*sin(2*pi()*f*t/8)) AS s FROM dt, range(1, 5) ff(f) WHERE ok >= 6 GROUP BY frame_id, j, f), xs AS (SELECT j, f/0.016 AS wavenumber, avg(c*c+s*s)*0.002/3*max(CASE WHEN f = 4 THEN 1 ELSE 2 END) AS psd, count(*) AS n FROM fx GROUP BY j, f)"
 
 #: Three-node weights of d/dy: a central difference, and so much (t) of the combination that the constant and the line
@@ -185,7 +185,7 @@ SQL: dict[str, str] = {
     "f_scores": recursive(f"{GREEDY}, t AS (SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM gi)", "SELECT *, tp/CAST(tp+fp AS DOUBLE) AS precision, tp/CAST(tp+fn AS DOUBLE) AS recall, 2*tp/CAST(2*tp+fp+fn AS DOUBLE) AS f1 FROM t", "tp fp fn precision~ recall~ f1~"),
     "assign_pairs": recursive(ASSIGNED, "SELECT frame_id, found_id, seen_id, score FROM chosen", "frame_id found_id seen_id score~"),
     "score_frames": recursive(SCORED, "SELECT *, CASE WHEN precision+recall > 0 THEN 2*precision*recall/(precision+recall) ELSE CASE WHEN precision+recall = 0 THEN 1.0 END END AS f1, CASE WHEN pairs > 0 THEN tp/CAST(pairs AS DOUBLE) ELSE 1.0 END AS sign_accuracy FROM sp", "frame_id found seen pairs tp precision~ recall~ f1~ sign_accuracy~"),
-    "welch_series": final(WELCH, "SELECT * FROM ws WHERE j = 2", "j i frequency~ psd~"),
+    "welch_series": final(WELCH, "SELECT * FROM ws", "j i frequency~ psd~"),
     "temporal_spectra": final(TEMPORAL, "SELECT * FROM ts", "j frequency~ psd~ n premultiplied~"),
     "spectral_peak": final(TEMPORAL, "SELECT j, arg_max(frequency, premultiplied) AS frequency, max(premultiplied) AS peak FROM ts WHERE frequency > 0 GROUP BY j", "j frequency~ peak~"),
     "cross_spectra": final(CROSS, f"SELECT j, i, f/4.0 AS frequency, re*{SIDES} AS re, im*{SIDES} AS im, (re*re+im*im)/(pp*qq) AS coherence FROM xs", "j i frequency~ re~ im~ coherence~"),

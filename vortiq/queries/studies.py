@@ -62,9 +62,10 @@ def views(s, d):
     return show.select("i", "j", F.col("u_mean").alias("shown")).join(drag.select("i", "j", F.col("u_mean").alias("for_drag")), ["i", "j"])
 
 
-def flagged(s):
-    mark = lambda every: domain.contaminated(F.col("x_mm"), F.col("y_mm"), (4.0, 10.0, 1.0, 4.5), every)
-    return grid(s).select("j", "i", mark(False).alias("cell"), mark(True).alias("whole_column"))
+def flagged(s, d):
+    """Means of points with the cells that a region contaminates, and their whole columns, taken out."""
+    show, drag = domain.case_views(statistics.mean_stats(piv(s, d)).join(grid(s), ["j", "i"]), ["u_mean"], 1e9, (4.0, 10.0, 1.0, 4.5))
+    return show.select("j", "i", F.col("u_mean").alias("shown")).join(drag.select("j", "i", F.col("u_mean").alias("for_drag")), ["j", "i"])
 
 
 def timed(s, d):
@@ -105,7 +106,7 @@ def scaled(s, d):
 
 def outside(s, d):
     signal = clean(s, d).where("j = 2 and i = 4").select("frame_id", F.col("u").alias("signal"))
-    return spectra.external_coherence(clean(s, d).where("i = 3"), signal, ["j", "i"], "u", 64, FS)
+    return spectra.external_coherence(clean(s, d), signal, ["j", "i"], "u", 64, FS)
 
 
 def rbf_production(s, d):
@@ -176,7 +177,7 @@ def started(places: str, full: bool) -> str:
 
 EDGED = f"{SCORED}, rims AS (SELECT count(*) AS etp FROM chosen JOIN boxes a ON a.component_id = found_id JOIN boxes b ON b.component_id = seen_id WHERE sign_match AND a.is_censored AND b.is_censored), sq AS (SELECT *, CASE WHEN precision+recall > 0 THEN 2*precision*recall/(precision+recall) WHEN precision+recall = 0 THEN 1.0 END AS f1 FROM sp), eg AS (SELECT count(*) FILTER (connectivity = 8) AS ef, count(*) FILTER (connectivity = 4) AS es FROM boxes WHERE is_censored), tt AS (SELECT count(*) AS frames, median(precision) AS median_precision, median(recall) AS median_recall, median(f1) AS median_f1, CAST(sum(tp) AS BIGINT) AS tp, sum(tp)/CAST(sum(found) AS DOUBLE) AS precision, sum(tp)/CAST(sum(seen) AS DOUBLE) AS recall, sum(tp)/CAST(sum(pairs) AS DOUBLE) AS sign_accuracy FROM sq), te AS (SELECT (SELECT etp FROM rims)/CAST(ef AS DOUBLE) AS edge_precision, (SELECT etp FROM rims)/CAST(es AS DOUBLE) AS edge_recall FROM eg)"
 TEMPORAL = f"{WELCH}, ts AS (SELECT j, frequency, avg(psd) AS psd FROM ws GROUP BY j, frequency), wl AS (SELECT j, frequency, psd, CASE WHEN j = 1 THEN 5.0 ELSE 4.0*j END/frequency AS l FROM ts WHERE frequency BETWEEN 1 AND 6)"
-OUTSIDE = f"{SMP}, three AS (SELECT a.frame_id, a.j, a.i, a.u, b.u AS g FROM smp a JOIN smp b ON a.i = 3 AND b.frame_id = a.frame_id AND b.j = 2 AND b.i = 4), {series('three', 'j, i', 'frame_id', 'u', 'su')}, {series('three', 'j, i', 'frame_id', 'g', 'sv')}, {blocks('su', 'j, i', 'bu')}, {blocks('sv', 'j, i', 'bv')}, xs AS (SELECT bu.j, bu.i, bu.f, avg(bu.c*bv.c+bu.s*bv.s) AS re, avg(bu.s*bv.c-bu.c*bv.s) AS im, avg(bu.c*bu.c+bu.s*bu.s) AS pp, avg(bv.c*bv.c+bv.s*bv.s) AS qq FROM bu JOIN bv ON bu.j = bv.j AND bu.i = bv.i AND bu.b = bv.b AND bu.f = bv.f GROUP BY bu.j, bu.i, bu.f)"
+OUTSIDE = f"{SMP}, three AS (SELECT a.frame_id, a.j, a.i, a.u, b.u AS g FROM smp a JOIN smp b ON b.frame_id = a.frame_id AND b.j = 2 AND b.i = 4), {series('three', 'j, i', 'frame_id', 'u', 'su')}, {series('three', 'j, i', 'frame_id', 'g', 'sv')}, {blocks('su', 'j, i', 'bu')}, {blocks('sv', 'j, i', 'bv')}, xs AS (SELECT bu.j, bu.i, bu.f, avg(bu.c*bv.c+bu.s*bv.s) AS re, avg(bu.s*bv.c-bu.c*bv.s) AS im, avg(bu.c*bu.c+bu.s*bu.s) AS pp, avg(bv.c*bv.c+bv.s*bv.s) AS qq FROM bu JOIN bv ON bu.j = bv.j AND bu.i = bv.i AND bu.b = bv.b AND bu.f = bv.f GROUP BY bu.j, bu.i, bu.f)"
 WEIGHTS = f"{TRANSPORT}, {GRID}, uo AS (SELECT j, i, CASE WHEN ok THEN u_mean END AS u_mean FROM tr){RBF[len(GRADIENT):]}"
 
 
@@ -203,7 +204,7 @@ QUERIES = {
     "friction_secant_full": (lambda s, d: rounded(friction(s, d, "secant_full")), final(RUN, "SELECT x, 2*s/(x-x0) AS cf FROM (SELECT x, x0, sum(p) OVER (ORDER BY x) AS s FROM pc) t WHERE x > x0", "x~ cf~")),
     "friction_secant_zpg": (lambda s, d: rounded(friction(s, d, "secant_zpg")), final(RUN, "SELECT x, 2*s/(x-x0) AS cf FROM (SELECT x, x0, sum(z) OVER (ORDER BY x) AS s FROM pc) t WHERE x > x0", "x~ cf~")),
     "reference_scales": (lambda s, d: rounded(scales(s, d)), final(f"{Q.INTEGRAL}, re AS (SELECT median(delta99)*1e-3*1.1/{Q.NU} AS re FROM ip)", "SELECT re AS re_tau, 2.6*sqrt(re) AS lower_plus, re/2 AS upper_plus FROM re", "re_tau~ lower_plus~ upper_plus~")),
-    "contaminated": (lambda s, d: flagged(s), final(GRID, "SELECT j, i, x_mm >= 4 AND x_mm < 10 AND y_mm BETWEEN 1 AND 4.5 AS cell, x_mm >= 4 AND x_mm < 10 AS whole_column FROM grid", "j i cell whole_column")),
+    "contaminated": (lambda s, d: rounded(flagged(s, d)), final(f"{SMP}, {GRID}, mn AS (SELECT j, i, avg(u) AS u FROM smp GROUP BY j, i)", "SELECT g.j, g.i, CASE WHEN NOT (x_mm >= 4 AND x_mm < 10 AND y_mm BETWEEN 1 AND 4.5) THEN u END AS shown, CASE WHEN NOT (x_mm >= 4 AND x_mm < 10) THEN u END AS for_drag FROM grid g JOIN mn ON g.j = mn.j AND g.i = mn.i", "j i shown~ for_drag~")),
     "case_views": (lambda s, d: rounded(views(s, d)), final(FLOW, f"SELECT i, j, CASE WHEN NOT (2.0*i >= 8 AND 2.0*i < 14 AND j*{H} BETWEEN 1 AND 4) THEN u_mean END AS shown, CASE WHEN NOT (2.0*i >= 8 AND 2.0*i < 14) THEN u_mean END AS for_drag FROM flow WHERE 2.0*i <= 25", "i j shown~ for_drag~")),
     "performance_summary": (lambda s, d: rounded(C.performance(timed(s, d), 12000)[0]), final(RECORD, "SELECT count(*) AS n_frames, avg(seconds) AS mean_seconds, median(seconds) AS median_seconds, sum(seconds) AS total_seconds, avg(seconds)*12000 AS planned_seconds, max(p95_seconds) AS p95_seconds FROM rec JOIN hz ON hz.k = rec.k", "n_frames mean_seconds~ median_seconds~ total_seconds~ planned_seconds~ p95_seconds~")),
     "performance_segments": (lambda s, d: rounded(C.performance(timed(s, d), 12000)[1]), final(RECORD, "SELECT CAST(row_number() OVER (ORDER BY min(frame_id)) AS INTEGER) AS segment, min(frame_id) AS first_frame, max(frame_id) AS last_frame, count(*) AS n_frames, avg(seconds) AS mean_seconds, CAST(sum(components) AS BIGINT) AS components FROM gp GROUP BY g", "segment first_frame last_frame n_frames mean_seconds~ components")),
