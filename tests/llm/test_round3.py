@@ -229,3 +229,36 @@ def test_border_of_equal_scores():
 
     rough = np.array([[1, 0], [1, 5], [1, 5], [2, 5], [1, 7]], np.float32)
     assert sorted(first_of(rough, 3)[:, 0]) == [0, 1, 3] and sorted(first_of(rough, 3)[:, 1]) == [1, 2, 4]
+
+
+def test_persons_are_one_over_the_corpus(spark):
+    """Titles without gender follow the others of the name; initials, apostrophes, capitals and particles are found."""
+    import re
+
+    from vortiq.llm import pii
+
+    texts = ["Mrs Ann Lee came.", "Dr Ann Lee rang.", "Prof Ann Lee and Mr Robin Day", "Dr Robin Day, Dr Kim Oh", "Mr J. Smith", "Ms O'Neil", "MR SMITH", "Mr van Dyke", "Mr. John de la Cruz", "020 7946 0958 and 192.168.7.9, 172.20.1.1", "the Dr van is here, Mr x and MISS YOU"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.replace(df.repartition(3), "key of this test").collect()}
+    names = [re.fullmatch(r"(?:Mrs|Dr|Prof) (\w+) (\w+)(?: came\.| rang\.| and .*)", got[k]).groups() for k in range(3)]
+    assert len(set(names)) == 1 and "Lee" not in got[0]
+    assert re.search(r"Mr (\w+ \w+)$", got[2])[1] == re.match(r"Dr (\w+ \w+),", got[3])[1]
+    smith = re.fullmatch(r"Mr J\. (\w+)", got[4])[1]
+    assert got[6] == f"MR {smith.upper()}" and smith != "Smith"
+    for k, form, gone in ((5, r"Ms \w+", "Neil"), (7, r"Mr van \w+", "Dyke"), (8, r"Mr\. \w+ de la \w+", "Cruz"), (9, r"02\d \d{4} \d{4} and 192\.168\.\d+\.\d+, 172\.(1[6-9]|2\d|3[01])\.\d+\.\d+", "7946")):
+        assert re.fullmatch(form, got[k]) and gone not in got[k]
+    assert got[10] == texts[10]
+
+
+def test_secrets_of_a_text_with_very_many(spark):
+    """Places add up over chunks; time goes with the number of hits."""
+    import time
+
+    from vortiq.llm import secrets
+
+    for n in (secrets.CHUNK - 1, secrets.CHUNK, secrets.CHUNK + 1, 40_000):
+        text = "é token=abcdef123 " * n
+        began = time.time()
+        row = secrets.digest(secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+        assert row.n_assign == n and row.spans == ",".join(f"assign:{18 * k + 2}:{18 * k + 17}" for k in range(n))
+        assert time.time() - began < 60

@@ -235,7 +235,7 @@ def test_surrogates(spark, none):
     assert re.search(r"Mrs [A-Z][a-z]+ [A-Z][a-z]+ and Mr\. [A-Z][a-z]+ [A-Z][a-z]+$", got[2])
     assert re.search(r"^г-жа [А-Я][а-я]+ [А-Я][а-я]+, DE\d\d( \d{4}){4} \d\d, \d{3}-\d\d-\d{4}$", got[6])
     a, b = got[None].split()
-    assert a == b and a.startswith("10.1.")
+    assert a == b and a.startswith("10.") and not a.startswith("10.1.2.")
     assert pii.replace(df, "other key").where("doc_id = 1").first().text != got[1] and pii.replace(none, KEY).count() == 0
     with pytest.raises(ValueError):
         pii.replace(df, "")
@@ -278,7 +278,8 @@ def test_surrogates_follow_spellings(spark):
     assert a.lower() == b and re.fullmatch(r"[A-Z][a-z]{2}\.[A-Z][a-z]{2}@[a-z]\.[a-z]{7}\.com", a)
     given, family, john, smith, passport, c, d = re.fullmatch(r"Mrs (\w+) (\w+) came\. \1 \2 left with Mr \2; Dr \1 \2, Prof\. (\w+) (\w+); passport ([A-Z]{2}\d{7}), (4[\d-]{18}) (4[\d ]{18})", got[2].text).groups()
     assert len({given, family, john, smith, "Ann", "Lee", "John", "Smith"}) == 8 and passport != "AB1234567" and c.replace("-", " ") == d
-    assert re.fullmatch("x\x01y Mr [A-Z][a-z]+\x01 MR JONES GB.*", got[3].text)
+    one, two = re.fullmatch("x\x01y Mr ([A-Z][a-z]+)\x01 MR ([A-Z]+) GB.*", got[3].text).groups()
+    assert one.upper() == two != "JONES"
     x, y = re.search(r"(GB[A-Z0-9 ]+), (GB\w+)$", got[3].text).groups()
     assert x.replace(" ", "") == y and int("".join(str(int(k, 36)) for k in y[4:] + y[:4])) % 97 == 1
     assert got[4].n_pii == 3_001 and "Mr Ab," not in got[4].text and got[4].text.endswith("1.2." * 50_000)

@@ -19,8 +19,13 @@ from .common import fresh, materialize
 MALE = ["Mr", "Sir", "Lord", "Herr", "Monsieur", "Señor", "Sr", "Don", "г-н", "господин"]
 FEMALE = ["Mrs", "Ms", "Miss", "Lady", "Frau", "Fräulein", "Madame", "Mme", "Mademoiselle", "Mlle", "Señora", "Señorita", "Sra", "Doña", "г-жа", "госпожа"]
 NEUTRAL = ["Dr", "Prof", "Professor", "Rev", "Mx"]
-TITLES = "|".join([*MALE, *FEMALE, *NEUTRAL])
-PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\d)|(?<![\w+])\+\d{8,14}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])"
+#: Titles in capitals, before names in capitals; others stand for too much else.
+CAPITALS = {"MR": "m", "MRS": "f", "PROF": "n"}
+TITLES = "|".join([*MALE, *FEMALE, *NEUTRAL, *CAPITALS])
+#: Words in small letters that join the parts of a name.
+PARTICLES = "van|von|der|den|del|della|de|di|da|dos|du|la|le|el|al|bin|ten|ter|zu"
+NAME = r"(?:\p{Lu}\.|\p{Lu}['’]\p{Lu}\p{L}+|\p{Lu}\p{L}++(?!\d))"
+PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\d)|(?<![\w+])\+\d{8,14}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])|(?<![\w+.,-])0\d{2,4} \d{3,4} \d{3,4}(?![\w.,-]\d)(?!\w)"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: In order of precedence. No group repeats without a bound, so the longest text needs no deep recursion.
 FORMS = [
@@ -31,7 +36,7 @@ FORMS = [
     ("card", r"(?=\d)(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"),
     ("ip", rf"(?=\d)(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?!\w|\.\d)"),
     ("passport", r"(?=[A-Z\d])(?<=(?:[Pp]assport|[Rr]eisepass|[Pp]asaporte|[Pp]asseport|[Пп]аспорт)(?: (?:[Nn]o|[Nn]r|[Nn]umber|№)\.?)?:? )[A-Z]{0,2}\d{6,9}(?!\w)"),
-    ("person", rf"(?=[{''.join(sorted({t[0] for t in TITLES.split('|')}))}])(?<!\p{{L}})(?:{TITLES})\.?[ ]\p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+){{0,2}}"),
+    ("person", rf"(?=[{''.join(sorted({t[0] for t in TITLES.split('|')}))}])(?<!\p{{L}})(?:{TITLES})\.?[ ](?:(?:{PARTICLES}) ){{0,3}}{NAME}(?:[ -](?:(?:{PARTICLES}) ){{0,3}}{NAME}){{0,2}}"),
 ]
 #: What a text must hold for any of the number forms to match; IBANs may have letters after their first four signs.
 NUMBERS = r"[0-9+(][0-9 ().-]{6}|[A-Z]{2}\d\d ?[A-Z0-9]{4}|\d{6}"
@@ -58,23 +63,28 @@ def _part(kind: Column | str, value: Column | str, first: bool = False) -> Colum
 
 
 def _gender(person: Column) -> Column:
-    return F.when(person.rlike(rf"^(?:{'|'.join(MALE)})\b"), "m").when(person.rlike(rf"^(?:{'|'.join(FEMALE)})\b"), "f").otherwise("n")
+    of = lambda titles, gender: "|".join([*titles, *(t for t, g in CAPITALS.items() if g == gender)])
+    return F.when(person.rlike(rf"^(?:{of(MALE, 'm')})\b"), "m").when(person.rlike(rf"^(?:{of(FEMALE, 'f')})\b"), "f").otherwise("n")
 
 
 def _named(person: Column) -> Column:
     """Parts of a person with a title: title, words and what parts them.
 
-    The last word is the family name, all others are given names. Kinds: g, s for the role, then the gender; a Latin
-    family name shows none, so that Mr and Mrs of one family keep one name.
+    The last word is the family name, all others are given names; particles and initials stay. Kinds: g, s for the role,
+    then the gender; a Latin family name shows none, so that Mr and Mrs of one family keep one name.
     """
     gender, words = _gender(person), F.regexp_extract_all(F.regexp_replace(person, rf"^(?:{TITLES})\.? ", ""), F.lit("[ -]|[^ -]+"), F.lit(0))
     last = F.size(words) - 1
 
     def one(w: Column, i: Column) -> Column:
         role = F.when(i < last, F.concat(F.lit("g"), gender)).when(w.rlike(r"\p{IsCyrillic}"), F.concat(F.lit("s"), gender)).otherwise("s-")
-        return F.when(w.rlike("^[ -]$"), _part(F.lit(None), w)).otherwise(F.struct(role.alias("kind"), w.alias("value"), (i == 0).alias("begins")))
+        return F.when(w.rlike(rf"^(?:[ -]|{PARTICLES}|\p{{Lu}}\.)$"), _part(F.lit(None), w)).otherwise(F.struct(role.alias("kind"), w.alias("value"), (i == 0).alias("begins")))
 
-    return F.concat(F.array(_part(F.lit(None), F.regexp_extract(person, rf"^(?:{TITLES})\.? ", 0))), F.transform(words, one))
+    named = F.transform(words, one)
+    # a name counts once, by its first word that is replaced; an initial alone is none
+    first = lambda p: F.array_position(F.transform(p, lambda x: x["kind"].isNotNull()), True) - 1
+    told = F.transform(named, lambda p, i: F.struct(p["kind"].alias("kind"), p["value"].alias("value"), (i == first(named)).alias("begins")))
+    return F.concat(F.array(_part(F.lit(None), F.regexp_extract(person, rf"^(?:{TITLES})\.? ", 0))), told)
 
 
 def _parts(hit: Column) -> Column:
@@ -120,10 +130,11 @@ def mark(docs: DataFrame, parts: str) -> DataFrame:
 
 
 def canon(kind: Column, value: Column) -> Column:
-    """What all spellings of an entity share; telephone numbers of ten digits are those of country code 1."""
+    """What all spellings of an entity share; telephone numbers of ten digits are those of country code 1, and numbers
+    within a country, from 0 on, go by themselves."""
     digits = F.regexp_replace(value, "[^0-9]", "")
     return (
-        F.when(kind == "phone", F.concat(F.when(value.startswith("+"), "+").otherwise("+1"), digits)).when(kind.isin("ssn", "card"), digits).when(kind == "iban", F.regexp_replace(value, " ", ""))
+        F.when(kind == "phone", F.concat(F.when(value.startswith("+"), "+").when(value.startswith("0"), "+0").otherwise("+1"), digits)).when(kind.isin("ssn", "card"), digits).when(kind == "iban", F.regexp_replace(value, " ", ""))
         .when(kind.isin("ip", "passport"), value).otherwise(F.lower(value))
     )
 
@@ -190,7 +201,8 @@ def _iban(value: Column, longer: Column, seed: Column) -> Column:
 
 
 def _ip(value: Column, seed: Column, attempt: Column) -> Column:
-    """Private and loopback addresses keep their first two numbers; others stay outside the reserved ranges.
+    """Private and loopback addresses stay within their range (10.*, 127.*, 192.168.*, 172.16.* to 172.31.*), of which
+    only the range is kept; others stay outside the reserved ranges.
 
     Where that is too narrow, private ones are drawn from all of 10.* and loopback ones from all of 127.*, then both from
     the ranges of others; numbers are added at the end where even these are full.
@@ -200,7 +212,7 @@ def _ip(value: Column, seed: Column, attempt: Column) -> Column:
     other = F.concat_ws(".", (_drawn(seed, F.lit(0), 100) + 11).cast("string"), part(1))
     wide = F.concat_ws(".", F.when(value.startswith("127."), "127").otherwise("10"), part(1))
     more = F.transform(F.array_repeat(F.lit(""), _extra(attempt, 24)), lambda c, k: (_drawn(seed, k + 4, 254) + 1).cast("string"))
-    return F.concat_ws(".", F.when(private & (attempt < 3), F.substring_index(value, ".", 2)).when(private & (attempt < 12), wide).otherwise(other), part(2), part(3), more)
+    return F.concat_ws(".", F.when(value.startswith("192.168.") & (attempt < 3), "192.168").when(private & value.startswith("172.") & (attempt < 3), F.concat(F.lit("172."), (_drawn(seed, F.lit(0), 16) + 16).cast("string"))).when(private & (attempt < 12), wide).otherwise(other), part(2), part(3), more)
 
 
 def _word(kind: Column, value: Column, seed: Column, attempt: Column) -> Column:
@@ -289,12 +301,24 @@ def surrogates(found: DataFrame, secret: str) -> DataFrame:
             return settled.select("kind", "canon", "surrogate")
 
 
+def settled_genders(hits: DataFrame) -> DataFrame:
+    """Name words after a title that shows no gender take the one that most other titles give the same word in the same
+    role anywhere in the corpus (female at ties); where none does, they stay without. So a person is one entity."""
+    role = F.substr("kind", F.lit(1), F.lit(1))
+    votes = hits.where(F.col("kind").rlike("^[gs][fm]$")).groupBy(role.alias("_role"), F.col("canon").alias("_canon"), "kind").count()
+    won = votes.groupBy("_role", "_canon").agg(F.max_by("kind", F.struct(F.col("count"), (F.col("kind").endswith("f")).alias("f"))).alias("_kind"))
+    known = F.col("kind").isNull() | ~F.col("kind").rlike("^[gs]n$")
+    asked = hits.where(~known).join(won, (role == F.col("_role")) & (F.col("canon") == F.col("_canon")), "left")
+    return hits.where(known).unionByName(asked.withColumn("kind", F.coalesce("_kind", "kind")).select(*hits.columns))
+
+
 def replace(docs: DataFrame, secret: str, found: str = "n_pii") -> DataFrame:
     """docs with the entities of text replaced; their number in each text is added as the column `found`. All else stays
     as it is.
 
     secret is the key: whoever has it can compute the surrogates, so it has no default and an empty one is refused.
-    Bare words of a name that stands with a title in the same text are replaced alike. A null text stays null and an
+    Bare words of a name that stands with a title in the same text are replaced alike; particles and initials of a name
+    stay. A name after a title without gender is that of the same name with one, in whatever document. A null text stays null and an
     empty one empty, with 0 found; a text without entities is unchanged. Repeated rows stay, each replaced alike. A
     column of docs of that name is overwritten. Texts without entities aren't shuffled; the entities of a text are
     rows of their own until they are joined back, so that a text may hold any number of them.
@@ -309,7 +333,7 @@ def replace(docs: DataFrame, secret: str, found: str = "n_pii") -> DataFrame:
     scanned = materialize(scanned.select(*[text.alias(c) if c == "text" else F.col(c) for c in columns], parts, F.monotonically_increasing_id().alias(row)), "scanned")
     has = F.col(parts).isNotNull()
     hits = scanned.where(has).select(F.col(row).alias("row"), F.posexplode(parts).alias("at", "part")).where("part.kind is not null").select("row", "at", "part.kind", "part.value", canon(F.col("part.kind"), F.col("part.value")).alias("canon"))
-    hits = materialize(hits, "hits")
+    hits = materialize(settled_genders(hits), "hits")
     made = surrogates(hits.select("kind", "canon"), secret)
     put = hits.join(made, ["kind", "canon"]).select("row", "at", shown(F.col("kind"), F.col("value"), F.col("surrogate")).alias("new"))
     put = put.groupBy(F.col("row").alias(row)).agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias(new))

@@ -8,6 +8,7 @@ by a 64-bit hash: equal texts share an entry, and a collision costs a vain verif
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -63,20 +64,41 @@ def candidates(index: DataFrame, rules: dict[str, frozenset[frozenset[str]]]) ->
     return met.groupBy("key").agg(F.collect_set("rule").alias("rules"))
 
 
+#: Matches whose places are added up in one array; longer lists are worked on in such chunks.
+CHUNK = 512
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def spans_of(text: Column, rule: Rule, number: int) -> Column:
-    """Spans (start, number, end, name) by code points of a rule's matches, leftmost first, without overlaps."""
+    """Spans (start, number, end, name) by code points of a rule's matches, leftmost first, without overlaps.
+
+    The text is walked as gaps and hits, whose lengths add up to places: first chunk by chunk, then within each chunk,
+    so that a text of very many hits takes time by their number and not by its square.
+    """
     walk = rf"(?s)(.*?)(?:({rule.pattern})|\z)"
     gaps, hits = (F.regexp_extract_all(text, F.lit(walk), F.lit(k)) for k in (1, 2))
-    sized = F.zip_with(gaps, hits, lambda g, h: F.struct(F.char_length(g).cast("long").alias("gap"), F.char_length(h).cast("long").alias("own"), (F.char_length(F.regexp_extract(h, rule.pattern, rule.group)) >= rule.least).alias("right")))
-    empty = F.lit(None).cast("array<struct<start:long,number:int,end:long,name:string>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.coalesce(empty, F.array().cast("array<struct<start:long,number:int,end:long,name:string>>")).alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["gap"]
+    long = lambda x: F.char_length(x).cast("long")
+    sized = F.zip_with(gaps, hits, lambda g, h: F.struct(long(g).alias("gap"), long(h).alias("own"), (F.char_length(F.regexp_extract(h, rule.pattern, rule.group)) >= rule.least).alias("right")))
+    none = F.array().cast("array<struct<start:long,number:int,end:long,name:string>>")
+    state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
+    zero = F.lit(0).cast("long")
+
+    def step(held: Column, x: Column) -> Column:
+        begin = held["at"] + x["gap"]
         span = F.struct(begin.alias("start"), F.lit(number).alias("number"), (begin + x["own"]).alias("end"), F.lit(rule.name).alias("name"))
-        return F.struct((begin + x["own"]).alias("at"), F.when((x["own"] > 0) & x["right"], F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+        return state(begin + x["own"], F.when((x["own"] > 0) & x["right"], F.concat(held["out"], F.array(span))).otherwise(held["out"]))
+
+    def spans(chunks: Column) -> Column:
+        lengths = F.transform(chunks, lambda c: F.aggregate(c, zero, lambda a, x: a + x["gap"] + x["own"]))
+        starts = F.aggregate(lengths, state(zero, F.array().cast("array<bigint>")), lambda held, n: state(held["at"] + n, F.concat(held["out"], F.array(held["at"]))), lambda held: held["out"])
+        return F.flatten(F.zip_with(chunks, starts, lambda c, at: F.aggregate(c, state(at, none), step, lambda held: held["out"])))
 
-    return F.aggregate(sized, start, step, lambda s: s["out"])
+    chunked = lambda z: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(z) - 1, F.lit(0)) / CHUNK).cast("int")), lambda k: F.slice(z, k * CHUNK + 1, F.lit(CHUNK)))
+    return _let(sized, lambda z: _let(chunked(z), spans))
 
 
 def scan(docs: DataFrame, base: list[Rule] = BASE, more: list[Rule] = MORE) -> DataFrame:
