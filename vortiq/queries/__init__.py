@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boundary, dynamics, fields, flow, handoff, oracles, relational, sections, studies
+from . import boundary, dynamics, fields, flow, handoff, joint, oracles, relational, sections, studies
 
-PARTS = (flow, relational, boundary, fields, dynamics, sections, studies, handoff)
+PARTS = (flow, relational, boundary, fields, dynamics, sections, studies, handoff, joint)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
