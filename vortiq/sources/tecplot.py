@@ -14,8 +14,8 @@ def read_frames(spark: SparkSession, path: str, pattern: str = "*.dat") -> DataF
 
 
 def frame_number(path: Column) -> Column:
-    """The digits before the extension, 0 in B0000.dat."""
-    return F.regexp_extract(path, r"(\d+)\.[^./]*$", 1).cast("long")
+    """The digits before the extension, 0 in B0000.dat; NULL where there are none."""
+    return F.regexp_extract(path, r"(\d+)\.[^./]*$", 1).try_cast("long")
 
 
 def parse(files: DataFrame, columns: int) -> DataFrame:
