@@ -49,6 +49,52 @@ def smooth_series(series: DataFrame, key: str, p: float, polluted: tuple[float,
     return series.select(key, "x", "y").groupBy(key).applyInPandas(run, f"`{key}` {kind}, x double, y double, smooth double, slope double")
 
 
+def between(x: np.ndarray, knots: np.ndarray, values: np.ndarray, slopes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and slopes at x of the piecewise cubic with the given values and slopes at its knots."""
+    k = np.clip(np.searchsorted(knots, x, "right") - 1, 0, len(knots) - 2)
+    h = knots[k + 1] - knots[k]
+    t, rise = (x - knots[k]) / h, (values[k + 1] - values[k]) / h
+    c, d = 3 * rise - 2 * slopes[k] - slopes[k + 1], slopes[k] + slopes[k + 1] - 2 * rise
+    return values[k] + h * t * (slopes[k] + t * (c + t * d)), slopes[k] + t * (2 * c + 3 * t * d)
+
+
+def edge_velocity_spline(series: DataFrame, key: str, p: float) -> DataFrame:
+    """Edge velocities along x (key, x, u_edge) with raw, smooth, slope and interpolated.
+
+    Values that are missing or not above zero don't count. The first and the last station that do count are left out,
+    with all beyond them: raw, smooth and slope are NULL there. Between, one smoothing spline runs through what is left,
+    and gives values at stations without one too (interpolated). Fewer than three stations, or fewer than two to fit,
+    or a spline that isn't above zero everywhere, are errors. A series is a case's columns, some hundreds of numbers.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("x").reset_index(drop=True)
+        x, u = group.x.to_numpy(float), group.u_edge.to_numpy(float)
+        if not np.isfinite(x).all() or (np.diff(x) <= 0).any():
+            raise ValueError("places must be finite and unlike each other")
+        ok = np.isfinite(u) & (u > 0)
+        at = np.flatnonzero(ok)
+        if len(at) < 3 or at[-1] - at[0] < 2:
+            raise ValueError("three stations with an edge velocity are needed")
+        fit = at[1:-1]
+        if len(fit) < 2:
+            raise ValueError("fewer than two stations are left to fit")
+        inside = np.arange(fit[0], fit[-1] + 1)
+        smooth, slope = (np.full(len(x), np.nan) for _ in range(2))
+        smooth[inside], slope[inside] = between(x[inside], x[fit], *spline(x[fit], u[fit], p))
+        if not (smooth[inside] > 0).all():
+            raise ValueError("the spline is not above zero everywhere")
+        raw = np.where(ok, u, np.nan)
+        raw[: at[0] + 1] = raw[at[-1] :] = np.nan
+        null = lambda v: pd.Series(v).astype(object).where(np.isfinite(v), None)
+        filled = np.zeros(len(x), bool)
+        filled[inside] = ~ok[inside]
+        return group[[key, "x"]].assign(raw=null(raw), smooth=null(smooth), slope=null(slope), interpolated=filled)
+
+    kind = series.schema[key].dataType.simpleString()
+    return series.select(key, "x", "u_edge").groupBy(key).applyInPandas(run, f"`{key}` {kind}, x double, raw double, smooth double, slope double, interpolated boolean")
+
+
 def simplex(f, start: np.ndarray, rounds: int = 2000, tolerance: float = 1e-8) -> np.ndarray:
     """Nelder and Mead's downhill simplex."""
     points = [start] + [start + (0.05 * start[k] if start[k] else 0.00025) * np.eye(len(start))[k] for k in range(len(start))]

@@ -7,9 +7,9 @@ from dataclasses import replace
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import compare, statistics, structures
+from ..operators import boundary, catalog, compare, statistics, structures, wall
 from ..plans.catalog_run import Place, run_catalog
-from ..plans.views import BOXES, SMP, final, piv, rounded
+from ..plans.views import BOXES, SMP, boxes, final, flow, piv, rounded
 from ..sources.shared import written
 from .fields import DELTA, DOMAIN, SHAPE, WEAK, X, Y, packed
 from .oracles import HELD, held, recursive, regions
@@ -76,6 +76,27 @@ ev AS (SELECT repeat_id, frame_from, frame_to, node_from, node_to, CASE WHEN o =
  UNION ALL SELECT n.repeat_id, frame_id-1, frame_id, NULL, node, 'birth', NULL FROM nd n JOIN en ON n.repeat_id = en.repeat_id WHERE frame_id > f0 AND node NOT IN (SELECT node_to FROM lk)),
 wa AS (SELECT *, y_min_mm/4 < 0.3 AS att FROM gt)"""
 
+def edges(s, d):
+    """Edge velocities of all columns, one in five of them missing, through a smoothing spline."""
+    own = boundary.edge_velocity(flow(s, d).select("i", "j", F.col("u_mean").alias("u")), ["i"])
+    return wall.edge_velocity_spline(own.select(F.lit(1).alias("k"), (2.0 * F.col("i")).alias("x"), F.when(F.col("i") % 5 != 0, F.col("u_edge")).alias("u_edge")), "k", 0.9)
+
+
+def settled(s, d):
+    """Rows of structures along which the median length hardly changes, by quartiles."""
+    own = boxes(s, d).groupBy(F.col("row_min").alias("k")).agg(F.percentile("lx_over_delta", F.lit(0.5)).alias("median"), F.percentile("lx_over_delta", F.lit(0.25)).alias("low"), F.percentile("lx_over_delta", F.lit(0.75)).alias("high"))
+    return catalog.plateaus(own, 0.05, 2)
+
+
+def smeared(s, d):
+    """Blur with missing values as zeros."""
+    return structures.blurred(packed(s, d), SHAPE, (1.0, 1.5), (3, 5), "zero", by_mask=False).select("repeat_id", "frame_id", F.posexplode("u").alias("k", "u"))
+
+
+#: Weights of a window of 3 rows and 5 columns, all of them.
+WHOLE = "((1+2*exp(-0.5))*(1+2*exp(-1/4.5)+2*exp(-4/4.5)))"
+LEVELS = f"{BOXES}, ks AS (SELECT row_min AS k, quantile_cont(lx_over_delta, 0.5) AS m, quantile_cont(lx_over_delta, 0.25) AS lo, quantile_cont(lx_over_delta, 0.75) AS hi FROM boxes GROUP BY row_min), nx AS (SELECT *, coalesce(lo <= lead(hi) OVER w AND lead(lo) OVER w <= hi AND coalesce(abs(lead(m) OVER w-m)/nullif(greatest(abs(m), abs(lead(m) OVER w)), 0), 0) <= 0.05, false) AS linked FROM ks WINDOW w AS (ORDER BY k)), rn AS (SELECT *, sum(CASE WHEN was THEN 0 ELSE 1 END) OVER (ORDER BY k) AS run FROM (SELECT *, coalesce(lag(linked) OVER (ORDER BY k), false) AS was FROM nx) q)"
+
 AUDIT = "frame_id box_id sign pixels share_alpha~ share_floor~ share_sign~ without_alpha~ without_floor~ without_sign~ share_all~ binding"
 QUERIES = {
     "run_frames": (lambda s, d: run(s, d, "frames"), recursive(FOLLOWED, "SELECT r.frame_id, count(structure_id) AS n, count(*) FILTER (is_lsm) AS lsm, count(*) FILTER (is_vlsm) AS vlsm, count(*) FILTER (att) AS attached FROM reps r LEFT JOIN wa ON wa.frame_id = r.frame_id GROUP BY r.frame_id", "frame_id n lsm vlsm attached")),
@@ -85,6 +106,9 @@ QUERIES = {
     "run_lifetimes": (lambda s, d: rounded(run(s, d, "lifetimes")), None),
     "paired_catalogs": (lambda s, d: rounded(both(s, d)), recursive(TWO, "SELECT repeat_id, pr.* FROM pr JOIN reps ON reps.frame_id = pr.frame_id", "repeat_id frame_id sign before after kind shared overlap~")),
     "paired_summary": (lambda s, d: rounded(compare.pair_summary(both(s, d))), recursive(TWO, "SELECT sign, kind, count(*) AS n, count(DISTINCT frame_id) AS frames, CAST(sum(shared) AS BIGINT) AS shared, avg(overlap) AS overlap FROM pr GROUP BY sign, kind", "sign kind n frames shared overlap~")),
+    "edge_velocity_spline": (lambda s, d: rounded(edges(s, d)), None),
+    "plateau_runs": (lambda s, d: settled(s, d), final(LEVELS, 'SELECT min(k) AS "first", max(k) AS "last", count(*) AS length FROM rn GROUP BY run HAVING count(*) >= 2', '"first" "last" length')),
+    "gaussian_zero_filled": (lambda s, d: rounded(smeared(s, d)), final(SMP, f"SELECT a.repeat_id, a.frame_id, CAST((a.j-1)*8+a.i-1 AS INTEGER) AS k, CASE WHEN max(CASE WHEN a.j = b.j AND a.i = b.i THEN b.u END) IS NOT NULL THEN sum(coalesce(b.u, 0)*exp(-pow(a.j-b.j, 2)/2)*exp(-pow(a.i-b.i, 2)/4.5))/{WHOLE} END AS u FROM smp a JOIN smp b ON a.frame_id = b.frame_id AND abs(a.j-b.j) <= 1 AND abs(a.i-b.i) <= 2 GROUP BY a.repeat_id, a.frame_id, a.j, a.i", "repeat_id frame_id k u~")),
     "gate_audit": (lambda s, d: rounded(audit(s, d, compare.gate_audit)), final(WINDOWED, "SELECT *, CASE WHEN greatest(without_alpha, without_floor, without_sign) <= share_all THEN NULL WHEN without_alpha >= greatest(without_floor, without_sign) THEN 'alpha' WHEN without_floor >= without_sign THEN 'floor' ELSE 'sign' END AS binding FROM ga", AUDIT)),
     "gate_rows": (lambda s, d: audit(s, d, compare.gate_rows), final(WINDOWED, "SELECT *, CASE WHEN greatest(only_alpha, only_floor, only_sign) = 0 THEN NULL WHEN only_alpha >= greatest(only_floor, only_sign) THEN 'alpha' WHEN only_floor >= only_sign THEN 'floor' ELSE 'sign' END AS binding FROM gr", "j pixels passed only_alpha only_floor only_sign binding")),
 }
