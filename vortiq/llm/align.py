@@ -24,7 +24,7 @@ from .common import materialize
 from .packing import byte_letters, encoding
 
 #: Bytes of text in a block; one text at least.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: What links two tokens: a common end, a common byte, or a common group.
 RELATIONS = ("end", "overlap", "group")
 
