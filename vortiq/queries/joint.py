@@ -97,13 +97,19 @@ def smeared(s, d):
 WHOLE = "((1+2*exp(-0.5))*(1+2*exp(-1/4.5)+2*exp(-4/4.5)))"
 LEVELS = f"{BOXES}, ks AS (SELECT row_min AS k, quantile_cont(lx_over_delta, 0.5) AS m, quantile_cont(lx_over_delta, 0.25) AS lo, quantile_cont(lx_over_delta, 0.75) AS hi FROM boxes GROUP BY row_min), nx AS (SELECT *, coalesce(lo <= lead(hi) OVER w AND lead(lo) OVER w <= hi AND coalesce(abs(lead(m) OVER w-m)/nullif(greatest(abs(m), abs(lead(m) OVER w)), 0), 0) <= 0.05, false) AS linked FROM ks WINDOW w AS (ORDER BY k)), rn AS (SELECT *, sum(CASE WHEN was THEN 0 ELSE 1 END) OVER (ORDER BY k) AS run FROM (SELECT *, coalesce(lag(linked) OVER (ORDER BY k), false) AS was FROM nx) q)"
 
+#: Tracks along continuations, and what may have cut them short.
+LIVED = f"""{FOLLOWED}, chain AS (SELECT node, node AS track FROM nd WHERE node NOT IN (SELECT node_to FROM ev WHERE event = 'continuation') UNION ALL SELECT e.node_to, c.track FROM chain c JOIN ev e ON e.event = 'continuation' AND e.node_from = c.node),
+nb AS (SELECT node, min(i) <= 1 OR max(i) >= 8 AS rim FROM np GROUP BY node),
+tk AS (SELECT c.track, nd.repeat_id, min(nd.frame_id) AS f, max(nd.frame_id) AS l, count(DISTINCT nd.frame_id) AS n, bool_or(rim) AS rim, count(*) FILTER (c.node IN (SELECT node_from FROM ev WHERE event = 'split')) AS sp, count(*) FILTER (c.node IN (SELECT node_to FROM ev WHERE event = 'merge')) AS mg FROM chain c JOIN nd ON nd.node = c.node JOIN nb ON nb.node = c.node GROUP BY 1, 2),
+tw AS (SELECT tk.*, NOT rim AND f <> f0 AND l <> f1 AS free FROM tk JOIN en ON en.repeat_id = tk.repeat_id)"""
+
 AUDIT = "frame_id box_id sign pixels share_alpha~ share_floor~ share_sign~ without_alpha~ without_floor~ without_sign~ share_all~ binding"
 QUERIES = {
     "run_frames": (lambda s, d: run(s, d, "frames"), recursive(FOLLOWED, "SELECT r.frame_id, count(structure_id) AS n, count(*) FILTER (is_lsm) AS lsm, count(*) FILTER (is_vlsm) AS vlsm, count(*) FILTER (att) AS attached FROM reps r LEFT JOIN wa ON wa.frame_id = r.frame_id GROUP BY r.frame_id", "frame_id n lsm vlsm attached")),
     "run_attached": (lambda s, d: rounded(run(s, d, "attached")), recursive(FOLLOWED, "SELECT count(*) AS n, count(*) FILTER (att) AS attached, count(*) FILTER (att)/CAST(count(*) AS DOUBLE) AS share, sum(CASE WHEN att THEN area_mm2 ELSE 0 END)/sum(area_mm2) AS area_share FROM wa", "n attached share~ area_share~")),
     "run_superstructure": (lambda s, d: rounded(run(s, d, "superstructure")), None),
     "run_events": (lambda s, d: rounded(run(s, d, "events")), recursive(FOLLOWED, "SELECT * FROM ev", "repeat_id frame_from frame_to node_from node_to event overlap~")),
-    "run_lifetimes": (lambda s, d: rounded(run(s, d, "lifetimes")), None),
+    "run_lifetimes": (lambda s, d: rounded(run(s, d, "lifetimes")), recursive(LIVED, "SELECT count(*) AS tracks, count(*) FILTER (free) AS uncensored, avg(n) AS mean_lifetime, avg(n) FILTER (free) AS mean_uncensored, median(n) AS median_lifetime, max(n) AS max_lifetime, CAST(sum(sp) AS BIGINT) AS splits, CAST(sum(mg) AS BIGINT) AS merges FROM tw", "tracks uncensored mean_lifetime~ mean_uncensored~ median_lifetime~ max_lifetime splits merges")),
     "paired_catalogs": (lambda s, d: rounded(both(s, d)), recursive(TWO, "SELECT repeat_id, pr.* FROM pr JOIN reps ON reps.frame_id = pr.frame_id", "repeat_id frame_id sign before after kind shared overlap~")),
     "paired_summary": (lambda s, d: rounded(compare.pair_summary(both(s, d))), recursive(TWO, "SELECT sign, kind, count(*) AS n, count(DISTINCT frame_id) AS frames, CAST(sum(shared) AS BIGINT) AS shared, avg(overlap) AS overlap FROM pr GROUP BY sign, kind", "sign kind n frames shared overlap~")),
     "edge_velocity_spline": (lambda s, d: rounded(edges(s, d)), None),
