@@ -1,8 +1,8 @@
 """Audit of how far the sources of a language drift apart in their terms, with wide term vectors.
 
-Terms are counted in the tasks that read the texts, by (lang, source, term), and summed. Each kept term then becomes one row with an array indexed by
-the language's sources; higher-order functions turn that array into shares and into the contributions of all pairs of
-sources, which are summed map-side again. Nothing is joined source with source.
+Terms are counted in the tasks that read the texts, by (lang, source, term), and summed. Each kept term then becomes
+one row with an array indexed by the language's sources; higher-order functions turn that array into shares and into
+the contributions of all pairs of sources, which are summed map-side again. Nothing is joined source with source.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 UNIT, ADDED = 1_000_000_000, 5
 #: Bytes of UTF-8 to themselves, A-Z to a-z, and those between terms to a space.
 TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-#: Distinct terms that a task counts before it hands them on.
+#: Distinct terms and groups that a task counts before it hands them on.
 HELD = 300_000
 
 
@@ -58,7 +58,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 rows.update(set(words))
                 del times[b""], rows[b""]
                 held += len(rows)
-                if held > HELD:
+                if held + len(found) > HELD:
                     yield from told()
                     held = 0
         yield from told()
