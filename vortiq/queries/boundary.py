@@ -89,6 +89,6 @@ QUERIES = {
     "moving_mean": (lambda s, d: rounded(B.moving_mean(log_profile(s, d), "x", "y")), final(f"{FLOW}, lp AS (SELECT ln(j*{H}) AS x, avg(u_mean) AS y FROM flow GROUP BY j)", "SELECT x, y, avg(y) OVER (ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS smooth FROM lp", "x~ y~ smooth~")),
     "coherent_energy": (lambda s, d: rounded(energies(s, d)), final(f"{FLOW}, e AS (SELECT i, j*{H} AS y, 26.0-u_mean AS e FROM flow), p AS (SELECT i, y, coalesce((e+lag(e) OVER w)/2*(y-lag(y) OVER w), 0) AS a FROM e WINDOW w AS (PARTITION BY i ORDER BY y)), c AS (SELECT i, y, sum(a) OVER (PARTITION BY i ORDER BY y) AS c, sum(a) OVER (PARTITION BY i) AS t FROM p)", "SELECT i, max(t) AS energy, min(CASE WHEN c >= 0.9*t THEN y END) AS height FROM c GROUP BY i", "i energy~ height~")),
     "chart_curves": (lambda s, d: rounded(B.chart_curves(chart(s, d), 3)), final(FLOW, "SELECT CAST(2 AS INTEGER) AS number, CAST(j AS DOUBLE) AS x, avg(u_mean) AS u FROM flow WHERE i % 3 = 1 GROUP BY j UNION ALL SELECT 1, j*1.5, avg(u_mean) FROM flow WHERE i % 3 = 2 AND j <= 12 GROUP BY j UNION ALL SELECT 0, j*2.0, avg(u_mean) FROM flow WHERE i % 3 = 0 GROUP BY j", "number x~ u~")),
-    "chart_value": (lambda s, d: rounded(B.chart_value(B.chart_curves(chart(s, d), 3), 0.25, s.createDataFrame([(3.3,), (10.0,), (17.25,)], "x double"))), final(f"{FLOW}, cv AS (SELECT 1 AS n, j*1.5 AS x, u_mean AS u FROM flow WHERE i = 2 AND j <= 12 UNION ALL SELECT 0, j*2.0, u_mean FROM flow WHERE i = 3), sp AS (SELECT n, x AS x0, u AS u0, lead(x) OVER (PARTITION BY n ORDER BY x) AS x1, lead(u) OVER (PARTITION BY n ORDER BY x) AS u1 FROM cv)", "SELECT q AS x, sum((u0+(u1-u0)*(q-x0)/(x1-x0))*CASE WHEN n = 0 THEN 0.75 ELSE 0.25 END) AS u FROM sp, (VALUES (3.3),(10.0),(17.25)) v(q) WHERE q > x0 AND q <= x1 GROUP BY q", "x~ u~")),
+    "chart_value": (lambda s, d: rounded(B.chart_value(B.chart_curves(chart(s, d), 3), 0.25, s.createDataFrame([(3.3,), (10.0,), (17.25,)], "x double"))), final(f"{FLOW}, cv AS (SELECT 1 AS n, j*1.5 AS x, avg(u_mean) AS u FROM flow WHERE i % 3 = 2 AND j <= 12 GROUP BY j UNION ALL SELECT 0, j*2.0, avg(u_mean) FROM flow WHERE i % 3 = 0 GROUP BY j), sp AS (SELECT n, x AS x0, u AS u0, lead(x) OVER (PARTITION BY n ORDER BY x) AS x1, lead(u) OVER (PARTITION BY n ORDER BY x) AS u1 FROM cv)", "SELECT q AS x, sum((u0+(u1-u0)*(q-x0)/(x1-x0))*CASE WHEN n = 0 THEN 0.75 ELSE 0.25 END) AS u FROM sp, (VALUES (3.3),(10.0),(17.25)) v(q) WHERE q > x0 AND q <= x1 GROUP BY q", "x~ u~")),
     "percentile_hazen": (lambda s, d: rounded(hazen(flow(s, d), ["i"], "u_mean", {"low": 0.02, "high": 0.98})), final(FLOW, hazen_sql("SELECT * FROM flow", "i", "u_mean", {"low": 0.02, "high": 0.98}), "i low~ high~")),
 }
