@@ -109,9 +109,10 @@ def _sorted(lam: np.ndarray, amplitude: np.ndarray, vectors: np.ndarray, bad: np
     hertz = table["frequency"].abs()
     table["harmonic"] = np.round(hertz / f0) if f0 else np.nan
     table["mismatch"] = (hertz - table["harmonic"] * f0).abs() if f0 else np.nan
-    table = table.sort_values(["amplitude", "frequency"], ascending=[False, True])
-    order = table.index.to_numpy()
-    return Dynamics(table.reset_index(drop=True), vectors[:, order], dof, ids, task_bytes)
+    # amplitudes that differ by rounding alone, as those of conjugate pairs do, go by frequency
+    level = (table["amplitude"] / max(table["amplitude"].max(), 1e-300)).round(9)
+    order = table.assign(_level=level).sort_values(["_level", "frequency"], ascending=[False, True]).index.to_numpy()
+    return Dynamics(table.loc[order].reset_index(drop=True), vectors[:, order], dof, ids, task_bytes)
 
 
 def spectrum(rows: DataFrame, rank: int, dt: float, side: str | None = None, task_bytes: int = 1 << 30) -> pd.DataFrame:
