@@ -48,6 +48,11 @@ def first_optimum(score: np.ndarray, allowed: np.ndarray) -> list[tuple[int, int
     """Of all one-to-one choices of allowed pairs with the greatest total score, the one that comes first: going through
     the rows in order, a row left free comes before a pair, and a smaller column before a larger one."""
     n, m = score.shape
+    if min(n, m) == 1:
+        # one pair at most: of the best, the first column of the only row, or the last row of the only column
+        best = np.where(allowed, score, 0).max()
+        good = np.argwhere(allowed & (score >= best - TIE))
+        return [tuple(map(int, good[0] if n == 1 else good[-1]))] if best > TIE else []
     # each row may be free (its own column behind the others), and each column too (rows behind the others)
     cost = np.full((n + m, n + m), FORBIDDEN)
     cost[:n, :m][allowed] = -score[allowed]
