@@ -195,11 +195,16 @@ def percolation(components: DataFrame, keys: list[str], valid_pixels: int) -> Da
 def geometry_metrics(catalog: DataFrame, keys: list[str], valid_pixels: int) -> DataFrame:
     """By keys: mean, median and 90th percentile area, 95th percentile aspect, share of the largest tenth in the area,
     small ones, large ones and density."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("area_mm2"), "component_id")
-    rows = catalog.withColumn("_place", F.row_number().over(order)).withColumn("_n", F.count("area_mm2").over(Window.partitionBy(*keys)))
-    tail = F.col("_place") <= F.greatest(F.lit(1), F.round(F.col("_n") * 0.1))
+    # equal areas are counted first, so that the window over a group holds distinct areas, not structures
+    order = Window.partitionBy(*keys).orderBy(F.desc("area_mm2")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = catalog.where("area_mm2 is not null").groupBy(*keys, "area_mm2").agg(F.count(F.lit(1)).alias("_c"))
+    sizes = sizes.withColumn("_upto", F.sum("_c").over(order)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+    most = F.greatest(F.lit(1), F.round(F.col("_n") * 0.1))
+    within = F.greatest(F.lit(0), F.least(F.col("_c"), most - F.col("_upto") + F.col("_c")))
+    tails = sizes.groupBy(*keys).agg(F.sum(within * F.col("area_mm2")).alias("_tail"))
     n = F.count(F.lit(1))
-    got = rows.groupBy(*keys).agg(n.alias("n"), F.avg("area_mm2").alias("mean_area"), F.sum("area_mm2").alias("total_area"), F.avg("aspect").alias("mean_aspect"), ratio(F.count(F.when(F.col("pixel_count") <= 4, 1)), n).alias("small_share"), ratio(F.sum(F.when(tail, F.col("area_mm2")).otherwise(0.0)), F.sum("area_mm2")).alias("tail_share"), F.count(F.when(F.col("is_lsm"), 1)).alias("lsm"), F.count(F.when(F.col("is_vlsm"), 1)).alias("vlsm"), F.max("lx_over_delta").alias("max_length"), (n / F.lit(float(valid_pixels))).alias("density"))
+    got = catalog.groupBy(*keys).agg(n.alias("n"), F.avg("area_mm2").alias("mean_area"), F.sum("area_mm2").alias("total_area"), F.avg("aspect").alias("mean_aspect"), ratio(F.count(F.when(F.col("pixel_count") <= 4, 1)), n).alias("small_share"), F.count(F.when(F.col("is_lsm"), 1)).alias("lsm"), F.count(F.when(F.col("is_vlsm"), 1)).alias("vlsm"), F.max("lx_over_delta").alias("max_length"), (n / F.lit(float(valid_pixels))).alias("density"))
+    got = got.join(tails, keys, "left").select(*keys, "n", "mean_area", "total_area", "mean_aspect", "small_share", ratio("_tail", "total_area").alias("tail_share"), "lsm", "vlsm", "max_length", "density")
     areas = hazen(catalog, keys, "area_mm2", {"median_area": 0.5, "p90_area": 0.9})
     return got.join(areas, keys, "left").join(hazen(catalog, keys, "aspect", {"median_aspect": 0.5, "p95_aspect": 0.95}), keys, "left")
 

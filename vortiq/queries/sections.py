@@ -9,6 +9,7 @@ from ..operators import catalog as C
 from ..operators import domain, modal, phase, spectra, statistics, structures
 from ..plans import sections
 from ..plans.views import BOXES, GRID, PIV, SMP, boxes, final, grid, piv, rounded
+from ..sources.shared import written
 from .fields import DELTA, DOMAIN, HOW, SHAPE, WEAK, X, Y, packed
 from .flow import FEW, NINE, RANDOM, STATS, TRANSPORT, frames_of, phased
 
@@ -56,7 +57,9 @@ def sensitivity(s, d):
 
     sets = [replace(WEAK, alpha=a, seed_alpha=b, connectivity=c) for a in (0.6, 0.9) for b in (0.8, 1.4) if b >= a for c in (4, 8)]
     got = structures.hysteresis_sweep(packed(s, d), SHAPE, np.full(SHAPE, 0.12), DOMAIN, X, Y, DELTA, sets)
-    return C.geometry_metrics(got.withColumn("component_id", F.concat_ws("-", "frame_id", "structure_id")), ["set"], 32).drop("density")
+    # the metrics read the structures several times
+    own = written(got.select("set", "area_mm2", "aspect", "pixel_count", "is_lsm", "is_vlsm", "lx_over_delta"), "sweep")
+    return C.geometry_metrics(own, ["set"], 32).drop("density")
 
 
 def gap_scan(s, d):
