@@ -40,3 +40,33 @@ def test_few_and_many_columns_choose_alike():
             assert assignment.best_pairs(scores) == few
         finally:
             assignment.FEW = limit
+
+
+def test_structures_go_through_in_stacks(spark, monkeypatch):
+    import numpy as np
+
+    from vortiq.operators import structures
+
+    u = np.random.default_rng(4).standard_normal((40, 4, 8))
+    for connectivity in (4, 8):
+        marks = structures.label(u > 0.3, connectivity)
+        assert (marks == np.stack([structures.label(one > 0.3, connectivity) for one in u])).all()
+    how = structures.Hysteresis(alpha=0.4, seed_alpha=1.0, closing_radius=1, max_hole=2)
+    ones = np.ones((4, 8))
+    stack = structures.hysteresis_masks(u, ones, ones > 0, how)
+    for k, one in enumerate(u):
+        assert all((mask[k] == structures.hysteresis_masks(one, ones, ones > 0, how)[s]).all() for s, mask in stack.items())
+    # no batch holds the structures of all sets, whatever the number of frames
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * 5000), pa.array(range(5000)), pa.array([[0.0] * 32] * 5000)], names=["repeat_id", "frame_id", "u"])
+    parts = [part.num_rows for part, _ in structures.stacks(iter([batch]), (4, 8))]
+    assert sum(parts) == 5000 and max(parts) * 32 <= structures.STACK
+
+
+def test_largest_tenth_needs_no_order_of_all_structures(spark, sf):
+    from vortiq.operators import catalog
+    from vortiq.plans.views import boxes
+
+    got = catalog.geometry_metrics(boxes(spark, sf), ["sign"], 32)
+    assert "row_number" not in plan(got)
