@@ -136,7 +136,7 @@ def nearest(books: Codebooks, x: np.ndarray, codes: np.ndarray, gap: np.ndarray,
     return r[pick], score[pick]
 
 
-def search(embeddings: DataFrame, is_query: str, k: int = 20, measure: str = "inner", max_sample: int = 6000, row_block: int = 32768, query_block: int = 8192, rerank: int = 400) -> DataFrame:
+def search(embeddings: DataFrame, is_query: str, k: int = 20, measure: str = "inner", max_sample: int = 6000, row_block: int = 65536, query_block: int = 8192, rerank: int = 400) -> DataFrame:
     """The k nearest rows of every query row: query_id, rank, vec_id, score.
 
     is_query is a condition on vec_id. Rows without a usable vector take no part (see vectors.parted). Every distinct
@@ -167,8 +167,8 @@ def search(embeddings: DataFrame, is_query: str, k: int = 20, measure: str = "in
     share = min(1 << 20, -(-(max_sample << 20) // total))
     sample = vectors.where(F.pmod(F.xxhash64("head", "own"), F.lit(1 << 20)) < share).select("head", "own", "embedding").toArrow().sort_by([("head", "ascending"), ("own", "ascending")])
     books = fit(matrix(sample.column("embedding"), dim) if sample.num_rows else np.zeros((1, dim)))
-    # small tables are cut into more blocks of rows, as queries are few and cheap to repeat
-    row_blocks, query_blocks = -(-total // max(1, min(row_block, max(2048, total // 24)))), -(-asked // query_block)
+    # a query leaves its nearest in each block of rows, so these are large; smaller ones of queries share out the work
+    row_blocks, query_blocks = -(-total // row_block), -(-asked // min(query_block, max(512, asked // 8)))
     wide = k + repeats
     most = max(wide, -(-max(rerank, wide) // row_blocks))
     kind = precision(embeddings)
@@ -194,7 +194,7 @@ def search(embeddings: DataFrame, is_query: str, k: int = 20, measure: str = "in
         held = held.sort_by([("head", "ascending"), ("own", "ascending")])
         codes = np.frombuffer(b"".join(held.column("codes").to_pylist()), dtype=np.uint8).reshape(held.num_rows, -1)
         x, gap = matrix(held.column("embedding"), dim).astype(float), held.column("gap").to_numpy()
-        near = [nearest(books, x, codes, gap, matrix(queries.column("query").slice(at, 128), dim).astype(float), wide, most, measure) for at in range(0, queries.num_rows, 128)]
+        near = [nearest(books, x, codes, gap, matrix(queries.column("query").slice(at, 32), dim).astype(float), wide, most, measure) for at in range(0, queries.num_rows, 32)]
         rows, score = np.concatenate([n[0].ravel() for n in near]), np.concatenate([n[1].ravel() for n in near])
         asked_ = np.repeat(np.arange(queries.num_rows), min(wide, held.num_rows))
         own, who = held.select(["head", "own", "members"]).take(pa.array(rows)), queries.select(["q_head", "q_own"]).take(pa.array(asked_))
