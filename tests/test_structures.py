@@ -74,6 +74,13 @@ def test_hysteresis(spark):
     assert got.length_mm == 5 and got.lx_over_delta == 2.5 and got.is_lsm and not got.is_vlsm and got.centroid_x_mm == 3 and len(got.pixels) == 5
 
 
+def test_filled_pixels_alone_have_no_weighted_centre_but_a_mean_weight(spark):
+    # filled pixels can be left without the core that they were joined to
+    u, v = np.array([0.0, -0.1, 0.4]), np.zeros(3, int)
+    made = structures.geometry(u, 1, v, np.arange(3), np.array([0, 2]), np.array([2, 1]), np.arange(3.0), np.zeros(1), 1.0, 1.0, np.ones(3))
+    assert [c.tolist() for c in made[4:8]] == [[None, 2.0], [None, 0.0], [0.0, 0.4], [0.0, 0.4]]
+
+
 def test_blur_keeps_constants(spark):
     u = np.full((4, 6), 3.0)
     u[1, 1] = np.nan
