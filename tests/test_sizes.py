@@ -70,3 +70,33 @@ def test_largest_tenth_needs_no_order_of_all_structures(spark, sf):
 
     got = catalog.geometry_metrics(boxes(spark, sf), ["sign"], 32)
     assert "row_number" not in plan(got)
+
+
+def packed_regions(spark):
+    kind = "repeat_id int, frame_id long, sign int, structure_id long, x_min_mm double, x_max_mm double, y_min_mm double, y_max_mm double, pixels array<struct<x_mm: double, y_mm: double, delta_mm: double, u: double>>"
+    first = [(0.0, 0.0, 4.0, -1.0), (2.0, 0.0, 1.0, 3.0), (4.0, 1.5, 1.0, None), (4.0, 3.0, None, float("nan"))]
+    return spark.createDataFrame([(1, 1, 1, 1, 0.0, 6.0, 0.0, 3.0, first), (1, 1, 1, 2, 7.0, 9.0, 1.0, 2.0, [(8.0, 1.5, 6.0, 1.0)]), (1, 1, -1, 3, 0.0, 2.0, 0.0, 2.0, [(1.0, 1.0, None, None)]), (1, 2, 1, 4, 0.0, 2.0, 0.0, 2.0, [])], kind)
+
+
+def test_geometry_is_added_up_where_pixels_lie(spark, sf):
+    from vortiq.operators import structures
+
+    got = structures.structure_geometry(packed_regions(spark), ["structure_id"], 2.0, 1.5)
+    assert "Exchange" not in plan(got)
+    rows = {r.structure_id: r for r in got.collect()}
+    a, b = rows[1], rows[3]
+    assert sorted(rows) == [1, 2, 3]
+    assert (a.pixel_count, a.centroid_x_mm, a.centroid_y_mm, a.length_mm, a.height_mm, a.delta_mm, a.u_mean, a.peak, a.weighted_x_mm, a.weighted_y_mm, a.area_mm2, a.lx_over_delta) == (4, 2.5, 1.125, 6.0, 4.5, 1.0, 1.0, 3.0, 2.0, 0.0, 12.0, 6.0)
+    assert (b.pixel_count, b.delta_mm, b.u_mean, b.peak, b.weighted_x_mm, b.lx_over_delta) == (1, None, None, None, None, None)
+    assert "explode" not in plan(relational.geometry_table(spark, sf))
+
+
+def test_groups_are_measured_with_one_row_a_structure_dealt_once(spark, sf):
+    from vortiq.operators import structures
+    from vortiq.queries import handoff
+
+    rows = {r.group: r for r in structures.merged_geometry(packed_regions(spark), 1.0, 2.0, 1.5).collect()}
+    a = rows[1]
+    assert sorted(rows) == [1, 3]
+    assert (a.members, a.pixel_count, a.length_mm, a.height_mm, a.delta_mm, a.u_mean, a.weighted_x_mm, a.is_vlsm) == (2, 5, 10.0, 4.5, 2.5, 1.0, 3.5, True)
+    assert plan(handoff.merged(spark, sf)).count("hashpartitioning") == 1

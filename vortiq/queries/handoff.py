@@ -11,6 +11,7 @@ from . import flow
 from .dynamics import FS
 from .fields import DELTA, DOMAIN, SHAPE, X, Y
 from .oracles import MERGED, WELCH, recursive
+from .relational import box_pixels
 
 HEIGHTS = [0.4, 3.0, 3.25, 50.0]
 
@@ -39,10 +40,8 @@ def joint_rank(s, d):
 
 
 def merged(s, d):
-    own = boxes(s, d).select(F.lit(1).alias("repeat_id"), "frame_id", "sign", F.col("component_id").alias("structure_id"), "x_min_mm", "x_max_mm", "y_min_mm", "y_max_mm", "col_min", "col_max", "row_min", "row_max")
-    px = own.select("repeat_id", "frame_id", "sign", "structure_id", F.explode(F.sequence("col_min", "col_max")).alias("i"), "row_min", "row_max").withColumn("j", F.explode(F.sequence("row_min", "row_max")))
-    px = px.select("repeat_id", "frame_id", "sign", "structure_id", (F.col("i") * 2.0).alias("x_mm"), (F.col("j") * 1.5).alias("y_mm"), (10.0 + F.col("i")).alias("delta_mm"), (F.col("i") - F.col("j") - 10.0).alias("u"))
-    return structures.merged_geometry(structures.merge_streamwise(own, 4.0), px, 2.0, 1.5)
+    own = boxes(s, d).select(F.lit(1).alias("repeat_id"), "frame_id", "sign", F.col("component_id").alias("structure_id"), "x_min_mm", "x_max_mm", "y_min_mm", "y_max_mm", box_pixels().alias("pixels"))
+    return structures.merged_geometry(own, 4.0, 2.0, 1.5)
 
 
 def bins(s, d):
