@@ -29,6 +29,12 @@ def test_pairs_are_assigned_once(spark, sf):
     assert "MapInArrow" not in plan(studies.rounds(spark, sf))
 
 
+def test_what_is_not_scored_stays_out_of_the_choice(spark, sf):
+    for df in (relational.scored(spark, sf), relational.QUERIES["assign_pairs"][0](spark, sf)):
+        lists = [line for line in plan(df).splitlines() if "collect_list(struct(" in line]
+        assert lists and not any(name in line for line in lists for name in ("box_iou", "length_error", "position_match"))
+
+
 def test_few_and_many_columns_choose_alike():
     draw = random.Random(5)
     for _ in range(150):
