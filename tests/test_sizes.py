@@ -35,6 +35,20 @@ def test_what_is_not_scored_stays_out_of_the_choice(spark, sf):
         assert lists and not any(name in line for line in lists for name in ("box_iou", "length_error", "position_match"))
 
 
+def test_one_row_or_column_is_settled_without_a_search(monkeypatch):
+    draw = random.Random(8)
+    for _ in range(200):
+        n, level = draw.randint(1, 6), [0.0, 1e-10, 0.25, 0.5, 0.5 + 1e-10, draw.random()]
+        row = {(4, b): draw.choice(level) for b in range(n)}
+        column = {(a, 4): draw.choice(level) for a in range(n)}
+        first = assignment.first_of_few([[(b, row[4, b]) for b in range(n)]])[0]
+        last = assignment.first_of_few([[(0, column[a, 4])] for a in range(n)])
+        with monkeypatch.context() as m:
+            m.setattr(assignment, "first_of_few", None)
+            assert assignment.best_pairs(row) == ({(4, first)} if first >= 0 else set())
+            assert assignment.best_pairs(column) == {(a, 4) for a, c in enumerate(last) if c == 0}
+
+
 def test_few_and_many_columns_choose_alike():
     draw = random.Random(5)
     for _ in range(150):
