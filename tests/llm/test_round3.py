@@ -105,6 +105,31 @@ def test_alignment_by_small_blocks(spark, sf):
         align.digest(docs, JSON, public_tokenizers.PATTERN, MODEL, "start")
 
 
+def test_alignment_rows_stay_small(spark):
+    """2,000 texts in one block: no row that is written grows with the block."""
+    df = spark.createDataFrame([(k, f"text {k} says {k * 7} and {k % 13} more words") for k in range(2000)], "doc_id long, text string").coalesce(1)
+    blocks = align.aligned_blocks(df, (JSON, public_tokenizers.PATTERN, MODEL), "end")
+    assert blocks.select("block").distinct().count() == 1
+    assert blocks.select(F.max(F.length(F.to_json(F.struct("*"))))).first()[0] < 1000
+
+
+def test_alignment_of_blocks_with_many_pairs(spark, monkeypatch):
+    """Over 65,536 distinct id pairs in one block take wider numbers; smaller blocks of the same texts give the same sums."""
+    b = libraries()[1]
+    pieces = np.random.default_rng(3).choice([b.id_to_piece(i).replace("▁", " ") for i in range(b.get_piece_size()) if not b.is_byte(i) and not b.is_control(i) and not b.is_unknown(i)], (900, 200))
+    df = spark.createDataFrame([(k, "".join(x)) for k, x in enumerate(pieces)], "doc_id long, text string").coalesce(1)
+    paths, whole = (JSON, public_tokenizers.PATTERN, MODEL), align.aligned_blocks
+    got = []
+    for size, wide in ((1 << 30, True), (1 << 16, False)):
+        blocks = whole(df, paths, "group", size)
+        pairs = blocks.where("code is not null").groupBy("block").count().agg(F.max("count")).first()[0]
+        assert (pairs > 1 << 16) == wide
+        assert blocks.where(f"code is null and length(which) <> {2 + 2 * wide} * n_links").count() == 0
+        monkeypatch.setattr(align, "aligned_blocks", lambda docs, paths, relation, size=size: whole(docs, paths, relation, size))
+        got.append(sorted(map(tuple, align.digest(df, *paths, "group").collect())))
+    assert got[0] == got[1] and len(got[0]) == 900
+
+
 def test_groups(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(ODD)], "doc_id long, text string")
     for row in align.groups(df, JSON, public_tokenizers.PATTERN, MODEL).collect():

@@ -5,7 +5,8 @@ interval owned by one token of either side, found by binary search. An interval
 both sides end, a group closes. Tokens of both sides whose ranges stand in the asked relation are linked.
 
 Texts are handled in blocks of bounded bytes, and a block keeps its distinct linked id pairs once with their number:
-corpus-wide counts are summed from these, and go back to blocks, not to single texts.
+corpus-wide counts are summed from these, and go back to blocks, not to single texts. Rows are texts and pairs, never
+blocks, so that what executors hold does not follow the block's size.
 """
 
 from __future__ import annotations
@@ -156,16 +157,25 @@ def blocks_of(batches: Iterable[pa.RecordBatch], bytes_of_block: int) -> Iterato
         yield docs, texts
 
 
-BLOCK = "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, codes array<long>, times array<long>, which array<int>"
+BLOCK = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, which binary, pos int, code long, times long"
+
+
+def width(pairs: int) -> str:
+    """The numbers that say which of so many pairs a link is."""
+    return "<u2" if pairs <= 1 << 16 else "<u4"
 
 
 def aligned_blocks(docs: DataFrame, paths: tuple[str, str, str], relation: str, bytes_of_block: int = BLOCK_BYTES) -> DataFrame:
-    """One row a block: per text its numbers and digest; the block's distinct linked id pairs (a << 32 | b, rising) with
-    the number of their links, and for every link which of these it is."""
+    """One row a text, with its numbers and digest and for every link which of its block's pairs it is (bytes, see
+    width()); and one row for each distinct linked id pair of a block, by which code is not null: its place, the code
+    (a << 32 | b, rising) and the number of its links. No row holds a whole block: Parquet's writers and readers, like
+    shuffles, hold many rows at once.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, part = pair(*paths), TaskContext.get().partitionId()
-        schema = pa.schema([("block", pa.int64()), *[(c, pa.list_(pa.int64())) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")], ("groups_sha256", pa.list_(pa.string())), ("codes", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())), ("which", pa.list_(pa.int32()))])
+        kinds = {"string": pa.string(), "binary": pa.binary(), "int": pa.int32(), "long": pa.int64()}
+        schema = pa.schema([(c, kinds[kind]) for c, kind in (f.split() for f in BLOCK.split(", "))])
         for nth, (ids, texts) in enumerate(blocks_of(batches, bytes_of_block)):
             block = Block(*both.encode(texts), both.length_a, both.length_b)
             # a text's last byte: where its tokens end; texts without tokens end where the one before did
@@ -177,15 +187,22 @@ def aligned_blocks(docs: DataFrame, paths: tuple[str, str, str], relation: str,
             for stop in upto.tolist():
                 told.append(hashlib.sha256("".join(map(both.shown.__getitem__, shown[start:stop].tolist()))[:-1].encode()).hexdigest() if stop > start else "")
                 start = stop
-            row = [(part << 33) + nth, ids, np.diff(block.of_a, prepend=0), np.diff(block.of_b, prepend=0), counted(block.closed, last + 1), counted(at_a, block.of_a), told, codes, times, which.ravel().astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
+            n_links, which = counted(at_a, block.of_a), which.ravel().astype(width(len(codes)))
+            cut = pa.py_buffer(np.append(0, np.cumsum(n_links) * which.itemsize).astype(np.int32))
+            of_texts = [ids, np.diff(block.of_a, prepend=0), np.diff(block.of_b, prepend=0), counted(block.closed, last + 1), n_links, told, pa.Array.from_buffers(pa.binary(), len(ids), [None, cut, pa.py_buffer(which)])]
+            of_pairs = [np.arange(len(codes)), codes, times]
+            rows = [np.full(len(ids) + len(codes), (part << 33) + nth), *of_texts, *of_pairs]
+            kept = [pa.array(x, f.type) for x, f in zip(rows, schema)]
+            kept[1:8] = [pa.concat_arrays([x, pa.nulls(len(codes), x.type)]) for x in kept[1:8]]
+            kept[8:] = [pa.concat_arrays([pa.nulls(len(ids), x.type), x]) for x in kept[8:]]
+            yield pa.RecordBatch.from_arrays(kept, schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, BLOCK)
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
     """(code, links, best): links of an id pair in the corpus, and whether no pair with the same id of b has more."""
-    sums = blocks.select(F.explode(F.arrays_zip("codes", "times")).alias("x")).groupBy("x.codes").agg(F.sum("x.times").alias("links")).withColumnRenamed("codes", "code")
+    sums = blocks.where("code is not null").groupBy("code").agg(F.sum("times").alias("links"))
     # at most as many rows a window as the vocabulary of a has tokens
     of_b = Window.partitionBy(F.col("code").bitwiseAND(F.lit((1 << 32) - 1)))
     return sums.select("code", "links", (F.col("links") == F.max("links").over(of_b)).alias("best"))
@@ -208,23 +225,21 @@ def digest(docs: DataFrame, path_a: str, pattern: str, path_b: str, relation: st
         raise ValueError(f"relation is one of {RELATIONS}")
     blocks = materialize(aligned_blocks(docs, (path_a, pattern, path_b), relation), "aligned")
     counts = materialize(pair_counts(blocks), "pairs")
-    asked = blocks.select(F.col("block").alias("of"), F.posexplode("codes").alias("pos", "code"))
+    asked = blocks.where("code is not null").select(F.col("block").alias("of"), "pos", "code")
     # a frequent pair is asked for once a block: a plain join, which adaptive execution splits where a pair is hot
     answers = asked.join(counts, "code").select("of", "pos", "links", "best")
-    own = blocks.select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "which")
+    own = blocks.where("code is null").select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "which")
 
     def put(rows: pa.Table, found: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return pa.table({f: [] for f in names}, schema=schema)
-        row = rows.slice(0, 1)
-        flat = lambda c: row.column(c).combine_chunks().flatten()
         n = found.num_rows
         links, best = np.zeros(n, np.int64), np.zeros(n, np.int64)
         at = found.column("pos").to_numpy()
         links[at], best[at] = found.column("links").to_numpy(), found.column("best").to_numpy()
-        which, upto = flat("which").to_numpy(), np.append(0, np.cumsum(flat("n_links").to_numpy()))
+        which = np.frombuffer(b"".join(rows.column("which").to_pylist()), width(n))
+        upto = np.append(0, np.cumsum(rows.column("n_links").to_numpy()))
         summed = lambda x: pa.array(np.diff(np.append(0, np.cumsum(x[which]))[upto]))
-        return pa.table([flat("doc_id"), flat("n_a"), flat("n_b"), flat("n_groups"), flat("n_links"), summed(best), summed(links), flat("groups_sha256")], schema=schema)
+        sums = {"n_best": summed(best), "count_sum": summed(links)}
+        return pa.table([sums[c] if c in sums else rows.column(c) for c in names], schema=schema)
 
     names = [c.split()[0] for c in DIGEST.split(", ")]
     schema = pa.schema([(n, pa.string() if n == "groups_sha256" else pa.int64()) for n in names])
